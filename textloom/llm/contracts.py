@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import bpe
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -19,8 +20,19 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, per_cent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents under the public 50k byte-level vocabulary, and back."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash,)}
+    return {f.__name__: f for f in (op1_minhash, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
