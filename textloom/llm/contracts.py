@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe
+from textloom.llm import bpe, substring_dedup
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -20,6 +20,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, per_cent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents covered by a repeated window of 35 words are removed."""
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents under the public 50k byte-level vocabulary, and back."""
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
@@ -32,7 +37,7 @@ def _tokenizer() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op4_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
