@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, substring_dedup
+from textloom.llm import bpe, sanitise, substring_dedup
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -25,6 +25,11 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents, and the terms that disclose it."""
+    return sanitise.digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents under the public 50k byte-level vocabulary, and back."""
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
@@ -37,7 +42,7 @@ def _tokenizer() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op4_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,8 @@ U64 = np.uint64
 #: Word separators of the contracts: space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators of terms: every ASCII character but letters and digits.
+NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -64,13 +66,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _segments(data: np.ndarray, offs: np.ndarray) -> list[int]:
+def _segments(data: np.ndarray, offs: np.ndarray, space: np.ndarray) -> list[int]:
     """Cut points at separators or document ends, about every _SEGMENT bytes."""
     cuts, at, n = [0], 0, len(data)
     while at < n:
         end = min(n, at + _SEGMENT)
         while end < n:
-            gap = np.flatnonzero(SPACE[data[end : end + 4096]])
+            gap = np.flatnonzero(space[data[end : end + 4096]])
             stop = int(offs[np.searchsorted(offs, end)])
             end = min(stop, end + int(gap[0])) if len(gap) else min(stop, end + 4096)
             if len(gap) or end == stop:
@@ -80,7 +82,7 @@ def _segments(data: np.ndarray, offs: np.ndarray) -> list[int]:
     return cuts
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of every document: (hash, start byte, end byte, offsets of words by document).
 
     Works through bounded segments, whatever the length of a text.
@@ -88,11 +90,11 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.n
     hashes, starts, ends = [], [], []
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
-    cuts = _segments(data, offs)
+    cuts = _segments(data, offs, space)
     inv = inverse(_P)
     for lo, hi in zip(cuts, cuts[1:]):
         part = data[lo:hi]
-        word = ~SPACE[part]
+        word = ~space[part]
         first = word.copy()
         first[1:] &= ~word[:-1] | edge[lo + 1 : hi]
         last = word.copy()
@@ -146,3 +148,35 @@ def batches(column: pa.Array, max_bytes: int = 8 << 20):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+
+
+def term_counts(iterator, column: int, schema_names: tuple[str, str] = ("term", "df")):
+    """For mapInArrow: (term hash, documents of this task that hold it), lower-cased terms."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.uint64)
+        n = np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+    for batch in iterator:
+        for lo, hi in batches(batch.column(column)):
+            data, offs = flat(batch.column(column).slice(lo, hi - lo))
+            h, _, _, at = words(data, offs, lower=True, space=NOT_TERM)
+            every = np.concatenate([np.unique(h[a:b]) for a, b in zip(at, at[1:])]) if len(h) else h
+            keys, n = np.unique(every, return_counts=True)
+            held.append((keys, n))
+            size += len(keys)
+            if size > 2_000_000:
+                held[:] = [merged()]
+                size = len(held[0][0])
+                if size > 1_500_000:  # many distinct terms: hand them on, they are summed after the shuffle
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], list(schema_names))
+                    held, size = [], 0
+    keys, n = merged()
+    for lo in range(0, len(keys), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000])], list(schema_names))
