@@ -37,7 +37,7 @@ MISS = 1e-6
 #: Signature positions compared between two looks at the posterior.
 LOOK = 60
 #: Documents in a block of the second comparison (two blocks meet in a task).
-BLOCK = 500
+BLOCK = 1000
 
 _MULT = np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = K._Q
@@ -261,8 +261,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, miss: fl
         main = sizes.groupBy("band").agg(F.max(F.struct("c", "component")).alias("m")).select("band", F.col("m.component").alias("main"))
         part = part.join(main, "band").withColumn("rest", F.col("component") != F.col("main")).withColumn("block", F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)"))
         reach = part.groupBy("band").agg(F.collect_set(F.when(F.col("rest"), F.col("block"))).alias("rests"), F.collect_set("block").alias("all"))
-        keyed = part.join(reach, "band").select("id", "component", "block", "rest", F.explode(F.when(F.col("rest"), F.col("all")).otherwise(F.col("rests"))).alias("with"))
-        keyed = keyed.groupBy("id", "component", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).agg(F.max("rest").alias("rest"))
+        # the blocks that a document must meet, united over its buckets before they become rows
+        meets = part.join(reach, "band").withColumn("with", F.when(F.col("rest"), F.col("all")).otherwise(F.col("rests")))
+        meets = meets.groupBy("id", "component", "block").agg(F.max("rest").alias("rest"), F.array_distinct(F.flatten(F.collect_set("with"))).alias("with"))
+        keyed = meets.select("id", "component", "block", "rest", F.explode("with").alias("with"))
+        keyed = keyed.select("id", "component", "block", "rest", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
         rows = _with_texts(written(keyed, "keyed"), part.select("id"), reps, source).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "id")
         more = rows.mapInArrow(lambda it: _crossed(it, blocks, k, per_cent, miss), "a long, b long")
         labels = components(links.union(written(more, "links")))
