@@ -31,7 +31,7 @@ from textloom.llm.shared import few, texts, written
 LENGTH = 35
 MER = 12
 #: Words handled at once; paths do not cross the cut (their windows still meet in step 3).
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _POS = 21
 _OTHER = 0xC2B2AE3D27D4EB4F
 
@@ -86,36 +86,37 @@ def _paths(iterator, length: int, mer: int):
 def _windows(iterator, length: int):
     """Each row: a text and its branching paths; out come their windows."""
     for batch in iterator:
-        want = batch.column(1).to_pylist()
         for lo, hi in K.batches(batch.column(0)):
-            data, offs = K.flat(batch.column(0).slice(lo, hi - lo))
+            part = batch.slice(lo, hi - lo)
+            data, offs = K.flat(part.column(0))
             h, _, _, at = K.words(data, offs)
-            mini, path, off, win = [], [], [], []
-            for i in range(hi - lo):
-                own = h[at[i] : at[i + 1]]
-                grams = K.rolling(own, length)
-                for p in want[lo + i]:
-                    mini += [p["mini"]] * p["n"]
-                    path += [p["path"]] * p["n"]
-                    off += range(p["n"])
-                    win.append(grams[p["first"] : p["first"] + p["n"]])
-            every = np.concatenate(win) if win else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(path, pa.int64()), pa.array(off, pa.int32()), pa.array(every.view(np.int64))], ["mini", "path", "off", "window"])
+            lists = part.column(1)
+            cut = lists.offsets.to_numpy()
+            want = lists.values.slice(cut[0], cut[-1] - cut[0])
+            mini, path, first, n = (want.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mini", "path", "first", "n"))
+            doc = np.repeat(np.arange(hi - lo), np.diff(cut))
+            grams = K.rolling(h, length)
+            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            every = grams[np.repeat(at[doc] + first, n) + off]
+            for a in range(0, len(off), 100_000):
+                some = slice(a, a + 100_000)
+                cols = (np.repeat(mini, n)[some], np.repeat(path, n)[some], off[some].astype(np.int32), every[some].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mini", "path", "off", "window"])
 
 
 def _cut(iterator, length: int):
     """Each row: doc_id, text, repeated windows as (first, mask); out comes what is left."""
     for batch in iterator:
-        marks = batch.column(2).to_pylist()
         for lo, hi in K.batches(batch.column(1)):
             part = batch.slice(lo, hi - lo)
+            marks = part.column(2).to_pylist()
             data, offs = K.flat(part.column(1))
             _, s, e, at = K.words(data, offs)
             n, gone, kept, spans_ = [], [], [], []
             for i in range(hi - lo):
                 size = int(at[i + 1] - at[i])
                 cover = np.zeros(size + 1, np.int32)
-                for m in marks[lo + i] or ():
+                for m in marks[i] or ():
                     bits = m["mask"]
                     while bits:
                         b = (bits & -bits).bit_length() - 1
