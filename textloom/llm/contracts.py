@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, sanitise, substring_dedup
+from textloom.llm import bpe, language, quality, sanitise, substring_dedup, toxicity
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -35,6 +35,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -42,7 +57,7 @@ def _tokenizer() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe, op6_language, op8_toxicity, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
