@@ -153,7 +153,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, mer: int = MER, id_
     branching = again.where("branches").groupBy("mini", "path").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "first", "n")).alias("at"))
     branching = written(branching.select("mini", "path", "c", "at.*"), "branching")
     want = branching.groupBy("doc_id").agg(F.collect_list(F.struct("mini", "path", "first", "n")).alias("want"))
-    rows = source.join(few(want), "doc_id").select("text", "want")
+    ids = written(branching.select("doc_id").distinct(), "ids")
+    rows = source.join(few(ids), "doc_id", "left_semi").join(want, "doc_id").select("text", "want")
     windows = rows.mapInArrow(lambda it: _windows(it, length), "mini long, path long, off int, window long")
     windows = written(windows, "windows")
     twice = windows.groupBy("mini", "window").agg(F.count("*").alias("c")).where("c > 1").select("mini", "window")
