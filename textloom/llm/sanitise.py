@@ -183,7 +183,8 @@ def sanitise(docs: DataFrame, *, with_text: bool = True, id_col: str = "doc_id",
     """
     source = texts(docs, id_col=id_col, text_col=text_col)
     told = written(disclosing_terms(source, **thresholds), "told")
-    return source.join(few(told), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(lambda it: _spanned(it, with_text), f"doc_id long, spans {_SPANS}, sanitised string")
+    size = told.agg(F.coalesce(F.sum(F.size("told")), F.lit(0))).first()[0]
+    return source.join(few(told, size), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(lambda it: _spanned(it, with_text), f"doc_id long, spans {_SPANS}, sanitised string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
