@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, language, mixing, permutation_index, quality, sanitise, substring_dedup, toxicity
+from textloom.llm import bpe, imatch, language, mixing, permutation_index, quality, sanitise, substring_dedup, toxicity
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -45,6 +45,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their half-replaced texts."""
+    return imatch.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -67,7 +72,7 @@ def _tokenizer() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe, op5_mixing, op6_language, op8_toxicity, op9_neighbours, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe, op5_mixing, op6_language, op7_imatch, op8_toxicity, op9_neighbours, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
