@@ -76,6 +76,14 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _packed(iterator):
+    """Texts compressed one by one: they cross the network once, as little as possible."""
+    for batch in iterator:
+        raw = [t.encode() for t in batch.column(1).to_pylist()]
+        z = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary()), pa.array([len(r) for r in raw], pa.int64()), *batch.columns[2:]], ["doc_id", "packed", "n_bytes", "bucket", "ahead"])
+
+
 def _compared(iterator, shared):
     lexicon = shared.value
 
@@ -93,15 +101,16 @@ def _compared(iterator, shared):
     held: list[tuple[int, str]] = []
     now, size, closed = None, 0, True
     for batch in iterator:
-        for lo, hi in K.batches(batch.column(1), 1 << 20):
-            part = batch.slice(lo, hi - lo)
-            for i, t, bucket, ahead in zip(*(part.column(c).to_pylist() for c in range(4))):
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            for i, z, n, bucket, ahead in zip(*(part.column(c).to_pylist() for c in range(5))):
                 if bucket != now:
                     held, now, size, closed = [], bucket, 0, False
                 if closed:
                     continue  # further rows of the next bucket's first id
-                held.append((i, t or ""))
-                size += len(t or "")
+                t = pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True).decode()
+                held.append((i, t))
+                size += len(t)
                 if ahead:
                     closed = True
                 if (closed or size > 2_000_000) and len(held) > 1:
@@ -114,7 +123,7 @@ def fingerprint_documents(docs: DataFrame, *, common_min: float = COMMON_MIN, co
 
     edited is the text whose last floor(n/2) code points are replaced by the
     first as many (or all) of the next document by id; the first follows the
-    last. Rows of one id are ordered by text. Null texts count as empty; two
+    last. Rows of one id stand in a fixed order of their contents. Null texts count as empty; two
     texts without a term have likeness 1. Null ids are left out; an empty table
     gives an empty result. Only ranges of ids meet in a task, with the first
     document of the next range.
@@ -136,7 +145,8 @@ def fingerprint_documents(docs: DataFrame, *, common_min: float = COMMON_MIN, co
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     ahead = spark.createDataFrame(sorted(before.items()), "doc_id long, bucket int")
     rows = placed.select("doc_id", "text", "bucket", F.lit(0).alias("ahead")).union(source.join(F.broadcast(ahead), "doc_id").select("doc_id", "text", "bucket", F.lit(1)))
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
+    rows = rows.mapInArrow(_packed, "doc_id long, packed binary, n_bytes long, bucket int, ahead int")
+    rows = rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "packed")
     return rows.mapInArrow(lambda it: _compared(it, lexicon), "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
