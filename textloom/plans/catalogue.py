@@ -188,7 +188,7 @@ def ngrams_across_rows(s, d):
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '[.:!?]', '#SEND#', 'g'), '#SEND#|#CSTART#')) AS s FROM documents)
-SELECT doc_id, count(*) AS n, CAST(sum(length(trim(s))) AS BIGINT) AS chars FROM p WHERE trim(s) <> '' GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, CAST(sum(length(trim(s, ' '))) AS BIGINT) AS chars FROM p WHERE trim(s, ' ') <> '' GROUP BY doc_id""")
 def sentence_split(s, d):
     pieces = segment.sentence_pieces(F.regexp_replace("text", "[.:!?]", clean.SENTENCE))
     return table(s, d, "documents").select("doc_id", F.explode(pieces).alias("p")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("chars"))
@@ -217,7 +217,7 @@ def insertions(s, d):
 # --- detection
 
 _SERIES = "d AS (SELECT 'd' AS series, 'd' || doc_id AS docid, lower(text) AS text FROM documents UNION ALL SELECT 'b', 'b' || item_id, lower(text) FROM benchmark)"
-_WG = "g AS (SELECT DISTINCT series, docid, CAST(i - 1 AS INTEGER) AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT series, docid, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT series, docid, list_filter(regexp_extract_all(text, '[a-z]+'), x -> length(x) >= 2) AS w FROM d)))"
+_WG = "g AS (SELECT DISTINCT series, docid, CAST(i - 1 AS INTEGER) AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT series, docid, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT series, docid, list_filter(regexp_extract_all(text, '[a-z]+'), lambda x: length(x) >= 2) AS w FROM d)))"
 _WM = f"WITH {_SERIES}, {_WG}, k AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT docid) BETWEEN 2 AND 100), h AS (SELECT * FROM g WHERE gram IN (SELECT gram FROM k)), m AS (SELECT x.docid AS a, y.docid AS b, x.pos AS pa, y.pos AS pb, gram FROM h x JOIN h y USING (gram) WHERE x.series < y.series)"
 
 
