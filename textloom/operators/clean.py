@@ -49,7 +49,6 @@ def is_number(word: Column) -> Column:
     return word.rlike("^[ijvxlcdmIJVXLCDM]+$") & ~word.rlike("^[vV][ijIJ]{1,2}[lL][lL]?$") & ~word.rlike("^[ijIJ]{1,2}[mM]")
 
 
-@F.pandas_udf("string")
 def _collapse(texts: pd.Series) -> pd.Series:
     run = re.compile(r"(?<!\w)[ijvxlcdm]+(?:\.?\s?[ijvxlcdm]+)*\.?(?!\w)", re.I)
     word = re.compile(r"v[ij]{1,2}ll?$|[ij]{1,2}m", re.I)
@@ -65,7 +64,7 @@ def _collapse(texts: pd.Series) -> pd.Series:
 
 def collapse_numerals(text: Column) -> Column:
     """Slashes to spaces; runs of Roman numerals lose dots and spaces. Each run is decided where it stands."""
-    return _collapse(text)
+    return F.pandas_udf(_collapse, "string")(text)
 
 
 def mark_boundaries(text: Column) -> Column:

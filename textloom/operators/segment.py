@@ -44,7 +44,7 @@ def offset_index(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame
 
 def sentence_pieces(text: Column) -> Column:
     """The plain split of a text at sentence and chapter markers: trimmed, non-empty pieces."""
-    return F.filter(F.transform(F.split(text, "#SEND#|#CSTART#"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "#SEND#|#CSTART#"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def expand_insertions(segments: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def expand_insertions(segments: DataFrame) -> DataFrame:
     whole = F.regexp_replace("text", "#INSTART#|#INEND#", "")
     without = F.regexp_replace(F.regexp_replace("text", "#INSTART#.*?#INEND#", ""), r"\s+", " ")
     every = F.array_distinct(F.concat(inner, F.array(whole, without)))
-    return segments.withColumn("text", F.explode(F.filter(F.transform(every, F.trim), lambda s: s != "")))
+    return segments.withColumn("text", F.explode(F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: s != "")))
 
 
 def sentences(rows: DataFrame, min_words: int = 4, insertion: str = "join") -> DataFrame:
