@@ -50,7 +50,6 @@ def test_page_break_join(spark):
 
 def test_sentences(spark):
     rows = spark.createDataFrame([("c", "", "", 1, "one two three four#SEND# five six seven#SEND# eight nine ten", 1), ("c", "", "", 2, "eleven twelve#SEND#", 2)], "corpus string, bookpart string, paragraph string, row_idx int, text string, page int")
-    assert [r.text for r in segment.sentences(rows).orderBy("seg_idx").collect()] == ["one two three four five six seven eight nine ten eleven twelve"] or True
     flat = " ".join(r.text for r in segment.sentences(rows).orderBy("seg_idx").collect())
     assert set(flat.split()) == set("one two three four five six seven eight nine ten eleven twelve".split())
 
@@ -87,7 +86,7 @@ def test_graph(spark):
     assert {r.id: r.component for r in wordgraph.connected(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     members = wordgraph.dense_communities(nodes, edges)
     assert sorted(r.id for r in members.collect()) == [1, 2, 3, 4]
-    assert {r.com_id: r.lemma for r in wordgraph.representative(m, nodes, edges).collect()} == {"x": "aaab" if 0.85 > 0.9 else "aaaa", "y": "zzzz"}
+    assert {r.com_id: r.lemma for r in wordgraph.representative(m, nodes, edges).collect()} == {"x": "aaaa", "y": "zzzz"}
 
 
 def test_planted_reuse_is_found(spark):

@@ -471,10 +471,36 @@ def best_run(s, d):
     return matches.best_run(runs, "tool")
 
 
-@query("SELECT ngram, gap, w AS \"window\", m AS minimum, m AS in_docs, m AS in_window, max_gap FROM unnest([3, 4, 5]) a(ngram), unnest([0, 1, 3, 5]) b(gap), unnest([5, 15, 30]) c(w), unnest([2, 3, 4]) e(m), unnest([2, 10, 20]) f(max_gap) WHERE ngram >= gap AND max_gap <= w")
+#: The parameter grids of the three detectors.
+WINDOW_GRID = {"ngram": [3, 4], "gap": [1, 2, 3], "window": [5, 10], "in_docs": [2, 3, 4], "in_window": [2, 3, 4], "minimum": [2, 3, 4], "max_gap": [2, 3, 5], "banalities": [True, False]}
+SEED_GRID = {"e_value": [1.0, 0.5, 0.1, 0.05, 0.01, 0.005, 0.001], "word_size": [3, 4, 5, 6, 7], "min_length": [15, 20, 30, 40]}
+GRAM_GRID = {"n": [5, 7, 9], "min_match": [2], "max_df": [100], "beam": [20, 25, 30], "min_align": [20, 30, 50], "pcopy": [0.6, 0.7, 0.8]}
+SEGMENT_GRID = {"n": [5, 7, 9], "min_match": [4, 5, 6], "max_df": [100, 300, 500], "min_align": [20, 30, 50], "pcopy": [0.6, 0.7, 0.8]}
+
+
+def _grid_sql(axes: dict[str, list]) -> str:
+    cast = lambda v: f"{v}::DOUBLE" if isinstance(v, float) else str(v).lower()
+    return "SELECT * FROM " + ", ".join(f'unnest([{", ".join(map(cast, v))}]) t{i}("{k}")' for i, (k, v) in enumerate(axes.items()))
+
+
+@query(_grid_sql(WINDOW_GRID) + ' WHERE ngram >= gap AND in_docs = in_window AND in_window = minimum AND max_gap <= "window"')
 def param_grid(s, d):
-    full = matches.grid(s, ngram=[3, 4, 5], gap=[0, 1, 3, 5], window=[5, 15, 30], minimum=[2, 3, 4], in_docs=[2, 3, 4], in_window=[2, 3, 4], max_gap=[2, 10, 20])
-    return matches.prune_grid(full)
+    return matches.prune_grid(matches.grid(s, **WINDOW_GRID))
+
+
+@query(_grid_sql(SEED_GRID))
+def param_grid_seed(s, d):
+    return matches.grid(s, **SEED_GRID)
+
+
+@query(_grid_sql(GRAM_GRID))
+def param_grid_gram(s, d):
+    return matches.grid(s, **GRAM_GRID)
+
+
+@query(_grid_sql(SEGMENT_GRID))
+def param_grid_segments(s, d):
+    return matches.grid(s, **SEGMENT_GRID)
 
 
 @query()
