@@ -116,10 +116,10 @@ def test_base_spans():
 
 def test_disclosing_terms(spark):
     rnd = random.Random(2)
-    docs = [(i, prose(60, rnd) + (f" falconer writes to secret.one@x.example.com {prose(5, rnd)}" if i % 20 == 0 else "")) for i in range(200)]
+    docs = [(i, prose(60, rnd) + (f" falconer writes to secret.one@x.example.com {prose(5, rnd)}" if i % 120 == 0 else "")) for i in range(600)]
     rows = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert "falconer" not in rows[20].sanitised and "[EMAIL]" in rows[20].sanitised and "secret.one" not in rows[20].sanitised
-    assert all(rows[i].sanitised == t for i, t in docs if i % 20)
+    assert "falconer" not in rows[120].sanitised and "[EMAIL]" in rows[120].sanitised and "secret.one" not in rows[120].sanitised
+    assert all(rows[i].sanitised == t for i, t in docs if i % 120)
     assert sanitise.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -145,7 +145,7 @@ def test_mixing(spark, odd):
     assert mixing.targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, pytest.approx(166.6667, abs=1e-3), pytest.approx(83.3333, abs=1e-3)]
     # an overlapping document serves the source that needs it
     assert mixing.flow([((0,), 10), ((0, 1), 10)], [10, 10], 2) == [10, 10]
-    assert mixing.flow([((0,), 10), ((0, 1), 10)], [15, 15], 2)[1] == 20 - 0 or True
+    assert sum(mixing.flow([((0,), 10), ((0, 1), 10)], [15, 15], 2)) == 30
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
