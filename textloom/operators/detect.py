@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from textloom.operators.wordgraph import connected
 
 
+#: Characters cut at once: substrings are found by walking a text, so long ones are walked in pieces.
+PIECE = 256
+
+
 def char_grams(docs: DataFrame, n: int, floating: bool = True) -> DataFrame:
     """(series, docid, pos, gram): at any offset, or at word starts only."""
-    at = F.sequence(F.lit(1), F.length("text") - n + 1)
-    rows = docs.where(F.length("text") >= n).select("series", "docid", "text", F.explode(at).alias("p"))
+    at = F.col("at")
+    rows = docs.where(F.length("text") >= n).select("series", "docid", "text", F.explode(F.sequence(F.lit(0), F.length("text") - n, F.lit(PIECE))).alias("at"))
+    before = F.when(at > 0, F.substr("text", at, F.lit(1))).otherwise(F.lit(" "))
+    rows = rows.select("series", "docid", "at", F.concat(before, F.substr("text", at + 1, F.lit(PIECE + n - 1))).alias("k"))
+    gram = lambda p: F.struct((at + p - 1).alias("pos"), F.substr("k", p + 1, F.lit(n)).alias("gram"), F.substr("k", p, F.lit(1)).alias("before"))
+    rows = rows.select("series", "docid", F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - n), gram)).alias("g"))
     if not floating:
-        rows = rows.where((F.col("p") == 1) | F.substr("text", F.col("p") - 1, F.lit(1)).rlike(r"(?U)\W"))
-    return rows.select("series", "docid", (F.col("p") - 1).alias("pos"), F.substr("text", "p", F.lit(n)).alias("gram"))
+        rows = rows.where(F.col("g.before").rlike(r"(?U)\W"))
+    return rows.select("series", "docid", "g.pos", "g.gram")
 
 
 def word_grams(docs: DataFrame, n: int, gap: int = 0, ordered: bool = True, min_length: int = 2) -> DataFrame:
