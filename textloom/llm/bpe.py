@@ -32,7 +32,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9
 _NEAR = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
 #: Distinct pieces that a task remembers; beyond it starts anew.
-CACHE = 500_000
+CACHE = 200_000
 _NONE = np.int64(1 << 40)
 
 

@@ -201,17 +201,18 @@ def _crossed(iterator, blocks: int, k: int, per_cent: int, miss: float):
         order = np.argsort(keys, kind="stable")
         keys, who = keys[order], who[order]
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        pairs = [np.zeros(0, np.int64)]
+        pairs, limit = [np.zeros(0, np.int64)], 1 << 19
         for a, b in zip(edge, edge[1:]):
-            if b - a > 1:
-                m = who[a:b]
-                r = m[rest[m]]
-                if len(r):
-                    i, j = np.repeat(r, len(m)), np.tile(m, len(r))
-                    mine = (comp[i] != comp[j]) & (np.minimum(block[i], block[j]) == lo) & (np.maximum(block[i], block[j]) == hi)
-                    pairs.append(np.minimum(i, j)[mine] * len(ids) + np.maximum(i, j)[mine])
-                    if sum(map(len, pairs)) > 1 << 22:
-                        pairs = [np.unique(np.concatenate(pairs))]
+            m = who[a:b]
+            r = m[rest[m]] if b - a > 1 else m[:0]
+            step = max(1, (1 << 17) // (b - a))
+            for at in range(0, len(r), step):
+                i, j = np.repeat(r[at : at + step], len(m)), np.tile(m, len(r[at : at + step]))
+                mine = (comp[i] != comp[j]) & (np.minimum(block[i], block[j]) == lo) & (np.maximum(block[i], block[j]) == hi)
+                pairs.append(np.minimum(i, j)[mine] * len(ids) + np.maximum(i, j)[mine])
+                if sum(map(len, pairs)) > limit:
+                    pairs = [np.unique(np.concatenate(pairs))]
+                    limit = max(limit, 2 * len(pairs[0]))
         every = np.unique(np.concatenate(pairs))
         x, y = _links(rows, every // len(ids), every % len(ids), k, per_cent, miss)
         found.append((ids[x], ids[y]))
