@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Most rows that may be sent to every executor as join keys (two longs a row: 16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Most bytes of one Arrow batch on its way to Python; a longer row stands alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, text string and the named columns only; other columns never travel."""
+    bound_batches(docs.sparkSession)
     return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of an Arrow batch to BATCH_BYTES, so that long texts do not fill a worker; never raise them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that is read by fewer tasks than there are cores (one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
