@@ -24,7 +24,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
-_SEGMENT = 1 << 19
+_SEGMENT = 1 << 18
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -140,7 +140,7 @@ def within(n_items: int, doc_offs: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
-def batches(column: pa.Array, max_bytes: int = 4 << 20):
+def batches(column: pa.Array, max_bytes: int = 1 << 20):
     """(lo, hi) row ranges whose texts hold about max_bytes; a longer text stands alone."""
     _, offs = flat(column)
     lo, n = 0, len(offs) - 1
