@@ -250,12 +250,12 @@ def window_alignment(s, d):
 
 @query()
 def gram_alignment(s, d):
-    return detect.gram_alignment(_series(s, d), n=25, floating=False)
+    return detect.gram_alignment(_series(s, d), n=25)
 
 
 @query()
 def seed_and_extend(s, d):
-    return detect.seed_and_extend(_series(s, d), word_size=30, min_length=60)
+    return detect.seed_and_extend(_series(s, d), word_size=7, min_length=15)
 
 
 # --- similarity and word graph
