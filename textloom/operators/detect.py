@@ -1,19 +1,20 @@
 """Reuse detection (T1-T6): seeds and extension, n-gram candidates with local alignment, window alignment, clustering.
 
 Input docs(series, docid, text); output passages(cluster, docid, start, end),
-end inclusive. Grams above a document frequency are left out before any join,
-which bounds the pairs that one gram can make.
+end inclusive. gram_alignment leaves out grams above a document frequency (a
+parameter of that method); seed_and_extend and window_alignment keep every gram.
 """
 
 from __future__ import annotations
 
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.wordgraph import connected
+from textloom.operators.wordgraph import _checkpoint, connected
 
 
 #: Characters cut at once: substrings are found by walking a text, so long ones are walked in pieces.
@@ -128,6 +129,7 @@ def align_regions(regions: DataFrame, docs: DataFrame, *, pcopy: float = 0.8, le
 
 def cluster_passages(pairs: DataFrame) -> DataFrame:
     """Aligned pairs to passages(cluster, docid, start, end): overlapping spans of a document merge, pairs connect them."""
+    pairs = _checkpoint(pairs)  # read in every round of the components
     pairs = pairs.withColumn("pair", F.xxhash64("a", "b", "start_a", "end_a", "start_b", "end_b"))
     ends = [F.struct(F.col(s).alias("docid"), F.col(f"start_{s}").alias("start"), F.col(f"end_{s}").alias("end")) for s in "ab"]
     spans = pairs.select("pair", F.explode(F.array(*ends)).alias("p")).select("pair", "p.*")
@@ -136,43 +138,121 @@ def cluster_passages(pairs: DataFrame) -> DataFrame:
     spans = spans.withColumn("new", F.when(F.col("start") <= upto, 0).otherwise(1))
     spans = spans.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = spans.groupBy("docid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("pair").alias("pairs"))
-    merged = merged.withColumn("id", F.xxhash64("docid", "start", "end"))
+    merged = _checkpoint(merged.withColumn("id", F.xxhash64("docid", "start", "end")))
     inc = merged.select("id", F.explode("pairs").alias("pair"))
     edges = inc.groupBy("pair").agg(F.min("id").alias("src"), F.max("id").alias("dst")).select("src", "dst", F.lit(1.0).alias("weight"))
+    edges = _checkpoint(edges)
     comp = connected(merged.select("id"), edges)
     return merged.join(comp, "id").select(F.col("component").alias("cluster"), "docid", "start", "end")
 
 
-def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.001, min_length: int = 0, max_length: int = 100_000, max_df: int = 100) -> DataFrame:
-    """Seeds of word_size characters, chained on diagonals, ungapped extension, E = K m n exp(-lambda S)."""
-    grams = frequent_between(char_grams(docs, word_size), 2, max_df)
-    seeds = diagonal_seeds(gram_matches(grams), word_size)
+#: Characters of a block of texts (a longer text stands alone), and seeds extended at once.
+BLOCK, SEEDS = 1 << 20, 1 << 20
+#: Above all code points: the marks at the ends of texts, one for each side so that they never match.
+EDGE = 0x110000
+
+
+def _joined(texts: list[str], edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, start of each text), with an edge mark before, between and after the texts."""
+    parts, starts, at = [np.array([edge], np.uint32)], [], 1
+    for t in texts:
+        x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts += [x, parts[0]]
+        starts.append(at)
+        at += len(x) + 1
+    return np.concatenate(parts), np.array(starts, np.int64)
+
+
+def _hashes(x: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(max(0, len(x) - k + 1), np.uint64)
+    for c in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x[c : c + len(out)]
+    return out
+
+
+def _grown(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best gain, steps to it) of extension without gaps from before or after each run, given up 5 below the best."""
+    best, far = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    live, score, n = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+    while len(live):
+        n += 1
+        a, b = x[i[live] + step * n], y[j[live] + step * n]
+        inside = (a < EDGE) & (b < EDGE)
+        score, live = (score + np.where(a == b, 1, -1))[inside], live[inside]
+        up = score > best[live]
+        best[live[up]], far[live[up]] = score[up], n
+        on = score > best[live] - 5
+        score, live = score[on], live[on]
+    return best, far
+
+
+def _seeded(a: pd.DataFrame, b: pd.DataFrame, k: int, least: float, scale: float) -> pd.DataFrame:
+    """The passages of two blocks of texts (docid, text): every exact run of k characters or more, extended without gaps.
+
+    Seeds on a diagonal whose starts lie at most k apart are one exact run, so a
+    seed counts where the characters before it differ.
+    """
+    (x, sa), (y, sb) = _joined(a["text"].tolist(), EDGE), _joined(b["text"].tolist(), EDGE + 1)
+    na, nb = a["text"].str.len().to_numpy(), b["text"].str.len().to_numpy()
+    hx, hy = _hashes(x, k), _hashes(y, k)
+    order = np.argsort(hy, kind="stable")
+    hy = hy[order]
+    lo = np.searchsorted(hy, hx)
+    n = np.searchsorted(hy, hx, "right") - lo
+    at, upto, out = 0, np.r_[0, np.cumsum(n)], []
+    while at < len(hx):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + SEEDS, "right")) - 1)
+        count = n[at:end]
+        total = int(upto[end] - upto[at])
+        if total:
+            i = np.repeat(np.arange(at, end), count)
+            j = order[np.arange(total) - np.repeat(upto[at:end] - upto[at], count) + np.repeat(lo[at:end], count)]
+            new = x[i - 1] != y[j - 1]
+            i, j = i[new], j[new]
+            true = np.ones(len(i), bool)
+            for c in range(k):
+                true &= x[i + c] == y[j + c]
+            i, j = i[true], j[true]
+            size, live = np.full(len(i), k), np.arange(len(i))
+            while len(live):
+                live = live[x[i[live] + size[live]] == y[j[live] + size[live]]]
+                size[live] += 1
+            left, back = _grown(x, y, i, j, -1)
+            right, on = _grown(x, y, i + size - 1, j + size - 1, 1)
+            da, db = np.searchsorted(sa, i, "right") - 1, np.searchsorted(sb, j, "right") - 1
+            good = scale * na[da] * nb[db] * np.exp(-least * (size + left + right))
+            out.append((da, db, i - back - sa[da], i + size - 1 + on - sa[da], j - back - sb[db], j + size - 1 + on - sb[db], good))
+        at = end
+    da, db, *spans, e = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 7
+    got = pd.DataFrame({"a": a["docid"].to_numpy(object)[da], "b": b["docid"].to_numpy(object)[db], **dict(zip(("start_a", "end_a", "start_b", "end_b"), spans))})
+    return got[e <= 1].drop_duplicates()
+
+
+def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.001, min_length: int = 0, max_length: int = 100_000) -> DataFrame:
+    """Seeds of word_size characters, chained on diagonals, ungapped extension, E = K m n exp(-lambda S).
+
+    Every seed counts, however many documents hold it. Equal texts of a series
+    are compared once, by their smallest docid. Blocks of texts meet block by
+    block inside tasks, so seeds never become rows; work grows as the seeds.
+    """
     lam, kk = log(3.0), 0.3  # match +1, mismatch -1 over near-uniform letters
-    ta, tb = docs.select(F.col("docid").alias("a"), F.col("text").alias("xa")), docs.select(F.col("docid").alias("b"), F.col("text").alias("xb"))
-
-    @F.pandas_udf("start int, end int, score double")
-    def run(x: pd.Series, y: pd.Series, start: pd.Series, end: pd.Series, diag: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, s, e, d in zip(x, y, start, end, diag):
-            def grow(i: int, step: int) -> int:
-                score = best = 0
-                at = i
-                while 0 <= i + step < len(a) and 0 <= i + step - d < len(b) and score > best - 5:
-                    i += step
-                    score += 1 if a[i] == b[i - d] else -1
-                    if score > best:
-                        best, at = score, i
-                return at
-
-            lo, hi = grow(s, -1), grow(e, 1)
-            same = sum(a[i] == b[i - d] for i in range(lo, hi + 1) if i - d < len(b))
-            out.append((lo, hi, float(2 * same - (hi - lo + 1))))
-        return pd.DataFrame(out, columns=["start", "end", "score"])
-
-    got = seeds.join(ta, "a").join(tb, "b").withColumn("r", run("xa", "xb", "start", "end", "diag"))
-    e = kk * F.length("xa") * F.length("xb") * F.exp(-lam * F.col("r.score"))
-    got = got.where(e <= e_value).select("a", "b", F.col("r.start").alias("start_a"), F.col("r.end").alias("end_a"), (F.col("r.start") - F.col("diag")).alias("start_b"), (F.col("r.end") - F.col("diag")).alias("end_b"))
-    return cluster_passages(got.where((F.col("end_a") - F.col("start_a") + 1).between(min_length, max_length)).distinct())
+    known = docs.where(F.length("text") >= word_size).select("series", "docid", "text", *[F.xxhash64("text", F.lit(i)).alias(f"k{i}") for i in (1, 2)])
+    reps = known.groupBy("series", "k1", "k2").agg(F.min("docid").alias("rep"))
+    ids = _checkpoint(known.drop("text").join(reps, ["series", "k1", "k2"]).select("series", "docid", "rep"))
+    texts = known.select("series", "docid", "text").join(ids.where("docid = rep").select("series", "docid"), ["series", "docid"], "left_semi").dropDuplicates(["series", "docid"])
+    sizes = {r.series: -(-r.n // BLOCK) for r in texts.groupBy("series").agg(F.sum(F.length("text")).alias("n")).collect()}
+    rows = [(s, i, t, j) for s in sizes for t in sizes if s < t for i in range(sizes[s]) for j in range(sizes[t])]
+    meets = docs.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "sa string, ia int, sb string, ib int, task int")
+    counts = docs.sparkSession.createDataFrame(list(sizes.items()), "series string, blocks int")
+    dealt = texts.join(F.broadcast(counts), "series").withColumn("block", F.expr("cast(pmod(xxhash64(docid), blocks) as int)"))
+    side = lambda s: dealt.join(meets.select(F.col(f"s{s}").alias("series"), F.col(f"i{s}").alias("block"), "task"), ["series", "block"]).select("task", "docid", "text")
+    left, right = side("a"), side("b").toDF("task_b", "docid_b", "text_b")
+    run = lambda x, y: _seeded(x, y.set_axis(x.columns, axis=1), word_size, lam, kk / e_value)
+    found = left.groupBy("task").cogroup(right.groupBy("task_b"))
+    got = found.applyInPandas(run, "a string, b string, start_a long, end_a long, start_b long, end_b long")
+    passages = cluster_passages(got.where((F.col("end_a") - F.col("start_a") + 1).between(min_length, max_length)))
+    copies = ids.select("docid", F.col("rep")).distinct()
+    return passages.withColumnRenamed("docid", "rep").join(copies, "rep").select("cluster", "docid", "start", "end")
 
 
 def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df: int = 100, gap: int = 200, floating: bool = True, beam: int = 20, min_align: int = 50, pcopy: float = 0.8) -> DataFrame:
