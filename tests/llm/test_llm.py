@@ -123,6 +123,16 @@ def test_disclosing_terms(spark):
     assert sanitise.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_hide_no_term(spark):
+    """One document of an entity stands there a hundred times: its terms disclose as much as without the copies."""
+    rnd = random.Random(2)
+    docs = [(i, prose(60, rnd) + (f" falconer writes to secret.one@x.example.com {prose(5, rnd)}" if i % 120 == 0 else "")) for i in range(600)]
+    docs += [(1000 + i, docs[120][1]) for i in range(100)]
+    rows = {r.doc_id: r for r in sanitise.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not any("falconer" in rows[i].sanitised for i in (0, 120, 240, 1000, 1099))
+    assert all(rows[i].sanitised == t for i, t in docs if i < 1000 and i % 120)
+
+
 def test_bpe(spark, odd):
     tokenizers = pytest.importorskip("tokenizers")
     P = pytest.importorskip("public_tokenizers")

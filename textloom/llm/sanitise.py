@@ -5,13 +5,13 @@ values are the protected entities. A term that stands in the documents of an
 entity and hardly anywhere else tells a reader that entity even where the value
 itself is gone. For an entity e and a term t, over all documents,
 
-    P(e | t) = n(t, e) / df(t),    bits(t -> e) = log2(P(e | t) * N / df(e)).
+    P(e | t) = n(t, e) / n(t),    bits(t -> e) = log2(P(e | t) * N / n(e)).
 
 A term discloses e if P(e | t) >= GENERALISE, bits >= BITS and n(t, e) >= SUPPORT;
 in every document of e it is then generalised, or removed from P >= REMOVE.
 
-Copies of one text are no evidence. n(t, e) and the support of an entity are
-therefore counted in distinct contexts: four independent minimum shingles of
+Copies of one text are no evidence, for or against. n(t, e), n(t), n(e) and N are
+therefore all counted in distinct contexts: four independent minimum shingles of
 each document are taken, and the least of the four numbers of distinct values
 counts. Near copies share these minima with a chance equal to their similarity.
 """
@@ -121,6 +121,69 @@ def _terms_of(iterator):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(term))], ["doc_id", "term"])
 
 
+def _term_hashes(column: pa.Array):
+    """(terms, context minima) of each text: distinct hashes of all its terms."""
+    for lo, hi in K.batches(column):
+        data, offs = K.flat(column.slice(lo, hi - lo))
+        term, _, _, of_term = K.words(data, offs, lower=True, space=K.NOT_TERM)
+        word, _, _, of_word = K.words(data, offs, lower=True)
+        for i in range(hi - lo):
+            yield np.unique(term[of_term[i] : of_term[i + 1]]), _contexts(word[of_word[i] : of_word[i + 1]])
+
+
+def _all_contexts(iterator):
+    """The context minima of every document."""
+    for batch in iterator:
+        keys = []
+        for lo, hi in K.batches(batch.column(1)):
+            data, offs = K.flat(batch.column(1).slice(lo, hi - lo))
+            h, _, _, at = K.words(data, offs, lower=True)
+            keys += [_contexts(h[a:b]) for a, b in zip(at, at[1:])]
+        yield _rows(np.array(keys, np.int64).reshape(-1, len(_MIN)).T)
+
+
+def _rows(keys, **first):
+    return pa.RecordBatch.from_arrays([*map(pa.array, first.values()), *(pa.array(k, pa.int64()) for k in keys)], [*first, *(f"c{i}" for i in range(len(_MIN)))])
+
+
+def _by_term(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(term, context minima) of each text and term, sorted by term."""
+    found = list(_term_hashes(column))
+    size = [len(t) for t, _ in found]
+    term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.uint64)
+    keys = np.repeat(np.array([c for _, c in found], np.int64).reshape(-1, len(_MIN)), size, axis=0)
+    order = np.argsort(term, kind="stable")
+    return term[order], keys[order].T
+
+
+def _contexts_at_least(iterator):
+    """(term, its distinct contexts in one batch): the least of the four numbers, below that of all batches."""
+    for batch in iterator:
+        term, keys = _by_term(batch.column(1))
+        edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(term)]))
+        low = np.full(len(edge), len(term))
+        for k in keys:
+            order = np.lexsort((k, owner))
+            new = np.r_[True, (k[order][1:] != k[order][:-1]) | (owner[1:] != owner[:-1])] if len(term) else np.zeros(0, bool)
+            low = np.minimum(low, np.bincount(owner[new], minlength=len(edge)))
+        yield pa.RecordBatch.from_arrays([pa.array(term[edge].view(np.int64)), pa.array(low, pa.int64())], ["term", "low"])
+
+
+def _term_contexts(iterator):
+    """(term, context minima), each once a batch: repeats add nothing to a number of distinct values."""
+    for batch in iterator:
+        term, keys = _by_term(batch.column(1))
+        order = np.lexsort((*keys, term))
+        same = np.ones(max(0, len(term) - 1), bool)
+        for x in (term, *keys):
+            same &= x[order][1:] == x[order][:-1]
+        keep = order[np.r_[True, ~same]] if len(term) else order
+        for lo in range(0, len(keep), 100_000):
+            some = keep[lo : lo + 100_000]
+            yield _rows([k[some] for k in keys], term=term[some].view(np.int64))
+
+
 def _spanned(iterator, sanitised: bool):
     kind_at = {k: i for i, k in enumerate((*KINDS, "term", "gone"))}
     for batch in iterator:
@@ -154,19 +217,22 @@ def disclosing_terms(docs: DataFrame, *, generalise: float = GENERALISE, remove:
     """doc_id, told array<struct<term, kind>>: hashes of the terms to hide in documents(doc_id, text); kind is term or gone."""
     found = written(docs.mapInArrow(_entities, "doc_id long, entities array<string>, c0 long, c1 long, c2 long, c3 long"), "entities")
     each = found.select("doc_id", F.explode("entities").alias("entity"), "c0", "c1", "c2", "c3")
-    apart = [F.count_distinct(f"c{i}") for i in range(4)]
-    known = each.groupBy("entity").agg(F.least(*apart).alias("n"), F.count_distinct("doc_id").alias("df_e")).where(F.col("n") >= support).select("entity", "df_e")
+    apart = F.least(*[F.count_distinct(f"c{i}") for i in range(4)])
+    known = each.groupBy("entity").agg(apart.alias("n_e")).where(F.col("n_e") >= support)
     holders = written(each.join(known, "entity"), "holders")
     ids = written(holders.select("doc_id").distinct(), "ids")
     terms = docs.join(few(ids), "doc_id", "left_semi").mapInArrow(_terms_of, "doc_id long, term long")
     pairs = holders.join(terms, "doc_id")
-    pairs = pairs.groupBy("entity", "df_e", "term").agg(F.least(*apart).alias("n")).where(F.col("n") >= support)
-    pairs = written(pairs, "pairs")
-    wanted = written(pairs.select("term").distinct(), "terms")
-    counts = docs.mapInArrow(lambda it: K.term_counts(it, 1), "term long, df long")
-    df = counts.join(few(wanted), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    total = docs.count()
-    told = pairs.join(df, "term").withColumn("p", F.col("n") / F.col("df")).where((F.col("p") >= generalise) & (F.log2(F.col("p") * total / F.col("df_e")) >= bits))
+    pairs = written(pairs.groupBy("entity", "n_e", "term").agg(apart.alias("n")).where(F.col("n") >= support), "pairs")
+    # a term with more contexts in one batch than n / generalise has more in all: only the others are counted in full
+    most = pairs.groupBy("term").agg(F.max("n").alias("most"))
+    low = docs.mapInArrow(_contexts_at_least, "term long, low long").groupBy("term").agg(F.max("low").alias("low"))
+    wanted = most.join(low, "term").where(F.col("most") >= generalise * F.col("low")).select("term")
+    wanted = written(wanted, "terms")
+    rows = docs.mapInArrow(_term_contexts, "term long, c0 long, c1 long, c2 long, c3 long").join(few(wanted), "term", "left_semi")
+    df = rows.groupBy("term").agg(apart.alias("df"))
+    total = docs.mapInArrow(_all_contexts, "c0 long, c1 long, c2 long, c3 long").agg(apart).first()[0]
+    told = pairs.join(df, "term").withColumn("p", F.col("n") / F.col("df")).where((F.col("p") >= generalise) & (F.log2(F.col("p") * total / F.col("n_e")) >= bits))
     told = holders.select("entity", "doc_id").join(told, "entity").groupBy("doc_id", "term").agg(F.when(F.max("p") >= remove, "gone").otherwise("term").alias("kind"))
     return told.groupBy("doc_id").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
 
