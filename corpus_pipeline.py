@@ -16,38 +16,63 @@ from textloom.llm.shared import few, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a written key of its own for each row (_row); ids may be null or repeat."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts."""
+    """Documents that the rule ensemble accepts, each row by its own text.
+
+    Rows without an id teach nothing and are judged; rows of one id are judged each.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = quality.score(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(few(written(good, "good")), "doc_id", "left_semi").select(*COLUMNS)
+    rows = _keyed(docs)
+    good = quality.score(rows, labels, row_col="_row").where("predicted = 1").select("_row")
+    return rows.join(few(written(good, "good")), "_row", "left_semi").select(*COLUMNS)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs, k=5, per_cent=80).where("kept").select("doc_id").distinct()
-    return docs.join(few(written(kept, "kept")), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Every row is a document of its own, whatever its id: rows of one id stay if
+    their texts differ. The smallest id of a group stays, null ids last.
+    """
+    rows = _keyed(docs)
+    groups = near_dedup.near_duplicates(rows, k=5, per_cent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = groups.groupBy("component_id").agg(first.alias("m")).select(F.col("m._row").alias("_row"))
+    return rows.join(few(written(kept, "kept")), "_row", "left_semi").select(*COLUMNS)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced and the terms that disclose it generalised or removed."""
-    clean = sanitise.sanitise(docs).where(F.size("spans") > 0).select("doc_id", "sanitised")
+    """Texts with personal data replaced and the terms that disclose it generalised or removed.
+
+    Every row comes out once with its own text, also where ids are null or repeat.
+    """
+    rows = _keyed(docs)
+    clean = sanitise.sanitise(rows, id_col="_row").where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "sanitised")
     clean = written(clean, "clean")  # only the texts that change
-    changed = docs.join(clean, "doc_id").withColumn("text", F.col("sanitised")).drop("sanitised")
+    changed = rows.join(clean, "_row").withColumn("text", F.col("sanitised")).drop("sanitised")
     changed = changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-    return docs.join(few(clean.select("doc_id")), "doc_id", "left_anti").select(*COLUMNS).unionByName(changed)
+    return rows.join(few(clean.select("_row")), "_row", "left_anti").select(*COLUMNS).unionByName(changed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out as the mix takes them; whole documents only, rounded at the edge of a source."""
-    taken = mixing.mix(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = written(taken.where("_copies > 0").groupBy("doc_id").agg(F.max("_copies").alias("_copies")), "copies")
-    rows = docs.join(few(taken), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Documents repeated or left out as the mix takes them; whole documents only, rounded at the edge of a source.
+
+    Every row is a document of its own, also where ids are null or repeat.
+    """
+    rows = _keyed(docs)
+    taken = mixing.mix(rows, id_col="_row").where("size > 0").select(F.col("doc_id").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    taken = written(taken.where("_copies > 0"), "copies")
+    rows = rows.join(few(taken), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that the mix took."""
+    """Token ids of each document that the mix took, row by row; ids may be null or repeat."""
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), contracts._tokenizer())
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

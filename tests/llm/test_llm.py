@@ -234,3 +234,22 @@ def test_pipeline_columns(spark, odd, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixing", "tokens"]
     assert {"doc_id", "ids"} <= set(pipeline.run(spark, str(tmp_path)).columns)
+
+
+def test_pipeline_rows_without_or_with_equal_ids(spark, tmp_path):
+    """Rows of null or repeated ids pass every stage as documents of their own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(6)
+    mail = "write to a.b@example.com now " + prose(30, rnd)
+    texts = [(None, mail), (None, prose(40, rnd)), (7, prose(40, rnd)), (7, prose(40, rnd) + " c.d@example.com"), (8, mail), (8, mail)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = lambda stage, d=docs: sorted(((r.doc_id or 0, r.text) for r in stage(spark, d, str(tmp_path)).collect()))
+    rows = sorted((i or 0, t) for i, t in texts)
+    assert run(pipeline.keep_quality) == rows  # no labels: every score is 0.5
+    assert run(pipeline.keep_one_of_near_duplicates) == sorted([(0, texts[1][1]), (7, texts[2][1]), (7, texts[3][1]), (8, mail)])
+    clean = lambda t: t.replace("a.b@example.com", "[EMAIL]").replace("c.d@example.com", "[EMAIL]")
+    assert run(pipeline.hide_personal_data) == sorted((i, clean(t)) for i, t in rows)
+    mixed = run(pipeline.mix_sources)
+    assert set(mixed) <= set(rows) and {0, 7, 8} <= {i for i, _ in mixed}
+    assert pipeline.encode_tokens(spark, docs, str(tmp_path)).count() == 6

@@ -121,8 +121,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = S.NAMES, penalty:
     return RuleModel(b, [(tuple((names[j], op, cut) for j, op, cut in r), float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6])
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", hold_out: tuple[int, int] = (5, 0), sample: int = SAMPLE, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every document.
+def score(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", hold_out: tuple[int, int] = (5, 0), sample: int = SAMPLE, accept: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, and row_col if it is named.
 
     Labels are learned only from rows whose crc32(id) mod hold_out[0] is not
     hold_out[1], at most `sample` of them. A score uses statistics of the whole
@@ -130,10 +130,11 @@ def score(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", hol
     those. Unlabelled and null labels teach nothing; without labels every score
     is 0.5. Repeated rows are scored each; an empty table gives an empty result.
     """
-    stats = written(S.statistics(texts(docs, id_col=id_col, text_col=text_col)), "statistics")
+    more = [row_col] if row_col else []
+    stats = written(S.statistics(texts(docs, *more, id_col=id_col, text_col=text_col)), "statistics")
     held = crc_mod(F.col("doc_id"), hold_out[0]) == hold_out[1]
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null").where(~held)
     rows = stats.join(told, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample).toPandas()
     model = fit(rows[list(S.NAMES)].to_numpy(float), rows["_label"].to_numpy(float))
-    scored = stats.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score"))
+    scored = stats.select("doc_id", *more, F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))

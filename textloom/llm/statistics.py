@@ -81,9 +81,11 @@ def measure(column: pa.Array) -> np.ndarray:
 def _measured(iterator):
     for batch in iterator:
         x = measure(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", *NAMES])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1])), *(batch.column(c) for c in range(2, 2 + len(more)))], ["doc_id", *NAMES, *more])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of documents(doc_id, text)."""
-    return docs.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{n} double" for n in NAMES))
+    """doc_id and the statistics of documents(doc_id, text, ...); further columns stay beside them."""
+    more = "".join(f", {n} {kind}" for n, kind in docs.dtypes[2:])
+    return docs.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{n} double" for n in NAMES) + more)
