@@ -261,12 +261,20 @@ def seed_and_extend(s, d):
 # --- similarity and word graph
 
 
-def _nodes(s, d):
-    """Frequent words of four letters or more, numbered by word (a rank without one global sort: words are ids' order)."""
-    words = vocab.totals(_vocab(s, d)).where("globfreq >= 50 and length(word) >= 4").select("word")
+def _forms(s, d):
+    """Every word form of the vocabulary, numbered like _nodes."""
+    return _numbered(vocab.totals(_vocab(s, d)).select("word"))
+
+
+def _numbered(words):
     return words.select(F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 14), 16, 10).cast("long").alias("id"), F.col("word").alias("form"))
 
 
+def _nodes(s, d):
+    """The nodes of the graph_* queries, whose SQL has the same filter: frequent words of four letters or more, numbered by word (a rank without one global sort: words are ids' order)."""
+    return _numbered(vocab.totals(_vocab(s, d)).where("globfreq >= 50 and length(word) >= 4").select("word"))
+
+
 def _edges(s, d):
     """A rule that SQL can express as well: words of equal first four letters, weight by length."""
     n = _nodes(s, d)
@@ -312,24 +320,24 @@ def graph_components(s, d):
 
 @query()
 def word_edges(s, d):
-    return similarity.word_edges(_nodes(s, d))
+    return similarity.word_edges(_forms(s, d))
 
 
 @query()
 def word_similarity(s, d):
-    n = _nodes(s, d).select("form")
+    n = _forms(s, d).select("form")
     return similarity.similarity(n.select(F.col("form").alias("x"), F.reverse("form").alias("y")))
 
 
 @query()
 def word_communities(s, d):
-    n = _nodes(s, d)
+    n = _forms(s, d)
     return wordgraph.communities(n, similarity.word_edges(n))
 
 
 @query()
 def pseudo_lemmas(s, d):
-    n = _nodes(s, d)
+    n = _forms(s, d)
     return wordgraph.train(n, similarity.word_edges(n))[1]
 
 
