@@ -14,3 +14,9 @@ def test_rare_and_short_forms_are_nodes(spark, tmp_path):
     assert {r.x for r in catalogue.QUERIES["word_similarity"](spark, d).collect()} == {"vnd", "und", "koninck", "coninck"}
     lemmas = {r.form: r.lemma for r in catalogue.QUERIES["pseudo_lemmas"](spark, d).collect()}
     assert lemmas["vnd"] == lemmas["und"] and lemmas["koninck"] == lemmas["coninck"]
+
+
+def test_texts_without_insertions_stay(spark, tmp_path):
+    d = documents(spark, tmp_path, ["no  insertion", "one (two) three"])
+    got = sorted((r.doc_id, r.text) for r in catalogue.QUERIES["insertions"](spark, d).collect())
+    assert got == [(0, "no  insertion"), (1, "one three"), (1, "one two three"), (1, "two")]

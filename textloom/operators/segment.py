@@ -52,6 +52,7 @@ def expand_insertions(segments: DataFrame) -> DataFrame:
     inner = F.regexp_extract_all("text", F.lit("#INSTART#(.*?)#INEND#"), F.lit(1))
     whole = F.regexp_replace("text", "#INSTART#|#INEND#", "")
     without = F.regexp_replace(F.regexp_replace("text", "#INSTART#.*?#INEND#", ""), r"\s+", " ")
+    without = F.when(F.contains("text", F.lit("#INSTART#")), without).otherwise(whole)
     every = F.array_distinct(F.concat(inner, F.array(whole, without)))
     return segments.withColumn("text", F.explode(F.filter(F.transform(every, lambda s: F.trim(s)), lambda s: s != "")))
 

@@ -211,7 +211,7 @@ def full_text(s, d):
 
 @query()
 def insertions(s, d):
-    return segment.expand_insertions(table(s, d, "documents").where(F.contains("text", F.lit("("))).select("doc_id", clean.mark_boundaries(F.col("text")).alias("text")))
+    return segment.expand_insertions(table(s, d, "documents").select("doc_id", clean.mark_boundaries(F.col("text")).alias("text")))
 
 
 # --- detection
