@@ -171,6 +171,12 @@ def test_language(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
 
 
+def test_too_many_languages_are_an_error(spark):
+    rows = [(i, "some text", f"l{i}") for i in range(300)]
+    with pytest.raises(ValueError, match="200 values"):
+        language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_imatch(spark, odd):
     rows = sorted(((r.doc_id, r) for r in imatch.fingerprint_documents(odd).collect()), key=lambda x: x[0])
     texts = [t or "" for _, t in ODD]

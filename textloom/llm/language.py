@@ -19,6 +19,8 @@ from textloom.llm.shared import crc_mod, texts
 
 #: Training rows for each language at most (about; chosen by a hash of the id), and for all of them.
 SAMPLE, SAMPLE_ALL = 1500, 12_000
+#: Most distinct values of the language column; more is an error.
+VALUES = 200
 WIDTH = 2048
 #: Families of common language codes. Others join the family whose profile is nearest.
 FAMILIES = {
@@ -162,7 +164,9 @@ def identify(docs: DataFrame, *, hold_out: tuple[int, int] = (4, 2), sample: int
     """doc_id, held_out, lang_pred, score of every document.
 
     Learned from text and non-null language of rows whose crc32(id) mod
-    hold_out[0] is not hold_out[1]; a bounded sample of each language is fitted.
+    hold_out[0] is not hold_out[1]; of each of n languages about the lesser of
+    `sample` and SAMPLE_ALL / n rows is fitted. More than VALUES languages among
+    these rows are an error.
     Predictions use the whole text alone. Null and empty texts, and texts without
     a letter, give und and score 0, as does a table without training rows.
     Repeated rows are predicted each; an empty table gives an empty result.
@@ -170,7 +174,9 @@ def identify(docs: DataFrame, *, hold_out: tuple[int, int] = (4, 2), sample: int
     rows = texts(docs, F.col(lang_col).cast("string").alias("lang"), id_col=id_col, text_col=text_col)
     held = F.coalesce(crc_mod(F.col("doc_id"), hold_out[0]) == hold_out[1], F.lit(False))
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~held)
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(VALUES + 1).collect()
+    if len(counts) > VALUES:
+        raise ValueError(f"more than {VALUES} values of {lang_col}: none may be left unlearned")
     quota = min(sample, SAMPLE_ALL // max(1, len(counts)))
     model = None
     if counts:
