@@ -263,7 +263,7 @@ def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df:
 
 
 def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, in_docs: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
-    """T5: (a, b, start_a, end_a, start_b, end_b, hits, banal): positions are token numbers; passages closer than half their length merge."""
+    """T5 without its matching-window rule: (a, b, start_a, end_a, start_b, end_b, hits, banal): positions are token numbers; passages closer than half their length merge."""
     grams = word_grams(docs, ngram, gap, word_order)
     df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df"))
     edge = df.approxQuantile("df", [1 - common], 0.001)

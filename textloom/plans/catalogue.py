@@ -258,7 +258,7 @@ def seed_and_extend(s, d):
     return detect.seed_and_extend(_series(s, d), word_size=7, min_length=15)
 
 
-# --- similarity and word graph
+# --- similarity and word graph (N1-N7, L1-L20 without L14)
 
 
 def _forms(s, d):
