@@ -17,9 +17,11 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all nodes see: spark.checkpoint.dir. Only in local mode a temporary one stands in for it."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         known = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -69,6 +71,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def distinct_ids(df: DataFrame, column: str) -> bool:
+    """Whether no value of an id column is null or repeats."""
+    n, known, apart = df.agg(F.count("*"), F.count(column), F.count_distinct(column)).first()
+    return n == known == apart
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """documents(doc_id, text, ...) with a long column key, unique for each row, and whether it differs from doc_id.
+
+    The key is the id itself where ids are unique and not null; elsewhere rows are
+    written with a number of their own, so that each stays a document of its own.
+    """
+    if distinct_ids(docs, "doc_id"):
+        return docs.withColumn("key", F.col("doc_id")), False
+    return written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed"), True
+
+
 def crc_mod(id_col: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo."""
     return F.crc32(id_col.cast("long").cast("string").cast("binary")) % F.lit(modulus)
