@@ -9,10 +9,12 @@
    of the similarity (uniform prior, Beta) decides: if the chance that it
    reaches the threshold is below MISS, the pair is dropped.
 4. Survivors are verified on their full shingle sets.
-5. Where a bucket still spans several components, the members outside the
+5. Where a bucket still spans several components, the members outside its
    largest one are compared with all members of the others, so that no link is
-   lost because it avoids the pivot. These documents are dealt into blocks and
-   meet block by block inside tasks, so the pairs never become rows.
+   lost because it avoids the pivot. Only signatures travel for that, bucket by
+   bucket; a bucket beyond BLOCK members is dealt into blocks that meet in
+   pairs. The texts of the pairs that the posterior leaves are then verified in
+   blocks of bounded size: a text is sent once for each block it has a pair in.
 
 With 50 bands of 6 rows a pair at similarity 0.8 escapes every band with
 probability (1 - 0.8**6)**50 < 3e-7.
@@ -29,15 +31,17 @@ from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
 from textloom.llm.components import components
-from textloom.llm.shared import few, texts, written
+from textloom.llm.shared import few, keyed, texts, written
 
 BANDS, ROWS = 50, 6
 #: A pair is pruned when its posterior chance of reaching the threshold is below this.
 MISS = 1e-6
 #: Signature positions compared between two looks at the posterior.
 LOOK = 60
-#: Documents in a block of the second comparison (two blocks meet in a task).
-BLOCK = 1000
+#: Signatures in a block of a large bucket in the second comparison (two blocks meet in a task).
+BLOCK = 4096
+#: Bytes of shingle hashes in a block of verified texts, and of a pivot's candidates in one task.
+VERIFY_BYTES = 4 << 20
 
 _MULT = np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = K._Q
@@ -82,7 +86,7 @@ def _signed(iterator, k: int):
             k1.append(int((K.mix(s)).sum(dtype=np.uint64).astype(np.int64)))
             k2.append(int((K.mix(s ^ K.U64(0xA5A5A5A5A5A5A5A5))).sum(dtype=np.uint64).astype(np.int64)))
             sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], ["key", "n_shingles", "k1", "k2", "sig"])
 
 
 def _banded(iterator):
@@ -155,67 +159,81 @@ def _links(rows: pa.Table, x: np.ndarray, y: np.ndarray, k: int, per_cent: int,
     return x[good], y[good]
 
 
-def _by_key(iterator, *keys: str):
-    """Tables of the rows of one key each, from a partition sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in iterator:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        for lo, hi in zip(np.r_[0, change], np.r_[change, batch.num_rows]):
-            key = tuple(c[lo] for c in cols)
-            if held and key != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _out(pairs):
     ids = [pa.array(np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64), pa.int64()) for i in (0, 1)]
     return pa.RecordBatch.from_arrays(ids, ["a", "b"])
 
 
+def _runs(iterator, *keys: str):
+    """(key, rows) of each run of equal keys within a batch, from a partition sorted by the keys."""
+    for batch in iterator:
+        if batch.num_rows:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for lo, hi in zip(np.r_[0, change], np.r_[change, batch.num_rows]):
+                yield tuple(int(c[lo]) for c in cols), batch.slice(lo, hi - lo)
+
+
 def _starred(iterator, k: int, per_cent: int, miss: float):
-    """Each key holds a pivot (first) and some of its candidates."""
-    found = []
-    for rows in _by_key(iterator, "pivot", "salt"):
-        ids = rows.column("id").to_numpy()
-        x, y = _links(rows, np.zeros(len(ids) - 1, np.int64), np.arange(1, len(ids)), k, per_cent, miss)
-        found.append((ids[x], ids[y]))
+    """Each key holds a pivot (first) and then its candidates, which pass by in batches."""
+    now, head, found = None, None, []
+    for key, rows in _runs(iterator, "pivot", "salt"):
+        if key != now:
+            now, head, rows = key, rows.slice(0, 1), rows.slice(1)
+        if rows.num_rows:
+            table = pa.Table.from_batches([head, rows])
+            ids = table.column("id").to_numpy()
+            x, y = _links(table, np.zeros(len(ids) - 1, np.int64), np.arange(1, len(ids)), k, per_cent, miss)
+            found.append((ids[x], ids[y]))
     yield _out(found)
 
 
-def _crossed(iterator, blocks: int, k: int, per_cent: int, miss: float):
-    """Each key holds the documents of two blocks; pairs of different components in one bucket are compared."""
-    found = []
-    for rows in _by_key(iterator, "lo", "hi"):
-        ids, comp, block, rest = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "block", "rest"))
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        keys = np.concatenate([band_keys(np.frombuffer(s, np.uint16)) for s in rows.column("sig").to_pylist()])
-        who = np.repeat(np.arange(len(ids)), BANDS)
-        order = np.argsort(keys, kind="stable")
-        keys, who = keys[order], who[order]
-        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        pairs, limit = [np.zeros(0, np.int64)], 1 << 19
-        for a, b in zip(edge, edge[1:]):
-            m = who[a:b]
-            r = m[rest[m]] if b - a > 1 else m[:0]
-            step = max(1, (1 << 17) // (b - a))
-            for at in range(0, len(r), step):
-                i, j = np.repeat(r[at : at + step], len(m)), np.tile(m, len(r[at : at + step]))
-                mine = (comp[i] != comp[j]) & (np.minimum(block[i], block[j]) == lo) & (np.maximum(block[i], block[j]) == hi)
-                pairs.append(np.minimum(i, j)[mine] * len(ids) + np.maximum(i, j)[mine])
-                if sum(map(len, pairs)) > limit:
-                    pairs = [np.unique(np.concatenate(pairs))]
-                    limit = max(limit, 2 * len(pairs[0]))
-        every = np.unique(np.concatenate(pairs))
-        x, y = _links(rows, every // len(ids), every % len(ids), k, per_cent, miss)
-        found.append((ids[x], ids[y]))
+def _screened(iterator, per_cent: int, miss: float):
+    """Each key holds signatures of one or two blocks of a bucket; out come the pairs that may be links."""
+    now, held = None, []
+
+    def pairs(left: int, right: int):
+        rows = pa.Table.from_batches(held)
+        ids, comp, block, n = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        i, j = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        step = max(1, (1 << 18) // max(1, len(j)))
+        for at in range(0, len(i), step):
+            x, y = np.repeat(i[at : at + step], len(j)), np.tile(j, len(i[at : at + step]))
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y]))
+            if left == right:
+                ok &= x < y
+            x, y = x[ok], y[ok]
+            alive = _plausible(sigs, x, y, per_cent / 100, miss)
+            if len(alive):
+                a, b = ids[x[alive]], ids[y[alive]]
+                yield _out([(np.minimum(a, b), np.maximum(a, b))])
+
+    for key, rows in _runs(iterator, "band", "left", "right"):
+        if key != now and held:
+            yield from pairs(*now[1:])
+            held = []
+        now = key
+        held.append(rows)
+    if held:
+        yield from pairs(*now[1:])
+
+
+def _verified(iterator, k: int, per_cent: int):
+    """Each key holds the texts of one or two blocks (role 0) and then pairs of them (role 1)."""
+    now, sets, found = None, {}, []
+    for (lo, hi, role), rows in _runs(iterator, "lo", "hi", "role"):
+        if (lo, hi) != now:
+            now, sets = (lo, hi), {}
+        a = rows.column(rows.schema.get_field_index("a")).to_numpy()
+        if not role:
+            sets.update(zip(a.tolist(), shingle_sets(rows.column(rows.schema.get_field_index("text")), k)))
+            continue
+        b = rows.column(rows.schema.get_field_index("b")).to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        good = _holding(sets, a, b, per_cent)
+        found.append((a[good], b[good]))
     yield _out(found)
 
 
@@ -225,59 +243,93 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, miss: fl
     Two documents are linked when 100 * |A & B| >= per_cent * |A | B| for their
     sets of distinct k-word shingles. class_id is the smallest id with the same
     set, component_id the smallest id reachable over links, kept marks the
-    document of that id. A null, empty or wordless text has an empty set, is
-    linked with nothing and is kept. Repeated rows of one id count as one
-    document; an empty table gives an empty result; null ids are left out.
+    documents of that id. A null, empty or wordless text has an empty set, is
+    linked with nothing and is kept. Rows whose ids are null or repeat are
+    documents of their own: each comes out once with its own set, and two rows
+    of one id are in one component only if links join them. A null id counts as
+    larger than all others; of a component without any id one row is kept. An
+    empty table gives an empty result; other columns of docs are not read.
     """
-    source = texts(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
-    signed = written(source.mapInArrow(lambda it: _signed(it, k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "signed")
+    source, numbered = keyed(texts(docs, id_col=id_col, text_col=text_col))
+    out = _linked(source.select("key", "text"), k, per_cent, miss)
+    if not numbered:
+        return out.select(F.col("key").alias("doc_id"), "n_shingles", "class_id", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+    out = written(out.join(source.select("key", "doc_id"), "key"), "linked")
+    least = out.groupBy("component_id").agg(F.min("doc_id").alias("component"), F.min("key").alias("first"))
+    same = out.groupBy("class_id").agg(F.min("doc_id").alias("class"))
+    out = out.join(least, "component_id").join(same, "class_id")
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull() & (F.col("key") == F.col("first")))
+    return out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def _linked(source: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame:
+    """key, n_shingles, class_id, component_id of documents(key, text) with distinct keys; the last two are keys."""
+    signed = written(source.mapInArrow(lambda it: _signed(it, k), "key long, n_shingles long, k1 long, k2 long, sig binary"), "signed")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    member = written(full.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "class_id").distinct(), "member")
-    reps = full.select("doc_id", "n_shingles", "sig").join(member.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "reps")
+    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("key").alias("class_id"))
+    member = written(full.select("key", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"]).select("key", "class_id"), "member")
+    reps = full.select("key", "n_shingles", "sig").join(member.where("key = class_id").select("key"), "key", "left_semi")
+    reps = written(reps.select(F.col("key").alias("id"), F.col("n_shingles").alias("n"), "sig"), "reps")
 
     banded = reps.mapInArrow(_banded, "id long, n long, band long")
     pivots = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
     buckets = written(banded.join(pivots, "band").select("band", "size", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
-    pairs = buckets.where("id <> pivot").where(100 * F.least("n", "pn") >= per_cent * F.greatest("n", "pn")).select("id", "pivot").distinct()
+    pairs = buckets.where("id <> pivot").where(100 * F.least("n", "pn") >= per_cent * F.greatest("n", "pn")).groupBy("id", "pivot").agg(F.first("n").alias("n"))
     pairs = written(pairs, "pairs")
-    # a pivot with many candidates is repeated, once for each thousand of them
-    salts = pairs.groupBy("pivot").agg(F.expr("cast(ceil(count(*) / 1000) as int)").alias("salts"))
+    # a pivot with many candidates is repeated, once for each VERIFY_BYTES of them
+    salts = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") * 8 / VERIFY_BYTES).cast("int").alias("salts"))
     members = pairs.join(salts, "pivot").select("pivot", F.expr("cast(pmod(xxhash64(id), salts) as int)").alias("salt"), "id", F.lit(1).alias("role"))
     heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("id"), F.lit(0).alias("role"))
-    rows = _with_texts(members.union(heads), pairs.select("id").union(pairs.select("pivot")), reps, source)
-    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    needed = _texts_of(pairs.select("id").union(pairs.select("pivot")), source).join(reps, "id")
+    rows = members.union(heads).join(needed, "id").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     links = written(rows.mapInArrow(lambda it: _starred(it, k, per_cent, miss), "a long, b long"), "links")
 
     labels = components(links)
-    # members of buckets that span several components; a bucket of two has been compared
+    more = _beyond_pivots(buckets, labels, reps, source, k, per_cent, miss)
+    if more is not None:
+        labels = components(links.union(more))
+    out = signed.select("key", "n_shingles").join(member, "key", "left").withColumn("class_id", F.coalesce("class_id", "key"))
+    out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    return out.select("key", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def _beyond_pivots(buckets: DataFrame, labels: DataFrame, reps: DataFrame, source: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame | None:
+    """Links between members of one bucket that the pivots have left in different components."""
+    # a bucket of two has been compared
     seen = buckets.where("size > 2").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     open_ = seen.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     part = written(seen.join(open_, "band"), "open")
-    n_open = part.select("id").distinct().count()
-    if n_open:
-        blocks = -(-n_open // BLOCK)
-        sizes = part.groupBy("band", "component").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("band").agg(F.max(F.struct("c", "component")).alias("m")).select("band", F.col("m.component").alias("main"))
-        part = part.join(main, "band").withColumn("rest", F.col("component") != F.col("main")).withColumn("block", F.expr(f"cast(pmod(xxhash64(id), {blocks}) as int)"))
-        reach = part.groupBy("band").agg(F.collect_set(F.when(F.col("rest"), F.col("block"))).alias("rests"), F.collect_set("block").alias("all"))
-        # the blocks that a document must meet, united over its buckets before they become rows
-        meets = part.join(reach, "band").withColumn("with", F.when(F.col("rest"), F.col("all")).otherwise(F.col("rests")))
-        meets = meets.groupBy("id", "component", "block").agg(F.max("rest").alias("rest"), F.array_distinct(F.flatten(F.collect_set("with"))).alias("with"))
-        keyed = meets.select("id", "component", "block", "rest", F.explode("with").alias("with"))
-        keyed = keyed.select("id", "component", "block", "rest", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-        rows = _with_texts(written(keyed, "keyed"), part.select("id"), reps, source).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "id")
-        more = rows.mapInArrow(lambda it: _crossed(it, blocks, k, per_cent, miss), "a long, b long")
-        labels = components(links.union(written(more, "links")))
-    out = signed.select("doc_id", "n_shingles").distinct().join(member.select("doc_id", "class_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    sizes = part.groupBy("band", "component").agg(F.count("*").alias("c"))
+    size = sizes.groupBy("band").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("c"))
+    size = size.select("band", F.col("m.component").alias("main"), F.ceil((F.col("c") - F.col("m.c")) / BLOCK).cast("int").alias("rests"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("mains"))
+    # blocks 0 .. rests-1 hold the members outside the main component and meet all blocks, the others meet those
+    part = part.join(size, "band").withColumn("rest", F.col("component") != F.col("main"))
+    part = part.withColumn("block", F.expr("cast(if(rest, pmod(xxhash64(id), rests), rests + pmod(xxhash64(id), mains)) as int)"))
+    part = part.withColumn("with", F.explode(F.expr("sequence(0, if(rest, rests + mains, rests) - 1)")))
+    part = part.select("band", "id", "component", "block", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
+    short = reps.select("id", "n", "sig").mapInArrow(_shortened, "id long, n long, sig binary")
+    rows = part.join(short, "id").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right", "id")
+    pairs = written(rows.mapInArrow(lambda it: _screened(it, per_cent, miss), "a long, b long").distinct(), "screened")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    volume = reps.join(ids, "id").agg(F.sum("n")).first()[0]
+    if volume is None:
+        return None
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-volume * 8 // VERIFY_BYTES))).cast("int")
+    placed = pairs.select("a", "b", F.least(of("a"), of("b")).alias("lo"), F.greatest(of("a"), of("b")).alias("hi"))
+    wanted = placed.select(F.col("a").alias("id"), "lo", "hi").union(placed.select("b", "lo", "hi")).distinct()
+    rows = wanted.join(_texts_of(ids, source), "id").select("lo", "hi", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.union(placed.select("lo", "hi", F.lit(1), "a", "b", F.lit(None).cast("string"))).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "role")
+    return written(rows.mapInArrow(lambda it: _verified(it, k, per_cent), "a long, b long"), "links")
+
+
+def _shortened(iterator):
+    """Signatures of 8 bits a position: agreements are counted too high at worst, so nothing is pruned that would stay."""
+    for batch in iterator:
+        short = [np.frombuffer(s, np.uint16).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.binary())], ["id", "n", "sig"])
 
 
-def _with_texts(keyed: DataFrame, ids: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
-    """keyed rows (with id) and the signature, size and whole text of each id."""
+def _texts_of(ids: DataFrame, source: DataFrame) -> DataFrame:
+    """(id, whole text) of the documents of ids(id)."""
     ids = written(ids.toDF("id").distinct(), "ids")
-    needed = source.withColumnRenamed("doc_id", "id").join(few(ids), "id", "left_semi").dropDuplicates(["id"])
-    return keyed.join(needed.join(reps, "id"), "id")
+    return source.withColumnRenamed("key", "id").join(few(ids), "id", "left_semi")
