@@ -148,7 +148,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     full = keyed.alias("a").join(few(plan_df, len(plan)).alias("b"), same).select("a.*", "full", "part", "source_size", "target", "edge", "before")
     inside = F.col("bin") == F.col("edge")
     rest = full.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    cut = full.where(inside).withColumn("upto", F.expr("sum(size) over (partition by sources order by key, doc_id rows between unbounded preceding and current row)"))
+    cut = full.where(inside).withColumn("upto", F.expr("sum(size) over (partition by sources order by key, doc_id, size rows between unbounded preceding and current row)"))
     cut = cut.withColumn("extra", F.expr("greatest(0L, least(size, part - before - (upto - size)))")).drop("upto")
     return rest.unionByName(cut).select("doc_id", "sources", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"))
 

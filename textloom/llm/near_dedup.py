@@ -273,6 +273,7 @@ def _linked(source: DataFrame, k: int, per_cent: int, miss: float) -> DataFrame:
 
     banded = reps.mapInArrow(_banded, "id long, n long, band long")
     pivots = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+    pivots = few(written(pivots, "pivots"))  # written first: Spark can split a hot band of a plain shuffle
     buckets = written(banded.join(pivots, "band").select("band", "size", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn")), "buckets")
     pairs = buckets.where("id <> pivot").where(100 * F.least("n", "pn") >= per_cent * F.greatest("n", "pn")).groupBy("id", "pivot").agg(F.first("n").alias("n"))
     pairs = written(pairs, "pairs")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
-from textloom.llm.shared import few, texts, written
+from textloom.llm.shared import few, keyed, texts, written
 
 LENGTH = 35
 MER = 12
@@ -80,7 +80,7 @@ def _paths(iterator, length: int, mer: int):
             data, offs = K.flat(part.column(1))
             h, _, _, at = K.words(data, offs)
             d, first, count, mini, spelled = paths(h, at, length, mer)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(spelled.view(np.int64))], ["doc_id", "first", "n", "mini", "path"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(spelled.view(np.int64))], ["key", "first", "n", "mini", "path"])
 
 
 def _windows(iterator, length: int):
@@ -140,32 +140,35 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, mer: int = MER, id_
     occurs at another start as well, in the same document or another one. All
     occurrences go; windows are judged on the input. Kept words are joined by
     one space. A null or empty text has no words and keeps an empty text; texts
-    of fewer than `length` words stay whole. Ids are expected to be unique and
-    not null; an empty table gives an empty result.
+    of fewer than `length` words stay whole. Rows whose ids are null or repeat are
+    documents of their own: what two of them share is repeated. An empty table
+    gives an empty result; other columns of docs are not read.
     """
     if not 1 <= length - mer + 1 <= 62:
         raise ValueError("length - mer + 1 must lie between 1 and 62")
-    source = texts(docs, id_col=id_col, text_col=text_col)
-    found = source.mapInArrow(lambda it: _paths(it, length, mer), "doc_id long, first int, n int, mini long, path long")
+    source, _ = keyed(texts(docs, id_col=id_col, text_col=text_col))
+    found = source.select("key", "text").mapInArrow(lambda it: _paths(it, length, mer), "key long, first int, n int, mini long, path long")
+    # counts are written before they are joined: a plain shuffle on both sides lets Spark split the rows of a hot minimiser
     count = found.groupBy("mini").agg(F.count("*").alias("c"), F.min("path").alias("lo"), F.max("path").alias("hi")).where("c > 1")
-    again = written(found.join(count.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "mini"), "paths")
+    count = written(count.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "minimisers")
+    again = written(found.join(few(count), "mini"), "paths")
 
-    branching = again.where("branches").groupBy("mini", "path").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "first", "n")).alias("at"))
+    branching = again.where("branches").groupBy("mini", "path").agg(F.count("*").alias("c"), F.min(F.struct("key", "first", "n")).alias("at"))
     branching = written(branching.select("mini", "path", "c", "at.*"), "branching")
-    want = branching.groupBy("doc_id").agg(F.collect_list(F.struct("mini", "path", "first", "n")).alias("want"))
-    ids = written(branching.select("doc_id").distinct(), "ids")
-    rows = source.join(few(ids), "doc_id", "left_semi").join(want, "doc_id").select("text", "want")
+    want = branching.groupBy("key").agg(F.collect_list(F.struct("mini", "path", "first", "n")).alias("want"))
+    ids = written(branching.select("key").distinct(), "ids")
+    rows = source.join(few(ids), "key", "left_semi").join(want, "key").select("text", "want")
     windows = rows.mapInArrow(lambda it: _windows(it, length), "mini long, path long, off int, window long")
     windows = written(windows, "windows")
-    twice = windows.groupBy("mini", "window").agg(F.count("*").alias("c")).where("c > 1").select("mini", "window")
-    masks = windows.join(twice, ["mini", "window"]).groupBy("mini", "path").agg(F.expr("bit_or(shiftleft(1L, off))").alias("some"))
-    masks = branching.select("mini", "path", "c").join(masks, ["mini", "path"], "left")
+    twice = written(windows.groupBy("mini", "window").agg(F.count("*").alias("c")).where("c > 1").select("mini", "window"), "twice")
+    masks = windows.join(few(twice), ["mini", "window"]).groupBy("mini", "path").agg(F.expr("bit_or(shiftleft(1L, off))").alias("some"))
+    masks = written(branching.select("mini", "path", "c").join(masks, ["mini", "path"], "left").where("c > 1 or some is not null"), "masks")
 
     full = F.expr("shiftleft(1L, n) - 1")
-    plain = again.where("not branches").select("doc_id", "first", full.alias("mask"))
-    split = again.where("branches").join(masks, ["mini", "path"]).select("doc_id", "first", F.when(F.col("c") > 1, full).otherwise(F.col("some")).alias("mask")).where("mask <> 0")
-    marks = plain.union(split).groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
-    marked = source.join(marks, "doc_id", "left")
+    plain = again.where("not branches").select("key", "first", full.alias("mask"))
+    split = again.where("branches").join(few(masks), ["mini", "path"]).select("key", "first", F.when(F.col("c") > 1, full).otherwise(F.col("some")).alias("mask"))
+    marks = plain.union(split).groupBy("key").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    marked = source.join(marks, "key", "left")
     return marked.select("doc_id", "text", "marks").mapInArrow(lambda it: _cut(it, length), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
