@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
-from textloom.llm.shared import few, texts, written
+from textloom.llm.shared import BROADCAST_ROWS, few, keyed, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE, BITS, SUPPORT = 0.6, 0.9, 6.0, 4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match can only begin where a run of digits does: the same matches, in linear time
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPANS = "array<struct<kind string, start int, end int>>"
@@ -95,40 +96,35 @@ def _entities(iterator):
                 ents.append(sorted({entity(k, t[a:b]) for k, a, b in spans}))
                 for k, v in zip(keys, _contexts(h)):
                     k.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ents, pa.list_(pa.string())), *(pa.array(k, pa.int64()) for k in keys)], ["doc_id", "entities", "c0", "c1", "c2", "c3"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ents, pa.list_(pa.string())), *(pa.array(k, pa.int64()) for k in keys)], ["key", "entities", "c0", "c1", "c2", "c3"])
 
 
 def _free_terms(text: str, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of the terms of a text that lie outside spans; byte positions."""
+    """(hash, first, end) of the terms of a text that lie outside spans; positions are code points."""
     raw = np.frombuffer(text.encode(), np.uint8)
     h, s, e, _ = K.words(raw, np.array([0, len(raw)]), lower=True, space=K.NOT_TERM)
-    ok = np.ones(len(h), bool)
+    if len(text) < len(raw):
+        point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        s, e = point[s], point[e]
+    cover = np.zeros(len(text) + 1, np.int64)
     for _, a, b in spans:
-        lo, hi = (len(text[:x].encode()) for x in (a, b))
-        ok &= (e <= lo) | (s >= hi)
+        cover[a] += 1
+        cover[b] -= 1
+    covered = np.r_[0, np.cumsum(np.cumsum(cover[:-1]) > 0)]
+    ok = covered[s] == covered[e]
     return h[ok], s[ok], e[ok]
 
 
 def _terms_of(iterator):
     for batch in iterator:
-        ids = batch.column(0).to_pylist()
+        keys = batch.column(0).to_pylist()
         owner, term = [], []
-        for i, t in zip(ids, batch.column(1).to_pylist()):
+        for i, t in zip(keys, batch.column(1).to_pylist()):
             h = np.unique(_free_terms(t, base_spans(t))[0])
             owner.append(np.full(len(h), i, np.int64))
             term.append(h.view(np.int64))
         if owner:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(term))], ["doc_id", "term"])
-
-
-def _term_hashes(column: pa.Array):
-    """(terms, context minima) of each text: distinct hashes of all its terms."""
-    for lo, hi in K.batches(column):
-        data, offs = K.flat(column.slice(lo, hi - lo))
-        term, _, _, of_term = K.words(data, offs, lower=True, space=K.NOT_TERM)
-        word, _, _, of_word = K.words(data, offs, lower=True)
-        for i in range(hi - lo):
-            yield np.unique(term[of_term[i] : of_term[i + 1]]), _contexts(word[of_word[i] : of_word[i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(term))], ["key", "term"])
 
 
 def _all_contexts(iterator):
@@ -146,42 +142,60 @@ def _rows(keys, **first):
     return pa.RecordBatch.from_arrays([*map(pa.array, first.values()), *(pa.array(k, pa.int64()) for k in keys)], [*first, *(f"c{i}" for i in range(len(_MIN)))])
 
 
-def _by_term(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(term, context minima) of each text and term, sorted by term."""
-    found = list(_term_hashes(column))
-    size = [len(t) for t, _ in found]
-    term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.uint64)
-    keys = np.repeat(np.array([c for _, c in found], np.int64).reshape(-1, len(_MIN)), size, axis=0)
+def _by_term(column: pa.Array, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, number of its text) for each text and distinct term, sorted by term; context minima by text."""
+    terms, owners, contexts = [], [], []
+    for lo, hi in K.batches(column):
+        data, offs = K.flat(column.slice(lo, hi - lo))
+        term, _, _, of_term = K.words(data, offs, lower=True, space=K.NOT_TERM)
+        word, _, _, of_word = K.words(data, offs, lower=True)
+        for i in range(hi - lo):
+            own = np.unique(term[of_term[i] : of_term[i + 1]])
+            if among is not None:
+                own = own[among[np.minimum(np.searchsorted(among, own), len(among) - 1)] == own] if len(among) else own[:0]
+            terms.append(own)
+            owners.append(np.full(len(own), lo + i, np.int32))
+            contexts.append(_contexts(word[of_word[i] : of_word[i + 1]]) if len(own) else [0] * len(_MIN))
+    term = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
     order = np.argsort(term, kind="stable")
-    return term[order], keys[order].T
+    return term[order], owner[order], np.array(contexts, np.int64).reshape(-1, len(_MIN))
 
 
 def _contexts_at_least(iterator):
     """(term, its distinct contexts in one batch): the least of the four numbers, below that of all batches."""
     for batch in iterator:
-        term, keys = _by_term(batch.column(1))
-        edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(term)]))
-        low = np.full(len(edge), len(term))
-        for k in keys:
-            order = np.lexsort((k, owner))
-            new = np.r_[True, (k[order][1:] != k[order][:-1]) | (owner[1:] != owner[:-1])] if len(term) else np.zeros(0, bool)
-            low = np.minimum(low, np.bincount(owner[new], minlength=len(edge)))
-        yield pa.RecordBatch.from_arrays([pa.array(term[edge].view(np.int64)), pa.array(low, pa.int64())], ["term", "low"])
-
-
-def _term_contexts(iterator):
-    """(term, context minima), each once a batch: repeats add nothing to a number of distinct values."""
+        term, owner, contexts = _by_term(batch.column(1))
+        new_term = np.r_[True, term[1:] != term[:-1]] if len(term) else np.zeros(0, bool)
+        edge, group = np.flatnonzero(new_term), np.cumsum(new_term) - 1
+        low = np.diff(np.r_[edge, len(term)])
+        some = (low > 1)[group]  # a term of one text has one context
+        many, of_text = group[some], owner[some]
+        for i in range(len(_MIN)):
+            if not len(many):
+                break
+            k = contexts[of_text, i]
+            order = np.lexsort((k, many))
+            k, g = k[order], many[order]
+            new = np.r_[True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])]
+            apart = np.bincount(g[new], minlength=len(edge))
+            low = np.where(apart > 0, np.minimum(low, apart), low)
+        for lo in range(0, len(edge), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(term[edge[lo : lo + 100_000]].view(np.int64)), pa.array(low[lo : lo + 100_000], pa.int64())], ["term", "low"])
+
+
+def _term_contexts(iterator, shared):
+    """(term, context minima) of the wanted terms, each once a batch: repeats add nothing to a number of distinct values."""
+    among = shared.value if shared else None
     for batch in iterator:
-        term, keys = _by_term(batch.column(1))
-        order = np.lexsort((*keys, term))
-        same = np.ones(max(0, len(term) - 1), bool)
-        for x in (term, *keys):
-            same &= x[order][1:] == x[order][:-1]
-        keep = order[np.r_[True, ~same]] if len(term) else order
+        term, owner, contexts = _by_term(batch.column(1), among)
+        _, same = np.unique(contexts, axis=0, return_inverse=True)
+        pair = np.lexsort((same.ravel()[owner], term))
+        t, c = term[pair], same.ravel()[owner[pair]]
+        keep = pair[np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]] if len(pair) else pair
         for lo in range(0, len(keep), 100_000):
             some = keep[lo : lo + 100_000]
-            yield _rows([k[some] for k in keys], term=term[some].view(np.int64))
+            yield _rows(contexts[owner[some]].T, term=term[some].view(np.int64))
 
 
 def _spanned(iterator, sanitised: bool):
@@ -194,12 +208,8 @@ def _spanned(iterator, sanitised: bool):
             if told:
                 level = {x["term"]: x["kind"] for x in told}
                 h, s, e = _free_terms(t, spans)
-                known = np.flatnonzero(np.isin(h.view(np.int64), np.array(list(level), np.int64)))
-                raw = t.encode()
-                chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                for j in known:
-                    start = int(chars[s[j]]) - 1
-                    spans.append((level[int(h[j].astype(np.int64))], start, start + len(raw[s[j] : e[j]].decode())))
+                for j in np.flatnonzero(np.isin(h.view(np.int64), np.array(list(level), np.int64))):
+                    spans.append((level[int(h[j].astype(np.int64))], int(s[j]), int(e[j])))
                 spans.sort(key=lambda x: (x[1], kind_at[x[0]]))
             out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             if sanitised:
@@ -214,27 +224,42 @@ def _spanned(iterator, sanitised: bool):
 
 
 def disclosing_terms(docs: DataFrame, *, generalise: float = GENERALISE, remove: float = REMOVE, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
-    """doc_id, told array<struct<term, kind>>: hashes of the terms to hide in documents(doc_id, text); kind is term or gone."""
-    found = written(docs.mapInArrow(_entities, "doc_id long, entities array<string>, c0 long, c1 long, c2 long, c3 long"), "entities")
-    each = found.select("doc_id", F.explode("entities").alias("entity"), "c0", "c1", "c2", "c3")
-    apart = F.least(*[F.count_distinct(f"c{i}") for i in range(4)])
-    known = each.groupBy("entity").agg(apart.alias("n_e")).where(F.col("n_e") >= support)
-    holders = written(each.join(known, "entity"), "holders")
-    ids = written(holders.select("doc_id").distinct(), "ids")
-    terms = docs.join(few(ids), "doc_id", "left_semi").mapInArrow(_terms_of, "doc_id long, term long")
-    pairs = holders.join(terms, "doc_id")
-    pairs = written(pairs.groupBy("entity", "n_e", "term").agg(apart.alias("n")).where(F.col("n") >= support), "pairs")
+    """key, told array<struct<term, kind>>: hashes of the terms to hide in documents(key, text); kind is term or gone.
+
+    Keys are distinct and not null. Documents without personal data, null and
+    empty texts tell nothing and have no row; an empty table gives no row.
+    """
+    spark = docs.sparkSession
+    found = written(docs.mapInArrow(_entities, "key long, entities array<string>, c0 long, c1 long, c2 long, c3 long"), "entities")
+    each = found.select("key", F.explode("entities").alias("entity"), "c0", "c1", "c2", "c3")
+    known = written(each.groupBy("entity").agg(_apart().alias("n_e")).where(F.col("n_e") >= support), "known")
+    holders = written(each.join(few(known), "entity"), "holders")
+    ids = written(holders.select("key").distinct(), "ids")
+    terms = docs.join(few(ids), "key", "left_semi").mapInArrow(_terms_of, "key long, term long")
+    pairs = holders.join(terms, "key")
+    pairs = written(pairs.groupBy("entity", "n_e", "term").agg(_apart().alias("n")).where(F.col("n") >= support), "pairs")
     # a term with more contexts in one batch than n / generalise has more in all: only the others are counted in full
-    most = pairs.groupBy("term").agg(F.max("n").alias("most"))
-    low = docs.mapInArrow(_contexts_at_least, "term long, low long").groupBy("term").agg(F.max("low").alias("low"))
-    wanted = most.join(low, "term").where(F.col("most") >= generalise * F.col("low")).select("term")
-    wanted = written(wanted, "terms")
-    rows = docs.mapInArrow(_term_contexts, "term long, c0 long, c1 long, c2 long, c3 long").join(few(wanted), "term", "left_semi")
-    df = rows.groupBy("term").agg(apart.alias("df"))
-    total = docs.mapInArrow(_all_contexts, "c0 long, c1 long, c2 long, c3 long").agg(apart).first()[0]
+    most = written(pairs.groupBy("term").agg(F.max("n").alias("most")), "most")
+    low = docs.mapInArrow(_contexts_at_least, "term long, low long").join(few(most.select("term")), "term", "left_semi").groupBy("term").agg(F.max("low").alias("low"))
+    wanted = written(most.join(low, "term").where(F.col("most") >= generalise * F.col("low")).select("term"), "terms")
+    # up to BROADCAST_ROWS terms are picked out in the tasks, beyond that by a shuffle join
+    small = wanted.count() <= BROADCAST_ROWS
+    shared = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["term"].to_numpy(np.int64).view(np.uint64))) if small else None
+    rows = docs.mapInArrow(lambda it: _term_contexts(it, shared), "term long, c0 long, c1 long, c2 long, c3 long")
+    if not small:
+        rows = rows.join(wanted, "term", "left_semi")
+    df = rows.groupBy("term").agg(_apart().alias("df"))
+    everywhere = written(docs.mapInArrow(_all_contexts, "c0 long, c1 long, c2 long, c3 long"), "contexts")
+    total = min(everywhere.select(f"c{i}").distinct().count() for i in range(len(_MIN)))
     told = pairs.join(df, "term").withColumn("p", F.col("n") / F.col("df")).where((F.col("p") >= generalise) & (F.log2(F.col("p") * total / F.col("n_e")) >= bits))
-    told = holders.select("entity", "doc_id").join(told, "entity").groupBy("doc_id", "term").agg(F.when(F.max("p") >= remove, "gone").otherwise("term").alias("kind"))
-    return told.groupBy("doc_id").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
+    told = holders.select("entity", "key").join(few(written(told.select("entity", "term", "p"), "told")), "entity")
+    told = told.groupBy("key", "term").agg(F.when(F.max("p") >= remove, "gone").otherwise("term").alias("kind"))
+    return told.groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("told"))
+
+
+def _apart():
+    """The least of the four numbers of distinct context minima of a group."""
+    return F.least(*[F.count_distinct(f"c{i}") for i in range(len(_MIN))])
 
 
 def sanitise(docs: DataFrame, *, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -243,14 +268,15 @@ def sanitise(docs: DataFrame, *, with_text: bool = True, id_col: str = "doc_id",
     kind is email, ip, card, phone (base spans), term (generalised) or gone
     (removed); positions are code points, end exclusive. In the sanitised text a
     span becomes [KIND], overlapping spans one mark, terms that go leave nothing.
-    A null or empty text has no spans and an empty sanitised text. Ids are
-    expected to be unique; rows with equal ids share their terms. An empty table
-    gives an empty result.
+    A null or empty text has no spans and an empty sanitised text. Rows whose ids
+    are null or repeat are documents of their own; equal texts are evidence only
+    once. The time of a text grows in proportion to its length. An empty table
+    gives an empty result; other columns of docs are not read.
     """
-    source = texts(docs, id_col=id_col, text_col=text_col)
-    told = written(disclosing_terms(source, **thresholds), "told")
+    source, _ = keyed(texts(docs, id_col=id_col, text_col=text_col))
+    told = written(disclosing_terms(source.select("key", "text"), **thresholds), "told")
     size = told.agg(F.coalesce(F.sum(F.size("told")), F.lit(0))).first()[0]
-    return source.join(few(told, size), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(lambda it: _spanned(it, with_text), f"doc_id long, spans {_SPANS}, sanitised string")
+    return source.join(few(told, size), "key", "left").select("doc_id", "text", "told").mapInArrow(lambda it: _spanned(it, with_text), f"doc_id long, spans {_SPANS}, sanitised string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
