@@ -2,10 +2,12 @@
 
 The lexicon keeps terms whose inverse document frequency, over all documents,
 lies in a band: neither common words nor rare ones. A fingerprint has SUBSETS
-hashes for each of several scales; a subset of scale M holds a term with chance
-1/M. Each hash covers the sorted distinct lexicon terms of the text that fall
-into the subset. Likeness is the share of equal hashes among the subsets that
-either text reaches, at the finest scale where those are at least LEAST.
+randomised lexicons for each of several rates; a lexicon of rate 1/M holds a term
+with chance 1/M, independently of all others, so lexicons overlap. Each gives one
+hash of the sorted distinct terms of the text that it holds. One more hash covers
+all distinct terms of the text. Likeness is the share of equal hashes among the
+lexicons that either text reaches, at the lowest rate where those are at least
+LEAST; where no lexicon is reached, texts are alike if all their terms are.
 
 The band also bounds the lexicon: a term must be in COMMON_MIN of all documents
 or more, so there are at most (mean distinct terms per text) / COMMON_MIN of them.
@@ -23,48 +25,56 @@ from textloom.llm.shared import texts
 
 #: Band of document frequency, as shares of all documents (idf from 3.0 to 6.9).
 COMMON_MIN, COMMON_MAX = 1e-3, 0.05
-SCALES, SUBSETS, LEAST = (32, 128, 512, 2048, 8192), 32, 16
-#: A text with fewer lexicon terms is described by all its terms.
-FEW_TERMS = 4
-_SEEDS = np.random.default_rng(31).integers(1, 2**63, len(SCALES) + 1, dtype=np.uint64)
-_WIDTH = len(SCALES) * SUBSETS
+#: Rates of the lexicons are 2**-b for these b; lexicons of each rate.
+BITS, SUBSETS, LEAST = (5, 7, 9, 11, 13), 32, 16
+#: Characters in a range of ids, most ranges, and sampled ids for each range.
+RANGE_CHARS, RANGES, OVER = 8_000_000, 200_000, 8
+_WIDTH = len(BITS) * SUBSETS + 1
+_SEEDS = iter(np.random.default_rng(31).integers(1, 2**63, 64, dtype=np.uint64))
+#: (seed, bits, [(shift, column)]): one hash of a term gives as many draws as it has groups of bits.
+_DRAWS = []
+for _i, _b in enumerate(BITS):
+    for _lo in range(0, SUBSETS, 64 // _b):
+        _DRAWS.append((next(_SEEDS), _b, [(_b * _g, _i * SUBSETS + _lo + _g) for _g in range(min(64 // _b, SUBSETS - _lo))]))
+_LAST = next(_SEEDS)
 
 
 def fingerprints(column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
-    """One row of subset hashes (0: the subset holds no term) for each text."""
+    """One row of hashes (0: the lexicon holds no term of the text) for each text; the last is that of all terms."""
     rows = []
     for lo, hi in K.batches(column, 2 << 20):
         data, offs = K.flat(column.slice(lo, hi - lo))
         h, _, _, at = K.words(data, offs, lower=True, space=K.NOT_TERM)
         owner = np.repeat(np.arange(hi - lo), np.diff(at))
-        known = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
-        keep = known | (np.bincount(owner[known], minlength=hi - lo) < FEW_TERMS)[owner]
-        h, owner = h[keep], owner[keep]
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
         first = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool)
         h, owner = h[first], owner[first]
-        total = np.zeros((hi - lo) * _WIDTH, np.uint64)
-        value = K.mix(h ^ _SEEDS[-1])
-        for s, m in enumerate(SCALES):
-            slot = (K.mix(h ^ _SEEDS[s]) % K.U64(m)).astype(np.int64)
-            used = slot < SUBSETS
-            np.add.at(total, owner[used] * _WIDTH + s * SUBSETS + slot[used], value[used])
-        reached = total != 0
-        rows.append(np.where(reached, (K.mix(total) >> K.U64(48)).astype(np.uint16) | np.uint16(1), 0).astype(np.uint16).reshape(-1, _WIDTH))
+        total = np.zeros(((hi - lo), _WIDTH), np.uint64)
+        value = K.mix(h ^ _LAST)
+        np.add.at(total[:, -1], owner, value)
+        known = lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h if len(lexicon) else np.zeros(len(h), bool)
+        h, owner, value = h[known], owner[known], value[known]
+        for seed, bits, draws in _DRAWS:
+            x, mask = K.mix(h ^ seed), K.U64((1 << bits) - 1)
+            for shift, col in draws:
+                held = np.flatnonzero((x >> K.U64(shift)) & mask == 0)
+                np.add.at(total[:, col], owner[held], value[held])
+        rows.append(np.where(total != 0, (K.mix(total) >> K.U64(48)).astype(np.uint16) | np.uint16(1), 0).astype(np.uint16))
     return np.concatenate(rows) if rows else np.zeros((0, _WIDTH), np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Likeness of fingerprints, row by row; two without any term are equal."""
-    a, b = (x.reshape(-1, len(SCALES), SUBSETS) for x in (a, b))
+    whole = a[:, -1] == b[:, -1]
+    a, b = (x[:, :-1].reshape(-1, len(BITS), SUBSETS) for x in (a, b))
     union = ((a != 0) | (b != 0)).sum(axis=2)
     same = ((a == b) & (a != 0)).sum(axis=2)
     enough = union >= LEAST
-    fine = np.where(enough.any(axis=1), len(SCALES) - 1 - enough[:, ::-1].argmax(axis=1), union.argmax(axis=1))
+    fine = np.where(enough.any(axis=1), len(BITS) - 1 - enough[:, ::-1].argmax(axis=1), union.argmax(axis=1))
     rows = np.arange(len(a))
     u, s = union[rows, fine], same[rows, fine]
-    return np.where(u > 0, s / np.maximum(u, 1), 1.0)
+    return np.where(u > 0, s / np.maximum(u, 1), whole.astype(float))
 
 
 def _hex(rows: np.ndarray) -> list[str]:
@@ -76,12 +86,27 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _packed(iterator):
-    """Texts compressed one by one: they cross the network once, as little as possible."""
+def _packed(iterator, shared):
+    """Texts compressed one by one: they cross the network once, as little as possible.
+
+    The first document of a range is sent to the range before as well (ahead = 1),
+    the first of all to the last range; of equal ids only the least text of a batch.
+    """
+    cuts, least = shared.value
     for batch in iterator:
+        ids = batch.column(0).to_pylist()
+        bucket = [len(cuts) if i is None else int(np.searchsorted(cuts, i, "right")) for i in ids]
         raw = [t.encode() for t in batch.column(1).to_pylist()]
         z = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary()), pa.array([len(r) for r in raw], pa.int64()), *batch.columns[2:]], ["doc_id", "packed", "n_bytes", "bucket", "ahead"])
+        ahead: dict[int, int] = {}
+        for j, (i, b) in enumerate(zip(ids, bucket)):
+            for first, target in ((b > 0 and i == cuts[b - 1], b - 1), (i == least, len(cuts))):
+                if first and (target not in ahead or z[j] < z[ahead[target]]):
+                    ahead[target] = j
+        rows = [*((j, bucket[j], 0) for j in range(len(ids))), *((j, t, 1) for t, j in ahead.items())]
+        at, to, role = (list(c) for c in zip(*rows)) if rows else ([], [], [])
+        cols = [pa.array([ids[j] for j in at], pa.int64()), pa.array([z[j] for j in at], pa.binary()), pa.array([len(raw[j]) for j in at], pa.int64()), pa.array(to, pa.int32()), pa.array(role, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "packed", "n_bytes", "bucket", "ahead"])
 
 
 def _compared(iterator, shared):
@@ -122,44 +147,33 @@ def fingerprint_documents(docs: DataFrame, *, common_min: float = COMMON_MIN, co
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next.
 
     edited is the text whose last floor(n/2) code points are replaced by the
-    first as many (or all) of the next document by id; the first follows the
-    last. Rows of one id stand in a fixed order of their contents. Null texts count as empty; two
-    texts without a term have likeness 1. Null ids are left out; an empty table
-    gives an empty result. Only ranges of ids meet in a task, with the first
-    document of the next range.
+    first as many of the next document by id; the first follows the last. Null
+    ids come after all others; rows of one id, and those of none, stand in a
+    fixed order of their contents. Null texts count as empty. An empty table gives
+    an empty result; other columns of docs are not read. Ranges of ids meet in a
+    task, with the first document of the next range; a range begins with an id of
+    a sample whose size is bounded, so the plan is the same at any size.
     """
-    source = texts(docs, id_col=id_col, text_col=text_col).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
-    n, volume = source.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    source = texts(docs, id_col=id_col, text_col=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    n, volume, least = source.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.min("doc_id")).first()
     spark = docs.sparkSession
     if not n:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], _SCHEMA)
     counts = source.mapInArrow(lambda it: K.term_counts(it, 1), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     band = counts.where((F.col("df") >= max(2.0, common_min * n)) & (F.col("df") <= max(2.0, common_max * n))).select("term")
     lexicon = spark.sparkContext.broadcast(np.sort(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64)))
 
-    ranges = int(max(2 * spark.sparkContext.defaultParallelism, -(-volume // 8_000_000)))
-    edges = sorted(set(source.select("doc_id").stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
-    cuts = [int(x) for x in edges]
-    placed = source.withColumn("bucket", _search(cuts))
-    firsts = sorted((r["bucket"], r["first"]) for r in placed.select("doc_id", "bucket").groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    ahead = spark.createDataFrame(sorted(before.items()), "doc_id long, bucket int")
-    rows = placed.select("doc_id", "text", "bucket", F.lit(0).alias("ahead")).union(source.join(F.broadcast(ahead), "doc_id").select("doc_id", "text", "bucket", F.lit(1)))
-    rows = rows.mapInArrow(_packed, "doc_id long, packed binary, n_bytes long, bucket int, ahead int")
-    rows = rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "packed")
-    return rows.mapInArrow(lambda it: _compared(it, lexicon), "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _search(cuts: list[int]):
-    """Number of cuts at or below doc_id, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
+    ranges = min(RANGES, max(2 * spark.sparkContext.defaultParallelism, -(-volume // RANGE_CHARS)))
+    share = int(min(1.0, OVER * ranges / n) * (1 << 40))
+    sample = source.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 40)) < share).select("doc_id").distinct()
+    ids = np.sort(sample.toPandas()["doc_id"].to_numpy(np.int64))
+    cuts = spark.sparkContext.broadcast((ids[:: max(1, len(ids) // ranges)], least))
+    rows = source.select("doc_id", "text").mapInArrow(lambda it: _packed(it, cuts), "doc_id long, packed binary, n_bytes long, bucket int, ahead int")
+    rows = rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "ahead", F.asc_nulls_last("doc_id"), "packed")
+    return rows.mapInArrow(lambda it: _compared(it, lexicon), _SCHEMA)
+
+
+_SCHEMA = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def digests(docs: DataFrame) -> DataFrame:
