@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import statistics as S
-from textloom.llm.shared import crc_mod, texts, written
+from textloom.llm.shared import crc_mod, sampled, texts, written
 
-#: At most so many labelled rows are fitted (24 floats each), chosen by a hash of the id.
+#: About so many labelled rows are fitted at most (24 floats each), chosen by a hash of the row.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, SHRINK = 40, 3, 32, 0.3
+LEAF = 10
 #: Strength of the L1 penalty, per row.
 PENALTY = 2e-4
 #: A document is accepted from this score on.
@@ -28,15 +29,15 @@ ACCEPT = 0.3
 Rule = tuple[tuple[str, str, float], ...]  # ((statistic, "<=" or ">", threshold), ...)
 
 
-def _grow(binned: np.ndarray, gradient: np.ndarray, rows: np.ndarray, depth: int, path: tuple, out: list, value: np.ndarray) -> None:
-    """Best split by variance reduction, both sides grown on; leaves set value."""
+def _grow(binned: np.ndarray, gradient: np.ndarray, rows: np.ndarray, depth: int, path: tuple, out: list, value: np.ndarray, leaf: int) -> None:
+    """Best split by variance reduction, both sides of `leaf` rows or more, grown on; leaves set value."""
     best = (1e-9, 0, 0)
-    if depth and len(rows) >= 40:
+    if depth and len(rows) >= 2 * leaf:
         total, n = gradient[rows].sum(), len(rows)
         for j in range(binned.shape[1]):
             count = np.bincount(binned[rows, j], minlength=BINS).cumsum()[:-1]
             left = np.bincount(binned[rows, j], gradient[rows], minlength=BINS).cumsum()[:-1]
-            ok = (count >= 10) & (count <= n - 10)
+            ok = (count >= leaf) & (count <= n - leaf)
             if ok.any():
                 gain = np.where(ok, left**2 / np.maximum(count, 1) + (total - left) ** 2 / np.maximum(n - count, 1) - total**2 / n, 0)
                 k = int(gain.argmax())
@@ -50,11 +51,15 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, rows: np.ndarray, depth: int
     for part, op in ((rows[side], "<="), (rows[~side], ">")):
         here = (*path, (j, op, k))
         out.append(here)
-        _grow(binned, gradient, part, depth - 1, here, out, value)
+        _grow(binned, gradient, part, depth - 1, here, out, value, leaf)
 
 
 def grow_rules(x: np.ndarray, y: np.ndarray) -> list[tuple[tuple[int, str, float], ...]]:
-    """Distinct node paths of boosted trees on x (rows by statistics) and 0/1 labels y."""
+    """Distinct node paths of boosted trees on x (rows by statistics) and 0/1 labels y.
+
+    A node holds a fortieth of the rows or more, at least one and at most LEAF.
+    """
+    leaf = min(LEAF, max(1, len(y) // 40))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], axis=1)
     rng, rules, logit = np.random.default_rng(7), [], np.full(len(y), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
@@ -63,7 +68,7 @@ def grow_rules(x: np.ndarray, y: np.ndarray) -> list[tuple[tuple[int, str, float
         rows = np.flatnonzero(rng.random(len(y)) < 0.7)
         value = np.zeros(len(y))
         paths: list = []
-        _grow(binned, gradient, rows, DEPTH, (), paths, value)
+        _grow(binned, gradient, rows, DEPTH, (), paths, value, leaf)
         logit = logit + SHRINK * 4 * value
         rules += paths
     return list(dict.fromkeys(tuple((j, op, float(cuts[j][k])) for j, op, k in p) for p in rules if all(k < len(cuts[j]) for j, _, k in p)))
@@ -110,7 +115,7 @@ class RuleModel:
 
 def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = S.NAMES, penalty: float = PENALTY) -> RuleModel:
     """A rule model of 0/1 labels; without both labels the score is their (smoothed) mean."""
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return RuleModel(float(np.log(p / (1 - p))), [])
     rules = grow_rules(x, y)
@@ -125,16 +130,20 @@ def score(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", hol
     """doc_id, held_out, score, predicted of every document, and row_col if it is named.
 
     Labels are learned only from rows whose crc32(id) mod hold_out[0] is not
-    hold_out[1], at most `sample` of them. A score uses statistics of the whole
-    text alone. Null and empty texts have zero statistics and get the score of
-    those. Unlabelled and null labels teach nothing; without labels every score
-    is 0.5. Repeated rows are scored each; an empty table gives an empty result.
+    hold_out[1], from about `sample` of them at most. A score uses statistics of
+    the whole text alone. Null and empty texts have zero statistics and get the
+    score of those. Unlabelled and null labels teach nothing, equal rows teach
+    once; rows of one label only give the same smoothed share to every document,
+    0.5 if there are none. Rows whose ids are null or repeat are scored each by
+    its own text; an empty table gives an empty result; other columns are not
+    read.
     """
     more = [row_col] if row_col else []
     stats = written(S.statistics(texts(docs, *more, id_col=id_col, text_col=text_col)), "statistics")
     held = crc_mod(F.col("doc_id"), hold_out[0]) == hold_out[1]
-    told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null").where(~held)
-    rows = stats.join(told, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample).toPandas()
+    told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null").where(~held).distinct()
+    known = written(stats.select("doc_id", *S.NAMES).join(told, "doc_id").distinct(), "labelled")
+    rows = sampled(known, sample, *known.columns).toPandas().sort_values(known.columns)
     model = fit(rows[list(S.NAMES)].to_numpy(float), rows["_label"].to_numpy(float))
     scored = stats.select("doc_id", *more, F.coalesce(held, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))

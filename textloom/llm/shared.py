@@ -93,6 +93,14 @@ def crc_mod(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("long").cast("string").cast("binary")) % F.lit(modulus)
 
 
+def sampled(rows: DataFrame, most: int, *identity: str) -> DataFrame:
+    """About `most` rows at the most, chosen by a hash of the identity columns: each task hands on its share only."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*identity, F.lit(29)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def few(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint behind a count; beyond BROADCAST_ROWS the plan keeps its shuffle join."""
     n = df.count() if rows is None else rows
