@@ -6,6 +6,10 @@ looks up every neighbouring pair by binary search over the sorted pair keys,
 finds the lowest rank of each piece, merges all its occurrences from the left
 and closes the gaps. Pieces without a mergeable pair leave the array.
 
+A piece of more than LONG bytes would take one round for each of its ranks, over
+all of its symbols. Such pieces keep linked positions by rank instead: a round
+takes the lowest rank left and touches only the places where it stands.
+
 The vocabulary file is read by the driver (its path is a parameter) and its
 tables, whose size is that of the vocabulary, are broadcast.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -33,6 +38,8 @@ _NEAR = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N
 _BEYOND = re.compile("[^\x00-\u024f]")
 #: Distinct pieces that a task remembers; beyond it starts anew.
 CACHE = 200_000
+#: Bytes of a piece from which rounds go by rank.
+LONG = 512
 _NONE = np.int64(1 << 40)
 
 
@@ -116,6 +123,56 @@ class Coder:
         sym = sym[order].astype(np.int32)
         self._keep(pieces, sym, cut)
 
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or _NONE, symbol made) of neighbouring symbols."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.t["keys"], pair), len(self.t["keys"]) - 1)
+        return np.where(self.t["keys"][at] == pair, self.t["rank"][at], _NONE), self.t["made"][at]
+
+    def learn_long(self, piece: str) -> None:
+        """Encode one long piece: places by rank, the lowest rank first."""
+        sym = self.t["byte"][np.frombuffer(piece.encode(), np.uint8)]
+        n = len(sym)
+        sym = np.append(sym, -1)  # no pair reaches beyond the end
+        after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            rank, _ = self._ranked(sym[places], sym[after[places]])
+            order = np.argsort(rank, kind="stable")
+            rank, places = rank[order], places[order]
+            edge = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1], True]) if len(rank) else ()
+            for lo, hi in zip(edge, edge[1:]):
+                r = int(rank[lo])
+                if r < _NONE:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heappush(heap, r)
+                    waiting[r].append(places[lo:hi])
+
+        note(np.arange(n - 1))
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            rank, made = self._ranked(sym[at], sym[after[at]])
+            at, made = at[rank == r], made[rank == r]
+            if len(at):  # of a run of overlapping places every second one, from the left
+                chained = np.r_[False, after[at[:-1]] == at[1:]]
+                head = np.flatnonzero(~chained)
+                pick = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0
+                at, made = at[pick], made[pick]
+                gone = after[at]
+                sym[at], alive[gone] = made, False
+                after[at] = after[gone]
+                before[after[gone]] = at
+                left = before[at]
+                note(np.unique(np.r_[left[left >= 0], at]))
+        ids = sym[:n][alive[:n]]
+        self._keep([piece], ids, np.array([0, len(ids)]))
+
     def _keep(self, pieces: list, sym: np.ndarray, cut: np.ndarray) -> None:
         self.memory.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces))))
         self.start = np.concatenate([self.start, cut[:-1] + len(self.flat)])
@@ -142,6 +199,10 @@ class Coder:
             self.memory.clear()
             self.flat, self.start, self.size = self.flat[:0], self.start[:0], self.size[:0]
         fresh = [p for p in wanted if p not in self.memory and isinstance(p, str)]
+        for p in fresh:
+            if len(p) > LONG:
+                self.learn_long(p)
+        fresh = [p for p in fresh if len(p) <= LONG]
         for lo in range(0, len(fresh), 50_000):
             self.learn(fresh[lo : lo + 50_000])
         if whole := [p for p in wanted if p not in self.memory]:
@@ -202,7 +263,11 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFr
 
 
 def decode(tokens: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
-    """tokens with one more column, decoded: the text of ids_col, invalid UTF-8 replaced."""
+    """tokens with one more column, decoded: the text of ids_col, invalid UTF-8 replaced.
+
+    A null or empty list gives an empty text; ids must be of the vocabulary.
+    Columns named decoded are replaced; repeated rows stay as they are.
+    """
     tokens = tokens.drop("decoded")
     shared = tokens.sparkSession.sparkContext.broadcast(load_tables(tokenizer))
     at = tokens.columns.index(ids_col)

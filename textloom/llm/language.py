@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import kernels as K
-from textloom.llm.shared import crc_mod, texts
+from textloom.llm.shared import crc_mod, few, texts, written
 
-#: Training rows for each language at most (about; chosen by a hash of the id), and for all of them.
-SAMPLE, SAMPLE_ALL = 1500, 12_000
-#: Most distinct values of the language column; more is an error.
-VALUES = 200
+#: Training rows of each language at most (about; chosen by a hash of the row), of all of them, and of each at least.
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST = 1500, 12_000, 20
+#: Languages of one family at most: a larger family is dealt into families of similar languages.
+FAMILY = 24
 WIDTH = 2048
 #: Families of common language codes. Others join the family whose profile is nearest.
 FAMILIES = {
@@ -86,6 +86,17 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -
     return coef.astype(np.float32), float(w[-1] - (mean * coef).sum())
 
 
+def _parts(langs: list[str], centre: dict[str, np.ndarray]) -> list[list[str]]:
+    """Families of FAMILY languages at most: each takes the first language left and those nearest to it."""
+    out = []
+    while langs:
+        near = sorted(langs, key=lambda la: (-float(centre[la] @ centre[langs[0]]) / (float(np.linalg.norm(centre[la])) + 1e-12), la))
+        part = near[:FAMILY] if len(langs) > FAMILY else langs
+        out.append(sorted(part))
+        langs = [la for la in langs if la not in part]
+    return out
+
+
 class LanguageModel:
     """families: lists of languages. Votes of one-versus-rest (families) and one-versus-one (languages) SVMs."""
 
@@ -101,7 +112,7 @@ class LanguageModel:
             if la not in named:
                 near = max(((float(centre[la] @ centre[o] / (np.linalg.norm(centre[la]) * np.linalg.norm(centre[o]) + 1e-12)), f) for f, os in group.items() for o in os), default=(0.0, ""))
                 group.setdefault(near[1] if near[0] >= 0.5 else la, []).append(la)
-        self.families = [sorted(v) for _, v in sorted(group.items())]
+        self.families = [part for _, v in sorted(group.items()) for part in _parts(sorted(v), centre)]
         w, b = [], []
         family = np.array([next(i for i, f in enumerate(self.families) if la in f) for la in lang])
         for f in range(len(self.families)) if len(self.families) > 1 else ():
@@ -165,26 +176,24 @@ def identify(docs: DataFrame, *, hold_out: tuple[int, int] = (4, 2), sample: int
 
     Learned from text and non-null language of rows whose crc32(id) mod
     hold_out[0] is not hold_out[1]; of each of n languages about the lesser of
-    `sample` and SAMPLE_ALL / n rows is fitted. More than VALUES languages among
-    these rows are an error.
+    `sample` and SAMPLE_ALL / n rows is fitted, but SAMPLE_LEAST. Every language
+    of these rows is learned; equal rows teach once.
     Predictions use the whole text alone. Null and empty texts, and texts without
-    a letter, give und and score 0, as does a table without training rows.
-    Repeated rows are predicted each; an empty table gives an empty result.
+    a letter, give und and score 0, as does a table without training rows. Rows
+    whose ids are null or repeat are predicted each by its own text; an empty
+    table gives an empty result.
     """
     rows = texts(docs, F.col(lang_col).cast("string").alias("lang"), id_col=id_col, text_col=text_col)
     held = F.coalesce(crc_mod(F.col("doc_id"), hold_out[0]) == hold_out[1], F.lit(False))
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~held)
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(VALUES + 1).collect()
-    if len(counts) > VALUES:
-        raise ValueError(f"more than {VALUES} values of {lang_col}: none may be left unlearned")
-    quota = min(sample, SAMPLE_ALL // max(1, len(counts)))
-    model = None
-    if counts:
-        share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
-        chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("text", "lang")
-        got = chosen.mapInArrow(_profiled, "lang string, profile binary").limit(2 * SAMPLE_ALL).toPandas()
-        if len(got):
-            model = LanguageModel(np.frombuffer(b"".join(got["profile"]), np.float32).reshape(-1, WIDTH), got["lang"].to_numpy(object))
+    counts = train.groupBy("lang").count()
+    quota = min(sample, max(SAMPLE_LEAST, SAMPLE_ALL // max(1, counts.count())))
+    share = written(counts.select("lang", F.least(F.lit(1.0), F.lit(quota) / F.col("count")).alias("share")), "shares")
+    row = F.xxhash64("doc_id", "text")
+    chosen = train.join(few(share), "lang").where(F.pmod(F.xxhash64(row, F.lit(17)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    chosen = chosen.select("text", "lang", row.alias("row")).dropDuplicates(["lang", "row"])
+    got = chosen.select("text", "lang").mapInArrow(_profiled, "lang string, profile binary").toPandas().sort_values(["lang", "profile"])
+    model = LanguageModel(np.frombuffer(b"".join(got["profile"]), np.float32).reshape(-1, WIDTH), got["lang"].to_numpy(object)) if len(got) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.select("doc_id", "text").mapInArrow(lambda it: _predicted(it, shared), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

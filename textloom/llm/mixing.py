@@ -10,9 +10,6 @@ order, so that no pattern is ever sorted in one task.
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +19,8 @@ from textloom.llm import kernels as K
 from textloom.llm.shared import few, spread, written
 
 WEIGHTS, SHARE, REPEATS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
-#: Patterns and sources are planned on the driver; more than this many is refused.
-MAX_PATTERNS = 100_000
+#: Patterns and sources are planned on the driver (about 2 seconds for 100,000 of them); more than this many is refused.
+MAX_PATTERNS = 1_000_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float, repeats: int) -> list[float]:
@@ -43,53 +40,64 @@ def targets(sizes: list[int], weights: list[float], total: float, repeats: int)
 def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int) -> list[int]:
     """Words taken of each pattern: a min-cost flow of patterns(sources, size) to source quotas.
 
-    Successive shortest paths; pass r of a pattern costs r * r more per word.
+    Pass r of a pattern costs 1 + r * r a word and no other edge has a cost, so a
+    cheapest augmenting path is any one that begins with the cheapest pass left:
+    a blocking flow (breadth-first levels, then depth first) is pushed until no
+    path is left for a pass, and then for the next, rerouting what flows already.
     """
     p, s = len(patterns), len(quotas)
-    head: list[list[int]] = [[] for _ in range(p + s + 2)]
-    to, room, cost = [], [], []
+    sink, to, room = p + s, [], []
+    head: list[list[int]] = [[] for _ in range(sink + 1)]
 
-    def edge(a: int, b: int, c: int, w: int) -> None:
-        for x, y, r, v in ((a, b, c, w), (b, a, 0, -w)):
+    def edge(a: int, b: int, c: int) -> None:
+        for x, y, r in ((a, b, c), (b, a, 0)):
             head[x].append(len(to))
             to.append(y)
             room.append(r)
-            cost.append(v)
 
-    source, sink = p + s, p + s + 1
-    first = []
     for i, (members, size) in enumerate(patterns):
-        first.append(len(to))
-        for r in range(repeats):
-            edge(source, i, size, 1 + r * r)
         for m in members:
-            edge(i, p + m, repeats * size, 0)
+            edge(i, p + m, repeats * size)
     for j, q in enumerate(quotas):
-        edge(p + j, sink, q, 0)
-    potential = [0] * (p + s + 2)
-    while True:
-        far, via, tie = [1 << 60] * (p + s + 2), [-1] * (p + s + 2), count()
-        far[source], heap = 0, [(0, next(tie), source)]
-        while heap:
-            d, _, a = heappop(heap)
-            if d > far[a]:
-                continue
-            for e in head[a]:
-                if room[e] and (new := d + cost[e] + potential[a] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], via[to[e]] = new, e
-                    heappush(heap, (new, next(tie), to[e]))
-        if far[sink] >= 1 << 60:
-            break
-        potential = [x + (f if f < 1 << 60 else 0) for x, f in zip(potential, far)]
-        path, b = [], sink
-        while b != source:
-            path.append(via[b])
-            b = to[via[b] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
-    return [sum(room[first[i] + 2 * r + 1] for r in range(repeats)) for i in range(p)]
+        edge(p + j, sink, q)
+    taken = [0] * p
+    for _ in range(repeats):
+        left = [size for _, size in patterns]
+        while True:
+            level, line = [-1] * (sink + 1), [i for i in range(p) if left[i]]
+            for i in line:
+                level[i] = 0
+            for a in line:
+                for e in head[a]:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = level[a] + 1
+                        line.append(to[e])
+            if level[sink] < 0:
+                break
+            tried = [0] * (sink + 1)
+            for i in range(p):
+                path: list[int] = []
+                while left[i] and level[i] == 0:
+                    a = to[path[-1]] if path else i
+                    if a == sink:
+                        amount = min(left[i], *(room[e] for e in path))
+                        for e in path:
+                            room[e] -= amount
+                            room[e ^ 1] += amount
+                        left[i] -= amount
+                        path = path[: next(n for n, e in enumerate([*path, None]) if e is None or not room[e])]
+                        continue
+                    while tried[a] < len(head[a]) and not (room[head[a][tried[a]]] and level[to[head[a][tried[a]]]] == level[a] + 1):
+                        tried[a] += 1
+                    if tried[a] < len(head[a]):
+                        path.append(head[a][tried[a]])
+                    elif path:
+                        path.pop()
+                        tried[to[path[-1]] if path else i] += 1
+                    else:
+                        break
+        taken = [t + size - rest for t, (_, size), rest in zip(taken, patterns, left)]
+    return taken
 
 
 def _sized(iterator, column: int):

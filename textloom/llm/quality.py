@@ -67,6 +67,8 @@ def grow_rules(x: np.ndarray, y: np.ndarray) -> list[tuple[tuple[int, str, float
         gradient = y - 1 / (1 + np.exp(-logit))
         rows = np.flatnonzero(rng.random(len(y)) < 0.7)
         value = np.zeros(len(y))
+        if not len(rows):
+            continue
         paths: list = []
         _grow(binned, gradient, rows, DEPTH, (), paths, value, leaf)
         logit = logit + SHRINK * 4 * value
