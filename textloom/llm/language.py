@@ -20,7 +20,7 @@ from textloom.llm.shared import crc_mod, few, texts, written
 #: Training rows of each language at most (about; chosen by a hash of the row), of all of them, and of each at least.
 SAMPLE, SAMPLE_ALL, SAMPLE_LEAST = 1500, 12_000, 20
 #: Languages of one family at most: a larger family is dealt into families of similar languages.
-FAMILY = 24
+FAMILY = 12
 WIDTH = 2048
 #: Families of common language codes. Others join the family whose profile is nearest.
 FAMILIES = {
@@ -67,21 +67,31 @@ def profiles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM for labels -1/+1 with balanced classes, accelerated gradient."""
+    """Squared-hinge linear SVM for labels -1/+1 with balanced classes, accelerated gradient.
+
+    The weights stay in the span of the rows; with fewer rows than features the
+    descent runs on the rows' coefficients and their Gram matrix.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.c_[(x - mean) / std, np.ones(len(x), np.float32)].astype(np.float32)
-    v = np.ones(z.shape[1], np.float32)
+    gram = z @ z.T if len(z) < z.shape[1] else None
+    margins = (lambda u: gram @ u) if gram is not None else (lambda u: z @ u)
+    pull = (lambda r: r) if gram is not None else (lambda r: z.T @ r)
+    v, top = np.ones(len(z), np.float32), 1.0
     for _ in range(12):
-        v = z.T @ (weight * (z @ v))
+        v = weight * (gram @ v if gram is not None else z @ (z.T @ v))
         top = np.linalg.norm(v)
         v /= top + 1e-12
-    step, w, u, t = 1 / (2 * 1.1 * top + ridge), np.zeros(z.shape[1], np.float32), np.zeros(z.shape[1], np.float32), 1.0
+    w = np.zeros(len(z) if gram is not None else z.shape[1], np.float32)
+    step, u, t = np.float32(1 / (2 * 1.1 * top + ridge)), w, 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ u))
-        new = u - step * (ridge * u - 2 * (z.T @ (weight * slack * y)))
+        slack = np.maximum(0, 1 - y * margins(u))
+        new = u - step * (ridge * u - 2 * pull(weight * slack * y))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        u, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        u, w, t = (new + (t - 1) / t2 * (new - w)).astype(np.float32), new.astype(np.float32), t2
+    if gram is not None:
+        w = z.T @ w
     coef = w[:-1] / std
     return coef.astype(np.float32), float(w[-1] - (mean * coef).sum())
 
