@@ -37,7 +37,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9
 _NEAR = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
 #: Distinct pieces that a task remembers; beyond it starts anew.
-CACHE = 200_000
+CACHE = 60_000
 #: Bytes of a piece from which rounds go by rank.
 LONG = 512
 _NONE = np.int64(1 << 40)
@@ -230,6 +230,7 @@ def _coder(shared) -> Coder:
     return _coders[key]
 
 
+@K.trimmed
 def _encoded(iterator, shared, text: int):
     coder = _coder(shared)
     for batch in iterator:
@@ -239,6 +240,7 @@ def _encoded(iterator, shared, text: int):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))], [*part.schema.names, "ids"])
 
 
+@K.trimmed
 def _decoded(iterator, shared, column: int):
     coder = _coder(shared)
     for batch in iterator:

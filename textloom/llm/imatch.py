@@ -86,6 +86,7 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@K.trimmed
 def _packed(iterator, shared):
     """Texts compressed one by one: they cross the network once, as little as possible.
 
@@ -109,6 +110,7 @@ def _packed(iterator, shared):
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "packed", "n_bytes", "bucket", "ahead"])
 
 
+@K.trimmed
 def _compared(iterator, shared):
     lexicon = shared.value
 

@@ -7,6 +7,9 @@ fixed functions of the bytes: equal on every machine, run and batch.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,6 +47,29 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+def _release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(batches_of):
+    """For functions given to mapInArrow: release freed memory now and then, and at the end of the task."""
+
+    @wraps(batches_of)
+    def run(*args):
+        for i, batch in enumerate(batches_of(*args)):
+            yield batch
+            if i % 8 == 7:
+                _release()
+        _release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Final avalanche of a 64-bit hash (the public murmur3 finaliser)."""
     x = x ^ (x >> U64(33))
@@ -150,6 +176,7 @@ def batches(column: pa.Array, max_bytes: int = 1 << 20):
         lo = min(hi, n)
 
 
+@trimmed
 def term_counts(iterator, column: int, schema_names: tuple[str, str] = ("term", "df")):
     """For mapInArrow: (term hash, documents of this task that hold it), lower-cased terms."""
     held: list[tuple[np.ndarray, np.ndarray]] = []

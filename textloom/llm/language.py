@@ -164,12 +164,14 @@ class LanguageModel:
         return best, np.clip(score, 0, 1)
 
 
+@K.trimmed
 def _profiled(iterator):
     for batch in iterator:
         x, _ = profiles(batch.column(0))
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "profile"])
 
 
+@K.trimmed
 def _predicted(iterator, shared):
     model = shared.value
     for batch in iterator:

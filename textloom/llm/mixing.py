@@ -100,6 +100,7 @@ def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats
     return taken
 
 
+@K.trimmed
 def _sized(iterator, column: int):
     for batch in iterator:
         n = []

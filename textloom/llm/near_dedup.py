@@ -77,6 +77,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return K.mix(h ^ (np.arange(BANDS, dtype=np.uint64) * K.U64(0x9E3779B97F4A7C15))).astype(np.int64)
 
 
+@K.trimmed
 def _signed(iterator, k: int):
     for batch in iterator:
         ids, texts_ = batch.column(0), batch.column(1)
@@ -89,6 +90,7 @@ def _signed(iterator, k: int):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())], ["key", "n_shingles", "k1", "k2", "sig"])
 
 
+@K.trimmed
 def _banded(iterator):
     for batch in iterator:
         ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -174,6 +176,7 @@ def _runs(iterator, *keys: str):
                 yield tuple(int(c[lo]) for c in cols), batch.slice(lo, hi - lo)
 
 
+@K.trimmed
 def _starred(iterator, k: int, per_cent: int, miss: float):
     """Each key holds a pivot (first) and then its candidates, which pass by in batches."""
     now, head, found = None, None, []
@@ -188,6 +191,7 @@ def _starred(iterator, k: int, per_cent: int, miss: float):
     yield _out(found)
 
 
+@K.trimmed
 def _screened(iterator, per_cent: int, miss: float):
     """Each key holds signatures of one or two blocks of a bucket; out come the pairs that may be links."""
     now, held = None, []
@@ -219,6 +223,7 @@ def _screened(iterator, per_cent: int, miss: float):
         yield from pairs(*now[1:])
 
 
+@K.trimmed
 def _verified(iterator, k: int, per_cent: int):
     """Each key holds the texts of one or two blocks (role 0) and then pairs of them (role 1)."""
     now, sets, found = None, {}, []
@@ -323,6 +328,7 @@ def _beyond_pivots(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sourc
     return written(rows.mapInArrow(lambda it: _verified(it, k, per_cent), "a long, b long"), "links")
 
 
+@K.trimmed
 def _shortened(iterator):
     """Signatures of 8 bits a position: agreements are counted too high at worst, so nothing is pruned that would stay."""
     for batch in iterator:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm import kernels as K
 from textloom.llm.shared import bound_batches, distinct_ids, spread, written
 
 PIVOTS, PER_PIVOT = 1024, 8
@@ -52,6 +53,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+@K.trimmed
 def _described(iterator, shared, width: int, visited: int):
     pivots = shared.value
     for batch in iterator:
@@ -112,6 +114,7 @@ class _File:
         return out
 
 
+@K.trimmed
 def _searched(iterator, n_pivots: int, visited: int, k: int):
     """Rows sorted by pivot, part and role: the entries of a part, then the queries that visit it."""
     now, held, file = None, [], None

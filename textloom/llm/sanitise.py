@@ -83,6 +83,7 @@ def _contexts(h: np.ndarray) -> list[int]:
     return [int((grams * m).min().astype(np.int64)) for m in _MIN] if len(grams) else [0] * len(_MIN)
 
 
+@K.trimmed
 def _entities(iterator):
     """Documents with personal data: their entities and context minima."""
     for batch in iterator:
@@ -115,6 +116,7 @@ def _free_terms(text: str, spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[ok], s[ok], e[ok]
 
 
+@K.trimmed
 def _terms_of(iterator):
     for batch in iterator:
         keys = batch.column(0).to_pylist()
@@ -127,6 +129,7 @@ def _terms_of(iterator):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(term))], ["key", "term"])
 
 
+@K.trimmed
 def _all_contexts(iterator):
     """The context minima of every document."""
     for batch in iterator:
@@ -162,6 +165,7 @@ def _by_term(column: pa.Array, among: np.ndarray | None = None) -> tuple[np.ndar
     return term[order], owner[order], np.array(contexts, np.int64).reshape(-1, len(_MIN))
 
 
+@K.trimmed
 def _contexts_at_least(iterator):
     """(term, its distinct contexts in one batch): the least of the four numbers, below that of all batches."""
     for batch in iterator:
@@ -184,6 +188,7 @@ def _contexts_at_least(iterator):
             yield pa.RecordBatch.from_arrays([pa.array(term[edge[lo : lo + 100_000]].view(np.int64)), pa.array(low[lo : lo + 100_000], pa.int64())], ["term", "low"])
 
 
+@K.trimmed
 def _term_contexts(iterator, shared):
     """(term, context minima) of the wanted terms, each once a batch: repeats add nothing to a number of distinct values."""
     among = shared.value if shared else None
@@ -198,6 +203,7 @@ def _term_contexts(iterator, shared):
             yield _rows(contexts[owner[some]].T, term=term[some].view(np.int64))
 
 
+@K.trimmed
 def _spanned(iterator, sanitised: bool):
     kind_at = {k: i for i, k in enumerate((*KINDS, "term", "gone"))}
     for batch in iterator:

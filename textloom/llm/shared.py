@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most rows that may be sent to every executor as join keys (two longs a row: 16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Most rows that may be sent to every executor as join keys (two longs a row: 3 MB).
+BROADCAST_ROWS = 200_000
 #: Most bytes of one Arrow batch on its way to Python; a longer row stands alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

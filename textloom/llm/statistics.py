@@ -78,6 +78,7 @@ def measure(column: pa.Array) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, len(NAMES)))
 
 
+@K.trimmed
 def _measured(iterator):
     for batch in iterator:
         x = measure(batch.column(1))

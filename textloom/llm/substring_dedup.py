@@ -73,6 +73,7 @@ def paths(h: np.ndarray, at: np.ndarray, length: int, mer: int):
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip((doc, first, count, mini, spelled), kinds))
 
 
+@K.trimmed
 def _paths(iterator, length: int, mer: int):
     for batch in iterator:
         for lo, hi in K.batches(batch.column(1)):
@@ -83,6 +84,7 @@ def _paths(iterator, length: int, mer: int):
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(spelled.view(np.int64))], ["key", "first", "n", "mini", "path"])
 
 
+@K.trimmed
 def _windows(iterator, length: int):
     """Each row: a text and its branching paths; out come their windows."""
     for batch in iterator:
@@ -104,6 +106,7 @@ def _windows(iterator, length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mini", "path", "off", "window"])
 
 
+@K.trimmed
 def _cut(iterator, length: int):
     """Each row: doc_id, text, repeated windows as (first, mask); out comes what is left."""
     for batch in iterator:
