@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.clean import is_number
+from textloom.sources.tables import written
 
 
 def tokens(rows: DataFrame, doc: str, pattern: str = "[a-z]+", text: str = "text") -> DataFrame:
@@ -45,6 +46,11 @@ def remove(vocab: DataFrame, gone: DataFrame) -> DataFrame:
     return delta.groupBy("word", "docid").agg(F.sum("freq").alias("freq")).where("freq > 0")
 
 
+def load(spark, path: str) -> DataFrame:
+    """V6: a written vocabulary (word, docid, freq), sorted by word."""
+    return spark.read.parquet(path).select("word", "docid", "freq").orderBy("word", "docid")
+
+
 def lookup(words: DataFrame, vocab: DataFrame, docid: str) -> DataFrame:
     """V4: globfreq (0 where unknown) and docfreq in one document (-1 where absent) of words(word)."""
     own = vocab.where(F.col("docid") == docid).select("word", F.col("freq").alias("docfreq"))
@@ -69,11 +75,21 @@ def join_rule(t1: Column, t2: Column, joined: Column, first: Column, second: Col
     )
 
 
-def decide(pairs: DataFrame, freqs: DataFrame, prefix: bool = False) -> DataFrame:
-    """pairs(t1, t2) with is_join, from freqs(word, globfreq)."""
+def decide(pairs: DataFrame, freqs: DataFrame, prefix: bool = False, normalised: Column | None = None, counted: tuple[bool, bool] = (False, False)) -> DataFrame:
+    """pairs(t1, t2) with is_join, from freqs(word, globfreq).
+
+    normalised: the joined form after the rules (of a column "whole"), looked up in
+    its place; where it is shorter than both parts together the rules have merged
+    them already. counted: whether the vocabulary holds this very t1 or t2, whose
+    occurrence is then taken off.
+    """
     out = pairs.withColumn("whole", F.concat("t1", "t2"))
-    for key, name in (("whole", "fj"), ("t1", "f1"), ("t2", "f2")):
+    if normalised is not None:
+        out = out.withColumn("whole", normalised)
+    for key, name, less in (("whole", "fj", False), ("t1", "f1", counted[0]), ("t2", "f2", counted[1])):
         out = out.join(freqs.select(F.col("word").alias(key), F.col("globfreq").alias(name)), key, "left").fillna(0, [name])
+        if less:
+            out = out.withColumn(name, F.greatest(F.lit(0), F.col(name) - 1))
     return out.withColumn("is_join", join_rule(F.col("t1"), F.col("t2"), F.col("fj"), F.col("f1"), F.col("f2"), prefix))
 
 
@@ -88,11 +104,16 @@ def _join_candidates(rows: DataFrame, freqs: DataFrame, regex: str, split: str,
     return done.withColumn("text", F.aggregate(F.coalesce("_m", F.array().cast("array<struct<col1:int,c:string,r:string>>")), F.col("text"), lambda t, x: F.replace(t, x["c"], x["r"]))).drop("_c", "_k", "_m")
 
 
-def join_line_ends(rows: DataFrame, freqs: DataFrame, rounds: int = 2) -> DataFrame:
-    """Words broken at #lb# joined or separated; chains take one round a break."""
+def join_line_ends(rows: DataFrame, freqs: DataFrame) -> DataFrame:
+    """Words broken at #lb# joined or separated, until no break between words is left.
+
+    A round decides every second break of a chain at least, so the rounds are as
+    many as the longest chain of breaks needs; each is written, not replanned.
+    """
     rows = rows.withColumn("text", F.regexp_replace("text", r"(?U)\s*#lb#\s*", "#lb#"))
-    for _ in range(rounds):
-        rows = _join_candidates(rows, freqs, r"(?U)\w+#lb#\w+", "#lb#", " ", False)
+    broken = F.col("text").rlike(r"(?U)\w#lb#\w")
+    while rows.where(broken).head(1):
+        rows = written(_join_candidates(rows, freqs, r"(?U)\w+#lb#\w+", "#lb#", " ", False), "joined")
     return rows
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.clean import is_number
+from textloom.sources.tables import written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,15 +41,8 @@ def connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataF
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        known = sc.getConf().get("spark.checkpoint.dir")
-        if not known:
-            import tempfile
-
-            known = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        sc.setCheckpointDir(known)
-    return df.checkpoint()
+    """df as a table in the folder that all nodes share (spark.checkpoint.dir): cuts the lineage, computed once."""
+    return written(df, "graph")
 
 
 def density(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -123,11 +118,84 @@ def _louvain(ids: list, links: dict, total: float, resolution: float) -> dict:
         graph = {i: dict(v) for i, v in merged.items()}
 
 
+def _greedy(ids: list, links: dict, total: float, resolution: float) -> dict:
+    """Clauset-Newman-Moore: unions by gain of modularity while it is positive; ties to the smaller pair."""
+    near = {i: {j: w for j, w in links[i].items() if j != i} for i in ids}
+    deg = {i: sum(w * (2 if j == i else 1) for j, w in links[i].items()) for i in ids}
+    top = {i: i for i in ids}
+    gain = lambda a, b: near[a][b] / total - resolution * deg[a] * deg[b] / (2 * total * total)
+    heap = [(-gain(a, b), a, b) for a in ids for b in near[a] if a < b]
+    heapify(heap)
+    while heap:
+        g, a, b = heappop(heap)
+        if a not in near or b not in near.get(a, ()) or abs(gain(a, b) + g) > 1e-12:
+            continue  # one of them has been merged, or the gain has changed since
+        if -g <= 1e-12:
+            break
+        for j, w in near.pop(b).items():
+            near[j].pop(b)
+            if j != a:
+                near[a][j] = near[j][a] = near[a].get(j, 0.0) + w
+        deg[a] += deg.pop(b)
+        for j in near[a]:
+            heappush(heap, (-gain(a, j), min(a, j), max(a, j)))
+        for i, c in top.items():
+            if c == b:
+                top[i] = a
+    return top
+
+
+def _bridged(ids: list, links: dict) -> dict:
+    """The first Girvan-Newman split: the heaviest edge (ties to the smaller pair) goes until a component falls apart."""
+    near = {i: {j for j in links[i] if j != i} for i in ids}
+
+    def component(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        return seen
+
+    for w, a, b in sorted((-links[i][j], i, j) for i in ids for j in links[i] if i < j):
+        near[a].discard(b)
+        near[b].discard(a)
+        if b not in component(a):
+            break
+    return {i: min(component(i)) for i in ids}
+
+
+def _propagated(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+    """Label propagation by joins. Labels that still swing between two states after max_rounds stay as they are."""
+    links, label = both_ways(edges), nodes.select("id", F.col("id").alias("com_id"))
+    for _ in range(max_rounds):
+        votes = links.join(label.toDF("dst", "com_id"), "dst").select(F.col("src").alias("id"), "com_id", "weight").union(label.withColumn("weight", F.lit(1e-9)))
+        votes = votes.groupBy("id", "com_id").agg(F.round(F.sum("weight"), 9).alias("w"))
+        new = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m")).select("id", F.col("m.com_id").alias("com_id"))
+        new = _checkpoint(new)
+        settled = not new.exceptAll(label).head(1)
+        label = new
+        if settled:
+            break
+    low = label.groupBy("com_id").agg(F.min("id").alias("low"))
+    return label.join(low, "com_id").select(F.col("low").alias("com_id"), "id")
+
+
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, algo: str = "louvain") -> DataFrame:
     """members(com_id, id). Components are clustered apart, with the modularity of the whole graph; com_id is the smallest id.
 
-    algo: louvain, or lpa (synchronous label propagation to the heaviest label, ties to the smaller).
+    algo: louvain; greedy (the pair of communities whose union gains most modularity
+    is merged first); girvan_newman (the first split, taking away the heaviest edge
+    until a component falls apart); these three run a component in one task. lpa:
+    synchronous label propagation to the heaviest label, ties to the smaller, as
+    joins over the whole graph, so that no component must fit in a task.
     """
+    if algo not in ("louvain", "greedy", "girvan_newman", "lpa"):
+        raise ValueError(f"unknown algorithm {algo}")
+    edges = _checkpoint(edges)  # read in every round
+    if algo == "lpa":
+        return _propagated(nodes, edges)
     comp = connected(nodes, edges)
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     rows = edges.join(comp.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight")
@@ -137,21 +205,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, alg
         for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
             links[s][d] = links[d][s] = w
         ids = sorted(links)
-        if algo == "louvain":
-            com = _louvain(ids, links, total, resolution)
-        else:
-            com = {i: i for i in ids}
-            for _ in range(50):
-                new = {}
-                for i in ids:
-                    near: dict = defaultdict(float)
-                    near[com[i]] += 1e-9
-                    for j, w in links[i].items():
-                        near[com[j]] += w
-                    new[i] = min(near, key=lambda c: (-near[c], c))
-                if new == com:
-                    break
-                com = new
+        com = _louvain(ids, links, total, resolution) if algo == "louvain" else _greedy(ids, links, total, resolution) if algo == "greedy" else _bridged(ids, links)
         low: dict = {}
         for i in ids:
             low.setdefault(com[i], i)
@@ -161,13 +215,15 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, alg
     return found.union(isolates(nodes, edges).select(F.col("id").alias("com_id"), "id"))
 
 
-def dense_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10) -> DataFrame:
+def dense_communities(nodes: DataFrame, edges: DataFrame, algo: str = "louvain") -> DataFrame:
     """Communities split again inside their own subgraph until each is a clique or does not split.
 
     A community that does not split is accepted; members without a link inside it become communities of their own.
+    Every round splits each community that is left into smaller ones, so the rounds end.
     """
-    current, accepted = communities(nodes, edges), None
-    for _ in range(max_rounds):
+    edges = _checkpoint(edges)
+    current, accepted = communities(nodes, edges, algo=algo), None
+    while True:
         current = _checkpoint(current)
         low = density(current, edges).where("density < 1").select("com_id")
         fine = current.join(low, "com_id", "left_anti")
@@ -181,7 +237,6 @@ def dense_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10)
         same = again.groupBy("parent").agg(F.count_distinct("com_id").alias("k")).where("k = 1").select("parent")
         accepted = accepted.union(again.join(same, "parent").select("com_id", "id"))
         current = again.join(same, "parent", "left_anti").select("com_id", "id")
-    return accepted.union(current)
 
 
 def _split(rest: DataFrame, inner: DataFrame) -> DataFrame:
@@ -207,6 +262,45 @@ def select_groups(coms: DataFrame) -> DataFrame:
     return coms.where("n > 1 and ((meansim >= 0.7 and meanlen > 3) or (meansim = 1 and meanlen <= 3))")
 
 
+def word_groups(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=None) -> DataFrame:
+    """(com_id, n, density, meansim, meanlen, lemma, selected) of every community."""
+    coms = density(members, edges).join(mean_similarity(members, nodes, edges, sm), "com_id").join(mean_length(members, nodes), "com_id").join(representative(members, nodes, edges), "com_id")
+    return coms.join(select_groups(coms).select("com_id", F.lit(True).alias("selected")), "com_id", "left").fillna(False, ["selected"])
+
+
+def fine_tune(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm, minsim: float = 0.5) -> DataFrame:
+    """Communities of short words built again: their words scored phonetically (sm) pair by pair within a
+    community, edges of `minsim` or more kept, communities found anew; the others stay. Members (com_id, id).
+    """
+    from textloom.operators.similarity import similarity
+
+    coms = mean_similarity(members, nodes, edges).join(mean_length(members, nodes), "com_id")
+    again = short_word_candidates(coms).select("com_id")
+    part = _checkpoint(members.join(again, "com_id").join(nodes, "id"))
+    a, b = part.toDF("src", "com_id", "x"), part.toDF("dst", "com_id", "y")
+    pairs = a.join(b, "com_id").where("src < dst")
+    scored = similarity(pairs, sm, gap_start=1.0, phonetic=True, disfavour=1).where(F.col("normsim") >= minsim)
+    found = communities(part.select("id", "form"), scored.select("src", "dst", F.col("normsim").alias("weight")))
+    return members.join(again, "com_id", "left_anti").select("com_id", "id").union(found)
+
+
+def resume(spark, path: str) -> DataFrame | None:
+    """The communities of the last finished round below path (round numbers compared as numbers), None before the first."""
+    try:
+        rounds = spark.read.parquet(path).where("round is not null")
+    except Exception as e:  # noqa: BLE001 - no round has been written
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    last = rounds.agg(F.max(F.col("round").cast("int"))).first()[0]
+    return None if last is None else rounds.where(F.col("round").cast("int") == last).drop("round")
+
+
+def save_round(members: DataFrame, path: str, number: int) -> None:
+    """One round's communities below path, so that a training can go on from there."""
+    members.write.mode("overwrite").parquet(f"{path}/round={number}")
+
+
 def short_word_candidates(coms: DataFrame) -> DataFrame:
     """Communities that are scored again phonetically."""
     return coms.where("(meansim < 0.8 and meanlen <= 6) or meanlen <= 3")
@@ -223,7 +317,7 @@ def join_groups(groups: DataFrame, external: DataFrame) -> DataFrame:
 
     A lemma must reach two groups; groups claimed by more than one lemma are dropped first, and two must remain.
     """
-    claims = groups.join(external, "form").select("group_id", "lemma").distinct()
+    claims = groups.join(external, "form").select("group_id", "lemma").distinct()  # equal claims are one
     wide = claims.groupBy("lemma").agg(F.count("*").alias("k")).where("k >= 2").select("lemma")
     claims = claims.join(wide, "lemma")
     twice = claims.groupBy("group_id").agg(F.count("*").alias("k")).where("k > 1").select("group_id")
@@ -232,6 +326,17 @@ def join_groups(groups: DataFrame, external: DataFrame) -> DataFrame:
     return claims.join(left, "lemma").select("group_id", "lemma")
 
 
+def merge_groups(groups: DataFrame, coms: DataFrame, external: DataFrame) -> DataFrame:
+    """The merged groups of join_groups: (lemma, groups, representative, meansim).
+
+    coms(group_id, n, lemma, meansim): the representative is the lemma of the
+    largest group (ties to the smaller group id), meansim the mean of the groups.
+    """
+    rows = join_groups(groups, external).join(coms.withColumnRenamed("lemma", "own"), "group_id")
+    first = F.min(F.struct((-F.col("n")).alias("n"), "group_id", "own"))
+    return rows.groupBy("lemma").agg(F.sort_array(F.collect_list("group_id")).alias("groups"), first.alias("f"), F.avg("meansim").alias("meansim")).select("lemma", "groups", F.col("f.own").alias("representative"), "meansim")
+
+
 def join_lone_words(words: DataFrame, external: DataFrame) -> DataFrame:
     """Lone words(form) that share an external lemma with another."""
     got = words.join(external, "form")
@@ -254,8 +359,9 @@ def lemmatise(rows: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
     return got.groupBy(*keys).agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("pos", out.alias("t")))), lambda p: p["t"])).alias("text"))
 
 
-def train(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members and the lemma map of the word graph."""
-    members = _checkpoint(dense_communities(nodes, edges))
+def train(nodes: DataFrame, edges: DataFrame, algo: str = "louvain") -> tuple[DataFrame, DataFrame]:
+    """Members and the lemma map of the word graph; algo finds the first communities."""
+    nodes, edges = _checkpoint(nodes), _checkpoint(edges)
+    members = _checkpoint(dense_communities(nodes, edges, algo))
     reps = representative(members, nodes, edges)
     return members, assign_lemmas(nodes, members, reps)

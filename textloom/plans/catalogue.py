@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import tables
 from textloom.operators import clean, detect, extract, matches, reports, segment, similarity, vocab, wordgraph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _TOK = "unnest(regexp_extract_all(lower(text), '[a-z]+'))"
 _VOC = f"v AS (SELECT word, docid, count(*) AS freq FROM (SELECT lang AS docid, {_TOK} AS word FROM documents) GROUP BY ALL)"
-_FRQ = f"f AS (SELECT word, count(*) AS globfreq FROM (SELECT {_TOK} AS word FROM documents) GROUP BY ALL)"
+_FRQ = f"f AS MATERIALIZED (SELECT word, count(*) AS globfreq FROM (SELECT {_TOK} AS word FROM documents) GROUP BY ALL)"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -104,6 +105,22 @@ def clean_camel(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(clean.split_camel(F.col("text")).cast("binary")).alias("text_md5"))
 
 
+_W = r"[\pL\pM\p{Nd}\p{Pc}]"
+_GLUE = "regexp_replace({0}, '(" + _W + r")[\x09-\x0d\x{85} \x{a0}\x{2028}\x{2029}\x{2000}-\x{200a}\x{3000}]([befghknopqrstwyz])([^\pL\pM\p{Nd}\p{Pc}])', '\\1' || chr(57344) || '\\2\\3', 'g')"
+
+
+@query("SELECT doc_id, md5(replace(" + _GLUE.replace("{0}", _GLUE.replace("{0}", "text")) + ", chr(57344), '')) AS text_md5 FROM documents")
+def clean_glue(s, d):
+    """C2."""
+    return table(s, d, "documents").select("doc_id", F.md5(clean.glue_consonant(F.col("text")).cast("binary")).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[\x09-\x0d\x{85} \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text_md5 FROM documents")
+def clean_squeeze(s, d):
+    """C7."""
+    return table(s, d, "documents").select("doc_id", F.md5(clean.squeeze(F.col("text")).cast("binary")).alias("text_md5"))
+
+
 @query(f"WITH {_FRQ} SELECT word, globfreq FROM f WHERE regexp_matches(word, '^[ijvxlcdmIJVXLCDM]+$') AND NOT regexp_matches(word, '^[vV][ijIJ]{{1,2}}[lL][lL]?$') AND NOT regexp_matches(word, '^[ijIJ]{{1,2}}[mM]')")
 def roman_numbers(s, d):
     return vocab.totals(_vocab(s, d)).where(clean.is_number(F.col("word")))
@@ -124,7 +141,7 @@ def clean_second(s, d):
 
 # --- word joining
 
-_BIGRAMS = "b AS (SELECT DISTINCT w[i] AS t1, w[i + 1] AS t2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)))"
+_BIGRAMS = "b AS MATERIALIZED (SELECT DISTINCT w[i] AS t1, w[i + 1] AS t2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)))"
 _NUM = "(regexp_matches({0}, '^[ijvxlcdm]+$') AND NOT regexp_matches({0}, '^v[ij]{{1,2}}ll?$') AND NOT regexp_matches({0}, '^[ij]{{1,2}}m'))"
 _N1, _N2 = _NUM.format("t1"), _NUM.format("t2")
 _DECIDE = f"""WITH {_FRQ}, {_BIGRAMS}, x AS (SELECT t1, t2, coalesce(j.globfreq, 0) AS fj, coalesce(a.globfreq, 0) AS fa, coalesce(c.globfreq, 0) AS fb FROM b
@@ -136,7 +153,7 @@ ELSE NOT ({_N1} OR {_N2}) AND (fj >= 2 OR fa = 1 OR fb = 1) END AS is_join FROM
 
 
 def _bigrams(s, d):
-    return segment.ngrams(table(s, d, "benchmark"), 2, ["item_id"]).select(F.split("gram", " ")[0].alias("t1"), F.split("gram", " ")[1].alias("t2")).distinct()
+    return segment.ngrams(table(s, d, "documents"), 2, ["doc_id"]).select(F.split("gram", " ")[0].alias("t1"), F.split("gram", " ")[1].alias("t2")).distinct()
 
 
 @query(_DECIDE)
@@ -151,7 +168,7 @@ def prefix_join(s, d):
 
 @query()
 def line_end_join(s, d):
-    rows = table(s, d, "benchmark").select("item_id", F.lower(F.replace("text", F.lit("\n"), F.lit("#lb#"))).alias("text"))
+    rows = table(s, d, "documents").select("doc_id", F.lower(F.replace("text", F.lit("\n"), F.lit("#lb#"))).alias("text"))
     return vocab.join_line_ends(rows, vocab.totals(_vocab(s, d)))
 
 
@@ -271,23 +288,21 @@ def _numbered(words):
 
 
 def _nodes(s, d):
-    """The nodes of the graph_* queries, whose SQL has the same filter: frequent words of four letters or more, numbered by word (a rank without one global sort: words are ids' order)."""
-    return _numbered(vocab.totals(_vocab(s, d)).where("globfreq >= 50 and length(word) >= 4").select("word"))
+    return _forms(s, d)
 
 
 def _edges(s, d):
-    """A rule that SQL can express as well: words of equal first four letters, weight by length."""
+    """A rule that SQL can express as well: a word and the word without its last letter, weight by length."""
     n = _nodes(s, d)
-    a, b = n.toDF("src", "fa"), n.toDF("dst", "fb")
-    same = a.withColumn("k", F.substring("fa", 1, 4)).join(b.withColumn("k", F.substring("fb", 1, 4)), "k").where("fa < fb")
-    return same.select("src", "dst", (F.least(F.length("fa"), F.length("fb")) / F.greatest(F.length("fa"), F.length("fb"))).alias("weight"))
+    longer = n.select(F.col("id").alias("dst"), F.col("form").alias("fb"), F.expr("left(form, length(form) - 1)").alias("fa")).where("fa <> ''")
+    return longer.join(n.toDF("src", "fa"), "fa").select("src", "dst", (F.length("fa") / F.length("fb")).alias("weight"))
 
 
-_NODES = f"{_FRQ}, n AS (SELECT word AS form FROM f WHERE globfreq >= 50 AND length(word) >= 4), e AS (SELECT x.form AS fa, y.form AS fb, least(length(x.form), length(y.form)) / greatest(length(x.form), length(y.form)) AS weight FROM n x JOIN n y ON x.form[1:4] = y.form[1:4] AND x.form < y.form), m AS (SELECT form[1:4] AS com, form FROM n)"
+_NODES = f"{_FRQ}, n AS (SELECT word AS form FROM f), e AS (SELECT x.form AS fa, y.form AS fb, length(x.form) / length(y.form) AS weight FROM n y JOIN n x ON x.form = y.form[1:len(y.form) - 1]), m AS (SELECT form[1:3] AS com, form FROM n)"
 
 
 def _members(s, d):
-    return _nodes(s, d).select(F.substring("form", 1, 4).alias("com_id"), "id")
+    return _nodes(s, d).select(F.substring("form", 1, 3).alias("com_id"), "id")
 
 
 @query(f"WITH {_NODES} SELECT form FROM n WHERE form NOT IN (SELECT fa FROM e UNION SELECT fb FROM e)")
@@ -295,7 +310,7 @@ def graph_isolates(s, d):
     return wordgraph.isolates(_nodes(s, d), _edges(s, d)).select("form")
 
 
-@query(f"WITH {_NODES} SELECT com AS com_id, count(*) AS n, 1.0::DOUBLE AS density FROM m GROUP BY com")
+@query(f"WITH {_NODES}, i AS (SELECT fa[1:3] AS com, count(*) AS k FROM e WHERE fa[1:3] = fb[1:3] GROUP BY 1) SELECT com AS com_id, count(*) AS n, CASE WHEN count(*) = 1 THEN 1.0 ELSE 2.0::DOUBLE * coalesce(max(k), 0) / (count(*) * (count(*) - 1)) END AS density FROM m LEFT JOIN i USING (com) GROUP BY com")
 def graph_density(s, d):
     return wordgraph.density(_members(s, d), _edges(s, d))
 
@@ -305,19 +320,49 @@ def graph_mean_length(s, d):
     return wordgraph.mean_length(_members(s, d), _nodes(s, d))
 
 
-@query(f"""WITH {_NODES}, b AS (SELECT fa AS form, weight FROM e UNION ALL SELECT fb, weight FROM e), w AS (SELECT form, avg(weight) AS w FROM b GROUP BY form), l AS (SELECT com, avg(length(form)) AS meanlen FROM m GROUP BY com)
+@query(f"""WITH {_NODES}, b AS (SELECT fa AS form, weight FROM e WHERE fa[1:3] = fb[1:3] UNION ALL SELECT fb, weight FROM e WHERE fa[1:3] = fb[1:3]), w AS (SELECT form, avg(weight) AS w FROM b GROUP BY form), l AS (SELECT com, avg(length(form)) AS meanlen FROM m GROUP BY com)
 SELECT com AS com_id, form AS lemma FROM m JOIN l USING (com) LEFT JOIN w USING (form) QUALIFY row_number() OVER (PARTITION BY com ORDER BY round(coalesce(w, 0), 9) DESC, round(abs(length(form) - meanlen), 9), form) = 1""")
 def graph_representative(s, d):
     return wordgraph.representative(_members(s, d), _nodes(s, d), _edges(s, d))
 
 
-@query(f"WITH {_NODES} SELECT form, min(form) OVER (PARTITION BY com) AS lemma FROM m")
+@query("WITH RECURSIVE " + _NODES + """, r AS (SELECT form, form AS root FROM n UNION ALL SELECT r.form, n.form FROM r JOIN n ON n.form = r.root[1:len(r.root) - 1])
+SELECT form, arg_min(root, length(root)) AS lemma FROM r GROUP BY form""")
 def graph_components(s, d):
     n = _nodes(s, d)
-    comp = wordgraph.connected(n.select("id"), _edges(s, d)).join(n, "id")
+    n = wordgraph._checkpoint(n)
+    comp = wordgraph.connected(n.select("id"), wordgraph._checkpoint(_edges(s, d))).join(n, "id")
     return comp.join(comp.groupBy("component").agg(F.min("form").alias("lemma")), "component").select("form", "lemma")
 
 
+@query(f"WITH {_NODES} SELECT fb AS form, fa AS other, weight FROM e WHERE weight >= 0.5 AND (length(fa) >= 4 OR weight = 1)")
+def edge_filter(s, d):
+    """L3."""
+    n = _nodes(s, d)
+    rows = _edges(s, d).join(n.toDF("src", "other"), "src").withColumn("shorter", F.length("other"))
+    kept = similarity.refilter(rows, 0.5, 4)
+    return kept.join(n.toDF("src", "other"), "src").join(n.toDF("dst", "form"), "dst").select("form", "other", "weight")
+
+
+_COMS = "c AS (SELECT p_partkey AS com_id, p_size AS n, (p_partkey % 11) / 10.0::DOUBLE AS meansim, (p_partkey % 7) + 0.5::DOUBLE AS meanlen FROM part)"
+
+
+def _coms(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("com_id"), F.col("p_size").alias("n"), (F.col("p_partkey") % 11 / 10.0).alias("meansim"), (F.col("p_partkey") % 7 + F.lit(0.5)).alias("meanlen"))
+
+
+@query(f"WITH {_COMS} SELECT com_id FROM c WHERE n > 1 AND ((meansim >= 0.7 AND meanlen > 3) OR (meansim = 1 AND meanlen <= 3))")
+def select_wordgroups(s, d):
+    """L15."""
+    return wordgraph.select_groups(_coms(s, d)).select("com_id")
+
+
+@query(f"WITH {_COMS} SELECT com_id FROM c WHERE (meansim < 0.8 AND meanlen <= 6) OR meanlen <= 3")
+def short_communities(s, d):
+    """L14, its selection."""
+    return wordgraph.short_word_candidates(_coms(s, d)).select("com_id")
+
+
 @query()
 def word_edges(s, d):
     return similarity.word_edges(_forms(s, d))
@@ -331,14 +376,14 @@ def word_similarity(s, d):
 
 @query()
 def word_communities(s, d):
-    n = _forms(s, d)
-    return wordgraph.communities(n, similarity.word_edges(n))
+    n = wordgraph._checkpoint(_forms(s, d))
+    return wordgraph.communities(n, similarity.word_edges(n), algo="lpa")
 
 
 @query()
 def pseudo_lemmas(s, d):
-    n = _forms(s, d)
-    return wordgraph.train(n, similarity.word_edges(n))[1]
+    n = wordgraph._checkpoint(_forms(s, d))
+    return wordgraph.train(n, similarity.word_edges(n), algo="lpa")[1]
 
 
 _LEM = f"p AS (SELECT w[1:4] AS form, w AS lemma FROM (SELECT {_TOK} AS w FROM documents) WHERE length(w) >= 5), q AS (SELECT form, lemma, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT form, lemma FROM q QUALIFY row_number() OVER (PARTITION BY form ORDER BY n DESC, lemma) = 1)"
@@ -353,19 +398,20 @@ def _lemma_pairs(s, d):
     return vocab.tokens(table(s, d, "documents"), "doc_id").where("length(word) >= 5").select(F.substring("word", 1, 4).alias("form"), F.col("word").alias("lemma"))
 
 
-@query(f"WITH {_LEM}, t AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS tok FROM (SELECT item_id, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS w FROM benchmark)) SELECT item_id, string_agg(coalesce(lemma, tok), ' ' ORDER BY i) AS text FROM t LEFT JOIN l ON form = tok GROUP BY item_id")
+@query(f"WITH {_LEM}, t AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS tok FROM (SELECT doc_id AS item_id, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS w FROM documents)) SELECT item_id, md5(string_agg(coalesce(lemma, tok), ' ' ORDER BY i)) AS text_md5 FROM t LEFT JOIN l ON form = tok GROUP BY item_id")
 def lemmatize_text(s, d):
-    rows = table(s, d, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z ]", "").alias("text"))
-    return wordgraph.lemmatise(rows, wordgraph.majority_lemma(_lemma_pairs(s, d)), ["item_id"])
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("item_id"), F.regexp_replace(F.lower("text"), "[^a-z ]", "").alias("text"))
+    out = wordgraph.lemmatise(rows, wordgraph.majority_lemma(_lemma_pairs(s, d)), ["item_id"])
+    return out.select("item_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-_GROUPS = "gr AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS form FROM lineitem WHERE l_linenumber = 1), ex AS (SELECT p_partkey AS form, p_brand AS lemma FROM part WHERE p_size = 1)"
+_GROUPS = "gr AS (SELECT DISTINCT l_orderkey AS group_id, l_partkey AS form FROM lineitem), ex AS (SELECT p_partkey AS form, p_type AS lemma FROM part)"
 
 
 @query(f"WITH {_GROUPS}, c AS (SELECT DISTINCT group_id, lemma FROM gr JOIN ex USING (form)), c2 AS (SELECT * FROM c WHERE lemma IN (SELECT lemma FROM c GROUP BY lemma HAVING count(*) >= 2)), c3 AS (SELECT * FROM c2 WHERE group_id NOT IN (SELECT group_id FROM c2 GROUP BY group_id HAVING count(*) > 1)) SELECT group_id, lemma FROM c3 WHERE lemma IN (SELECT lemma FROM c3 GROUP BY lemma HAVING count(*) >= 2)")
 def join_wordgroups(s, d):
-    groups = table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("group_id"), F.col("l_partkey").alias("form")).distinct()
-    return wordgraph.join_groups(groups, table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("form"), F.col("p_brand").alias("lemma")))
+    groups = table(s, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("form")).distinct()
+    return wordgraph.join_groups(groups, table(s, d, "part").select(F.col("p_partkey").alias("form"), F.col("p_type").alias("lemma")))
 
 
 @query("SELECT p_partkey AS form, p_type AS lemma FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY p_type HAVING count(*) > 1)")
@@ -444,11 +490,11 @@ def pair_precision(s, d):
     return matches.pair_precision(*_gold_test(s, d))
 
 
-@query("SELECT doc_id AS match_id, 'x' AS docid, 1 AS \"start\", 4 AS \"end\", substr(text, 2, 4) AS passage FROM documents")
+@query("SELECT doc_id AS match_id, doc_id AS docid, doc_id % 50 AS \"start\", doc_id % 50 + doc_id % 7 AS \"end\", substr(text, doc_id % 50 + 1, doc_id % 7 + 1) AS passage FROM documents")
 def readable_passages(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("docid"), "text")
-    spans = docs.select(F.col("docid").alias("match_id"), "docid", F.lit(1).alias("start"), F.lit(4).alias("end"))
-    return matches.readable(spans, docs).withColumn("docid", F.lit("x"))
+    spans = docs.select(F.col("docid").alias("match_id"), "docid", (F.col("docid") % 50).alias("start"), (F.col("docid") % 50 + F.col("docid") % 7).alias("end"))
+    return matches.readable(spans, docs)
 
 
 def _marked(s, d):
@@ -468,6 +514,20 @@ def parse_segments(s, d):
     return matches.parse_segments(_marked(s, d))
 
 
+_LINES = "ln AS (SELECT l_orderkey, l_returnflag || l_linestatus || l_linenumber AS x, row_number() OVER o AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))"
+
+
+@query(f"WITH {_LINES} SELECT CAST(l_orderkey AS VARCHAR) AS docid, 's' || l_orderkey AS seg, 'free' AS type, 't' || l_orderkey AS corresp, CASE WHEN i = 1 THEN 2 ELSE 0 END::BIGINT AS \"start\", (CASE WHEN i = 1 THEN 2 ELSE 0 END + length(x) - 1)::BIGINT AS \"end\", x AS text FROM ln")
+def parse_segments_over_rows(s, d):
+    """A segment opens in the first line of an order and closes in its last."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(s, d, "lineitem").withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    key, x = F.col("l_orderkey").cast("string"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
+    head = F.when(F.col("i") == 1, F.concat(F.lit("ab$segstart_s"), key, F.lit("_free_t"), key, F.lit("$"))).otherwise("")
+    tail = F.when(F.col("i") == F.col("n"), F.concat(F.lit("$segend_s"), key, F.lit("$ef"))).otherwise("")
+    return matches.parse_segments(rows.select(key.alias("docid"), F.col("i").alias("row_idx"), F.concat(head, x, tail).alias("text")))
+
+
 @query(f"WITH {_SEGS}, c AS (SELECT b.seg || '-' || a.seg AS match_id, a.type, unnest([b.seg, a.seg]) AS seg FROM sg a JOIN sg b ON b.seg = a.corresp) SELECT match_id, c.type, CASE WHEN c.type IN ('literal', 'weak-literal') THEN c.type ELSE 'other' END AS class, docid, CAST(s AS BIGINT) AS \"start\", CAST(e AS BIGINT) AS \"end\" FROM c JOIN sg USING (seg)")
 def gold_matches(s, d):
     return matches.gold_split(matches.gold_matches(matches.parse_segments(_marked(s, d)))).select("match_id", "type", "class", "docid", "start", "end")
@@ -584,10 +644,85 @@ def text_ids(s, d):
 
 @query()
 def tool_inputs(s, d):
-    rows = table(s, d, "benchmark").select(F.concat(F.lit("b_"), F.col("item_id")).alias("textid"), "text")
+    rows = table(s, d, "documents").select(F.concat(F.lit("d_"), F.col("doc_id")).alias("textid"), "text")
     return reports.seed_input(rows).union(reports.gram_input(rows))
 
 
+# --- sources and sinks (S2-S11): written to the shared folder and read back
+
+
+_SAME = "SELECT doc_id, md5(text) AS text_md5, source FROM documents"
+
+
+def _kept(df):
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+
+
+@query(_SAME)
+def csv_roundtrip(s, d):
+    """Quoted, multi-line cells."""
+    path = tables.fresh_path(s, "csv")
+    tables.write_csv(table(s, d, "documents").select("doc_id", "text", "source"), path, delimiter=";")
+    return _kept(tables.read_csv(s, path, delimiter=";"))
+
+
+@query(_SAME)
+def json_lines_roundtrip(s, d):
+    """JSON lines, gzip."""
+    path = tables.fresh_path(s, "jsonl")
+    tables.write_json(table(s, d, "documents").select("doc_id", "text", "source"), path, compression="gzip")
+    return _kept(tables.read_json(s, path, schema="doc_id long, text string, source string", lines=True))
+
+
+@query("SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+def json_roundtrip(s, d):
+    """One JSON document, an array over several lines."""
+    path = tables.fresh_path(s, "json")
+    one = table(s, d, "benchmark").agg(F.to_json(F.collect_list(F.struct("item_id", "text")), {"pretty": "true"}).alias("value"))
+    tables.write_text(one.select("value"), path)
+    return tables.read_json(s, path, schema="item_id long, text string").select("item_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("SELECT md5(string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '|' ORDER BY item_id)) AS text_md5 FROM benchmark")
+def text_roundtrip(s, d):
+    """One file a text, read whole and stripped."""
+    path = tables.fresh_path(s, "text")
+    for part in range(2):  # written, then appended to
+        tables.write_text(table(s, d, "benchmark").where(F.col("item_id") % 2 == part).select(F.concat(F.lit("  "), "item_id", F.lit("\t"), "text", F.lit("\n ")).alias("value")).repartition(64, "value"), path, append=part > 0)
+    rows = tables.read_text(s, path).where("text <> ''").select(F.explode(F.split("text", r"\n \n(?=  \d+\t)")).alias("t"))
+    rows = rows.select(F.regexp_extract("t", r"^\s*(\d+)\t", 1).cast("long").alias("id"), F.regexp_replace("t", r"^\s*\d+\t", "").alias("t"))
+    rows = rows.select(F.struct("id", F.regexp_replace("t", r"^[ \t\n\r]+|[ \t\n\r]+$", "").alias("t")).alias("s"))
+    return rows.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x["t"]), "|").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {_NODES} SELECT fa, fb, weight FROM e WHERE weight > 0")
+def edges_from_csv(s, d):
+    """A similarity table as edges."""
+    path, n = tables.fresh_path(s, "sims"), _nodes(s, d)
+    rows = _edges(s, d).join(n.toDF("src", "w1"), "src").join(n.toDF("dst", "w2"), "dst").select("w1", "w2", F.lit(1.0).alias("sim"), F.col("weight").alias("normsim"), F.lit("-").alias("alignx"), F.lit("-").alias("aligny"))
+    own = n.select(F.col("form").alias("w1"), F.col("form").alias("w2"), F.lit(1.0).alias("sim"), F.lit(1.0).alias("normsim"), F.lit("-").alias("alignx"), F.lit("-").alias("aligny"))
+    tables.write_csv(rows.union(own), path, header=False)
+    got = tables.read_edges(s, path, n).join(n.toDF("src", "x"), "src").join(n.toDF("dst", "y"), "dst")
+    return got.select(F.least("x", "y").alias("fa"), F.greatest("x", "y").alias("fb"), "weight")
+
+
+@query(f"WITH {_NODES} SELECT form, com AS com_id FROM m")
+def model_roundtrip(s, d):
+    """Nodes, edges and communities of a model, saved and loaded."""
+    path = tables.fresh_path(s, "model")
+    tables.save_model(path, nodes=_nodes(s, d), edges=_edges(s, d), communities=_members(s, d))
+    model = tables.load_model(s, path, "nodes", "edges", "communities")
+    return model["communities"].join(model["nodes"], "id").select("form", "com_id")
+
+
+@query(f"WITH {_VOC} SELECT word, docid, freq FROM v")
+def vocab_load(s, d):
+    """V6."""
+    path = tables.fresh_path(s, "vocabulary")
+    _vocab(s, d).write.parquet(path)
+    return vocab.load(s, path)
+
+
 # --- extraction
 
 

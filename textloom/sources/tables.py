@@ -6,6 +6,11 @@ so any store Spark knows works. CSV cells stay strings, as in the data model.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,59 @@ from pyspark.sql import types as T
 PAGE = "text string, bookpart string, paragraph string, page int, fol string, gathering string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all nodes share: spark.checkpoint.dir. Only in local mode a temporary one stands in for it."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+        known = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder is left to its owner
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def read_lz4_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines in LZ4 frames (not Hadoop's block format), one file a row of the scan, decoded in pieces."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with pa.CompressedInputStream(pa.BufferReader(content), "lz4") as stream:
+                    rest = b""
+                    while piece := stream.read(1 << 20):
+                        *whole, rest = (rest + piece).split(b"\n")
+                        if whole:
+                            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in whole], pa.string())], ["value"])
+                    if rest:
+                        yield pa.RecordBatch.from_arrays([pa.array([rest.decode()])], ["value"])
+
+    got = files.mapInArrow(lines, "value string").where("value <> ''")
+    return got.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", schema: str | None = None) -> DataFrame:
     """S3: quoted, possibly multi-line CSV; columns are strings unless a schema is given."""
     reader = spark.read.options(header=header, multiLine=True, escape='"', sep=delimiter)
