@@ -57,13 +57,46 @@ def frequent_between(grams: DataFrame, low: int = 2, high: int = 100) -> DataFra
     return grams.join(df, "gram")
 
 
+#: Most hashes of grams that are sent to every task to leave out the others.
+KNOWN = 500_000
+
+
+def between_series(grams: DataFrame) -> DataFrame:
+    """The grams that stand in more than one series: only hashes are shuffled, and the others go before any join."""
+    h = F.xxhash64("gram")
+    held = grams.groupBy(h.alias("h")).agg(F.min("series").alias("lo"), F.max("series").alias("hi")).where("lo <> hi").select("h")
+    held = _checkpoint(held)
+    held = F.broadcast(held) if held.count() <= KNOWN else held
+    return grams.withColumn("h", h).join(held, "h", "left_semi").drop("h")
+
+
 def gram_matches(grams: DataFrame, source: str | None = None) -> DataFrame:
-    """(a, b, pa, pb, gram): equal grams of documents of different series, each pair once (or from source to the others)."""
-    a = grams.select("gram", F.col("series").alias("sa"), F.col("docid").alias("a"), F.col("pos").alias("pa"))
-    b = grams.select("gram", F.col("series").alias("sb"), F.col("docid").alias("b"), F.col("pos").alias("pb"))
-    if source is None:
-        return a.join(b, "gram").where("sa < sb").drop("sa", "sb")
-    return a.where(F.col("sa") == source).join(b.where(F.col("sb") != source), "gram").drop("sa", "sb")
+    """(a, b, pa, pb, gram): equal grams of documents of different series, each pair once (or from source to the others).
+
+    A gram meets the other series that hold it, never its own, so a frequent gram
+    makes as many rows as there are matches. Every gram counts.
+    """
+    shared = between_series(grams)
+    series = shared.groupBy("gram").agg(F.collect_set("series").alias("held"))
+    own = shared if source is None else shared.where(F.col("series") == source)
+    others = F.filter("held", (lambda x: x > F.col("series")) if source is None else (lambda x: x != F.col("series")))
+    a = own.join(series, "gram").select("gram", F.col("docid").alias("a"), F.col("pos").alias("pa"), F.explode(others).alias("sb"))
+    b = shared.select("gram", F.col("series").alias("sb"), F.col("docid").alias("b"), F.col("pos").alias("pb"))
+    return a.join(b, ["gram", "sb"]).select("gram", "a", "pa", "b", "pb")
+
+
+def blast_run(docs: DataFrame, **params) -> DataFrame:
+    """Passages of the seed detector whose clusters reach more than one series (F5), with the series."""
+    found = seed_and_extend(docs, **params).join(docs.select("docid", "series"), "docid")
+    wide = found.groupBy("cluster").agg(F.count_distinct("series").alias("k")).where("k > 1").select("cluster")
+    return found.join(wide, "cluster", "left_semi").select("cluster", "docid", "series", "start", "end")
+
+
+def gram_run(docs: DataFrame, **params) -> DataFrame:
+    """T4: passages of the gram detector, regrouped by cluster (F6): (cluster, matches)."""
+    from textloom.operators.reports import regroup
+
+    return regroup(gram_alignment(docs, **params).join(docs.select("docid", "series"), "docid").select("cluster", "docid", "series", "start", "end"))
 
 
 def candidate_pairs(matches: DataFrame, min_match: int) -> DataFrame:
@@ -80,12 +113,22 @@ def diagonal_seeds(matches: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("a", "b", "diag", "island").agg(F.min("pa").alias("start"), (F.max("pa") + k - 1).alias("end"), F.count("*").alias("hits")).drop("island")
 
 
-def islands(matches: DataFrame, max_gap: int, min_hits: int) -> DataFrame:
-    """T5: matches in source order; a new passage where either position moves more than max_gap. Kept from min_hits grams."""
+def islands(matches: DataFrame, max_gap: int, min_hits: int, window: int | None = None, in_window: int = 0) -> DataFrame:
+    """T5: matches in source order; a new passage where either position moves more than max_gap. Kept from min_hits grams.
+
+    With a window a passage begins only where in_window matches or more lie within
+    the next `window` positions, on both sides; matches before that are left out.
+    """
     w = Window.partitionBy("a", "b").orderBy("pa", "pb", "gram")
     gap = (F.col("pa") - F.lag("pa").over(w) > max_gap) | (F.abs(F.col("pb") - F.lag("pb").over(w)) > max_gap)
     rows = matches.withColumn("new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("island", F.sum("new").over(upto))
+    if window is not None:
+        ahead = lambda c: F.count("*").over(Window.partitionBy("a", "b").orderBy(c).rangeBetween(0, window - 1))
+        rows = rows.withColumn("dense", F.least(ahead("pa"), ahead("pb")) >= in_window)
+        inside = Window.partitionBy("a", "b", "island").orderBy("pa", "pb", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("open", F.max("dense").over(inside)).where("open")
     out = rows.groupBy("a", "b", "island").agg(F.min("pa").alias("start_a"), F.max("pa").alias("end_a"), F.min("pb").alias("start_b"), F.max("pb").alias("end_b"), F.count_distinct("gram").alias("hits"))
     return out.where(F.col("hits") >= min_hits).drop("island")
 
@@ -255,21 +298,27 @@ def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.0
     return passages.withColumnRenamed("docid", "rep").join(copies, "rep").select("cluster", "docid", "start", "end")
 
 
-def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df: int = 100, gap: int = 200, floating: bool = True, beam: int = 20, min_align: int = 50, pcopy: float = 0.8) -> DataFrame:
-    """Character n-gram candidates, islands of anchors, banded local alignment, clusters."""
+def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df: int = 100, gap: int = 200, floating: bool = True, beam: int = 20, min_align: int = 50, pcopy: float = 0.8, all_pairs: bool = False) -> DataFrame:
+    """Character n-gram candidates, islands of anchors, banded local alignment, clusters.
+
+    all_pairs compares documents of one series as well (each is a series of its own).
+    """
+    if all_pairs:
+        docs = docs.withColumn("series", F.col("docid"))
     m = gram_matches(frequent_between(char_grams(docs, n, floating), 2, max_df))
     m = m.join(candidate_pairs(m, min_match).select("a", "b"), ["a", "b"])
     return cluster_passages(align_regions(islands(m, gap, min_match).drop("hits"), docs, pcopy=pcopy, beam=beam, min_align=min_align))
 
 
-def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, in_docs: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
-    """T5 without its matching-window rule: (a, b, start_a, end_a, start_b, end_b, hits, banal): positions are token numbers; passages closer than half their length merge."""
+def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, window: int = 30, in_docs: int = 4, in_window: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
+    """T5: (a, b, start_a, end_a, start_b, end_b, hits, banal): positions are token numbers; passages closer than half their length merge."""
     grams = word_grams(docs, ngram, gap, word_order)
     df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df"))
     edge = df.approxQuantile("df", [1 - common], 0.001)
     m = gram_matches(grams, source).join(df, "gram")
     m = m.join(candidate_pairs(m, in_docs).select("a", "b"), ["a", "b"])
-    runs = islands(m, max_gap, minimum)
+    m = _checkpoint(m)
+    runs = islands(m, max_gap, minimum, window, in_window)
     w = Window.partitionBy("a", "b").orderBy("start_a")
     close = F.col("start_a") - F.lag("end_a").over(w) <= 0.5 * (F.lag("end_a").over(w) - F.lag("start_a").over(w))
     runs = runs.withColumn("new", F.when(F.coalesce(close, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

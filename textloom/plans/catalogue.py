@@ -106,7 +106,7 @@ def clean_camel(s, d):
 
 
 _W = r"[\pL\pM\p{Nd}\p{Pc}]"
-_GLUE = "regexp_replace({0}, '(" + _W + r")[\x09-\x0d\x{85} \x{a0}\x{2028}\x{2029}\x{2000}-\x{200a}\x{3000}]([befghknopqrstwyz])([^\pL\pM\p{Nd}\p{Pc}])', '\\1' || chr(57344) || '\\2\\3', 'g')"
+_GLUE = "regexp_replace({0}, '(" + _W + r")[\x09-\x0d\x{85} \x{a0}\x{2028}\x{2029}\x{2000}-\x{200a}\x{3000}]([befghknopqrstwyz])([^\pL\pM\p{Nd}\p{Pc}])', '\1' || chr(57344) || '\2\3', 'g')"
 
 
 @query("SELECT doc_id, md5(replace(" + _GLUE.replace("{0}", _GLUE.replace("{0}", "text")) + ", chr(57344), '')) AS text_md5 FROM documents")
@@ -235,11 +235,11 @@ def insertions(s, d):
 
 _SERIES = "d AS (SELECT 'd' AS series, 'd' || doc_id AS docid, lower(text) AS text FROM documents UNION ALL SELECT 'b', 'b' || item_id, lower(text) FROM benchmark)"
 _WG = "g AS (SELECT DISTINCT series, docid, CAST(i - 1 AS INTEGER) AS pos, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT series, docid, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT series, docid, list_filter(regexp_extract_all(text, '[a-z]+'), lambda x: length(x) >= 2) AS w FROM d)))"
-_WM = f"WITH {_SERIES}, {_WG}, k AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT docid) BETWEEN 2 AND 100), h AS (SELECT * FROM g WHERE gram IN (SELECT gram FROM k)), m AS (SELECT x.docid AS a, y.docid AS b, x.pos AS pa, y.pos AS pb, gram FROM h x JOIN h y USING (gram) WHERE x.series < y.series)"
+_WM = f"WITH {_SERIES}, {_WG}, m AS (SELECT x.docid AS a, y.docid AS b, x.pos AS pa, y.pos AS pb, x.gram FROM (SELECT * FROM g WHERE series = 'b') x JOIN (SELECT * FROM g WHERE series = 'd') y ON x.gram = y.gram)"
 
 
 def _word_matches(s, d):
-    return detect.gram_matches(detect.frequent_between(detect.word_grams(_series(s, d), 5), 2, 100))
+    return detect.gram_matches(detect.word_grams(_series(s, d), 5))
 
 
 @query(_WM + " SELECT a, b, count(DISTINCT gram) AS shared FROM m GROUP BY a, b HAVING count(DISTINCT gram) >= 5")
@@ -260,9 +260,19 @@ def gram_islands(s, d):
     return detect.islands(_word_matches(s, d), 15, 4)
 
 
+@query(_WM + """, y AS (SELECT *, CASE WHEN coalesce(pa - lag(pa) OVER o > 5 OR abs(pb - lag(pb) OVER o) > 5, true) THEN 1 ELSE 0 END AS new,
+least(count(*) OVER (PARTITION BY a, b ORDER BY pa RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING), count(*) OVER (PARTITION BY a, b ORDER BY pb RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)) >= 3 AS dense FROM m WINDOW o AS (PARTITION BY a, b ORDER BY pa, pb, gram)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY a, b ORDER BY pa, pb, gram ROWS UNBOUNDED PRECEDING) AS isl FROM y),
+u AS (SELECT *, max(dense) OVER (PARTITION BY a, b, isl ORDER BY pa, pb, gram ROWS UNBOUNDED PRECEDING) AS op FROM z)
+SELECT a, b, min(pa) AS start_a, max(pa) AS end_a, min(pb) AS start_b, max(pb) AS end_b, count(DISTINCT gram) AS hits FROM u WHERE op GROUP BY a, b, isl HAVING count(DISTINCT gram) >= 3""")
+def window_islands(s, d):
+    """T5: passages that begin in a dense window."""
+    return detect.islands(_word_matches(s, d), 5, 3, window=10, in_window=3)
+
+
 @query()
 def window_alignment(s, d):
-    return detect.window_alignment(_series(s, d), "b", ngram=3, gap=1, in_docs=4, word_order=False)
+    return detect.window_alignment(_series(s, d), "b", ngram=3, gap=1, window=10, in_docs=3, in_window=3, minimum=3, max_gap=5, word_order=False)
 
 
 @query()
