@@ -166,16 +166,3 @@ def grid(spark, **axes: list) -> DataFrame:
 def prune_grid(configs: DataFrame) -> DataFrame:
     """Rules for window-alignment grids."""
     return configs.where("ngram >= gap and in_docs = in_window and in_window = minimum and max_gap <= window")
-
-
-def evaluate_grid(spark, gold: DataFrame, runs: list[tuple[dict, DataFrame]]) -> DataFrame:
-    """One score row for each (config, passages) run."""
-    out = None
-    for no, (config, found) in enumerate(runs):
-        test = found.withColumnRenamed("cluster", "match_id")
-        named = lambda d, s: d.toDF(*[f"{c}_{s}" for c in "rpf"])
-        row = named(score_matches(gold, test), "m").crossJoin(named(score_characters(gold, test), "ch")).crossJoin(named(score_clusters(gold, test), "cl"))
-        row = row.crossJoin(recall_list(gold, test).agg(F.count("*").alias("goldmatch_no"))).crossJoin(test.agg(F.count_distinct("match_id").alias("testmatch_no")))
-        row = row.select(F.lit(no).alias("run_no"), F.create_map(*[F.lit(str(x)) for kv in config.items() for x in kv]).alias("config"), "*")
-        out = row if out is None else out.union(row)
-    return out

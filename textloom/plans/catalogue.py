@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.sources import tables
 from textloom.operators import clean, detect, extract, matches, reports, segment, similarity, vocab, wordgraph
+from textloom.plans import drivers
+from textloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -581,11 +582,65 @@ def param_grid_segments(s, d):
     return matches.grid(s, **SEGMENT_GRID)
 
 
+_RUN_SIDES = "WITH " + _sql_spans("go", _KINDS[0], 0) + ", " + ", ".join(_sql_spans(f"t{i}", k, shift) for i, (k, shift) in enumerate((("purchase", 7), ("click", 3)))) + """, te AS (SELECT 0 AS run_no, * FROM t0 UNION ALL SELECT 1, * FROM t1),
+o AS (SELECT run_no, g.match_id AS g, t.match_id AS t, docid, g.s AS gs, g.e AS ge, t.s AS ts, t.e AS tee FROM go g JOIN te t USING (docid) WHERE g.s <= t.e AND t.s <= g.e),
+i AS (SELECT run_no, g, t FROM o GROUP BY ALL HAVING count(DISTINCT docid) > 1), j AS (SELECT o.* FROM o JOIN i USING (run_no, g, t)),
+m AS (SELECT run_no, count(DISTINCT g) / (SELECT count(DISTINCT match_id) FROM go) AS r_m, count(DISTINCT t) / any_value(n) AS p_m FROM i JOIN (SELECT run_no, count(DISTINCT match_id) AS n FROM te GROUP BY 1) USING (run_no) GROUP BY run_no),
+gx AS (SELECT run_no, count(*) AS n FROM (SELECT DISTINCT run_no, docid, gs, ge, unnest(range(greatest(gs, ts), least(ge, tee) + 1)) FROM j) GROUP BY 1), gd AS (SELECT run_no, sum(ge - gs + 1) AS k, count(*) AS c FROM (SELECT DISTINCT run_no, docid, gs, ge FROM j) GROUP BY 1),
+tx AS (SELECT run_no, count(*) AS n FROM (SELECT DISTINCT run_no, docid, ts, tee, unnest(range(greatest(gs, ts), least(ge, tee) + 1)) FROM j) GROUP BY 1), td AS (SELECT run_no, sum(tee - ts + 1) AS k, count(*) AS c FROM (SELECT DISTINCT run_no, docid, ts, tee FROM j) GROUP BY 1),
+gc AS (SELECT run_no, count(*) AS k FROM (SELECT DISTINCT run_no, g FROM i) JOIN go ON match_id = g GROUP BY 1), tc AS (SELECT i.run_no, count(*) AS k FROM (SELECT DISTINCT run_no, t FROM i) i JOIN te ON match_id = t AND te.run_no = i.run_no GROUP BY 1),
+x AS (SELECT run_no, r_m, p_m, gx.n / gd.k AS r_ch, tx.n / td.k AS p_ch, gd.c / gc.k AS r_cl, td.c / tc.k AS p_cl FROM m JOIN gx USING (run_no) JOIN gd USING (run_no) JOIN tx USING (run_no) JOIN td USING (run_no) JOIN gc USING (run_no) JOIN tc USING (run_no))
+SELECT CAST(run_no AS INTEGER) AS run_no, """ + ", ".join(f"round(r_{v}, 6) AS r_{v}, round(p_{v}, 6) AS p_{v}, round(2 * r_{v} * p_{v} / (r_{v} + p_{v}), 6) AS f_{v}" for v in ("m", "ch", "cl")) + " FROM x"
+
+
+@query(_RUN_SIDES)
+def run_scores(s, d):
+    """The passages of several runs scored in one plan."""
+    gold, test = _gold_test(s, d)
+    sides = [test, _spans(s, d, "click", 3)]
+    passages = None
+    for no, p in enumerate(sides):
+        p = p.select(F.lit(no).alias("run_no"), F.col("match_id").cast("string").alias("match_id"), "docid", "start", "end")
+        passages = p if passages is None else passages.union(p)
+    n = passages.groupBy("run_no").agg(F.count_distinct("match_id").alias("testmatch_no"))
+    runs = n.select("run_no", F.lit("window").alias("tool"), F.lit("unnorm/full").alias("input"), "testmatch_no")
+    out = drivers.score_runs(gold, drivers.Runs(runs, passages))
+    return out.select("run_no", *[f"{c}_{v}" for v in ("m", "ch", "cl") for c in "rpf"])
+
+
 @query()
 def grid_scores(s, d):
-    """Two parameter settings of window alignment, scored against each other's passages."""
-    gold, test = _gold_test(s, d)
-    return matches.evaluate_grid(s, gold, [({"shift": "0"}, gold.withColumnRenamed("match_id", "cluster")), ({"shift": "7"}, test.withColumnRenamed("match_id", "cluster"))]).drop("config")
+    """Window alignment run with two settings over documents and benchmark, scored against the benchmark passages that a third finds."""
+    docs = _series(s, d)
+    gold = drivers.detect_passages("window", docs, "b", ngram=5, in_docs=10, minimum=10).withColumnRenamed("cluster", "match_id")
+    settings = [{"ngram": 3, "window": w, "in_docs": 4, "in_window": 3, "minimum": 3, "max_gap": 5} for w in (5, 10)]
+    done = drivers.evaluate_runs({"unnorm/full": docs}, tables.written(gold, "gold"), [("window", p) for p in settings])
+    return drivers.score_runs(tables.written(gold, "gold"), done).select("run_no", "tool", "seg", "norm", "lem", "testmatch_no", "goldmatch_no", *[f"{c}_{v}" for v in ("m", "ch", "cl") for c in "rpf"])
+
+
+def _pages(s, d):
+    """Conversations as rows of a corpus: a turn is a page, its lines are broken at line ends."""
+    return table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("corpus"), F.lit("1").alias("bookpart"), F.lit("1").alias("paragraph"), F.col("turn").cast("int").alias("row_idx"), F.col("turn").cast("int").alias("page"), F.replace("text", F.lit("\n"), F.lit("#lb#")).alias("text"))
+
+
+@query()
+def prepared_corpus(s, d):
+    """The three phases over conversations."""
+    return drivers.clean_corpus(_pages(s, d))[0].select("corpus", "row_idx", "text")
+
+
+@query("""WITH w AS (SELECT conv_id, unnest(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ')) AS word FROM conversations)
+SELECT word, CAST(conv_id AS VARCHAR) AS docid, count(*) AS freq FROM w WHERE word <> '' GROUP BY ALL""")
+def token_vocabulary(s, d):
+    """V2: white-space tokens of rows without markers."""
+    rows = _pages(s, d).withColumn("text", F.lower(F.regexp_replace(F.replace("text", F.lit("#lb#"), F.lit(" ")), "[^a-zA-Z]+", " ")))
+    return drivers.whole_tokens(rows).groupBy("word", "docid").agg(F.count("*").alias("freq"))
+
+
+@query()
+def prepared_sentences(s, d):
+    """Conversations cleaned, joined and cut into sentences."""
+    return drivers.prepare(_pages(s, d))["unnorm", "sentences"].select("docid", "page", "text")
 
 
 # --- reports and formats
