@@ -13,8 +13,8 @@
    largest one are compared with all members of the others, so that no link is
    lost because it avoids the pivot. Only signatures travel for that, bucket by
    bucket; a bucket beyond BLOCK members is dealt into blocks that meet in
-   pairs. The texts of the pairs that the posterior leaves are then verified in
-   blocks of bounded size: a text is sent once for each block it has a pair in.
+   pairs. Texts are dealt into blocks of bounded size; a text is sent once to
+   each block where the posterior leaves it a pair, and is verified there.
 
 With 50 bands of 6 rows a pair at similarity 0.8 escapes every band with
 probability (1 - 0.8**6)**50 < 3e-7.
@@ -41,7 +41,7 @@ LOOK = 60
 #: Signatures in a block of a large bucket in the second comparison (two blocks meet in a task).
 BLOCK = 4096
 #: Bytes of shingle hashes in a block of verified texts, and of a pivot's candidates in one task.
-VERIFY_BYTES = 4 << 20
+VERIFY_BYTES = 2 << 20
 
 _MULT = np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = K._Q
@@ -191,55 +191,62 @@ def _starred(iterator, k: int, per_cent: int, miss: float):
     yield _out(found)
 
 
-@K.trimmed
-def _screened(iterator, per_cent: int, miss: float):
-    """Each key holds signatures of one or two blocks of a bucket; out come the pairs that may be links."""
+def _plausible_pairs(table: pa.Table, left: int, right: int, per_cent: int, miss: float):
+    """Row numbers (x, y) of the pairs of two blocks, in different components, that may be links; in pieces."""
+    comp, block, n = (table.column(c).to_numpy() for c in ("component", "block", "n"))
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+    i, j = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    step = max(1, (1 << 18) // max(1, len(j)))
+    for at in range(0, len(i), step):
+        x, y = np.repeat(i[at : at + step], len(j)), np.tile(j, len(i[at : at + step]))
+        ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y]))
+        if left == right:
+            ok &= x < y
+        x, y = x[ok], y[ok]
+        alive = _plausible(sigs, x, y, per_cent / 100, miss)
+        if len(alive):
+            alive.sort()
+            yield x[alive], y[alive]
+
+
+def _grouped(iterator):
+    """(left, right, rows) of each key (..., left, right), from a partition sorted by key; groups are of bounded size."""
     now, held = None, []
-
-    def pairs(left: int, right: int):
-        rows = pa.Table.from_batches(held)
-        ids, comp, block, n = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
-        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        step = max(1, (1 << 18) // max(1, len(j)))
-        for at in range(0, len(i), step):
-            x, y = np.repeat(i[at : at + step], len(j)), np.tile(j, len(i[at : at + step]))
-            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= per_cent * np.maximum(n[x], n[y]))
-            if left == right:
-                ok &= x < y
-            x, y = x[ok], y[ok]
-            alive = _plausible(sigs, x, y, per_cent / 100, miss)
-            if len(alive):
-                a, b = ids[x[alive]], ids[y[alive]]
-                yield _out([(np.minimum(a, b), np.maximum(a, b))])
-
-    for key, rows in _runs(iterator, "band", "left", "right"):
+    for key, rows in _runs(iterator, "key", "left", "right"):
         if key != now and held:
-            yield from pairs(*now[1:])
+            yield *now[1:], pa.Table.from_batches(held)
             held = []
         now = key
         held.append(rows)
     if held:
-        yield from pairs(*now[1:])
+        yield *now[1:], pa.Table.from_batches(held)
 
 
 @K.trimmed
-def _verified(iterator, k: int, per_cent: int):
-    """Each key holds the texts of one or two blocks (role 0) and then pairs of them (role 1)."""
-    now, sets, found = None, {}, []
-    for (lo, hi, role), rows in _runs(iterator, "lo", "hi", "role"):
-        if (lo, hi) != now:
-            now, sets = (lo, hi), {}
-        a = rows.column(rows.schema.get_field_index("a")).to_numpy()
-        if not role:
-            sets.update(zip(a.tolist(), shingle_sets(rows.column(rows.schema.get_field_index("text")), k)))
-            continue
-        b = rows.column(rows.schema.get_field_index("b")).to_numpy()
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        good = _holding(sets, a, b, per_cent)
-        found.append((a[good], b[good]))
-    yield _out(found)
+def _screened(iterator, per_cent: int, miss: float):
+    """Each key holds signatures of one or two blocks of a bucket; out comes, for each document, the blocks of texts where it may have links."""
+    for left, right, table in _grouped(iterator):
+        ids, home = table.column("id").to_numpy(), table.column("home").to_numpy()
+        found: set[tuple[int, int]] = set()
+        for x, y in _plausible_pairs(table, left, right, per_cent, miss):
+            both = np.unique(np.c_[np.r_[x, y], home[np.r_[y, x]]], axis=0)
+            found.update(map(tuple, both.tolist()))
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([int(ids[r]) for r, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.int64())], ["id", "meets"])
+
+
+@K.trimmed
+def _verified(iterator, k: int, per_cent: int, miss: float):
+    """Each key holds the texts of one or two blocks; out come the links between different components."""
+    for left, right, table in _grouped(iterator):
+        ids, sets = table.column("id").to_numpy(), {}
+        for x, y in _plausible_pairs(table, left, right, per_cent, miss):
+            new = np.array([r for r in np.unique(np.r_[x, y]).tolist() if r not in sets])
+            if len(new):
+                sets.update(zip(new.tolist(), shingle_sets(table.column("text").take(pa.array(new)), k)))
+            good = _holding(sets, x, y, per_cent)
+            if good.any():
+                yield _out([(ids[x[good]], ids[y[good]])])
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, per_cent: int = 80, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,20 +319,20 @@ def _beyond_pivots(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sourc
     part = part.join(size, "band").withColumn("rest", F.col("component") != F.col("main"))
     part = part.withColumn("block", F.expr("cast(if(rest, pmod(xxhash64(id), rests), rests + pmod(xxhash64(id), mains)) as int)"))
     part = part.withColumn("with", F.explode(F.expr("sequence(0, if(rest, rests + mains, rests) - 1)")))
-    part = part.select("band", "id", "component", "block", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
-    short = reps.select("id", "n", "sig").mapInArrow(_shortened, "id long, n long, sig binary")
-    rows = part.join(short, "id").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right", "id")
-    pairs = written(rows.mapInArrow(lambda it: _screened(it, per_cent, miss), "a long, b long").distinct(), "screened")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    volume = reps.join(ids, "id").agg(F.sum("n")).first()[0]
-    if volume is None:
+    part = part.select(F.col("band").alias("key"), "id", "component", "block", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
+    short = written(reps.join(part.select("id").distinct(), "id", "left_semi").select("id", "n", "sig").mapInArrow(_shortened, "id long, n long, sig binary"), "short")
+    homes = -(-(short.agg(F.sum("n")).first()[0] or 1) * 8 // VERIFY_BYTES)
+    home = F.pmod(F.xxhash64("id"), F.lit(homes)).cast("long")
+    rows = part.join(short, "id").withColumn("home", home).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
+    # pairs never become rows: a document is sent, once, to each block of texts where the posterior leaves it a pair
+    meets = written(rows.mapInArrow(lambda it: _screened(it, per_cent, miss), "id long, meets long").distinct(), "screened")
+    if not meets.head(1):
         return None
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-volume * 8 // VERIFY_BYTES))).cast("int")
-    placed = pairs.select("a", "b", F.least(of("a"), of("b")).alias("lo"), F.greatest(of("a"), of("b")).alias("hi"))
-    wanted = placed.select(F.col("a").alias("id"), "lo", "hi").union(placed.select("b", "lo", "hi")).distinct()
-    rows = wanted.join(_texts_of(ids, source), "id").select("lo", "hi", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = rows.union(placed.select("lo", "hi", F.lit(1), "a", "b", F.lit(None).cast("string"))).repartition("lo", "hi").sortWithinPartitions("lo", "hi", "role")
-    return written(rows.mapInArrow(lambda it: _verified(it, k, per_cent), "a long, b long"), "links")
+    ids = meets.select("id").distinct()
+    docs = _texts_of(ids, source).join(short, "id").join(labels, "id", "left").select("id", "text", "n", "sig", F.coalesce("component", "id").alias("component"), home.alias("block"))
+    rows = meets.join(docs, "id").withColumn("left", F.least("block", "meets")).withColumn("right", F.greatest("block", "meets")).withColumn("key", F.lit(0))
+    rows = rows.drop("meets").repartition("left", "right").sortWithinPartitions("key", "left", "right", "id")
+    return written(rows.mapInArrow(lambda it: _verified(it, k, per_cent, miss), "a long, b long"), "links")
 
 
 @K.trimmed
