@@ -41,7 +41,7 @@ LOOK = 60
 #: Signatures in a block of a large bucket in the second comparison (two blocks meet in a task).
 BLOCK = 4096
 #: Bytes of shingle hashes in a block of verified texts, and of a pivot's candidates in one task.
-VERIFY_BYTES = 2 << 20
+VERIFY_BYTES = 4 << 20
 
 _MULT = np.random.default_rng(11).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = K._Q
@@ -231,8 +231,10 @@ def _screened(iterator, per_cent: int, miss: float):
         for x, y in _plausible_pairs(table, left, right, per_cent, miss):
             both = np.unique(np.c_[np.r_[x, y], home[np.r_[y, x]]], axis=0)
             found.update(map(tuple, both.tolist()))
-        rows = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([int(ids[r]) for r, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.int64())], ["id", "meets"])
+        blocks: dict[int, list[int]] = {}
+        for r, h in sorted(found):
+            blocks.setdefault(int(ids[r]), []).append(h)
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(list(blocks.values()), pa.list_(pa.int64()))], ["id", "meets"])
 
 
 @K.trimmed
@@ -325,12 +327,13 @@ def _beyond_pivots(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sourc
     home = F.pmod(F.xxhash64("id"), F.lit(homes)).cast("long")
     rows = part.join(short, "id").withColumn("home", home).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
     # pairs never become rows: a document is sent, once, to each block of texts where the posterior leaves it a pair
-    meets = written(rows.mapInArrow(lambda it: _screened(it, per_cent, miss), "id long, meets long").distinct(), "screened")
+    meets = rows.mapInArrow(lambda it: _screened(it, per_cent, miss), "id long, meets array<long>")
+    meets = written(meets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("meets"))).alias("meets")), "screened")
     if not meets.head(1):
         return None
-    ids = meets.select("id").distinct()
+    ids = meets.select("id")
     docs = _texts_of(ids, source).join(short, "id").join(labels, "id", "left").select("id", "text", "n", "sig", F.coalesce("component", "id").alias("component"), home.alias("block"))
-    rows = meets.join(docs, "id").withColumn("left", F.least("block", "meets")).withColumn("right", F.greatest("block", "meets")).withColumn("key", F.lit(0))
+    rows = meets.join(docs, "id").withColumn("meets", F.explode("meets")).withColumn("left", F.least("block", "meets")).withColumn("right", F.greatest("block", "meets")).withColumn("key", F.lit(0))
     rows = rows.drop("meets").repartition("left", "right").sortWithinPartitions("key", "left", "right", "id")
     return written(rows.mapInArrow(lambda it: _verified(it, k, per_cent, miss), "a long, b long"), "links")
 
