@@ -234,7 +234,7 @@ def _coder(shared) -> Coder:
 def _encoded(iterator, shared, text: int):
     coder = _coder(shared)
     for batch in iterator:
-        for lo, hi in K.batches(batch.column(text), 2 << 20):
+        for lo, hi in K.batches(batch.column(text), 1 << 19):
             part = batch.slice(lo, hi - lo)
             ids, offs = coder.encode(part.column(text).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))], [*part.schema.names, "ids"])
