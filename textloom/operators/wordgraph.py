@@ -167,10 +167,12 @@ def _bridged(ids: list, links: dict) -> dict:
 
 
 def _propagated(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Label propagation by joins. Labels that still swing between two states after max_rounds stay as they are."""
+    """Label propagation by joins. A node's own label counts as much as its heaviest edge, so that pairs do not swap theirs
+    for ever; what still changes after max_rounds stays as it is."""
     links, label = both_ways(edges), nodes.select("id", F.col("id").alias("com_id"))
+    own = _checkpoint(nodes.select("id").join(links.groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("weight")), "id", "left").fillna(1.0, ["weight"]))
     for _ in range(max_rounds):
-        votes = links.join(label.toDF("dst", "com_id"), "dst").select(F.col("src").alias("id"), "com_id", "weight").union(label.withColumn("weight", F.lit(1e-9)))
+        votes = links.join(label.toDF("dst", "com_id"), "dst").select(F.col("src").alias("id"), "com_id", "weight").union(label.join(own, "id").select("id", "com_id", "weight"))
         votes = votes.groupBy("id", "com_id").agg(F.round(F.sum("weight"), 9).alias("w"))
         new = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m")).select("id", F.col("m.com_id").alias("com_id"))
         new = _checkpoint(new)
