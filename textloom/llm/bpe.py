@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _NEAR = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
-#: Distinct pieces that a task remembers; beyond it starts anew.
+#: Distinct pieces that a task remembers; beyond it only those of the texts at hand stay.
 CACHE = 60_000
 #: Bytes of a piece from which rounds go by rank.
 LONG = 512
@@ -179,6 +179,14 @@ class Coder:
         self.size = np.concatenate([self.size, np.diff(cut)])
         self.flat = np.concatenate([self.flat, sym.astype(np.int32)])
 
+    def _forget(self, wanted: set) -> None:
+        """Keep the remembered pieces that are wanted now: frequent ones stay known."""
+        kept = [p for p in wanted if p in self.memory]
+        number = np.array([self.memory[p] for p in kept], np.int64)
+        self.flat, cut = _taken(self.flat, self.start[number], self.size[number])
+        self.start, self.size = cut[:-1], np.diff(cut)
+        self.memory = dict(zip(kept, range(len(kept))))
+
     def pieces(self, text: str) -> list:
         """Pieces of a text; an added token stands as its id."""
         find = (self.pattern if _BEYOND.search(text) else _NEAR).findall
@@ -196,8 +204,7 @@ class Coder:
         cut = [self.pieces(t) for t in batch]
         wanted = set().union(*cut)
         if len(self.memory) > CACHE:
-            self.memory.clear()
-            self.flat, self.start, self.size = self.flat[:0], self.start[:0], self.size[:0]
+            self._forget(wanted)
         fresh = [p for p in wanted if p not in self.memory and isinstance(p, str)]
         for p in fresh:
             if len(p) > LONG:
@@ -209,15 +216,19 @@ class Coder:
             self._keep(whole, np.array(whole), np.arange(len(whole) + 1))
         n = [len(c) for c in cut]
         number = np.array(list(map(self.memory.__getitem__, chain.from_iterable(cut))), np.int64)
-        size = self.size[number]
-        end = np.r_[0, np.cumsum(size)]
-        ids = self.flat[np.repeat(self.start[number] - end[:-1], size) + np.arange(end[-1])]
+        ids, end = _taken(self.flat, self.start[number], self.size[number])
         return ids, end[np.r_[0, np.cumsum(n)].astype(np.int64)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.tokens[ids].tolist()).decode("utf-8", "replace")
 
 
+def _taken(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of flat one after the other, their offsets)."""
+    end = np.r_[0, np.cumsum(size)].astype(np.int64)
+    return flat[np.repeat(start - end[:-1], size) + np.arange(end[-1])], end
+
+
 _coders: dict[int, Coder] = {}
 
 
