@@ -164,6 +164,24 @@ def test_long_pieces(spark):
     assert time.time() - began < 20
 
 
+def test_pieces_forgotten_and_texts_repeated(spark, monkeypatch):
+    """A full memory of pieces and copies within a batch change no token."""
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path, rnd = P.path("byte_bpe_50k.json"), random.Random(8)
+    lib = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    coder = bpe.Coder(bpe.load_tables(path))
+    for _ in range(30):
+        part = [" ".join(rnd.choice(WORDS) + rnd.choice(["", "!", "ß", str(rnd.randrange(99))]) for _ in range(rnd.randrange(40))) for _ in range(6)]
+        part = ["", *part, "<|endoftext|>", *part[:3]]
+        ids, offs = coder.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+    rows = [(i, t) for t in (prose(30, rnd), prose(9, rnd), "", None, prose(30, rnd)) for i in (1, 1, 2, None)]
+    rows += rows[:6]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path).collect()
+    assert [(r.doc_id, r.text, r.ids) for r in got] == [(i, t, lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+
+
 def cheapest(patterns, quotas, repeats):
     """Least cost of a greatest flow, word by word over the residual graph."""
     p, s = len(patterns), len(quotas)

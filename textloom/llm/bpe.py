@@ -247,7 +247,10 @@ def _encoded(iterator, shared, text: int):
     for batch in iterator:
         for lo, hi in K.batches(batch.column(text), 1 << 19):
             part = batch.slice(lo, hi - lo)
-            ids, offs = coder.encode(part.column(text).fill_null("").to_pylist())
+            apart = part.column(text).fill_null("").dictionary_encode()  # copies are encoded once
+            ids, offs = coder.encode(apart.dictionary.to_pylist())
+            which = apart.indices.to_numpy()
+            ids, offs = _taken(ids, offs[which], np.diff(offs)[which])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))], [*part.schema.names, "ids"])
 
 
