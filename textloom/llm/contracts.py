@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, imatch, language, mixing, permutation_index, quality, sanitise, substring_dedup, toxicity
+from textloom.llm import bpe, chat, cobucket, fill_in_middle, imatch, language, mixing, permutation_index, quality, sanitise, substring_dedup, toxicity
 from textloom.llm.near_dedup import near_duplicates
 
 
@@ -65,6 +65,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, read back; one more conversation holds control strings."""
+    return chat.digests(chat.with_control_case(_table(spark, sf_dir, "conversations")))
+
+
+def op12_cobucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sales and sale_lines rewritten into one file a table and bucket."""
+    return cobucket.sales_and_lines(_table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rearranged around a middle, and restored."""
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -72,8 +87,8 @@ def _tokenizer() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe, op5_mixing, op6_language, op7_imatch, op8_toxicity, op9_neighbours, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash, op2_substring, op3_pii, op4_bpe, op5_mixing, op6_language, op7_imatch, op8_toxicity, op9_neighbours, op10_quality, op11_chat, op12_cobucket, op13_fim)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op5_mixing": mixing.ORACLE, "op11_chat": chat.ORACLE, "op13_fim": fill_in_middle.ORACLE}
