@@ -36,8 +36,6 @@ from textloom.llm.shared import shared_dir, written
 RANGE_ROWS = 250_000
 #: Rows and bytes of a row group while files are appended.
 GROUP_ROWS, GROUP_BYTES = 1 << 17, 64 << 20
-#: Pieces on their way to a file are compressed.
-PACKED = pa.ipc.IpcWriteOptions(compression="lz4")
 
 
 @dataclass(frozen=True)
@@ -55,6 +53,11 @@ def bucket_of(key: Column, buckets: int, salt: str = "line") -> Column:
     return (F.crc32(F.concat(F.lit(salt), key.cast("string")).cast("binary")) % buckets).cast("long")
 
 
+def _packed(out, schema: pa.Schema) -> pa.ipc.RecordBatchStreamWriter:
+    """A compressed Arrow stream, for pieces on their way to a file."""
+    return pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
@@ -127,7 +130,7 @@ def write_start(table: Table, folder: str) -> DataFrame:
                         yield _piece(now, part, piece)
                     now, piece = int(numbers[lo]), f"{work}/{part}-{numbers[lo]}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{root}/{piece}")
-                    sink = pa.ipc.new_stream(out, schema, options=PACKED)
+                    sink = _packed(out, schema)
                 if hi > lo:
                     sink.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.slice(lo, hi - lo).columns[1:], schema)], schema=schema))
         if sink is not None:
@@ -210,7 +213,7 @@ def rewrite(table: Table, starts: DataFrame, folder: str, bucket: Column | tuple
         perm = pc.sort_indices(group["place"])
         piece = f"{work}/{part}-{number}-{uuid.uuid4().hex}"
         made = [group[f"c{k}"].take(perm).cast(f.type) for k, f in enumerate(schema)]  # column by column
-        with fs.open_output_stream(f"{root}/{piece}") as out, pa.ipc.new_stream(out, schema, options=PACKED) as sink:
+        with fs.open_output_stream(f"{root}/{piece}") as out, _packed(out, schema) as sink:
             sink.write_table(pa.table(made, schema=schema), max_chunksize=1 << 16)
         return pa.table({"number": [number], "part": [part], "piece": [piece]})
 
