@@ -67,7 +67,7 @@ def representative(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("com_id", F.col("form").alias("lemma"))
 
 
-def mean_similarity(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=None) -> DataFrame:
+def mean_similarity(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=None, **how) -> DataFrame:
     """Mean over all pairs of a community; pairs without an edge are scored."""
     from textloom.operators.similarity import similarity
 
@@ -76,7 +76,7 @@ def mean_similarity(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=N
     w = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
     pairs = pairs.join(w, ["src", "dst"], "left")
     known = pairs.where("weight is not null").select("com_id", "weight")
-    scored = similarity(pairs.where("weight is null").select("com_id", "x", "y"), sm).select("com_id", F.col("normsim").alias("weight"))
+    scored = similarity(pairs.where("weight is null").select("com_id", "x", "y"), sm, **how).select("com_id", F.col("normsim").alias("weight"))
     mean = known.union(scored).groupBy("com_id").agg(F.avg("weight").alias("meansim"))
     return members.select("com_id").distinct().join(mean, "com_id", "left").fillna(1.0, ["meansim"])
 
@@ -166,32 +166,146 @@ def _bridged(ids: list, links: dict) -> dict:
     return {i: min(component(i)) for i in ids}
 
 
-def _propagated(nodes: DataFrame, edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """Label propagation by joins. A node's own label counts as much as its heaviest edge, so that pairs do not swap theirs
-    for ever; what still changes after max_rounds stays as it is."""
-    links, label = both_ways(edges), nodes.select("id", F.col("id").alias("com_id"))
-    own = _checkpoint(nodes.select("id").join(links.groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("weight")), "id", "left").fillna(1.0, ["weight"]))
-    for _ in range(max_rounds):
-        votes = links.join(label.toDF("dst", "com_id"), "dst").select(F.col("src").alias("id"), "com_id", "weight").union(label.join(own, "id").select("id", "com_id", "weight"))
-        votes = votes.groupBy("id", "com_id").agg(F.round(F.sum("weight"), 9).alias("w"))
-        new = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m")).select("id", F.col("m.com_id").alias("com_id"))
-        new = _checkpoint(new)
-        settled = not new.exceptAll(label).head(1)
-        label = new
-        if settled:
+def _propagated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Label propagation by joins until every node has a label of the greatest weight among its neighbours.
+
+    A node moves only to a label that weighs more than its own (ties to the
+    smaller). Rounds move half of the nodes, by a bit of a hash, while they raise
+    the weight of all edges whose ends agree; after that only nodes move that come
+    before all their moving neighbours in an order of hashes. Such moves do not
+    touch each other, so each round raises that weight, and the rounds end.
+    """
+    links, label = _checkpoint(both_ways(edges)), _checkpoint(nodes.select("id", F.col("id").alias("com_id")))
+    best, high, apart, turn = label, -1.0, False, 0
+    while True:
+        votes = links.join(label.toDF("dst", "com_id"), "dst").groupBy(F.col("src").alias("id"), "com_id").agg(F.round(F.sum("weight"), 9).alias("w"))
+        votes = votes.join(label.toDF("id", "own"), "id").withColumn("own_w", F.when(F.col("com_id") == F.col("own"), F.col("w")))
+        told = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m"), F.coalesce(F.max("own_w"), F.lit(0.0)).alias("now"))
+        told = _checkpoint(told.select("id", F.col("m.com_id").alias("to"), (-F.col("m.w")).alias("most"), "now"))
+        agreed, waiting = told.agg(F.coalesce(F.sum("now"), F.lit(0.0)), F.count(F.when(F.col("most") > F.col("now"), 1))).first()
+        if not waiting:
             break
+        if not apart and agreed <= high:  # nodes that moved together have undone each other
+            label, apart = best, True
+            continue
+        best, high = label, agreed
+        moving = told.where("most > now").select("id", "to", F.xxhash64("id", F.lit(turn)).alias("rank"))
+        if apart:
+            near = links.join(moving.select(F.col("id").alias("src"), F.col("rank").alias("mine")), "src").join(moving.select(F.col("id").alias("dst"), F.col("rank").alias("theirs")), "dst")
+            behind = near.where("src <> dst and (theirs > mine or (theirs = mine and dst > src))").select(F.col("src").alias("id")).distinct()
+            moving = moving.join(behind, "id", "left_anti")
+        elif moving.where("pmod(rank, 2) = 0").head(1):
+            moving = moving.where("pmod(rank, 2) = 0")
+        label = _checkpoint(label.join(moving.select("id", "to"), "id", "left").select("id", F.coalesce("to", "com_id").alias("com_id")))
+        turn += 1
     low = label.groupBy("com_id").agg(F.min("id").alias("low"))
     return label.join(low, "com_id").select(F.col("low").alias("com_id"), "id")
 
 
+#: Edges of a graph up to which one task clusters it; larger ones are clustered by joins.
+IN_TASK = 100_000
+#: A level of the joins goes on while its rounds raise modularity by this much.
+GAIN = 1e-4
+
+
+def _louvain_in_tasks(rows: DataFrame, resolution: float) -> DataFrame:
+    """(graph, com_id, id) of rows(graph, src, dst, weight, total): each graph in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links: dict = defaultdict(dict)
+        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
+            links[s][d] = links[d][s] = w
+        ids = sorted(links)
+        com, low = _louvain(ids, links, float(pdf["total"].iloc[0]), resolution), {}
+        for i in ids:
+            low.setdefault(com[i], i)
+        return pd.DataFrame({"graph": pdf["graph"].iloc[0], "com_id": [low[com[i]] for i in ids], "id": ids})
+
+    return rows.groupBy("graph").applyInPandas(run, "graph long, com_id long, id long")
+
+
+def _louvain_by_joins(rows: DataFrame, resolution: float) -> DataFrame:
+    """The same for graphs of any size: local moves and contraction as joins, all graphs at once.
+
+    In a round every community is either left or entered, by a bit of a hash of
+    its id and the round, so neighbours do not swap places; a node goes to the
+    community that gains most (ties to the smaller id). Weights of communities are
+    rows of a table. The labels with the highest modularity are kept; a level ends
+    when four rounds have not raised it by GAIN, so the rounds are bounded by
+    4 / GAIN. Then communities become nodes, and levels end when none merges.
+    """
+    edges = _checkpoint(rows.select("graph", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight", "total"))
+    top = None  # id -> node of the present level
+    while True:
+        both = _checkpoint(edges.where("a <> b").select("graph", "a", "b", "weight").union(edges.where("a <> b").select("graph", "b", "a", "weight")).toDF("graph", "id", "other", "w"))
+        ends = edges.select("graph", "total", F.explode(F.array("a", "b")).alias("id"), "weight")
+        node = _checkpoint(ends.groupBy("graph", "id").agg(F.sum("weight").alias("deg"), F.first("total").alias("total")))
+        label, best, high, since, turn = node.withColumn("com", F.col("id")), None, None, 0, 0
+        loops = edges.where("a = b").agg(F.coalesce(F.sum(2 * F.col("weight") / F.col("total")), F.lit(0.0))).first()[0]
+        while since < 4:
+            label = _checkpoint(label)
+            inside = both.join(label.select(F.col("id").alias("other"), "com"), "other").groupBy("id", "com").agg(F.sum("w").alias("k"))
+            sums = label.groupBy("com").agg(F.sum("deg").alias("sum"), F.first("total").alias("total"))
+            own = label.select("id", "deg", "total", F.col("com").alias("mine"))
+            votes = _checkpoint(own.join(inside, "id").join(sums.select("com", "sum"), "com"))
+            # modularity of the labels as they are, scaled by each graph's weight
+            tied = votes.where("com = mine").agg(F.coalesce(F.sum(F.col("k") / F.col("total")), F.lit(0.0))).first()[0]
+            spread = sums.agg(F.sum(F.pow(F.col("sum") / F.col("total"), 2) / 2)).first()[0]
+            quality = tied + loops - resolution * spread
+            since = 0 if high is None or quality > high + GAIN else since + 1
+            if high is None or quality > high:
+                best, high = label, quality
+            if since == 4:
+                break
+            open_ = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0  # noqa: B023, E731
+            gain = F.col("k") - resolution * F.col("deg") / (2 * F.col("total")) * (F.col("sum") - F.when(F.col("com") == F.col("mine"), F.col("deg")).otherwise(0.0))
+            stay = F.max(F.when(F.col("com") == F.col("mine"), F.col("gain")))
+            choice = votes.withColumn("gain", F.round(gain, 12)).where((F.col("com") == F.col("mine")) | (open_(F.col("com")) & ~open_(F.col("mine"))))
+            rest = -resolution * F.col("deg") / (2 * F.col("total")) * (F.col("sum") - F.col("deg"))  # of a node without a link inside its community
+            choice = choice.groupBy("id").agg(stay.alias("stay"), F.min(F.struct((-F.col("gain")).alias("gain"), "com")).alias("m"))
+            label = label.join(choice, "id", "left").join(sums.select("com", "sum"), "com").withColumn("stay", F.coalesce("stay", F.round(rest, 12)))
+            label = label.select("graph", "id", "deg", "total", F.when(-F.col("m.gain") > F.col("stay") + 1e-12, F.col("m.com")).otherwise(F.col("com")).alias("com"))
+            turn += 1
+        moved = best.where("com <> id").limit(1).count()
+        top = best.select("graph", "id", "com") if top is None else _checkpoint(top.join(best.select(F.col("id").alias("com"), F.col("com").alias("up")), "com").select("graph", "id", F.col("up").alias("com")))
+        if not moved:
+            low = top.groupBy("com").agg(F.min("id").alias("com_id"))
+            return top.join(low, "com").select("graph", "com_id", "id")
+        at = best.select("id", "com")
+        merged = edges.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").groupBy("graph", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        edges = _checkpoint(merged.agg(F.sum("weight").alias("weight"), F.first("total").alias("total")))
+
+
+def _louvain_graphs(rows: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(graph, com_id, id) of rows(graph, src, dst, weight, total): com_id is the smallest id. Node ids belong to one graph."""
+    rows = _checkpoint(rows)
+    large = _checkpoint(rows.groupBy("graph").count().where(F.col("count") > IN_TASK).select("graph"))
+    if not large.head(1):
+        return _louvain_in_tasks(rows, resolution)
+    return _louvain_in_tasks(rows.join(large, "graph", "left_anti"), resolution).union(_louvain_by_joins(rows.join(large, "graph", "left_semi"), resolution))
+
+
+def modularity(members: DataFrame, edges: DataFrame, resolution: float = 1.0) -> float:
+    """Newman's modularity of members(com_id, id); an edge counts once."""
+    total = edges.agg(F.sum("weight")).first()[0]
+    if not total:
+        return 0.0
+    s, d = members.select(F.col("id").alias("src"), F.col("com_id").alias("cs")), members.select(F.col("id").alias("dst"), F.col("com_id").alias("cd"))
+    rows = _checkpoint(edges.join(s, "src").join(d, "dst"))
+    inside = rows.where("cs = cd").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    spread = rows.select(F.explode(F.array("cs", "cd")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("w")).agg(F.sum(F.pow("w", F.lit(2)))).first()[0]
+    return inside / total - resolution * spread / (4 * total * total)
+
+
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, algo: str = "louvain") -> DataFrame:
     """members(com_id, id). Components are clustered apart, with the modularity of the whole graph; com_id is the smallest id.
 
-    algo: louvain; greedy (the pair of communities whose union gains most modularity
-    is merged first); girvan_newman (the first split, taking away the heaviest edge
-    until a component falls apart); these three run a component in one task. lpa:
+    algo: louvain (a component of up to IN_TASK edges in one task, larger ones by
+    joins); greedy (the pair of communities whose union gains most modularity is
+    merged first); girvan_newman (the first split, taking away the heaviest edge
+    until a component falls apart); these two run a component in one task. lpa:
     synchronous label propagation to the heaviest label, ties to the smaller, as
-    joins over the whole graph, so that no component must fit in a task.
+    joins over the whole graph.
     """
     if algo not in ("louvain", "greedy", "girvan_newman", "lpa"):
         raise ValueError(f"unknown algorithm {algo}")
@@ -200,62 +314,56 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, alg
         return _propagated(nodes, edges)
     comp = connected(nodes, edges)
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    rows = edges.join(comp.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight")
+    rows = edges.join(comp.withColumnRenamed("id", "src"), "src").select(F.col("component").alias("graph"), "src", "dst", "weight", F.lit(total).alias("total"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links: dict = defaultdict(dict)
         for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
             links[s][d] = links[d][s] = w
         ids = sorted(links)
-        com = _louvain(ids, links, total, resolution) if algo == "louvain" else _greedy(ids, links, total, resolution) if algo == "greedy" else _bridged(ids, links)
+        com = _greedy(ids, links, total, resolution) if algo == "greedy" else _bridged(ids, links)
         low: dict = {}
         for i in ids:
             low.setdefault(com[i], i)
         return pd.DataFrame({"com_id": [low[com[i]] for i in ids], "id": ids})
 
-    found = rows.groupBy("component").applyInPandas(run, "com_id long, id long")
+    found = _louvain_graphs(rows, resolution).select("com_id", "id") if algo == "louvain" else rows.groupBy("graph").applyInPandas(run, "com_id long, id long")
     return found.union(isolates(nodes, edges).select(F.col("id").alias("com_id"), "id"))
 
 
-def dense_communities(nodes: DataFrame, edges: DataFrame, algo: str = "louvain") -> DataFrame:
+def dense_communities(nodes: DataFrame, edges: DataFrame, algo: str = "louvain", resolution: float = 1.0, folder: str | None = None) -> DataFrame:
     """Communities split again inside their own subgraph until each is a clique or does not split.
 
     A community that does not split is accepted; members without a link inside it become communities of their own.
-    Every round splits each community that is left into smaller ones, so the rounds end.
+    All sparse communities of a round are split in one plan; every round splits each
+    that is left into smaller ones, so the rounds end. With a folder each round is
+    saved there (L7), and a call goes on from the last round that was saved whole.
     """
     edges = _checkpoint(edges)
-    current, accepted = communities(nodes, edges, algo=algo), None
-    while True:
-        current = _checkpoint(current)
-        low = density(current, edges).where("density < 1").select("com_id")
-        fine = current.join(low, "com_id", "left_anti")
-        accepted = fine if accepted is None else accepted.union(fine)
+    state, number = (resume(nodes.sparkSession, folder), last_round(nodes.sparkSession, folder)) if folder else (None, None)
+    if state is None:
+        state, number = communities(nodes, edges, resolution, algo).withColumn("done", F.lit(False)), 0
+        state = save_round(state, folder, 0) if folder else _checkpoint(state)
+    while state.where("not done").head(1):
+        current = state.where("not done").select("com_id", "id")
+        low = _checkpoint(density(current, edges).where("density < 1").select("com_id"))
         rest = current.join(low, "com_id")
-        if not rest.head(1):
-            return accepted
         s, d = rest.select(F.col("id").alias("src"), F.col("com_id").alias("cs")), rest.select(F.col("id").alias("dst"), F.col("com_id").alias("cd"))
-        inner = _checkpoint(edges.join(s, "src").join(d, "dst").where("cs = cd").select("src", "dst", "weight", "cs"))
-        again = _split(rest, inner)
-        same = again.groupBy("parent").agg(F.count_distinct("com_id").alias("k")).where("k = 1").select("parent")
-        accepted = accepted.union(again.join(same, "parent").select("com_id", "id"))
-        current = again.join(same, "parent", "left_anti").select("com_id", "id")
-
-
-def _split(rest: DataFrame, inner: DataFrame) -> DataFrame:
-    """Louvain inside each community of its own: (parent, com_id, id)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: dict = defaultdict(dict)
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
-            links[s][d] = links[d][s] = w
-        com = _louvain(sorted(links), links, float(pdf["weight"].sum()), 1.0)
-        low: dict = {}
-        for i in sorted(links):
-            low.setdefault(com[i], i)
-        return pd.DataFrame({"parent": pdf["cs"].iloc[0], "com_id": [low[com[i]] for i in sorted(links)], "id": sorted(links)})
-
-    found = inner.groupBy("cs").applyInPandas(run, "parent long, com_id long, id long")
-    lone = rest.join(found.select("id"), "id", "left_anti").select(F.col("id").alias("parent"), F.col("id").alias("com_id"), "id")
+        inner = edges.join(s, "src").join(d, "dst").where("cs = cd").select(F.col("cs").alias("graph"), "src", "dst", "weight")
+        again = _checkpoint(_split(rest, _checkpoint(inner), resolution))
+        same = again.groupBy("parent").agg(F.count_distinct("com_id").alias("k")).select("parent", (F.col("k") == 1).alias("done"))
+        fine = current.join(low, "com_id", "left_anti").withColumn("done", F.lit(True))
+        new = state.where("done").unionByName(fine).unionByName(again.join(same, "parent").select("com_id", "id", "done"))
+        number += 1
+        state = save_round(new, folder, number) if folder else _checkpoint(new)
+    return state.select("com_id", "id")
+
+
+def _split(rest: DataFrame, inner: DataFrame, resolution: float) -> DataFrame:
+    """Louvain inside each community of rest(com_id, id) by its own edges inner(graph, src, dst, weight): (parent, com_id, id)."""
+    rows = inner.join(inner.groupBy("graph").agg(F.sum("weight").alias("total")), "graph")
+    found = _checkpoint(_louvain_graphs(rows.select("graph", "src", "dst", "weight", "total"), resolution).withColumnRenamed("graph", "parent"))
+    lone = rest.join(found.select("id"), "id", "left_anti").select(F.col("com_id").alias("parent"), F.col("id").alias("com_id"), "id")
     return found.union(lone)
 
 
@@ -264,43 +372,51 @@ def select_groups(coms: DataFrame) -> DataFrame:
     return coms.where("n > 1 and ((meansim >= 0.7 and meanlen > 3) or (meansim = 1 and meanlen <= 3))")
 
 
-def word_groups(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=None) -> DataFrame:
+def word_groups(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm=None, **how) -> DataFrame:
     """(com_id, n, density, meansim, meanlen, lemma, selected) of every community."""
-    coms = density(members, edges).join(mean_similarity(members, nodes, edges, sm), "com_id").join(mean_length(members, nodes), "com_id").join(representative(members, nodes, edges), "com_id")
+    coms = density(members, edges).join(mean_similarity(members, nodes, edges, sm, **how), "com_id").join(mean_length(members, nodes), "com_id").join(representative(members, nodes, edges), "com_id")
     return coms.join(select_groups(coms).select("com_id", F.lit(True).alias("selected")), "com_id", "left").fillna(False, ["selected"])
 
 
-def fine_tune(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm, minsim: float = 0.5) -> DataFrame:
-    """Communities of short words built again: their words scored phonetically (sm) pair by pair within a
-    community, edges of `minsim` or more kept, communities found anew; the others stay. Members (com_id, id).
+def fine_tune(members: DataFrame, nodes: DataFrame, edges: DataFrame, sm, minsim: float = 0.5, algo: str = "louvain", **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(communities that stay, communities of the short words, phonetic edges of these).
+
+    The words of all communities with short words are pooled, compared
+    phonetically (sm) pair by pair whatever community they come from, and built
+    into communities again by the rounds of dense_communities. Ids stay those of
+    nodes. how: gap_start, gap_more, disfavour of the comparison.
     """
-    from textloom.operators.similarity import similarity
+    from textloom.operators.similarity import phonetic_edges
 
     coms = mean_similarity(members, nodes, edges).join(mean_length(members, nodes), "com_id")
-    again = short_word_candidates(coms).select("com_id")
-    part = _checkpoint(members.join(again, "com_id").join(nodes, "id"))
-    a, b = part.toDF("src", "com_id", "x"), part.toDF("dst", "com_id", "y")
-    pairs = a.join(b, "com_id").where("src < dst")
-    scored = similarity(pairs, sm, gap_start=1.0, phonetic=True, disfavour=1).where(F.col("normsim") >= minsim)
-    found = communities(part.select("id", "form"), scored.select("src", "dst", F.col("normsim").alias("weight")))
-    return members.join(again, "com_id", "left_anti").select("com_id", "id").union(found)
+    again = _checkpoint(short_word_candidates(coms).select("com_id"))
+    part = _checkpoint(members.join(again, "com_id", "left_semi").select("id").join(nodes, "id").select("id", "form"))
+    links = _checkpoint(phonetic_edges(part, sm, minsim, **how))
+    return members.join(again, "com_id", "left_anti").select("com_id", "id"), dense_communities(part, links, algo), links
+
+
+def last_round(spark, path: str) -> int | None:
+    """The number of the last round that was saved whole below path (compared as numbers), None before the first."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/round=*/_SUCCESS")
+    done = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return max((int(f.getPath().getParent().getName().removeprefix("round=")) for f in done or ()), default=None)
 
 
 def resume(spark, path: str) -> DataFrame | None:
-    """The communities of the last finished round below path (round numbers compared as numbers), None before the first."""
-    try:
-        rounds = spark.read.parquet(path).where("round is not null")
-    except Exception as e:  # noqa: BLE001 - no round has been written
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    last = rounds.agg(F.max(F.col("round").cast("int"))).first()[0]
-    return None if last is None else rounds.where(F.col("round").cast("int") == last).drop("round")
-
-
-def save_round(members: DataFrame, path: str, number: int) -> None:
-    """One round's communities below path, so that a training can go on from there."""
-    members.write.mode("overwrite").parquet(f"{path}/round={number}")
+    """The state (com_id, id, done) of the last round below path, None before the first."""
+    number = last_round(spark, path)
+    return None if number is None else spark.read.schema("com_id long, id long, done boolean").parquet(f"{path}/round={number}")
+
+
+def save_round(state: DataFrame, path: str, number: int) -> DataFrame:
+    """One round's communities below path, so that a training can go on from there; the state as saved.
+
+    Communities (com_id, id) without a column done are finished ones.
+    """
+    state = state if "done" in state.columns else state.withColumn("done", F.lit(True))
+    state.select("com_id", "id", "done").write.mode("overwrite").parquet(f"{path}/round={number}")
+    return resume(state.sparkSession, path)
 
 
 def short_word_candidates(coms: DataFrame) -> DataFrame:

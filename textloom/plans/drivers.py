@@ -29,6 +29,7 @@ class Preparation:
     prefixes: tuple[str, ...] = ()
     lowercase: bool = True
     join: bool = True
+    in_order: bool = False
     min_words: int = 4
     ngram: int = 5
     insertion: str = "join"
@@ -54,17 +55,26 @@ def clean_corpus(rows: DataFrame, how: Preparation = Preparation()) -> tuple[Dat
 
     Three phases, each over all corpora: clean, counting whole tokens; join words
     broken at line ends and separated prefixes; join words broken at page ends.
-    Joins decide against the vocabulary of the first phase. Empty rows go.
+    Joins decide, on normalised forms, against the vocabulary of the first phase;
+    with how.in_order the second phase goes row by row, every decision changing the
+    vocabulary. Empty rows go.
     """
     cleaned = written(clean.clean_rows(rows, case_rules=how.case_rules, rules=how.rules, extra=how.extra, lowercase=how.lowercase), "cleaned")
     words = written(whole_tokens(cleaned).groupBy("word", "docid").agg(F.count("*").alias("freq")), "vocabulary")
     if not how.join:
         return cleaned, words
-    freqs = written(vocab.totals(words), "frequencies")
-    joined = vocab.join_line_ends(cleaned, freqs)
-    if how.prefixes:
-        joined = vocab.join_prefixes(joined, freqs, list(how.prefixes))
-    return vocab.join_page_breaks(written(joined, "joined"), freqs).where(F.trim("text") != ""), words
+    freqs, rules = written(vocab.totals(words), "frequencies"), (how.case_rules, how.rules)
+    if how.in_order:
+        joined, changes = vocab.join_in_order(cleaned, freqs, prefixes=list(how.prefixes), rules=rules)
+        changed = changes.select("word", F.col("corpus").alias("docid"), F.col("n").alias("freq"))
+        words = words.withColumn("docid", F.col("docid").cast("string")).unionByName(changed).groupBy("word", "docid").agg(F.sum("freq").alias("freq")).where("freq > 0")
+        words = written(words, "vocabulary")
+        freqs = written(vocab.totals(words), "frequencies")
+    else:
+        joined = vocab.join_line_ends(cleaned, freqs, rules)
+        if how.prefixes:
+            joined = vocab.join_prefixes(joined, freqs, list(how.prefixes), rules)
+    return vocab.join_page_breaks(written(joined, "joined"), freqs, rules).where(F.trim("text") != ""), words
 
 
 def representations(rows: DataFrame, how: Preparation = Preparation()) -> dict[str, DataFrame]:
@@ -101,18 +111,19 @@ def lemmatised(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
 def train_models(nodes: DataFrame, edges: DataFrame, phonetic, external: DataFrame | None = None, folder: str | None = None, algo: str = "louvain") -> dict[str, DataFrame]:
     """Lemma maps lem (base), lem-ft (short words scored again) and, with external(form, lemma), lem-ren.
 
-    With a folder the base communities are saved there and a later call goes on
-    from them instead of training again.
+    With a folder the rounds of the base communities are saved there one by one, and a
+    later call goes on after the last of them instead of training again.
     """
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
-    members = wordgraph.resume(nodes.sparkSession, folder) if folder else None
-    if members is None:
-        members = written(wordgraph.dense_communities(nodes, edges, algo), "members")
-        if folder:
-            wordgraph.save_round(members, folder, 1)
+    members = written(wordgraph.dense_communities(nodes, edges, algo, folder=folder), "members")
+    how = {"gap_start": 1.0, "gap_more": 1.0, "disfavour": 1}
+    kept, short, links = wordgraph.fine_tune(members, nodes, edges, phonetic, **how)
+    kept, short = written(kept, "kept"), written(short, "short")
+    base = wordgraph.word_groups(members, nodes, edges)
+    tuned = wordgraph.word_groups(kept, nodes, edges).unionByName(wordgraph.word_groups(short, nodes, links, phonetic, phonetic=True, **how))
     out = {}
-    for name, own in (("lem", members), ("lem-ft", written(wordgraph.fine_tune(members, nodes, edges, phonetic), "tuned"))):
-        coms = wordgraph.word_groups(own, nodes, edges)
+    for name, own, coms in (("lem", members, base), ("lem-ft", kept.unionByName(short), tuned)):
+        coms = written(coms, "groups")
         chosen = own.join(coms.where("selected").select("com_id"), "com_id", "left_semi")
         out[name] = written(wordgraph.assign_lemmas(nodes, chosen, coms.select("com_id", "lemma")), name)
     if external is not None:
