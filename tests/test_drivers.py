@@ -86,7 +86,7 @@ def texts(spark):
 
 def test_grid_of_real_runs(spark):
     docs, in_words, in_chars = texts(spark)
-    gold = spark.createDataFrame([("g1", *p) for p in in_words], "match_id string, docid string, start long, end long")
+    gold = spark.createDataFrame([("g1", *p) for p in in_chars], "match_id string, docid string, start long, end long")
     grid = [("window", {"ngram": 3, "window": 10, "in_docs": n, "in_window": 3, "minimum": 3, "max_gap": 5}) for n in (3, 500)]
     done = drivers.evaluate_runs({"unnorm/full": docs, "norm-lem-ft/full": docs}, gold, grid)
     got = {(r.input, r.config["in_docs"]): r for r in drivers.score_runs(gold, done).collect()}
@@ -100,10 +100,9 @@ def test_grid_of_real_runs(spark):
 def test_presets(spark):
     docs, _, in_chars = texts(spark)
     got = drivers.final_run({"seed": docs, "gram": docs, "window": docs}).collect()
-    for tool in ("seed", "gram"):
+    for tool in ("seed", "gram", "window"):
         for docid, start, end in in_chars:
             assert any(r.tool == tool and r.docid == docid and r.start <= start + 20 and r.end >= end - 20 for r in got)
-    assert {r.docid for r in got if r.tool == "window"} >= {"a1", "b1"}
 
 
 def test_gold_from_markers(spark):

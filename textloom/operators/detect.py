@@ -11,7 +11,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.wordgraph import _checkpoint, connected
@@ -51,6 +51,94 @@ def word_grams(docs: DataFrame, n: int, gap: int = 0, ordered: bool = True, min_
     return out.select("series", "docid", "pos", F.concat_ws(" ", F.col("g") if ordered else F.array_sort("g")).alias("gram")).distinct()
 
 
+#: What a token is, in Java's dialect: a run of letters and digits.
+TOKEN = r"[\p{L}\p{N}]"
+
+
+def located_tokens(docs: DataFrame, min_length: int = 2, stem: bool = False, fold_numbers: bool = False) -> DataFrame:
+    """(series, docid, pos, tok, start, end): tokens with the code points that they take, end inclusive.
+
+    Every piece of a text is a token and what stands before it, so offsets are
+    running sums of lengths. Tokens are lower-cased; numbers fold to "0" and words
+    to their stem where asked for; shorter tokens than min_length go before that.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{TOKEN[1:-1]}]*+{TOKEN}++"), F.lit(0))
+    rows = docs.select("series", "docid", F.posexplode(pieces).alias("k", "piece")).withColumn("raw", F.regexp_extract("piece", f"{TOKEN}++$", 0))
+    w = Window.partitionBy("series", "docid").orderBy("k")
+    upto = F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("series", "docid", "k", F.lower("raw").alias("tok"), (upto - F.length("raw")).cast("int").alias("start"), (upto - 1).cast("int").alias("end"))
+    rows = rows.where(F.length("tok") >= min_length).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    tok = F.col("tok")
+    if stem:
+        tok = german_stem(tok)
+    if fold_numbers:
+        tok = F.when(F.col("tok").rlike(r"^\p{N}+$"), "0").otherwise(tok)
+    return rows.select("series", "docid", "pos", tok.alias("tok"), "start", "end")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it stands in then."""
+    return F.transform(F.array(value), then)[0]
+
+
+def german_stem(word: Column) -> Column:
+    """The published Snowball stemmer for German, as column functions."""
+    vowel, none = "[aeiouyäöü]", F.lit(1 << 20)
+    tail = lambda x, regex: F.length(F.regexp_extract(x, f"(?:{regex})$", 0))
+    less = lambda x, n: F.substr(x, F.lit(1), F.length(x) - n)
+    region = lambda x: F.length(F.regexp_extract(x, f"^.*?{vowel}[^aeiouyäöü]", 0))
+
+    def drop(x: Column, regex: str, start: Column) -> Column:
+        """x without an ending that lies after start."""
+        return _let(tail(x, regex), lambda n: F.when((n > 0) & (F.length(x) - n >= start), less(x, n)).otherwise(x))
+
+    def one(w: Column, p1: Column) -> Column:
+        niss = lambda x: F.when((F.length(x) < F.length(w)) & x.endswith("niss"), less(x, 1)).otherwise(x)
+        return F.when(tail(w, "em|ern|er") > 0, drop(w, "em|ern|er", p1)).when(tail(w, "e|en|es") > 0, _let(drop(w, "e|en|es", p1), niss)).otherwise(drop(w, "(?<=[bdfghklmnrt])s", p1))
+
+    def two(w: Column, p1: Column) -> Column:
+        return F.when(tail(w, "en|er|est") > 0, drop(w, "en|er|est", p1)).otherwise(drop(w, "(?<=...[bdfghklmnt])st", p1))
+
+    def three(w: Column, p1: Column, p2: Column) -> Column:
+        and_then = lambda ending, more, start: _let(drop(w, ending, p2), lambda x: F.when(F.length(x) < F.length(w), drop(x, more, start)).otherwise(x))
+        return (
+            F.when(tail(w, "end|ung") > 0, and_then("end|ung", "(?<!e)ig", p2))
+            .when(tail(w, "ig|ik|isch") > 0, drop(w, "(?<!e)(?:isch|ig|ik)", p2))
+            .when(tail(w, "lich|heit") > 0, and_then("lich|heit", "er|en", p1))
+            .when(tail(w, "keit") > 0, and_then("keit", "lich|ig", p2))
+            .otherwise(w)
+        )
+
+    def steps(w: Column, n1: Column, n2: Column) -> Column:
+        p1 = F.when(n1 == 0, none).otherwise(F.greatest(F.lit(3), n1))
+        p2 = F.when((n1 == 0) | (n2 == 0), none).otherwise(n1 + n2)
+        return _let(one(w, p1), lambda x: _let(two(x, p1), lambda y: three(y, p1, p2)))
+
+    w = F.replace(word, F.lit("ß"), F.lit("ss"))
+    for c in "uy":  # between vowels they count as consonants
+        w = F.regexp_replace(w, f"(?<={vowel}){c}(?={vowel})", c.upper())
+    return F.translate(_let(w, lambda x: _let(region(x), lambda n1: _let(region(F.substr(x, n1 + 1)), lambda n2: steps(x, n1, n2)))), "äöüUY", "aouuy")
+
+
+def located_grams(tokens: DataFrame, n: int, gap: int = 0, ordered: bool = True) -> DataFrame:
+    """(series, docid, pos, gram, start, end) of located_tokens: n of n + gap following tokens, the first always; sorted inside if
+    unordered. start and end are the code points from the first token to the last one taken; of equal grams at one
+    position the shortest stands."""
+    from itertools import combinations
+
+    w = Window.partitionBy("series", "docid").orderBy("pos")
+    ahead = [F.struct(F.lead("tok", i).over(w).alias("tok"), F.lead("end", i).over(w).alias("end")) for i in range(n + gap)]
+    rows = tokens.select("series", "docid", "pos", "start", F.array(*ahead).alias("t"))
+    picks = [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
+    words = lambda p: F.array(*[F.col("t")[i]["tok"] for i in p])
+    each = F.array(*[F.struct(words(p).alias("g"), F.col("t")[p[-1]]["end"].alias("end")) for p in picks])
+    each = F.filter(each, lambda x: x["end"].isNotNull())
+    each = F.transform(each, lambda x: F.struct(F.array_join(x["g"] if ordered else F.array_sort(x["g"]), " ").alias("gram"), x["end"].alias("end")))
+    rows = rows.select("series", "docid", "pos", "start", F.array_sort(each).alias("e"))
+    rows = rows.select("series", "docid", "pos", "start", F.explode(F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["gram"] != x["gram"]))).alias("x"))
+    return rows.select("series", "docid", "pos", "x.gram", "start", "x.end")
+
+
 def frequent_between(grams: DataFrame, low: int = 2, high: int = 100) -> DataFrame:
     """Grams whose number of documents lies in [low, high]."""
     df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df")).where(F.col("df").between(low, high)).select("gram")
@@ -74,15 +162,18 @@ def gram_matches(grams: DataFrame, source: str | None = None) -> DataFrame:
     """(a, b, pa, pb, gram): equal grams of documents of different series, each pair once (or from source to the others).
 
     A gram meets the other series that hold it, never its own, so a frequent gram
-    makes as many rows as there are matches. Every gram counts.
+    makes as many rows as there are matches. Every gram counts. Grams with start
+    and end bring these as from_a, to_a, from_b, to_b.
     """
     shared = between_series(grams)
     series = shared.groupBy("gram").agg(F.collect_set("series").alias("held"))
     own = shared if source is None else shared.where(F.col("series") == source)
     others = F.filter("held", (lambda x: x > F.col("series")) if source is None else (lambda x: x != F.col("series")))
-    a = own.join(series, "gram").select("gram", F.col("docid").alias("a"), F.col("pos").alias("pa"), F.explode(others).alias("sb"))
-    b = shared.select("gram", F.col("series").alias("sb"), F.col("docid").alias("b"), F.col("pos").alias("pb"))
-    return a.join(b, ["gram", "sb"]).select("gram", "a", "pa", "b", "pb")
+    located = "end" in grams.columns
+    chars = lambda s: [F.col("start").alias(f"s{s}"), F.col("end").alias(f"e{s}")] if located else []
+    a = own.join(series, "gram").select("gram", F.col("docid").alias("a"), F.col("pos").alias("pa"), *[c.alias(n) for c, n in zip(chars("a"), ("from_a", "to_a"))], F.explode(others).alias("held_by"))
+    b = shared.select("gram", F.col("series").alias("held_by"), F.col("docid").alias("b"), F.col("pos").alias("pb"), *[c.alias(n) for c, n in zip(chars("b"), ("from_b", "to_b"))])
+    return a.join(b, ["gram", "held_by"]).drop("held_by")
 
 
 def blast_run(docs: DataFrame, **params) -> DataFrame:
@@ -118,6 +209,7 @@ def islands(matches: DataFrame, max_gap: int, min_hits: int, window: int | None
 
     With a window a passage begins only where in_window matches or more lie within
     the next `window` positions, on both sides; matches before that are left out.
+    Positions of passages are those of the matches: code points where these have them.
     """
     w = Window.partitionBy("a", "b").orderBy("pa", "pb", "gram")
     gap = (F.col("pa") - F.lag("pa").over(w) > max_gap) | (F.abs(F.col("pb") - F.lag("pb").over(w)) > max_gap)
@@ -129,7 +221,9 @@ def islands(matches: DataFrame, max_gap: int, min_hits: int, window: int | None
         rows = rows.withColumn("dense", F.least(ahead("pa"), ahead("pb")) >= in_window)
         inside = Window.partitionBy("a", "b", "island").orderBy("pa", "pb", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn("open", F.max("dense").over(inside)).where("open")
-    out = rows.groupBy("a", "b", "island").agg(F.min("pa").alias("start_a"), F.max("pa").alias("end_a"), F.min("pb").alias("start_b"), F.max("pb").alias("end_b"), F.count_distinct("gram").alias("hits"))
+    ends = [("from_a", "to_a"), ("from_b", "to_b")] if "to_a" in matches.columns else [("pa", "pa"), ("pb", "pb")]
+    spans = [f for (lo, hi), s in zip(ends, "ab") for f in (F.min(lo).alias(f"start_{s}"), F.max(hi).alias(f"end_{s}"))]
+    out = rows.groupBy("a", "b", "island").agg(*spans, F.count_distinct("gram").alias("hits"))
     return out.where(F.col("hits") >= min_hits).drop("island")
 
 
@@ -154,35 +248,137 @@ def smith_waterman(x: str, y: str, match: float, mismatch: float, gap: float, ba
     return best
 
 
+#: Units of a score in the batched alignment; whole numbers, so that ties do not hang on rounding.
+UNIT = 1_000_000
+
+
+def banded_alignments(xs: list[str], ys: list[str], match: int, mismatch: int, gap: int, band: int) -> np.ndarray:
+    """smith_waterman for many pairs at once: rows (score, start x, end x, start y, end y), ends exclusive.
+
+    All pairs advance by one row of their band together. A row is one gather from
+    the row before (diagonal and vertical steps) and one running maximum (gaps along
+    the row); cells carry the start of their best alignment. Scores are integers.
+    """
+    n, m = np.array([*map(len, xs)], np.int64), np.array([*map(len, ys)], np.int64)
+    out, width = np.zeros((len(xs), 5), np.int64), 2 * band + 1
+    order = np.argsort(-n, kind="stable")
+    order = order[(n[order] > 0) & (m[order] > 0)]
+    if not len(order):
+        return out
+    codes = lambda t, k: np.frombuffer("".join(w.ljust(k, "\x00") for w in t).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(t), k)
+    x, y = codes([xs[i] for i in order], int(n[order].max())), codes([ys[i] for i in order], int(m[order].max()))
+    n, m = n[order], m[order]
+    col, best = np.arange(width), np.zeros((len(order), 5), np.int64)
+    h, start = np.zeros((len(order), width), np.int64), np.zeros((2, len(order), width), np.int64)
+    base = np.full(len(order), -band)
+    for i in range(1, int(n[0]) + 1):
+        live = int(np.searchsorted(-n, -i, "right"))  # longer ones come first
+        low = np.rint(i * m[:live] / n[:live]).astype(np.int64) - band
+        j = low[:, None] + col
+        at = j - base[:live, None]  # the same column in the row before
+        inside = (j >= 1) & (j <= m[:live, None])
+
+        def before(shift: int, values: np.ndarray, other) -> np.ndarray:
+            k = at + shift  # noqa: B023
+            there = (k >= 0) & (k < width)
+            return np.where(there, np.take_along_axis(values, np.clip(k, 0, width - 1), 1), other)
+
+        was, above = before(-1, h[:live], 0), before(0, h[:live], 0)
+        same = x[:live, i - 1 : i] == np.take_along_axis(y[:live], np.clip(j - 1, 0, y.shape[1] - 1), 1)
+        diagonal = was + np.where(same, match, -mismatch)
+        step = diagonal >= above - gap
+        here = np.where(inside, np.where(step, diagonal, above - gap), -(1 << 50))
+        origin = []
+        for axis, fresh in ((0, np.full_like(j, i - 1)), (1, j - 1)):
+            d = np.where(was > 0, before(-1, start[axis, :live], 0), fresh)
+            u = before(0, start[axis, :live], 0)
+            origin.append(np.where(step, d, u))
+        raised = here + gap * col
+        top = np.maximum.accumulate(raised, axis=1)
+        source = np.maximum.accumulate(np.where(raised == top, col, -1), axis=1)  # on ties the nearest column
+        score = np.where(inside, np.maximum(0, top - gap * col), 0)
+        h[:live] = score
+        for axis in (0, 1):
+            start[axis, :live] = np.take_along_axis(origin[axis], source, 1)
+        base[:live] = low
+        k = score.argmax(axis=1)
+        rows = np.arange(live)
+        better = score[rows, k] > best[:live, 0]
+        r = rows[better]
+        best[r] = np.stack([score[r, k[r]], start[0, r, k[r]], np.full(len(r), i), start[1, r, k[r]], j[r, k[r]]], 1)
+    out[order] = best
+    return out
+
+
 def align_regions(regions: DataFrame, docs: DataFrame, *, pcopy: float = 0.8, letters: int = 26, beam: int = 20, margin: int = 50, min_align: int = 50) -> DataFrame:
-    """T3, steps 5 and 6: local alignment of regions(a, b, start_a, end_a, start_b, end_b), read with a margin."""
+    """T3, steps 5 and 6: local alignment of regions(a, b, start_a, end_a, start_b, end_b), read with a margin.
+
+    The region of a is cut out before it meets the text of b, so no whole text
+    crosses a second shuffle. Regions are aligned in batches.
+    """
     match, mismatch = log(pcopy * letters), log(letters * (letters - 1) / ((1 - pcopy) * letters)) / 2
-    ta, tb = docs.select(F.col("docid").alias("a"), F.col("text").alias("xa")), docs.select(F.col("docid").alias("b"), F.col("text").alias("xb"))
-    cut = lambda t, s, e: F.substr(t, F.greatest(F.lit(0), F.col(s) - margin) + 1, F.col(e) - F.greatest(F.lit(0), F.col(s) - margin) + margin)
-    rows = regions.join(ta, "a").join(tb, "b").withColumn("xa", cut("xa", "start_a", "end_a")).withColumn("xb", cut("xb", "start_b", "end_b"))
+    whole = [round(v * UNIT) for v in (match, mismatch, mismatch)]
+    rows = regions
+    for s in "ab":
+        text, lo = docs.select(F.col("docid").alias(s), F.col("text").alias("whole")), F.greatest(F.lit(0), F.col(f"start_{s}") - margin)
+        rows = rows.join(text, s).withColumn(f"x{s}", F.substr("whole", lo + 1, F.col(f"end_{s}") - lo + margin)).drop("whole")
 
     @F.pandas_udf("score double, sa int, ea int, sb int, eb int")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([smith_waterman(a, b, match, mismatch, mismatch, beam) for a, b in zip(x, y)], columns=["score", "sa", "ea", "sb", "eb"])
+        parts = [banded_alignments(x.iloc[k : k + 512].tolist(), y.iloc[k : k + 512].tolist(), *whole, beam) for k in range(0, len(x), 512)]
+        got = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+        return pd.DataFrame({"score": got[:, 0] / UNIT, **{c: got[:, k + 1] for k, c in enumerate(("sa", "ea", "sb", "eb"))}})
 
     got = rows.withColumn("_r", run("xa", "xb")).where(F.col("_r.ea") - F.col("_r.sa") >= min_align)
     base = lambda s: F.greatest(F.lit(0), F.col(s) - margin)
     return got.select("a", "b", "_r.score", (base("start_a") + F.col("_r.sa")).alias("start_a"), (base("start_a") + F.col("_r.ea") - 1).alias("end_a"), (base("start_b") + F.col("_r.sb")).alias("start_b"), (base("start_b") + F.col("_r.eb") - 1).alias("end_b"))
 
 
+def best_predecessors(aligned: DataFrame, docs: DataFrame) -> DataFrame:
+    """T3, step 7: of aligned(a, b, score, ...) only those with each document's best earlier one.
+
+    Documents stand in the order of their series, those of one series by docid. The
+    best is the earlier document with the highest sum of scores, of equal ones the
+    latest; so a text that was copied from copy to copy gives the links of that chain.
+    """
+    place = docs.select("docid", F.struct("series", "docid").alias("at"))
+    rows = aligned.join(place.toDF("a", "at_a"), "a").join(place.toDF("b", "at_b"), "b").withColumn("later", F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")))
+    rows = rows.withColumn("earlier", F.when(F.col("at_a") > F.col("at_b"), F.col("at_b")).otherwise(F.col("at_a")))
+    sums = rows.groupBy("later", "earlier").agg(F.round(F.sum("score"), 6).alias("sum"))
+    best = sums.groupBy("later").agg(F.max(F.struct("sum", "earlier")).alias("m")).select("later", F.col("m.earlier").alias("earlier"))
+    return rows.join(best, ["later", "earlier"], "left_semi").select(*aligned.columns)
+
+
+def origins(aligned: DataFrame, docs: DataFrame) -> DataFrame:
+    """(docid, origin, steps): where each document's chain of best predecessors begins, by pointer jumping."""
+    place = docs.select("docid", F.struct("series", "docid").alias("at"))
+    links = aligned.join(place.toDF("a", "at_a"), "a").join(place.toDF("b", "at_b"), "b").select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("docid"), F.when(F.col("at_a") > F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("up")).distinct()
+    now = _checkpoint(docs.select("docid").join(links, "docid", "left").select("docid", F.coalesce("up", "docid").alias("origin"), F.col("up").isNotNull().cast("int").alias("steps")))
+    while True:
+        up = now.select(F.col("docid").alias("origin"), F.col("origin").alias("next"), F.col("steps").alias("more"))
+        new = _checkpoint(now.join(up, "origin").select("docid", F.col("next").alias("origin"), (F.col("steps") + F.col("more")).alias("steps")))
+        if not new.join(now.select("docid", F.col("origin").alias("was")), "docid").where("origin <> was").head(1):
+            return now
+        now = new
+
+
 def cluster_passages(pairs: DataFrame) -> DataFrame:
-    """Aligned pairs to passages(cluster, docid, start, end): overlapping spans of a document merge, pairs connect them."""
+    """Aligned pairs to passages(cluster, docid, start, end): overlapping spans of a document merge, pairs connect them.
+
+    Incidence stays in rows: a passage that stands in many documents is never one array.
+    """
     pairs = _checkpoint(pairs)  # read in every round of the components
     pairs = pairs.withColumn("pair", F.xxhash64("a", "b", "start_a", "end_a", "start_b", "end_b"))
     ends = [F.struct(F.col(s).alias("docid"), F.col(f"start_{s}").alias("start"), F.col(f"end_{s}").alias("end")) for s in "ab"]
     spans = pairs.select("pair", F.explode(F.array(*ends)).alias("p")).select("pair", "p.*")
     w = Window.partitionBy("docid").orderBy("start", "end", "pair")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(F.col("start") <= upto, 0).otherwise(1))
-    spans = spans.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = spans.groupBy("docid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("pair").alias("pairs"))
-    merged = _checkpoint(merged.withColumn("id", F.xxhash64("docid", "start", "end")))
-    inc = merged.select("id", F.explode("pairs").alias("pair"))
+    # an island is known by its first start: the last start, so far, that lay beyond all ends before it
+    first = F.when(upto.isNull() | (F.col("start") > upto), F.col("start"))
+    spans = spans.withColumn("first", first).withColumn("island", F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = _checkpoint(spans.select("pair", "docid", "island", "end", F.xxhash64("docid", "island").alias("id")))
+    merged = spans.groupBy("id", "docid", F.col("island").alias("start")).agg(F.max("end").alias("end"))
+    inc = spans.select("id", "pair")
     edges = inc.groupBy("pair").agg(F.min("id").alias("src"), F.max("id").alias("dst")).select("src", "dst", F.lit(1.0).alias("weight"))
     edges = _checkpoint(edges)
     comp = connected(merged.select("id"), edges)
@@ -301,27 +497,41 @@ def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.0
 def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df: int = 100, gap: int = 200, floating: bool = True, beam: int = 20, min_align: int = 50, pcopy: float = 0.8, all_pairs: bool = False) -> DataFrame:
     """Character n-gram candidates, islands of anchors, banded local alignment, clusters.
 
-    all_pairs compares documents of one series as well (each is a series of its own).
+    all_pairs compares documents of one series as well (each is a series of its own)
+    and keeps every aligned pair; otherwise each document is linked with its best
+    predecessor in the order of series only.
     """
     if all_pairs:
         docs = docs.withColumn("series", F.col("docid"))
     m = gram_matches(frequent_between(char_grams(docs, n, floating), 2, max_df))
     m = m.join(candidate_pairs(m, min_match).select("a", "b"), ["a", "b"])
-    return cluster_passages(align_regions(islands(m, gap, min_match).drop("hits"), docs, pcopy=pcopy, beam=beam, min_align=min_align))
+    aligned = align_regions(islands(m, gap, min_match).drop("hits"), docs, pcopy=pcopy, beam=beam, min_align=min_align)
+    return cluster_passages(aligned if all_pairs else best_predecessors(_checkpoint(aligned), docs))
+
 
+def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, window: int = 30, in_docs: int = 4, in_window: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, stem: bool = True, fold_numbers: bool = True, distance: float = 0.5, duplicates: float = 100.0, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
+    """T5: (a, b, start_a, end_a, start_b, end_b, hits, banal), positions in code points, ends inclusive.
 
-def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, window: int = 30, in_docs: int = 4, in_window: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
-    """T5: (a, b, start_a, end_a, start_b, end_b, hits, banal): positions are token numbers; passages closer than half their length merge."""
-    grams = word_grams(docs, ngram, gap, word_order)
+    Windows and gaps count tokens, which may be stems. Passages of a pair that lie
+    closer on both sides than `distance` times the length of the one before are
+    merged. Pairs that share more than `duplicates` per cent of the grams of the
+    smaller document are copies and left out (none at 100). banal: banal_share of
+    the matched grams are among the `common` most frequent ones.
+    """
+    grams = _checkpoint(located_grams(located_tokens(docs, 2, stem, fold_numbers), ngram, gap, word_order))
     df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df"))
     edge = df.approxQuantile("df", [1 - common], 0.001)
     m = gram_matches(grams, source).join(df, "gram")
-    m = m.join(candidate_pairs(m, in_docs).select("a", "b"), ["a", "b"])
-    m = _checkpoint(m)
+    pairs = candidate_pairs(m, in_docs)
+    if duplicates < 100:
+        size = grams.groupBy("docid").agg(F.count_distinct("gram").alias("n"))
+        pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.col("shared") <= duplicates * F.least("na", "nb"))
+    m = _checkpoint(m.join(pairs.select("a", "b"), ["a", "b"]))
     runs = islands(m, max_gap, minimum, window, in_window)
-    w = Window.partitionBy("a", "b").orderBy("start_a")
-    close = F.col("start_a") - F.lag("end_a").over(w) <= 0.5 * (F.lag("end_a").over(w) - F.lag("start_a").over(w))
-    runs = runs.withColumn("new", F.when(F.coalesce(close, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    w = Window.partitionBy("a", "b").orderBy("start_a", "start_b")
+    near = lambda s: F.col(f"start_{s}") - F.lag(f"end_{s}").over(w) <= distance * (F.lag(f"end_{s}").over(w) - F.lag(f"start_{s}").over(w) + 1)
+    onward = F.col("start_b") >= F.lag("start_b").over(w)
+    runs = runs.withColumn("new", F.when(F.coalesce(near("a") & near("b") & onward, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("a", "b", "g").agg(F.min("start_a").alias("start_a"), F.max("end_a").alias("end_a"), F.min("start_b").alias("start_b"), F.max("end_b").alias("end_b"), F.sum("hits").alias("hits"))
-    inside = runs.join(m, ["a", "b"]).where("pa between start_a and end_a").groupBy("a", "b", "g").agg(F.avg((F.col("df") > (edge[0] if edge else 0)).cast("int")).alias("share"))
+    inside = runs.join(m, ["a", "b"]).where("from_a >= start_a and to_a <= end_a").groupBy("a", "b", "g").agg(F.avg((F.col("df") > (edge[0] if edge else 0)).cast("int")).alias("share"))
     return runs.join(inside, ["a", "b", "g"], "left").withColumn("banal", F.coalesce(F.col("share") >= banal_share, F.lit(False))).drop("g", "share")

@@ -143,7 +143,7 @@ def prepare_gold(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def detect_passages(tool: str, docs: DataFrame, source: str | None = None, **params) -> DataFrame:
-    """One detector over docs(series, docid, text): passages(cluster, docid, start, end) in characters (window: in tokens)."""
+    """One detector over docs(series, docid, text): passages(cluster, docid, start, end) in characters, ends inclusive, as gold has them."""
     if tool == "seed":
         return detect.seed_and_extend(docs, **params)
     if tool == "gram":
