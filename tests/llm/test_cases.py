@@ -264,7 +264,53 @@ def test_imatch_by_brute_force(spark):
     assert set(one.sum(axis=1)) >= {0, 1, 2}
 
 
-def test_correlated_voters_count_once():
+VOTES = "votes array<int>, unknown long, label0 long, label1 long"
+
+
+def model_by_hand(sets, n, voters, rounds):
+    """The label model by one plain pass a round: (prior, weights)."""
+    voters += 1
+    sets = [v or [voters - 1] for v in sets]
+    chance = None
+    for _ in range(rounds):
+        mass = [[k[2] + (k[0] * p if chance else 0) for k, p in zip(n, chance or n)], [k[1] + (k[0] * (1 - p) if chance else 0) for k, p in zip(n, chance or n)]]
+        prior = (sum(mass[0]) + 1) / (sum(mass[0]) + sum(mass[1]) + 2)
+        rates, correlation = [], np.zeros(voters)
+        for part in mass:
+            fired, both = np.zeros(voters), Counter()
+            for v, m in zip(sets, part):
+                for k, f in enumerate(v):
+                    fired[f] += m
+                    for g in v[k + 1 :]:
+                        both[f, g] += m
+            total = sum(part) + 1
+            rate = (fired + 0.5) / total
+            for (f, g), m in both.items():
+                phi = (m / total - rate[f] * rate[g]) / max(1e-12, np.sqrt(rate[f] * (1 - rate[f]) * rate[g] * (1 - rate[g])))
+                correlation[[f, g]] += min(1.0, max(0.0, phi)) / 2
+            rates.append(rate)
+        weight = np.log(rates[0] / rates[1]) / (1 + correlation)
+        chance = [1 / (1 + np.exp(-(weight[v].sum() + np.log(prior / (1 - prior))))) for v in sets]
+    return prior, weight
+
+
+@pytest.mark.parametrize("sets, rounds", [(300, 4), (60_000, 2)])
+def test_label_model_equals_plain_em(spark, sets, rounds):
+    """Few vote sets, and more than 50,000 of them: all are counted alike, whatever their number."""
+    rng = np.random.default_rng(sets)
+    voters = 40
+    every = {tuple(sorted(rng.choice(voters, rng.integers(0, 7), replace=False).tolist())) for _ in range(int(sets * 2.2))}
+    votes = sorted(every)[:sets] if sets > 1000 else sorted(every)
+    n = [(int(rng.integers(0, 5)), int(rng.integers(0, 3)), int(rng.integers(0, 2)) + (0 in v)) for v in votes]
+    table = spark.createDataFrame([(list(v), *k) for v, k in zip(votes, n)], VOTES).repartition(5)
+    got = toxicity.LabelModel(table, voters, rounds)
+    prior, weight = model_by_hand([list(v) for v in votes], n, voters, rounds)
+    assert len(votes) >= min(sets, 50_001) and abs(got.prior - prior) < 1e-6 and np.abs(got.weight - weight).max() < 1e-5
+    again = toxicity.LabelModel(table.repartition(3), voters, rounds)
+    assert np.array_equal(again.weight, got.weight) and again.prior == got.prior
+
+
+def test_correlated_voters_count_once(spark):
     """Voters that always fire together weigh as much as one of them alone."""
     rnd = np.random.default_rng(1)
     y = rnd.random(4000) < 0.3
@@ -275,10 +321,8 @@ def test_correlated_voters_count_once():
         sets = Counter()
         for label, a, b in zip(y, hit, other):
             sets[tuple([*range(copies)] * int(a) + [copies] * int(b)), bool(label)] += 1
-        votes = sorted({v for v, _ in sets})
-        n = np.array([[0.0, sets[v, False], sets[v, True]] for v in votes])
-        m = toxicity.LabelModel([list(v) for v in votes], n, copies + 1)
-        return m.posterior([[*range(copies)]])[0]
+        rows = [(list(v), 0, sets[v, False], sets[v, True]) for v in sorted({v for v, _ in sets})]
+        return toxicity.LabelModel(spark.createDataFrame(rows, VOTES), copies + 1).posterior([[*range(copies)]])[0]
 
     assert abs(model(1) - model(5)) < 0.1
 

@@ -29,8 +29,8 @@ from textloom.llm.shared import crc_mod, few, sampled, texts, written
 #: Labelled rows that are fitted at most (about), features of the classifier, EM rounds.
 SAMPLE, FEATURES, ROUNDS = 20_000, 2048, 8
 ACCEPT = 0.3
-#: Distinct vote sets that reach the driver as they are.
-VOTE_SETS = 50_000
+#: Parts of a document in which EM counts: sums of whole numbers do not hang on the order of tasks.
+PARTS = 1 << 24
 #: Share of label 1 among the labelled rows where a voter fires, at least (one row of label 0 is added).
 PRECISION = 0.8
 #: Pattern voters: hidden letters, shouting, letters spelled apart.
@@ -111,52 +111,110 @@ def _hits(iterator, shared):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.list_(pa.int32()))], ["doc_id", "hits"])
 
 
+def _pairs(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, first, second) of all pairs of places within each set of a list array."""
+    size, out = np.diff(offsets), []
+    for n in np.unique(size[size > 1]):
+        rows = np.flatnonzero(size == n)
+        i, j = np.triu_indices(n, 1)
+        out.append((np.repeat(rows, len(i)), (offsets[rows, None] + i).ravel(), (offsets[rows, None] + j).ravel()))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    rows, i, j = (np.concatenate(x) for x in zip(*out))
+    return rows, values[i], values[j]
+
+
+def _evidence(iterator, model: LabelModel):
+    """(f, g, one, zero): parts of documents of either class in which the voters f and g fire together (f = g: f fires), of this task.
+
+    f is -1 for all documents. Documents without a label count by the posterior of their votes.
+    """
+    width = model.voters
+    mass = np.zeros((width + 1, 2), np.int64)
+    both: dict[int, np.ndarray] = {}
+    for batch in iterator:
+        lists = batch.column(0)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets, values = offsets - offsets[0], values[offsets[0] : offsets[-1]]
+        unknown, zeros, ones = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+        parts = np.rint(model.of(values, offsets) * PARTS).astype(np.int64) if model.fitted else np.zeros(len(unknown), np.int64)
+        known = PARTS if model.fitted else 0
+        each = np.stack([ones * PARTS + unknown * parts, zeros * PARTS + unknown * (known - parts)], 1)
+        mass[width] += each.sum(axis=0)
+        row = np.repeat(np.arange(len(each)), np.diff(offsets))
+        np.add.at(mass, values, each[row])
+        mass[width - 1] += each[np.diff(offsets) == 0].sum(axis=0)
+        rows, f, g = _pairs(values, offsets)
+        if len(rows):
+            key = np.minimum(f, g) * width + np.maximum(f, g)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            for k, m in zip(key[order][first].tolist(), np.add.reduceat(each[rows[order]], first)):
+                both[k] = both[k] + m if k in both else m
+    keys = np.array(sorted(both), np.int64)
+    pairs = np.array([both[k] for k in keys.tolist()], np.int64).reshape(-1, 2)
+    f = np.r_[-1, np.arange(width), keys // width]
+    g = np.r_[-1, np.arange(width), keys % width]
+    got = np.concatenate([mass[width:], mass[:width], pairs])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (f, g, got[:, 0], got[:, 1])], ["f", "g", "one", "zero"])
+
+
 class LabelModel:
-    """Class share, firing rates and correlations of voters, from votes with counts and labels (null: unknown).
+    """Class share, firing rates and correlations of voters, by EM over the votes on all documents.
 
-    votes: sorted voter numbers of each distinct vote set; n: documents of it by
-    label, three columns (unknown, label 0, label 1).
+    votes(votes array<int>, unknown, label0, label1): the documents that cast a set
+    of sorted voter numbers, by label. A round is one Spark job: tasks add up what
+    the sets say about voters and pairs of voters, and only these sums, as many as
+    there are pairs at most, reach the driver. Sets never do.
     """
 
-    def __init__(self, votes: list[list[int]], n: np.ndarray, voters: int, rounds: int = ROUNDS):
+    def __init__(self, votes: DataFrame, voters: int, rounds: int = ROUNDS):
         self.voters = voters + 1  # where all abstain, that is a vote of its own
-        sets = [v or [voters] for v in votes]
-        row = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
-        col = np.array([f for v in sets for f in v], np.int64)
-        base = (n[:, 2].sum() + 1) / (n[:, 1:].sum() + 2)
-        self.prior, self.weight = float(base), np.zeros(self.voters)
-        unknown = None
-        for _ in range(rounds if len(sets) else 0):
-            one = n[:, 2] + (0 if unknown is None else n[:, 0] * unknown)
-            zero = n[:, 1] + (0 if unknown is None else n[:, 0] * (1 - unknown))
-            self.prior = float(np.clip((one.sum() + 1) / (one.sum() + zero.sum() + 2), 1e-6, 1 - 1e-6))
-            rates = [(np.bincount(col, mass[row], self.voters) + 0.5) / (mass.sum() + 1) for mass in (one, zero)]
-            self.rate1, self.rate0 = rates
-            self.correlation = self._correlations(sets, one, zero)
-            self.weight = np.log(self.rate1 / self.rate0) / (1 + self.correlation)
-            unknown = self.posterior(sets)
-
-    def _correlations(self, sets: list[list[int]], one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-        """For each voter the sum of its correlations (where positive) with others, the mean of both classes."""
-        out = np.zeros(self.voters)
-        for part, rate in ((one, self.rate1), (zero, self.rate0)):
-            total = part.sum() + 1
-            both: dict[tuple[int, int], float] = {}
-            for v, m in zip(sets, part):
-                if m > 0:
-                    for i, f in enumerate(v):
-                        for g in v[i + 1 :]:
-                            both[f, g] = both.get((f, g), 0.0) + m
-            spread = np.sqrt(rate * (1 - rate))
-            for (f, g), m in both.items():
-                phi = (m / total - rate[f] * rate[g]) / max(1e-12, spread[f] * spread[g])
-                if phi > 0:
-                    out[f] += min(1.0, phi) / 2
-                    out[g] += min(1.0, phi) / 2
-        return out
+        self.prior, self.weight, self.fitted = 0.5, np.zeros(self.voters), False
+        for _ in range(rounds):
+            found = votes.mapInArrow(self._task(), "f long, g long, one long, zero long").groupBy("f", "g").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).toPandas()
+            self._update(found["f"].to_numpy(), found["g"].to_numpy(), found[["one", "zero"]].to_numpy() / PARTS)
+
+    def _task(self):
+        model = _Fitted(self.voters, self.prior, self.weight, self.fitted)
+        return lambda iterator: _evidence(iterator, model)
+
+    def _update(self, f: np.ndarray, g: np.ndarray, mass: np.ndarray) -> None:
+        total = mass[f < 0].sum(axis=0)
+        self.prior = float(np.clip((total[0] + 1) / (total.sum() + 2), 1e-6, 1 - 1e-6))
+        alone, correlation = (f == g) & (f >= 0), np.zeros(self.voters)
+        fired = np.zeros((self.voters, 2))
+        fired[f[alone]] = mass[alone]
+        rate = (fired + 0.5) / (total + 1)
+        spread = np.sqrt(rate * (1 - rate))
+        pair = f != g
+        order = np.lexsort((g[pair], f[pair]))
+        a, b, m = f[pair][order], g[pair][order], mass[pair][order]
+        phi = (m / (total + 1) - rate[a] * rate[b]) / np.maximum(1e-12, spread[a] * spread[b])
+        phi = np.clip(phi, 0, 1).sum(axis=1) / 2  # the mean of both classes, where positive
+        for at in (a, b):
+            np.add.at(correlation, at, phi)
+        self.correlation = correlation
+        self.weight = np.log(rate[:, 0] / rate[:, 1]) / (1 + correlation)
+        self.fitted = True
 
     def posterior(self, votes: list[list[int]]) -> np.ndarray:
-        margin = np.array([self.weight[v or [self.voters - 1]].sum() for v in votes]) + np.log(self.prior / (1 - self.prior))
+        """The chance of class 1 given each set of sorted voter numbers."""
+        offsets = np.r_[0, np.cumsum([len(v) for v in votes])].astype(np.int64)
+        return _Fitted(self.voters, self.prior, self.weight, True).of(np.array([f for v in votes for f in v], np.int64), offsets)
+
+
+class _Fitted:
+    """What a task needs of a label model."""
+
+    def __init__(self, voters: int, prior: float, weight: np.ndarray, fitted: bool):
+        self.voters, self.prior, self.weight, self.fitted = voters, prior, weight, fitted
+
+    def of(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        size = np.diff(offsets)
+        margin = np.bincount(np.repeat(np.arange(len(size)), size), self.weight[values], len(size)) if len(values) else np.zeros(len(size))
+        margin = np.where(size == 0, self.weight[self.voters - 1], margin) + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
@@ -227,39 +285,16 @@ def score(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", hold_
     pos, neg = chosen["pos"].to_numpy(), chosen["neg"].to_numpy()
     good = (pos >= max(4, 0.01 * n1)) & (pos >= PRECISION * (pos + neg + 1))
     voters = np.flatnonzero(good | (chosen["feature"].between(1, _FIXED).to_numpy() & (pos * n0 > neg * n1)))
-    voter = {int(f): j for j, f in enumerate(voters)}
+    chosen_voters = {int(f) for f in voters}
     # distinct vote sets and how many documents of either label, or none, cast them
-    cast = F.array_intersect("hits", F.array(*map(F.lit, voter))) if voter else F.expr("cast(array() as array<int>)")
-    table = hits.select("doc_id", F.array_sort(cast).alias("votes")).join(few(told, n), "doc_id", "left").groupBy("votes", "label").agg(F.count("*").alias("n"))
-    sets, counts = _merged(table, voter)
-    model = LabelModel(sets, counts, len(voter))
+    cast = F.array_intersect("hits", F.array(*map(F.lit, sorted(chosen_voters)))) if chosen_voters else F.expr("cast(array() as array<int>)")
+    count = lambda test: F.count(F.when(test, 1))
+    table = hits.select("doc_id", F.array_sort(cast).alias("votes")).join(few(told, n), "doc_id", "left").groupBy("votes").agg(count(F.col("label").isNull()).alias("unknown"), count(F.col("label") <= 0).alias("label0"), count(F.col("label") > 0).alias("label1"))
+    model = LabelModel(written(table, "votes"), len(chosen))
     known = hits.join(few(told, n), "doc_id").select("doc_id", "hits").distinct().toPandas().sort_values("doc_id", kind="stable")
     rows = sorted((np.asarray(h, np.int64) for h in known["hits"]), key=lambda h: h.tolist())
-    soft = model.posterior([sorted(voter[f] for f in h.tolist() if f in voter) for h in rows])
+    soft = model.posterior([sorted(f for f in h.tolist() if f in chosen_voters) for h in rows])
     bias, w = _linear(rows, soft, len(chosen))
     weights = F.array(*[F.lit(float(x)) for x in w])
     total_w = F.aggregate("hits", F.lit(float(bias)), lambda acc, i: acc + F.get(weights, i))
     return hits.select("doc_id", held.alias("held_out"), (1 / (1 + F.exp(-total_w))).alias("score")).withColumn("predicted", (F.col("score") >= accept).cast("int"))
-
-
-def _merged(table: DataFrame, voter: dict[int, int]) -> tuple[list[list[int]], np.ndarray]:
-    """Vote sets by voter number, and their documents (unknown, label 0, label 1).
-
-    Sets that few documents cast are many in a large corpus: beyond VOTE_SETS they
-    are split into single votes, each with its share of the set's documents, which
-    keeps every vote and loses only what the rare sets say about correlations.
-    """
-    table = written(table, "votes")
-    single = table.count() > VOTE_SETS
-    if single:
-        size = F.greatest(F.size("votes"), F.lit(1))
-        common = table.where("n >= 100")
-        rare = table.where("n < 100").withColumn("n", F.col("n") / size)
-        rare = rare.select(F.explode(F.when(F.size("votes") > 0, F.transform("votes", lambda v: F.array(v))).otherwise(F.array(F.col("votes")))).alias("votes"), "label", "n")
-        table = common.withColumn("n", F.col("n").cast("double")).unionByName(rare).groupBy("votes", "label").agg(F.sum("n").alias("n"))
-    found: dict[tuple[int, ...], np.ndarray] = {}
-    for r in table.collect():
-        at = 0 if r["label"] is None else 1 + int(r["label"] > 0)
-        found.setdefault(tuple(sorted(voter[f] for f in r["votes"])), np.zeros(3))[at] += r["n"]
-    sets = sorted(found)
-    return [list(v) for v in sets], np.array([found[v] for v in sets]).reshape(-1, 3)
