@@ -6,6 +6,7 @@ folio, gathering) belongs to a document, so documents are spread over tasks.
 
 from __future__ import annotations
 
+import io
 import re
 from html.parser import HTMLParser
 from math import ceil
@@ -75,10 +76,9 @@ class _Lines:
         return out
 
 
-def walk(root) -> list[tuple]:
-    """(kind, text, bookpart, paragraph, page, fol, gathering) in document order."""
+def walk(root, page: int = 0, fol: str = "", gath: str = "", no: int = 0) -> list[tuple]:
+    """(kind, text, bookpart, paragraph, page, fol, gathering) in document order, from a place to start at."""
     rows: list[tuple] = []
-    page, fol, gath, no = 0, "", "", 0
     lines, headers = _Lines(), {}
 
     def here(part: str, para: str) -> tuple:
@@ -135,6 +135,50 @@ def extract_tei(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
 
 
+def _start(text) -> tuple[int, str, str, int]:
+    """Page, folio, gathering and number in it where a cited text begins: from="page-folio-gathering-number" of its citation."""
+    cited = next((e.get("from", "") for e in text.iter() if _tag(e) == "citedRange"), "")
+    m = re.fullmatch(r"(\d+)-([^-]*)-([^-]*)-(\d+)", cited)
+    return (int(m[1]), m[2], m[3], int(m[4])) if m else (0, "", "", 0)
+
+
+def _texts(xml: str | bytes):
+    """The texts that lie below the root of a file, one after the other; each is forgotten before the next is read."""
+    depth, root = 0, None
+    data = xml.encode() if isinstance(xml, str) else bytes(xml)
+    for event, e in ElementTree.iterparse(io.BytesIO(data), events=("start", "end")):
+        if event == "start":
+            root = e if root is None else root
+            depth += 1
+            continue
+        depth -= 1
+        if depth == 1 and _tag(e) == "TEI":
+            yield e
+            root.clear()
+
+
+def extract_gold(docs: DataFrame) -> DataFrame:
+    """Located rows of every text in docs(docid, xml), where a file holds several texts below one root.
+
+    A text goes by its own id (without one: the file's and its number), its pages
+    are counted on from where its citation says that it begins. Files are read as
+    streams, text by text; of a file that breaks off, the texts before that stay.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for docid, xml in zip(pdf["docid"], pdf["xml"]):
+                try:
+                    for k, text in enumerate(_texts(xml or "")):
+                        name = _id(text) or f"{docid}-{k}"
+                        out = [(name, r[0], i, *r[1:]) for i, r in enumerate(walk(text, *_start(text)))]
+                        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                except ElementTree.ParseError:
+                    continue
+
+    return docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
+
+
 class _Page(HTMLParser):
     _BLOCK = frozenset("p div li h1 h2 h3 h4 h5 h6 td tr title section article br".split())
 

@@ -64,45 +64,76 @@ def sentences(rows: DataFrame, min_words: int = 4, insertion: str = "join") -> D
     of one or two joins it and goes on into the next. Unfinished tails go on
     into the next row of the paragraph. One paragraph is folded in one group.
     """
+    return _by_paragraph(rows, lambda lines: [(p.replace("#INPOINT#", "#SEND#"), at) for p, at in _folded(lines, min_words, insertion)])
+
+
+def nested_sentences(rows: DataFrame, min_words: int = 4) -> DataFrame:
+    """Sentences, and of each that holds parentheses every one of them, the whole and the rest, segmented again.
+
+    A sentence keeps its parentheses whole (their sentence ends do not split it);
+    the pieces that it gives go through the same fold, markers left out, so that
+    short ones join their neighbours within their piece.
+    """
+
+    def nested(lines):
+        for piece, at in _folded(lines, min_words, "join"):
+            text = piece.replace("#INPOINT#", "#SEND#")
+            if "#INSTART#" not in text:
+                yield text, at
+                continue
+            for part in [*re.findall(r"(?<=#INSTART#).*?(?=#INEND#)", text), text, re.sub(r"\s*#INSTART#.*?#INEND#\s*", " ", text)]:
+                yield from _folded([(part, at)], min_words, "ignore")
+
+    return _by_paragraph(rows, nested)
+
+
+def _by_paragraph(rows: DataFrame, fold) -> DataFrame:
+    """Segments that fold makes of the (text, page) lines of each paragraph, numbered."""
     schema = "corpus string, bookpart string, paragraph string, seg_idx int, page int, text string"
 
-    def foldp(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx")
-        out: list[list] = []
-        pending, where = "", None
-        bound = r"#SEND#|#CSTART#" + (r"|#INSTART#|#INEND#" if insertion == "sentbound" else "")
-        for text, page in zip(pdf["text"], pdf["page"]):
-            if not text or not text.strip():
-                continue
-            if insertion == "join":
-                text = re.sub(r"#INSTART#.*?#INEND#", lambda m: m[0].replace("#SEND#", "#INPOINT#"), text)
-            elif insertion == "ignore":
-                text = re.sub(r"#INSTART#|#INEND#", "", text)
-            for piece in filter(None, (p.strip() for p in re.split(bound, text))):
-                at = page
-                if pending:
-                    if len(pending) > len(piece):
-                        at = where
-                    piece = pending[:-1] + piece if pending.endswith("=") else f"{pending} {piece}"
-                    pending = ""
-                n = len(piece.split())
-                if n >= min_words:
-                    out.append([piece, at])
-                elif out and n == min_words - 1:
-                    out[-1][0] += " " + piece
-                else:
-                    if out:
-                        out[-1][0] += " " + piece
-                    pending, where = piece, at
-            if not text.rstrip().endswith("#SEND#") and not pending and out:
-                pending, where = out.pop()
-        if pending:
-            if len(pending.split()) < min_words and out:
-                if not out[-1][0].endswith(pending):
-                    out[-1][0] += " " + pending
+        out, head = list(fold(list(zip(pdf["text"], pdf["page"])))), pdf.iloc[0]
+        place = (head["corpus"], head["bookpart"], head["paragraph"])
+        return pd.DataFrame([(*place, k, at, text) for k, (text, at) in enumerate(out)], columns=["corpus", "bookpart", "paragraph", "seg_idx", "page", "text"], dtype=object)
+
+    return rows.groupBy("corpus", "bookpart", "paragraph").applyInPandas(run, schema)
+
+
+def _folded(lines: list[tuple], min_words: int, insertion: str) -> list[list]:
+    """[sentence, page] of the lines of a paragraph."""
+    out: list[list] = []
+    pending, where = "", None
+    bound = r"#SEND#|#CSTART#" + (r"|#INSTART#|#INEND#" if insertion == "sentbound" else "")
+    for text, page in lines:
+        if not text or not text.strip():
+            continue
+        if insertion == "join":
+            text = re.sub(r"#INSTART#.*?#INEND#", lambda m: m[0].replace("#SEND#", "#INPOINT#"), text)
+        elif insertion == "ignore":
+            text = re.sub(r"#INSTART#|#INEND#", "", text)
+        for piece in filter(None, (p.strip() for p in re.split(bound, text))):
+            at = page
+            if pending:
+                if len(pending) > len(piece):
+                    at = where
+                piece = pending[:-1] + piece if pending.endswith("=") else f"{pending} {piece}"
+                pending = ""
+            n = len(piece.split())
+            if n >= min_words:
+                out.append([piece, at])
+            elif out and n == min_words - 1:
+                out[-1][0] += " " + piece
             else:
-                out.append([pending, where])
-        head = pdf.iloc[0]
-        return pd.DataFrame({"corpus": head["corpus"], "bookpart": head["bookpart"], "paragraph": head["paragraph"], "seg_idx": range(len(out)), "page": [o[1] for o in out], "text": [o[0].replace("#INPOINT#", "#SEND#") for o in out]}).astype({"seg_idx": "int32"})
-
-    return rows.groupBy("corpus", "bookpart", "paragraph").applyInPandas(foldp, schema)
+                if out:
+                    out[-1][0] += " " + piece
+                pending, where = piece, at
+        if not text.rstrip().endswith("#SEND#") and not pending and out:
+            pending, where = out.pop()
+    if pending:
+        if len(pending.split()) < min_words and out:
+            if not out[-1][0].endswith(pending):
+                out[-1][0] += " " + pending
+        else:
+            out.append([pending, where])
+    return out

@@ -6,7 +6,7 @@ from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.clean import is_number
@@ -467,6 +467,34 @@ def majority_lemma(pairs: DataFrame) -> DataFrame:
     return n.groupBy("form").agg(F.min(F.struct((-F.col("n")).alias("n"), "lemma")).alias("m")).select("form", "m.lemma")
 
 
+#: Letters with a letter above them, and how each may be spelled.
+SPELLINGS = {"aͤ": ("a", "ae"), "eͤ": ("e", "ee"), "oͤ": ("o", "oe"), "uͤ": ("u", "ue"), "uͦ": ("u", "uo"), "uͮ": ("u", "v", "uu", "uv"), "vͤ": ("u", "v", "ue", "ve")}
+
+
+def form_variants(form: Column) -> Column:
+    """Array of the spellings of a token: itself if it is of a-z; else those of the first marked letter, in the order of
+    SPELLINGS, that it holds; none for any other token."""
+    out = F.when(form.rlike("^[a-z]+$"), F.array(form))
+    for mark, spelled in SPELLINGS.items():
+        out = out.when(F.contains(form, F.lit(mark)), F.array(*[F.replace(form, F.lit(mark), F.lit(x)) for x in spelled]))
+    return out.otherwise(F.array().cast("array<string>"))
+
+
+def reference_lemmas(tokens: DataFrame) -> DataFrame:
+    """(form, lemma) of annotated tokens(ord, form, simple, lemma): the most frequent lemma of each spelling.
+
+    Ties go to the lemma that was seen first (by ord). A token without a lemma (--)
+    counts as the number 1234 if its first spelling is written with numeral letters, and
+    not at all otherwise.
+    """
+    rows = tokens.select("ord", F.lower("simple").alias("simple"), F.lower("lemma").alias("lemma"), form_variants(F.lower("form")).alias("v")).where(F.size("v") > 0)
+    none = (F.col("lemma") == "--") | (F.col("simple") == "--")
+    rows = rows.withColumn("v", F.when(~none, F.col("v")).when(F.col("v")[0].rlike("^[ijvuxlcdm]+$"), F.slice("v", 1, 1)).otherwise(F.array().cast("array<string>")))
+    seen = rows.select("ord", F.explode("v").alias("form"), F.when(none, "1234").otherwise(F.col("lemma")).alias("lemma"))
+    n = seen.groupBy("form", "lemma").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return n.groupBy("form").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "lemma")).alias("m")).select("form", "m.lemma")
+
+
 def lemmatise(rows: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
     """Each token's core [a-z]+ between markers replaced by its lemma; other tokens stay."""
     tok = rows.select(*keys, F.posexplode(F.split("text", " ")).alias("pos", "tok"))

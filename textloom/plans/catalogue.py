@@ -227,6 +227,12 @@ def full_text(s, d):
     return segment.full_text(_turns(s, d)).select("corpus", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query()
+def nested_sentences(s, d):
+    """G1 + G2: parentheses segmented again; tests hold it against the pieces one by one."""
+    return segment.nested_sentences(_turns(s, d).withColumn("corpus", F.col("corpus").cast("string")).withColumn("text", clean.mark_boundaries(F.col("text"))))
+
+
 @query()
 def insertions(s, d):
     return segment.expand_insertions(table(s, d, "documents").select("doc_id", clean.mark_boundaries(F.col("text")).alias("text")))
@@ -271,6 +277,14 @@ def window_islands(s, d):
     return detect.islands(_word_matches(s, d), 5, 3, window=10, in_window=3)
 
 
+@query(r"""WITH p AS (SELECT series, docid, unnest(regexp_extract_all(text, '[^\pL\pN]*[\pL\pN]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^\pL\pN]*[\pL\pN]+'), 1) AS k FROM d),
+u AS (SELECT *, length(regexp_extract(piece, '[\pL\pN]+$')) AS n, CAST(sum(length(piece)) OVER (PARTITION BY docid ORDER BY k) AS INTEGER) AS upto FROM p)
+SELECT docid, CAST(row_number() OVER (PARTITION BY docid ORDER BY k) - 1 AS INTEGER) AS pos, CAST(upto - n AS INTEGER) AS "start", upto - 1 AS "end", md5(lower(right(piece, n))) AS tok_md5 FROM u WHERE n >= 2""".replace("WITH p", f"WITH {_SERIES}, p"))
+def located_tokens(s, d):
+    """T5: tokens and the code points that they take."""
+    return detect.located_tokens(_series(s, d)).select("docid", "pos", "start", "end", F.md5(F.col("tok").cast("binary")).alias("tok_md5"))
+
+
 @query()
 def window_alignment(s, d):
     return detect.window_alignment(_series(s, d), "b", ngram=3, gap=1, window=10, in_docs=3, in_window=3, minimum=3, max_gap=5, word_order=False)
@@ -400,6 +414,26 @@ def pseudo_lemmas(s, d):
 _LEM = f"p AS (SELECT w[1:4] AS form, w AS lemma FROM (SELECT {_TOK} AS w FROM documents) WHERE length(w) >= 5), q AS (SELECT form, lemma, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT form, lemma FROM q QUALIFY row_number() OVER (PARTITION BY form ORDER BY n DESC, lemma) = 1)"
 
 
+_MARKED = "replace(replace(replace(lower(text), 'ä', 'aͤ'), 'ö', 'oͤ'), 'ü', 'uͤ')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all({_MARKED}, '[a-zͤ]+') AS w FROM documents)),
+o AS (SELECT doc_id * 1000000 + i - 1 AS ord, w[i] AS form, w[i][1:2] AS lemma FROM t),
+v AS (SELECT ord, lemma, unnest(CASE WHEN regexp_full_match(form, '[a-z]+') THEN [form] WHEN contains(form, 'aͤ') THEN [replace(form, 'aͤ', 'a'), replace(form, 'aͤ', 'ae')]
+WHEN contains(form, 'eͤ') THEN [replace(form, 'eͤ', 'e'), replace(form, 'eͤ', 'ee')] WHEN contains(form, 'oͤ') THEN [replace(form, 'oͤ', 'o'), replace(form, 'oͤ', 'oe')]
+WHEN contains(form, 'uͤ') THEN [replace(form, 'uͤ', 'u'), replace(form, 'uͤ', 'ue')] ELSE CAST([] AS VARCHAR[]) END) AS form FROM o),
+n AS (SELECT form, lemma, count(*) AS n, min(ord) AS first FROM v GROUP BY ALL)
+SELECT form, lemma FROM n QUALIFY row_number() OVER (PARTITION BY form ORDER BY n DESC, first, lemma) = 1""")
+def reference_lemmas(s, d):
+    """Umlauts stand for letters with an e above them, the first two letters of a token for its lemma."""
+    text = F.lower("text")
+    for a, b in zip("äöü", "aou"):
+        text = F.replace(text, F.lit(a), F.lit(b + "ͤ"))
+    words = table(s, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit("[a-zͤ]+"), F.lit(0))).alias("k", "form"))
+    lemma = F.substring("form", 1, 2)
+    return wordgraph.reference_lemmas(words.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("ord"), "form", lemma.alias("simple"), lemma.alias("lemma")))
+
+
 @query(f"WITH {_LEM} SELECT form, lemma FROM l")
 def lemma_majority(s, d):
     return wordgraph.majority_lemma(_lemma_pairs(s, d))

@@ -81,7 +81,8 @@ def representations(rows: DataFrame, how: Preparation = Preparation()) -> dict[s
     """One corpus collection as full texts, sentences and word n-grams, each (docid, corpus, text, ...)."""
     plain = rows.withColumn("text", clean.plain(F.col("text")))
     full = segment.full_text(plain).select(F.col("corpus").alias("docid"), "corpus", "text")
-    sent = segment.sentences(rows.withColumn("corpus", F.col("corpus").cast("string")), how.min_words, how.insertion)
+    named = rows.withColumn("corpus", F.col("corpus").cast("string"))
+    sent = segment.nested_sentences(named, how.min_words) if how.insertion == "join" else segment.sentences(named, how.min_words, how.insertion)
     sent = sent.withColumn("text", clean.plain(F.col("text"))).withColumn("docid", F.concat_ws("-", "corpus", "bookpart", "paragraph", F.col("seg_idx").cast("string")))
     grams = segment.ngrams_across(plain, how.ngram).withColumn("docid", F.concat_ws("-", "corpus", "bookpart", "paragraph", F.col("row_idx").cast("string"), F.col("pos").cast("string")))
     return {"full": full, "sentences": sent, "ngrams": grams.withColumnRenamed("gram", "text")}
