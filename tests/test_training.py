@@ -121,10 +121,12 @@ def test_rounds_are_saved(spark, tmp_path):
     assert wordgraph.last_round(spark, half) == 10  # numbers, not names
 
 
-def test_label_propagation_settles(spark):
+@pytest.mark.parametrize("in_task", [2_000_000, 0])
+def test_label_propagation_settles(spark, monkeypatch, in_task):
     """Every node ends with a label of the greatest weight among its neighbours; long chains, pairs and ties end as well."""
+    monkeypatch.setattr(wordgraph, "IN_TASK", in_task)
     rnd = random.Random(8)
-    links = [(i, i + 1, 1.0) for i in range(70)] + [(100 + a, 100 + b, round(rnd.random(), 2)) for a in range(14) for b in range(a + 1, 14) if rnd.random() < 0.4] + [(200, 201, 1.0)]
+    links = [(i, i + 1, 1.0) for i in range(40)] + [(100 + a, 100 + b, round(rnd.random(), 2)) for a in range(14) for b in range(a + 1, 14) if rnd.random() < 0.4] + [(200, 201, 1.0)]
     ids = sorted({i for a, b, _ in links for i in (a, b)} | {999})
     nodes = spark.createDataFrame([(i, str(i)) for i in ids], "id long, form string")
     got = {r.id: r.com_id for r in wordgraph.communities(nodes, spark.createDataFrame(links, "src long, dst long, weight double"), algo="lpa").collect()}

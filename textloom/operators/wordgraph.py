@@ -166,57 +166,69 @@ def _bridged(ids: list, links: dict) -> dict:
     return {i: min(component(i)) for i in ids}
 
 
+def _asynchronous(ids: list, links: dict) -> dict:
+    """Label propagation, node by node in id order, until every node has a label of the greatest weight among its neighbours.
+
+    A node moves only to a label that weighs more than its own (ties to the smaller), so it ends.
+    """
+    com, moved = {i: i for i in ids}, True
+    while moved:
+        moved = False
+        for i in ids:
+            near: dict = defaultdict(float)
+            for j, w in links[i].items():
+                if j != i:
+                    near[com[j]] += w
+            if near:
+                most = max(near.values())
+                if most > near.get(com[i], 0.0) + 1e-9:
+                    com[i], moved = min(c for c, w in near.items() if w >= most - 1e-9), True
+    return com
+
+
 def _propagated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Label propagation by joins until every node has a label of the greatest weight among its neighbours.
+    """The same by joins, for graphs of any size: until every node has a label of the greatest weight among its neighbours.
 
     A node moves only to a label that weighs more than its own (ties to the
-    smaller). Rounds move half of the nodes, by a bit of a hash, while they raise
-    the weight of all edges whose ends agree; after that only nodes move that come
-    before all their moving neighbours in an order of hashes. Such moves do not
-    touch each other, so each round raises that weight, and the rounds end.
+    smaller). In a round each label is either left or entered, by a bit of a hash of
+    it and of the round: what a node moves to stays, so every round that moves nodes
+    raises the weight of the edges whose ends agree, and the rounds end.
     """
-    links, label = _checkpoint(both_ways(edges)), _checkpoint(nodes.select("id", F.col("id").alias("com_id")))
-    best, high, apart, turn = label, -1.0, False, 0
+    links, label, turn = _checkpoint(both_ways(edges)), _checkpoint(nodes.select("id", F.col("id").alias("com_id"))), 0
     while True:
         votes = links.join(label.toDF("dst", "com_id"), "dst").groupBy(F.col("src").alias("id"), "com_id").agg(F.round(F.sum("weight"), 9).alias("w"))
-        votes = votes.join(label.toDF("id", "own"), "id").withColumn("own_w", F.when(F.col("com_id") == F.col("own"), F.col("w")))
-        told = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m"), F.coalesce(F.max("own_w"), F.lit(0.0)).alias("now"))
-        told = _checkpoint(told.select("id", F.col("m.com_id").alias("to"), (-F.col("m.w")).alias("most"), "now"))
-        agreed, waiting = told.agg(F.coalesce(F.sum("now"), F.lit(0.0)), F.count(F.when(F.col("most") > F.col("now"), 1))).first()
-        if not waiting:
+        votes = votes.join(label.toDF("id", "own"), "id")
+        now = F.max(F.when(F.col("com_id") == F.col("own"), F.col("w"))).over(Window.partitionBy("id"))
+        better = _checkpoint(votes.withColumn("now", F.coalesce(now, F.lit(0.0))).where("w > now").select("id", "com_id", "w", "own"))
+        if not better.head(1):
             break
-        if not apart and agreed <= high:  # nodes that moved together have undone each other
-            label, apart = best, True
-            continue
-        best, high = label, agreed
-        moving = told.where("most > now").select("id", "to", F.xxhash64("id", F.lit(turn)).alias("rank"))
-        if apart:
-            near = links.join(moving.select(F.col("id").alias("src"), F.col("rank").alias("mine")), "src").join(moving.select(F.col("id").alias("dst"), F.col("rank").alias("theirs")), "dst")
-            behind = near.where("src <> dst and (theirs > mine or (theirs = mine and dst > src))").select(F.col("src").alias("id")).distinct()
-            moving = moving.join(behind, "id", "left_anti")
-        elif moving.where("pmod(rank, 2) = 0").head(1):
-            moving = moving.where("pmod(rank, 2) = 0")
-        label = _checkpoint(label.join(moving.select("id", "to"), "id", "left").select("id", F.coalesce("to", "com_id").alias("com_id")))
-        turn += 1
+        moves = None
+        while moves is None:
+            entered = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0  # noqa: B023, E731
+            open_ = better.where(entered(F.col("com_id")) & ~entered(F.col("own")))
+            moves = open_ if open_.head(1) else None
+            turn += 1
+        moves = moves.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "com_id")).alias("m")).select("id", F.col("m.com_id").alias("to"))
+        label = _checkpoint(label.join(moves, "id", "left").select("id", F.coalesce("to", "com_id").alias("com_id")))
     low = label.groupBy("com_id").agg(F.min("id").alias("low"))
     return label.join(low, "com_id").select(F.col("low").alias("com_id"), "id")
 
 
-#: Edges of a graph up to which one task clusters it; larger ones are clustered by joins.
-IN_TASK = 100_000
+#: Edges of a graph up to which one task clusters it (some 500 MB there); larger ones are clustered by joins.
+IN_TASK = 2_000_000
 #: A level of the joins goes on while its rounds raise modularity by this much.
 GAIN = 1e-4
 
 
-def _louvain_in_tasks(rows: DataFrame, resolution: float) -> DataFrame:
-    """(graph, com_id, id) of rows(graph, src, dst, weight, total): each graph in one task."""
+def _in_tasks(rows: DataFrame, cluster) -> DataFrame:
+    """(graph, com_id, id) of rows(graph, src, dst, weight, total): each graph in one task, by cluster(ids, links, total)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links: dict = defaultdict(dict)
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
+        for s, d, w in zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["weight"].tolist()):
             links[s][d] = links[d][s] = w
         ids = sorted(links)
-        com, low = _louvain(ids, links, float(pdf["total"].iloc[0]), resolution), {}
+        com, low = cluster(ids, links, float(pdf["total"].iloc[0])), {}
         for i in ids:
             low.setdefault(com[i], i)
         return pd.DataFrame({"graph": pdf["graph"].iloc[0], "com_id": [low[com[i]] for i in ids], "id": ids})
@@ -276,13 +288,25 @@ def _louvain_by_joins(rows: DataFrame, resolution: float) -> DataFrame:
         edges = _checkpoint(merged.agg(F.sum("weight").alias("weight"), F.first("total").alias("total")))
 
 
-def _louvain_graphs(rows: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(graph, com_id, id) of rows(graph, src, dst, weight, total): com_id is the smallest id. Node ids belong to one graph."""
+def _labels_by_joins(rows: DataFrame) -> DataFrame:
+    """(graph, com_id, id) of label propagation over large graphs."""
+    rows = _checkpoint(rows)
+    nodes = rows.select("graph", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return _propagated(nodes, rows).join(nodes, "id").select("graph", "com_id", "id")
+
+
+def _clustered(rows: DataFrame, algo: str = "louvain", resolution: float = 1.0) -> DataFrame:
+    """(graph, com_id, id) of rows(graph, src, dst, weight, total): com_id is the smallest id. Node ids belong to one graph.
+
+    Graphs of up to IN_TASK edges are clustered in one task each, larger ones by joins.
+    """
     rows = _checkpoint(rows)
     large = _checkpoint(rows.groupBy("graph").count().where(F.col("count") > IN_TASK).select("graph"))
+    one = (lambda ids, links, total: _asynchronous(ids, links)) if algo == "lpa" else (lambda ids, links, total: _louvain(ids, links, total, resolution))
     if not large.head(1):
-        return _louvain_in_tasks(rows, resolution)
-    return _louvain_in_tasks(rows.join(large, "graph", "left_anti"), resolution).union(_louvain_by_joins(rows.join(large, "graph", "left_semi"), resolution))
+        return _in_tasks(rows, one)
+    rest = rows.join(large, "graph", "left_semi")
+    return _in_tasks(rows.join(large, "graph", "left_anti"), one).union(_labels_by_joins(rest) if algo == "lpa" else _louvain_by_joins(rest, resolution))
 
 
 def modularity(members: DataFrame, edges: DataFrame, resolution: float = 1.0) -> float:
@@ -300,35 +324,24 @@ def modularity(members: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, algo: str = "louvain") -> DataFrame:
     """members(com_id, id). Components are clustered apart, with the modularity of the whole graph; com_id is the smallest id.
 
-    algo: louvain (a component of up to IN_TASK edges in one task, larger ones by
-    joins); greedy (the pair of communities whose union gains most modularity is
-    merged first); girvan_newman (the first split, taking away the heaviest edge
-    until a component falls apart); these two run a component in one task. lpa:
-    synchronous label propagation to the heaviest label, ties to the smaller, as
-    joins over the whole graph.
+    algo: louvain; lpa (label propagation until each node has a label of the greatest
+    weight among its neighbours, ties to the smaller); both run a component of up to
+    IN_TASK edges in one task, larger ones by joins. greedy (the pair of communities
+    whose union gains most modularity is merged first) and girvan_newman (the first
+    split, taking away the heaviest edge until a component falls apart) always run a
+    component in one task.
     """
     if algo not in ("louvain", "greedy", "girvan_newman", "lpa"):
         raise ValueError(f"unknown algorithm {algo}")
     edges = _checkpoint(edges)  # read in every round
-    if algo == "lpa":
-        return _propagated(nodes, edges)
     comp = connected(nodes, edges)
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     rows = edges.join(comp.withColumnRenamed("id", "src"), "src").select(F.col("component").alias("graph"), "src", "dst", "weight", F.lit(total).alias("total"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: dict = defaultdict(dict)
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"]):
-            links[s][d] = links[d][s] = w
-        ids = sorted(links)
-        com = _greedy(ids, links, total, resolution) if algo == "greedy" else _bridged(ids, links)
-        low: dict = {}
-        for i in ids:
-            low.setdefault(com[i], i)
-        return pd.DataFrame({"com_id": [low[com[i]] for i in ids], "id": ids})
-
-    found = _louvain_graphs(rows, resolution).select("com_id", "id") if algo == "louvain" else rows.groupBy("graph").applyInPandas(run, "com_id long, id long")
-    return found.union(isolates(nodes, edges).select(F.col("id").alias("com_id"), "id"))
+    if algo in ("louvain", "lpa"):
+        found = _clustered(rows, algo, resolution)
+    else:
+        found = _in_tasks(rows, lambda ids, links, total: _greedy(ids, links, total, resolution) if algo == "greedy" else _bridged(ids, links))
+    return found.select("com_id", "id").union(isolates(nodes, edges).select(F.col("id").alias("com_id"), "id"))
 
 
 def dense_communities(nodes: DataFrame, edges: DataFrame, algo: str = "louvain", resolution: float = 1.0, folder: str | None = None) -> DataFrame:
@@ -362,7 +375,7 @@ def dense_communities(nodes: DataFrame, edges: DataFrame, algo: str = "louvain",
 def _split(rest: DataFrame, inner: DataFrame, resolution: float) -> DataFrame:
     """Louvain inside each community of rest(com_id, id) by its own edges inner(graph, src, dst, weight): (parent, com_id, id)."""
     rows = inner.join(inner.groupBy("graph").agg(F.sum("weight").alias("total")), "graph")
-    found = _checkpoint(_louvain_graphs(rows.select("graph", "src", "dst", "weight", "total"), resolution).withColumnRenamed("graph", "parent"))
+    found = _checkpoint(_clustered(rows.select("graph", "src", "dst", "weight", "total"), resolution=resolution).withColumnRenamed("graph", "parent"))
     lone = rest.join(found.select("id"), "id", "left_anti").select(F.col("com_id").alias("parent"), F.col("id").alias("com_id"), "id")
     return found.union(lone)
 
