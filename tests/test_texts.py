@@ -1,6 +1,8 @@
 """Several texts in a file, parentheses segmented again, spellings of annotated tokens."""
 
-from textloom.operators import extract, segment, wordgraph
+from textloom.operators import extract, segment, similarity, wordgraph
+from textloom.plans import drivers
+from textloom.sources import tables
 
 TEI = """<TEI xml:id="{id}" xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><bibl><citedRange from="{at}"/></bibl></teiHeader>
 <text><body><div n="b1"><p n="p1"><l>first line</l><pb n="{fol}"/><l>second</l><l>line</l></p></div></body></text></TEI>"""
@@ -38,3 +40,21 @@ def test_spellings(spark):
     ]
     got = {r.form: r.lemma for r in wordgraph.reference_lemmas(spark.createDataFrame(tokens, "ord int, form string, simple string, lemma string")).collect()}
     assert got == {"hus": "haus", "huos": "haus", "un": "un", "vn": "un", "uun": "un", "uvn": "un", "gut": "bad", "guet": "gut", "vii": "1234", "tie": "b", "ux": "1234"}
+
+
+def test_rules_and_scores_from_files(spark, tmp_path):
+    """Rule tables and a scoring file as inputs of the cleaning and the similarity."""
+    (tmp_path / "case.csv").write_text('desc,regex,replace\nbig v,V(?=n),U\n"quoted, with comma","(\\d),(\\d)",\\1.\\2\n', encoding="utf-8")
+    (tmp_path / "low.csv").write_text("desc,regex,replace\nsharp,ß,ss\nthen,ss$,s\nmark,\\|\\|,\n", encoding="utf-8")
+    (tmp_path / "pre.csv").write_text("desc,regex\nup,(?<!\\w)[uv]p\\s\\w+\n", encoding="utf-8")
+    (tmp_path / "scoring.json").write_text('{"scoring": {"name": "x", "pairscores": {"1": [["i", "j"]], "-0.5": [["k", "l"]]}, "doublescores": {"0.25": ["a", "e"]}}}')
+    at = lambda n: str(tmp_path / n)
+    how = drivers.Preparation.read(spark, case_rules=at("case.csv"), rules=at("low.csv"), prefixes=at("pre.csv"), min_words=3)
+    assert how.case_rules == (("V(?=n)", "U"), (r"(\d),(\d)", r"\1.\2")) and how.rules == (("ß", "ss"), ("ss$", "s"), (r"\|\|", "")) and how.prefixes == ("[uv]p",) and how.min_words == 3
+    rows = spark.createDataFrame([("a", 0, "", "", "Vnd|| vp staßen"), ("a", 1, "", "", "vpstassen here naß")], "corpus string, row_idx int, bookpart string, paragraph string, text string")
+    got, _ = drivers.clean_corpus(rows, how)
+    assert [r.text for r in got.orderBy("row_idx").collect()] == ["und vpstassen", "vpstassen here nas"]
+    sm = similarity.matrix(*tables.read_scoring(spark, at("scoring.json")))
+    assert sm[8, 9] == sm[9, 8] == 1 and sm[10, 11] == -0.5 and sm[0, 4] == sm[4, 0] == 0.25 and sm[0, 0] == 1 and sm[0, 1] == -1
+    pairs = spark.createDataFrame([("ja", "ie")], "x string, y string")
+    assert similarity.similarity(pairs, sm).first().sim == 1.25

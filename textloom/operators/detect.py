@@ -479,15 +479,22 @@ def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.0
     reps = known.groupBy("series", "k1", "k2").agg(F.min("docid").alias("rep"))
     ids = _checkpoint(known.drop("text").join(reps, ["series", "k1", "k2"]).select("series", "docid", "rep"))
     texts = known.select("series", "docid", "text").join(ids.where("docid = rep").select("series", "docid"), ["series", "docid"], "left_semi").dropDuplicates(["series", "docid"])
-    sizes = {r.series: -(-r.n // BLOCK) for r in texts.groupBy("series").agg(F.sum(F.length("text")).alias("n")).collect()}
-    rows = [(s, i, t, j) for s in sizes for t in sizes if s < t for i in range(sizes[s]) for j in range(sizes[t])]
-    meets = docs.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "sa string, ia int, sb string, ib int, task int")
-    counts = docs.sparkSession.createDataFrame(list(sizes.items()), "series string, blocks int")
-    dealt = texts.join(F.broadcast(counts), "series").withColumn("block", F.expr("cast(pmod(xxhash64(docid), blocks) as int)"))
-    side = lambda s: dealt.join(meets.select(F.col(f"s{s}").alias("series"), F.col(f"i{s}").alias("block"), "task"), ["series", "block"]).select("task", "docid", "text")
-    left, right = side("a"), side("b").toDF("task_b", "docid_b", "text_b")
-    run = lambda x, y: _seeded(x, y.set_axis(x.columns, axis=1), word_size, lam, kk / e_value)
-    found = left.groupBy("task").cogroup(right.groupBy("task_b"))
+    sizes = {r.series: -(-r.n // BLOCK) for r in texts.groupBy("series").agg(F.sum(F.length("text")).alias("n")).collect()}  # one row a series
+    plan = [(s, n, [(t, k) for t, k in sizes.items() if t > s], [(t, k) for t, k in sizes.items() if t < s]) for s, n in sizes.items()]
+    others = "array<struct<other:string,n:int>>"
+    plan = docs.sparkSession.createDataFrame(plan, f"series string, blocks int, later {others}, earlier {others}")
+    dealt = texts.join(F.broadcast(plan), "series").withColumn("block", F.expr("cast(pmod(xxhash64(docid), blocks) as int)"))
+
+    def side(partners: str, own: str, other: str) -> DataFrame:
+        """Each text once for every block of its partners; the meetings are rows, listed nowhere."""
+        rows = dealt.select("series", "block", "docid", "text", F.explode(partners).alias("p"))
+        rows = rows.select("series", "block", "docid", "text", "p.other", F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("with"))
+        return rows.select(F.col("series").alias(f"s_{own}"), F.col("block").alias(f"i_{own}"), F.col("other").alias(f"s_{other}"), F.col("with").alias(f"i_{other}"), "docid", "text")
+
+    meeting = ["s_a", "i_a", "s_b", "i_b"]
+    left, right = side("later", "a", "b"), side("earlier", "b", "a").select(*meeting, "docid", "text")
+    run = lambda x, y: _seeded(x, y, word_size, lam, kk / e_value)
+    found = left.groupBy(*meeting).cogroup(right.groupBy(*meeting))
     got = found.applyInPandas(run, "a string, b string, start_a long, end_a long, start_b long, end_b long")
     passages = cluster_passages(got.where((F.col("end_a") - F.col("start_a") + 1).between(min_length, max_length)))
     copies = ids.select("docid", F.col("rep")).distinct()

@@ -323,7 +323,7 @@ def _edges(s, d):
     return longer.join(n.toDF("src", "fa"), "fa").select("src", "dst", (F.length("fa") / F.length("fb")).alias("weight"))
 
 
-_NODES = f"{_FRQ}, n AS (SELECT word AS form FROM f), e AS (SELECT x.form AS fa, y.form AS fb, length(x.form) / length(y.form) AS weight FROM n y JOIN n x ON x.form = y.form[1:len(y.form) - 1]), m AS (SELECT form[1:3] AS com, form FROM n)"
+_NODES = f"{_FRQ}, n AS MATERIALIZED (SELECT word AS form FROM f), e AS MATERIALIZED (SELECT x.form AS fa, y.form AS fb, length(x.form) / length(y.form) AS weight FROM n y JOIN n x ON x.form = y.form[1:len(y.form) - 1]), m AS (SELECT form[1:3] AS com, form FROM n)"
 
 
 def _members(s, d):

@@ -10,10 +10,11 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import clean, detect, matches, segment, vocab, wordgraph
+from textloom.sources import tables
 from textloom.sources.tables import fresh_path, written
 
 ROW = ("corpus", "bookpart", "paragraph", "row_idx", "page")
@@ -34,6 +35,12 @@ class Preparation:
     ngram: int = 5
     insertion: str = "join"
 
+    @classmethod
+    def read(cls, spark: SparkSession, *, case_rules: str | None = None, rules: str | None = None, extra: str | None = None, prefixes: str | None = None, **more) -> Preparation:
+        """Settings whose rules (desc, regex, replace) and prefixes (desc, regex) lie in CSV files, in their order."""
+        pairs = lambda path: tuple((r["regex"], r["replace"]) for r in tables.read_rules(spark, path)) if path else ()
+        return cls(pairs(case_rules), pairs(rules), pairs(extra), tables.read_prefixes(spark, prefixes) if prefixes else (), **more)
+
 
 #: The detectors' settings of the final run.
 PRESETS = {

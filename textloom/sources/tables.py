@@ -91,6 +91,20 @@ def read_rules(spark: SparkSession, path: str) -> list[dict[str, str]]:
     return [dict(row) for row in csv.DictReader(io.StringIO(text))]
 
 
+def read_prefixes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The prefix words (as regexes) of a table (desc, regex) whose regexes also hold the word that follows."""
+    return tuple(r["regex"].removeprefix(r"(?<!\w)").removesuffix(r"\w+").removesuffix(r"\s").removesuffix(" ") for r in read_rules(spark, path))
+
+
+def read_scoring(spark: SparkSession, path: str) -> tuple[dict[float, list[str]], dict[float, str]]:
+    """(scores of letter pairs, scores of all pairs of a group of letters) of a scoring file, as similarity.matrix takes them."""
+    import json
+
+    spec = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    spec = spec.get("scoring", spec)
+    return {float(k): ["".join(p) for p in pairs] for k, pairs in spec["pairscores"].items()}, {float(k): "".join(letters) for k, letters in spec.get("doublescores", {}).items()}
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
     """S5 (one document) and S7 (JSON lines)."""
     reader = spark.read.option("multiLine", not lines)
