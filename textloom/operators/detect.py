@@ -492,9 +492,10 @@ def seed_and_extend(docs: DataFrame, *, word_size: int = 6, e_value: float = 0.0
         return rows.select(F.col("series").alias(f"s_{own}"), F.col("block").alias(f"i_{own}"), F.col("other").alias(f"s_{other}"), F.col("with").alias(f"i_{other}"), "docid", "text")
 
     meeting = ["s_a", "i_a", "s_b", "i_b"]
-    left, right = side("later", "a", "b"), side("earlier", "b", "a").select(*meeting, "docid", "text")
-    run = lambda x, y: _seeded(x, y, word_size, lam, kk / e_value)
-    found = left.groupBy(*meeting).cogroup(right.groupBy(*meeting))
+    left, right = side("later", "a", "b"), side("earlier", "b", "a")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in (*meeting, "docid", "text")])
+    run = lambda x, y: _seeded(x, y.rename(columns={"docid_": "docid", "text_": "text"}), word_size, lam, kk / e_value)
+    found = left.groupBy(*meeting).cogroup(right.groupBy(*[f"{c}_" for c in meeting]))
     got = found.applyInPandas(run, "a string, b string, start_a long, end_a long, start_b long, end_b long")
     passages = cluster_passages(got.where((F.col("end_a") - F.col("start_a") + 1).between(min_length, max_length)))
     copies = ids.select("docid", F.col("rep")).distinct()
