@@ -171,10 +171,10 @@ def _asynchronous(ids: list, links: dict) -> dict:
 
     A node moves only to a label that weighs more than its own (ties to the smaller), so it ends.
     """
-    com, moved = {i: i for i in ids}, True
-    while moved:
-        moved = False
-        for i in ids:
+    com, todo = {i: i for i in ids}, ids
+    while todo:
+        again: set = set()  # only neighbours of a node that moves can have a better label since
+        for i in todo:
             near: dict = defaultdict(float)
             for j, w in links[i].items():
                 if j != i:
@@ -182,7 +182,9 @@ def _asynchronous(ids: list, links: dict) -> dict:
             if near:
                 most = max(near.values())
                 if most > near.get(com[i], 0.0) + 1e-9:
-                    com[i], moved = min(c for c, w in near.items() if w >= most - 1e-9), True
+                    com[i] = min(c for c, w in near.items() if w >= most - 1e-9)
+                    again.update(links[i])
+        todo = sorted(again)
     return com
 
 
