@@ -106,7 +106,7 @@ def test_smith_waterman():
 def test_tei(spark):
     xml = '<TEI><div n="1"><p n="2"><gb n="A"/><pb n="1r"/><l>one <choice><orig>x</orig><reg>two</reg></choice></l><l>three bro<pc type="syllabification"/></l><l>ken</l><pb n="1v"/><l>last</l></p></div></TEI>'
     rows = extract.extract_tei(spark.createDataFrame([("d", xml), ("bad", "<x"), ("none", None)], "docid string, xml string")).orderBy("row_idx").collect()
-    assert [(r.text, r.page, r.fol, r.gathering) for r in rows] == [("one two#lb#three broken", 1, "1r", "A1r"), ("last", 2, "1v", "A1v")]
+    assert [(r.text, r.page, r.fol, r.gathering) for r in rows] == [("one two#lb#three broken#lb#", 1, "1r", "A1r"), ("last#lb#", 2, "1v", "A1v")]
     assert extract.gathering_label("A", 3) == "A2r" and extract.gathering_label("A", 4) == "A2v"
 
 

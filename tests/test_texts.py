@@ -13,7 +13,7 @@ def test_gold_texts_of_one_file(spark):
     file = "<teiCorpus xmlns='http://www.tei-c.org/ns/1.0'>" + TEI.format(id="one", at="7-4r-B-3", fol="4v") + TEI.format(id="two", at="20-11v-D-6", fol="12r") + "</teiCorpus>"
     docs = spark.createDataFrame([("f", file), ("broken", file[: file.rindex("<TEI")] + "<TEI><unclosed>"), ("none", None), ("plain", "<teiCorpus><TEI><text/></TEI></teiCorpus>")], "docid string, xml string")
     rows = [(r.docid, r.text, r.page, r.fol, r.gathering) for r in extract.extract_gold(docs.where("docid = 'f'")).orderBy("docid", "row_idx").collect()]
-    assert rows == [("one", "first line", 7, "4r", "B2r"), ("one", "second#lb#line", 8, "4v", "B2v"), ("two", "first line", 20, "11v", "D3v"), ("two", "second#lb#line", 21, "12r", "D4r")]
+    assert rows == [("one", "first line#lb#", 7, "4r", "B2r"), ("one", "second#lb#line#lb#", 8, "4v", "B2v"), ("two", "first line#lb#", 20, "11v", "D3v"), ("two", "second#lb#line#lb#", 21, "12r", "D4r")]
     assert {r.docid for r in extract.extract_gold(docs).collect()} == {"one", "two"}
     assert extract.extract_gold(docs.where("docid = 'broken'")).count() == 2
 

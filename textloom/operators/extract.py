@@ -1,4 +1,4 @@
-"""Extraction of located rows from TEI documents and web pages.
+"""Extraction of located rows from TEI documents and web pages.
 
 One document is one row in and many rows out: the state of the walk (page,
 folio, gathering) belongs to a document, so documents are spread over tasks.
@@ -13,7 +13,7 @@ from math import ceil
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "docid string, kind string, row_idx int, text string, bookpart string, paragraph string, page int, fol string, gathering string"
@@ -29,12 +29,22 @@ def gathering_column(gath: Column, no: Column) -> Column:
     return F.concat(gath, F.ceil(no / 2).cast("string"), F.when(no % 2 == 0, "v").otherwise("r"))
 
 
+#: Fixed values: (pattern, replacement) that bring white space and punctuation around segment markers into one form, in this order.
+SEGMENT_FORMS = (
+    (r"(?U)\s?(\$segstart[^$]+\$)\s?", r" $1"),
+    (r"(?U)\s?(\$segend[^$]+\$)\s?", r"$1 "),
+    (r"(?U)\s((?:\$seg[^$]+\$)+)$", r"$1"),
+    (r"(?U)^((?:\$seg[^$]+\$)+)\s", r"$1"),
+    (r"(?U)\$\s+\$", r"\$\$"),
+    (r"([.?:!)]+)((?:\$segend[^$]+\$)+)", r"$2$1"),
+)
+
+
 def canonical_segments(text: Column) -> Column:
-    """White space around segment markers; punctuation moves behind an end marker."""
-    out = F.regexp_replace(text, r"(\$segstart_[^$]*\$)\s+", " $1")
-    out = F.regexp_replace(out, r"\s+(\$segend_[^$]*\$)", "$1 ")
-    out = F.regexp_replace(out, r"([.,:;!?]+)(\$segend_[^$]*\$)", "$2$1")
-    return F.regexp_replace(out, r"\s+", " ")
+    """One form of white space around segment markers; punctuation moves behind end markers."""
+    for pattern, put in SEGMENT_FORMS:
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def _tag(e) -> str:
@@ -52,12 +62,13 @@ class _Lines:
         self.alias: dict[str, str] = {}
 
     def of(self, e) -> str:
+        """The text of an element, with = where a word is broken. What follows an element in its line always stays."""
         out = e.text or ""
         for c in e:
             tag = _tag(c)
             if tag == "choice":
                 reg = next((x for x in c if _tag(x) == "reg"), None)
-                out += "".join((reg if reg is not None else c).itertext())
+                out += self.of(reg) if reg is not None else "".join(c.itertext())
             elif tag == "pc" and c.get("type") == "syllabification":
                 out += "="
             elif tag in ("figure", "fw", "pb", "gb", "note"):
@@ -75,46 +86,72 @@ class _Lines:
             out += c.tail or ""
         return out
 
+    def joined(self, lines: list) -> str:
+        """Lines one after the other: a broken word goes on in the next line, else #lb# ends a line.
+
+        The last line keeps its mark, so that a word can be joined with the next page.
+        """
+        out = []
+        for e in lines:
+            broken = any(_tag(c) == "pc" and c.get("type") == "syllabification" for c in e)
+            line = "".join(self.of(e).splitlines())
+            if line:
+                broken = broken or line.rstrip().endswith("=")
+                out.append((line.replace("=", "").strip(), "=" if broken else "#lb#"))
+        last = len(out) - 1
+        return "".join(text + (mark if mark != "=" or k == last else "") for k, (text, mark) in enumerate(out))
+
 
 def walk(root, page: int = 0, fol: str = "", gath: str = "", no: int = 0) -> list[tuple]:
-    """(kind, text, bookpart, paragraph, page, fol, gathering) in document order, from a place to start at."""
-    rows: list[tuple] = []
-    lines, headers = _Lines(), {}
+    """(kind, text, bookpart, paragraph, page, fol, gathering) in document order, from a place to start at.
 
-    def here(part: str, para: str) -> tuple:
-        return part, para, page, fol, gathering_label(gath, no)
+    Headers stand in lines of their own or right in a paragraph; one that points to
+    another (next, prev) waits for it and both make one row where the later stands.
+    The quotes of a note make one row. A gathering begins with the page after its break.
+    """
+    rows: list[tuple] = []
+    lines, waiting, coming = _Lines(), {}, None
 
     for div in (e for e in root.iter() if _tag(e) == "div"):
         part = div.get("n", "")
         for p in (e for e in div if _tag(e) == "p"):
             para, held = p.get("n", ""), []
 
-            def flush() -> None:
-                text = "#lb#".join(t for t in held if t).replace("=#lb#", "=")
-                text = re.sub(r"=(?!$)", "", text)
-                if text.strip():
-                    rows.append(("main", text, *here(part, para)))
-                held.clear()
+            def put(kind: str, elements: list) -> None:
+                text = lines.joined(elements)
+                if text:
+                    rows.append((kind, text, part, para, page, fol, gathering_label(gath, no)))  # noqa: B023
+
+            def header(fw) -> None:
+                to = fw.get("next") or fw.get("prev")
+                if not to:
+                    put("meta", [fw])  # noqa: B023
+                elif to.lstrip("#") in waiting:
+                    other = waiting.pop(to.lstrip("#"))
+                    put("meta", [fw, other] if fw.get("next") else [other, fw])  # noqa: B023
+                else:
+                    waiting[_id(fw)] = fw
 
             for e in p:
                 tag = _tag(e)
-                if tag == "pb":
-                    flush()
+                head = e if tag == "fw" else next((c for c in e if _tag(c) == "fw"), None) if tag == "l" and any(_tag(c) == "fw" and c.get("type") == "header" for c in e) else None
+                if head is not None:
+                    if head.get("type") == "header":
+                        header(head)
+                elif tag == "pb":
+                    put("main", held)
+                    held = []
+                    if coming is not None:
+                        gath, no, coming = coming, 0, None
                     fol, page, no = e.get("n", ""), page + 1, no + 1
                 elif tag == "gb":
-                    gath, no = e.get("n", ""), 0
-                elif tag == "fw":
-                    text = lines.of(e).strip()
-                    if e.get("next"):
-                        headers[e.get("next").lstrip("#")] = text
-                    elif e.get("type") == "header":
-                        rows.append(("meta", f"{headers.pop(_id(e), '')} {text}".strip(), *here(part, para)))
+                    coming = e.get("n", "")
                 elif tag == "note":
-                    for q in (x for x in e.iter() if _tag(x) == "quote"):
-                        rows.append(("meta", " ".join(lines.of(x).strip() for x in ([y for y in q if _tag(y) == "l"] or [q])), *here(part, para)))
+                    quotes = [q for q in e if _tag(q) == "quote"]
+                    put("meta", [x for q in quotes for x in ([y for y in q if _tag(y) == "l"] or [q])])
                 elif tag == "l":
-                    held.append(lines.of(e).strip())
-            flush()
+                    held.append(e)
+            put("main", held)
     return rows
 
 
@@ -132,7 +169,8 @@ def extract_tei(docs: DataFrame) -> DataFrame:
                 out += [(docid, r[0], i, *r[1:]) for i, r in enumerate(walk(root))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
+    rows = docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
+    return rows.withColumn("text", canonical_segments(F.col("text")))
 
 
 def _start(text) -> tuple[int, str, str, int]:
@@ -176,7 +214,8 @@ def extract_gold(docs: DataFrame) -> DataFrame:
                 except ElementTree.ParseError:
                     continue
 
-    return docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
+    rows = docs.select(F.col("docid").cast("string").alias("docid"), "xml").mapInPandas(run, SCHEMA)
+    return rows.withColumn("text", canonical_segments(F.col("text")))
 
 
 class _Page(HTMLParser):
@@ -221,38 +260,3 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "row_idx", "block", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, row_idx int, block string, text string")
-
-
-def prepare_lines(lines: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(condition, regex, replacement) applied to the lines that match the condition, in order."""
-    out = F.col("value")
-    for cond, regex, repl in rules:
-        out = F.when(out.rlike(cond), F.regexp_replace(out, regex, repl)).otherwise(out)
-    return lines.withColumn("value", out)
-
-
-def gathering_table(ranges: DataFrame) -> DataFrame:
-    """X11: ranges(first, last, length) of letters as (gathering, length)."""
-    codes = F.sequence(F.ascii("first"), F.ascii("last"))
-    return ranges.select(F.explode(codes).alias("c"), "length").select(F.char("c").alias("gathering"), "length")
-
-
-def number_folios(pages: DataFrame) -> DataFrame:
-    """Folio of pages(docid, page)."""
-    return pages.withColumn("fol", F.concat(F.ceil(F.col("page") / 2).cast("string"), F.when(F.col("page") % 2 == 1, "r").otherwise("v")))
-
-
-def place_gatherings(pages: DataFrame, table: DataFrame) -> DataFrame:
-    """The gathering of each page by cumulative lengths of table(ord, gathering, length)."""
-    w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = table.withColumn("upto", F.sum("length").over(w))
-    t = t.select("gathering", (F.col("upto") - F.col("length")).alias("lo"), "upto")
-    return pages.join(F.broadcast(t), (F.col("page") > F.col("lo")) & (F.col("page") <= F.col("upto")), "left").withColumn("no", F.col("page") - F.col("lo")).drop("lo", "upto")
-
-
-def classify_headers(lines: DataFrame, recto: str, verso: str) -> DataFrame:
-    """lines(page, line_no, text, font) of page tops as recto, verso, pagination, header or text; first of a class wins."""
-    digits = F.length(F.regexp_replace("text", "[ivxlcdmIVXLCDM0-9. ]", ""))
-    cls = F.when(F.col("text").rlike(recto), "recto").when(F.col("text").rlike(verso), "verso").when((F.length("text") <= 12) & (digits <= 3), "pagination").when(F.col("font") == "heading", "header").otherwise("text")
-    w = Window.partitionBy("page", "class").orderBy("line_no")
-    return lines.withColumn("class", cls).withColumn("r", F.row_number().over(w)).withColumn("class", F.when((F.col("r") > 1) & (F.col("class") != "text"), "text").otherwise(F.col("class"))).drop("r")

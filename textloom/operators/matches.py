@@ -54,10 +54,21 @@ def gold_split(gold: DataFrame) -> DataFrame:
     return gold.withColumn("class", F.when(F.col("type").isin("literal", "weak-literal"), F.col("type")).otherwise("other"))
 
 
+#: Characters of a stretch of a document; passages meet stretch by stretch, so that a long or hot document is many keys.
+STRETCH = 1024
+
+
+def meeting(g: DataFrame, t: DataFrame) -> DataFrame:
+    """Passages g(docid, gs, ge, ...) and t(docid, ts, te, ...) that overlap: each pair once, in the stretch where the overlap begins."""
+    cut = lambda df, lo, hi: df.withColumn("stretch", F.explode(F.sequence(F.floor(F.col(lo) / STRETCH), F.floor(F.greatest(lo, hi) / STRETCH))))
+    both = cut(g, "gs", "ge").join(cut(t, "ts", "te"), ["docid", "stretch"]).where("gs <= te and ts <= ge")
+    return both.where(F.col("stretch") == F.floor(F.greatest("gs", "ts") / STRETCH)).drop("stretch")
+
+
 def _sides(gold: DataFrame, test: DataFrame) -> DataFrame:
     g = gold.select(F.col("match_id").alias("g"), "docid", F.col("start").alias("gs"), F.col("end").alias("ge"))
     t = test.select(F.col("match_id").alias("t"), "docid", F.col("start").alias("ts"), F.col("end").alias("te"))
-    return g.join(t, "docid").where("gs <= te and ts <= ge")
+    return meeting(g, t)
 
 
 def overlaps(gold: DataFrame, test: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import clean, detect, extract, matches, reports, segment, similarity, vocab, wordgraph
+from textloom.operators import clean, detect, extract, matches, reports, segment, similarity, structure, vocab, wordgraph
 from textloom.plans import drivers
 from textloom.sources import tables
 
@@ -468,16 +468,17 @@ def join_lonewords(s, d):
 # --- evaluation (E1-E17): passages derived from events
 
 
-def _spans(s, d, kind: str, shift: int):
-    e = table(s, d, "events").where(F.col("event_type") == kind)
+def _spans(s, d, kinds: str, shift: int):
+    e = table(s, d, "events").where(kinds)
     return e.select((F.col("event_id") % 97).alias("match_id"), (F.col("user_id") % 50).cast("string").alias("docid"), (F.col("event_id") % 1000 + shift).alias("start"), (F.col("event_id") % 1000 + shift + 30 + F.col("user_id") % 40).alias("end")).distinct()
 
 
-def _sql_spans(name: str, kind: str, shift: int) -> str:
-    return f"{name} AS (SELECT DISTINCT event_id % 97 AS match_id, CAST(user_id % 50 AS VARCHAR) AS docid, event_id % 1000 + {shift} AS s, event_id % 1000 + {shift} + 30 + user_id % 40 AS e FROM events WHERE event_type = '{kind}')"
+def _sql_spans(name: str, kinds: str, shift: int) -> str:
+    return f"{name} AS (SELECT DISTINCT event_id % 97 AS match_id, CAST(user_id % 50 AS VARCHAR) AS docid, event_id % 1000 + {shift} AS s, event_id % 1000 + {shift} + 30 + user_id % 40 AS e FROM events WHERE {kinds})"
 
 
-_KINDS = ("click", "purchase")
+#: Every event is a passage: those of types before f of the gold, the others (and those without a type) of the test.
+_KINDS = ("event_type < 'f'", "coalesce(event_type, 'f') >= 'f'")
 _EV = "WITH " + _sql_spans("go", _KINDS[0], 0) + ", " + _sql_spans("te", _KINDS[1], 7) + ", o AS (SELECT g.match_id AS g, t.match_id AS t, docid, g.s AS gs, g.e AS ge, t.s AS ts, t.e AS tee FROM go g JOIN te t USING (docid) WHERE g.s <= t.e AND t.s <= g.e), i AS (SELECT g, t FROM o GROUP BY g, t HAVING count(DISTINCT docid) > 1)"
 _PRF = "round(r, 6) AS r, round(p, 6) AS p, round(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END, 6) AS f"
 
@@ -616,7 +617,7 @@ def param_grid_segments(s, d):
     return matches.grid(s, **SEGMENT_GRID)
 
 
-_RUN_SIDES = "WITH " + _sql_spans("go", _KINDS[0], 0) + ", " + ", ".join(_sql_spans(f"t{i}", k, shift) for i, (k, shift) in enumerate((("purchase", 7), ("click", 3)))) + """, te AS (SELECT 0 AS run_no, * FROM t0 UNION ALL SELECT 1, * FROM t1),
+_RUN_SIDES = "WITH " + _sql_spans("go", _KINDS[0], 0) + ", " + ", ".join(_sql_spans(f"t{i}", k, shift) for i, (k, shift) in enumerate(((_KINDS[1], 7), (_KINDS[0], 3)))) + """, te AS (SELECT 0 AS run_no, * FROM t0 UNION ALL SELECT 1, * FROM t1),
 o AS (SELECT run_no, g.match_id AS g, t.match_id AS t, docid, g.s AS gs, g.e AS ge, t.s AS ts, t.e AS tee FROM go g JOIN te t USING (docid) WHERE g.s <= t.e AND t.s <= g.e),
 i AS (SELECT run_no, g, t FROM o GROUP BY ALL HAVING count(DISTINCT docid) > 1), j AS (SELECT o.* FROM o JOIN i USING (run_no, g, t)),
 m AS (SELECT run_no, count(DISTINCT g) / (SELECT count(DISTINCT match_id) FROM go) AS r_m, count(DISTINCT t) / any_value(n) AS p_m FROM i JOIN (SELECT run_no, count(DISTINCT match_id) AS n FROM te GROUP BY 1) USING (run_no) GROUP BY run_no),
@@ -631,7 +632,7 @@ SELECT CAST(run_no AS INTEGER) AS run_no, """ + ", ".join(f"round(r_{v}, 6) AS r
 def run_scores(s, d):
     """The passages of several runs scored in one plan."""
     gold, test = _gold_test(s, d)
-    sides = [test, _spans(s, d, "click", 3)]
+    sides = [test, _spans(s, d, _KINDS[0], 3)]
     passages = None
     for no, p in enumerate(sides):
         p = p.select(F.lit(no).alias("run_no"), F.col("match_id").cast("string").alias("match_id"), "docid", "start", "end")
@@ -822,18 +823,100 @@ def vocab_load(s, d):
     return vocab.load(s, path)
 
 
-# --- extraction
+# --- extraction (X1-X9) and structure of volumes
 
 
-@query("SELECT CAST(i AS INTEGER) AS page, CAST(ceil(i / 2.0) AS INTEGER) || CASE WHEN i % 2 = 1 THEN 'r' ELSE 'v' END AS fol, 'A' || CAST(ceil(i / 2.0) AS INTEGER) || CASE WHEN i % 2 = 0 THEN 'v' ELSE 'r' END AS gathering FROM range(1, 201) t(i)")
+@query("SELECT p_partkey AS page, ceil(p_partkey / 2)::BIGINT || CASE WHEN p_partkey % 2 = 1 THEN 'r' ELSE 'v' END AS fol, 'A' || ceil(p_partkey / 2)::BIGINT || CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE 'r' END AS gathering FROM part")
 def folio_numbers(s, d):
-    pages = s.range(1, 201).select(F.col("id").cast("int").alias("page"))
-    return extract.number_folios(pages).withColumn("gathering", extract.gathering_column(F.lit("A"), F.col("page")))
+    """Part keys as pages of one gathering."""
+    page = F.col("p_partkey")
+    return table(s, d, "part").select(page.alias("page"), structure.folio(page).alias("fol"), extract.gathering_column(F.lit("A"), page).alias("gathering"))
 
 
-@query("SELECT chr(CAST(i AS INTEGER)) AS gathering, 8 AS length FROM range(65, 91) t(i)")
+#: 26 gatherings of 8 leaves, 26 of 6 and 11 of 6 with two letters: 860 pages.
+_FORMULA = [("A", "Z", 8, False), ("a", "z", 6, False), ("a", "k", 6, True)]
+_GATHERED = """CASE WHEN page BETWEEN 1 AND 416 THEN chr(CAST(65 + (page - 1) // 16 AS INTEGER)) WHEN page BETWEEN 417 AND 728 THEN chr(CAST(97 + (page - 417) // 12 AS INTEGER)) WHEN page BETWEEN 729 AND 860 THEN repeat(chr(CAST(97 + (page - 729) // 12 AS INTEGER)), 2) END AS gathering,
+CASE WHEN page BETWEEN 1 AND 416 THEN (page - 1) % 16 + 1 WHEN page BETWEEN 417 AND 728 THEN (page - 417) % 12 + 1 WHEN page BETWEEN 729 AND 860 THEN (page - 729) % 12 + 1 END AS no"""
+
+
+@query(f"SELECT page, gathering, CAST(no AS BIGINT) AS no FROM (SELECT page, {_GATHERED} FROM (SELECT p_partkey AS page FROM part)) WHERE gathering IS NOT NULL")
 def gathering_table(s, d):
-    return extract.gathering_table(s.createDataFrame([("A", "Z", 8)], "first string, last string, length int"))
+    """X11: the gatherings of part keys as pages."""
+    return table(s, d, "part").select(F.col("p_partkey").alias("page")).join(structure.gathering_pages(s, _FORMULA), "page").select("page", "gathering", F.col("no").cast("long").alias("no"))
+
+
+_WORDS = ["xii.", "van Keyser Karel", "the Coninck", "hie Parijs", "Roemsche Kuninck", "plain words stand here", "in Bisschof stad", "Vrancrijch", "iiij ab"]
+_PAGED = """x AS (SELECT l_orderkey % 5 AS volume, l_orderkey AS o, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_tax > 0.04 AS hi, [{words}][CAST((l_partkey + l_linenumber) % 9 + 1 AS INTEGER)] AS text FROM lineitem
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax)), p AS (SELECT *, dense_rank() OVER (PARTITION BY volume ORDER BY o) AS page FROM x), v AS (SELECT *, max(page) OVER (PARTITION BY volume) AS pages FROM p)""".replace("{words}", ", ".join(f"'{w}'" for w in _WORDS))
+
+
+def _improved_sql() -> str:
+    known = lambda name: "CASE WHEN page % 2 = 0 THEN {verso} ELSE {recto} END".format(**{side: f"regexp_matches(text, '{p[name]}')" if name in p else "false" for side, p in structure.HEADERS.items()})
+    flags = {"num": r"length(text) <= 12 AND length(regexp_replace(text, '[ijvuxlcdm.\s]', '', 'g')) <= 3", **{k: known(f) for k, f in (("a", "first"), ("b", "first_again"), ("c", "second"), ("d", "second_again"))}}
+    look = "f AS (SELECT *, " + ", ".join(f"{e} AS {k}" for k, e in flags.items()) + " FROM v)"
+    one = ", ".join(f"coalesce(bool_or({k}) FILTER (k = {i}), false) AS {k}{i}" for i in (1, 2, 3) for k in (*flags, "hi"))
+    steps, last = [f"s0 AS (SELECT volume, page, {one}, -1 AS h0, -1 AS h1, -1 AS h2 FROM f GROUP BY volume, page)"], "s0"
+    for i in (1, 2, 3):
+        t0, t1, t2 = f"(h0 < 0 AND num{i})", f"((h1 < 0 AND a{i}) OR b{i})", f"((h2 < 0 AND c{i}) OR d{i})"
+        steps.append(f"s{i} AS (SELECT * REPLACE (CASE WHEN {t0} THEN {i} ELSE h0 END AS h0, CASE WHEN NOT {t0} AND {t1} THEN {i} ELSE h1 END AS h1, CASE WHEN NOT {t0} AND NOT {t1} AND {t2} THEN {i} ELSE h2 END AS h2) FROM {last})")
+        last = f"s{i}"
+    font = "(h1 < 0 AND h2 < 0 AND ((h0 < 0 AND k = 1 AND hi1) OR (h0 = 1 AND k = 2 AND hi2)))"
+    role = f"CASE WHEN k = n AND (n = 1 OR n > 3) AND page < pages AND num THEN 'signature' WHEN k > 3 OR n = 1 THEN 'text' WHEN k = h0 THEN 'pagination' WHEN k IN (h1, h2) OR k < greatest(h0, h1, h2) OR {font} THEN 'header' ELSE 'text' END"
+    return f"""WITH {_PAGED}, {look}, {", ".join(steps)}, r AS (SELECT volume, o * 1000 + k AS line_no, page, {role} AS role, text, {_GATHERED} FROM f JOIN s3 USING (volume, page))
+SELECT volume, line_no, page, ceil(page / 2)::BIGINT || CASE WHEN page % 2 = 1 THEN 'r' ELSE 'v' END AS fol, gathering, gathering || ceil(no / 2)::BIGINT || CASE WHEN no % 2 = 0 THEN 'v' ELSE 'r' END AS label, role, text FROM r"""
+
+
+@query(_improved_sql())
+def structural_improvement(s, d):
+    """Orders are pages of five volumes, their items lines; some are set as headings."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
+    text = F.get(F.array(*map(F.lit, _WORDS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 9).cast("int"))
+    rows = table(s, d, "lineitem").withColumn("k", F.row_number().over(w)).select((F.col("l_orderkey") % 5).alias("volume"), "l_orderkey", "k", F.col("k").cast("long").alias("n"), text.alias("text"), (F.col("l_tax") > 0.04).alias("heading"))
+    lines = rows.select("volume", (F.col("l_orderkey") * 1000 + F.col("k")).alias("line_no"), F.lit("l").alias("kind"), "text", "heading")
+    breaks = rows.where("k = 1").select("volume", (F.col("l_orderkey") * 1000).alias("line_no"), F.lit("pb").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("heading"))
+    return structure.improve(lines.union(breaks), _FORMULA)
+
+
+_OCR = """l AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))),
+o AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '<l><azklein x="1">' || t || '</azklein></l>' WHEN 1 THEN '<l>a <azgross>' || t || '</azgross></l>' WHEN 2 THEN t WHEN 3 THEN '<p>' || t ELSE '<l>' || t || '</l>' END AS v FROM l)"""
+
+
+def _spread_sql(v: str, h: str) -> str:
+    return f"replace(replace(regexp_replace({v}, '<{h}[^>]*>|</{h}>', '', 'g'), '<l>', '<l><{h}>'), '</l>', '</{h}></l>')"
+
+
+@query(f"""WITH {_OCR}, h AS (SELECT *, CASE WHEN contains(v, '<azklein') THEN {_spread_sql('v', 'azklein')} WHEN contains(v, '<azgross') THEN {_spread_sql('v', 'azgross')} ELSE v END AS z, regexp_matches(v, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]*(<l>|<pb>|</?p>|</?lg>)') AS ours FROM o),
+r AS (SELECT doc_id, i, CASE WHEN ours THEN replace(regexp_replace(z, '([aeiou])n ', '\\1~ ', 'g'), '<l></l>', '') ELSE v END AS value, ours FROM h) SELECT doc_id, CAST(i AS INTEGER) AS line_no, md5(value) AS value_md5 FROM r WHERE NOT ours OR value <> ''""")
+def ocr_lines(s, d):
+    """Lines of documents as lines of an OCR file, headings in two sizes, two rules."""
+    t, i = F.col("t"), (F.col("k") + 1).alias("line_no")
+    kinds = ((0, F.concat(F.lit('<l><azklein x="1">'), t, F.lit("</azklein></l>"))), (1, F.concat(F.lit("<l>a <azgross>"), t, F.lit("</azgross></l>"))), (2, t), (3, F.concat(F.lit("<p>"), t)), (4, F.concat(F.lit("<l>"), t, F.lit("</l>"))))
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t"))
+    value = F.coalesce(*[F.when((F.col("k") + 1) % 5 == r, v) for r, v in kinds])
+    out = structure.prepare_lines(lines.select("doc_id", i, value.alias("value")), (("([aeiou])n ", "$1~ "), ("<l></l>", "")))
+    return out.select("doc_id", "line_no", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+
+
+_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _canonical_sql(text: str) -> str:
+    for pattern, put in extract.SEGMENT_FORMS:
+        put = "$$" if put.startswith("\\") else put.replace("$", "\\")
+        text = f"regexp_replace({text}, '{pattern.replace('(?U)', '').replace(chr(92) + 's', _SPACE)}', '{put}', 'g')"
+    return text
+
+
+_AROUND = "regexp_replace(regexp_replace(text, '([.?:!)]+) ', '\\1$segend_{0}$ $segend_x$ ', 'g'), ' ([A-Z])', '  $segstart_{0}_free_a&b$  \\1', 'g')"
+
+
+@query("SELECT doc_id, md5(" + _canonical_sql("'$segstart_z$ ' || " + _AROUND.replace("{0}", "' || doc_id || '") + " || ' $segend_z$'") + ") AS text_md5 FROM documents")
+def canonical_markers(s, d):
+    """Segments that begin at capitals and end behind punctuation, with white space around the markers."""
+    key = F.col("doc_id").cast("string")
+    text = F.regexp_replace("text", F.lit(r"([.?:!)]+) "), F.concat(F.lit(r"$1\$segend_"), key, F.lit(r"\$ \$segend_x\$ ")))
+    text = F.regexp_replace(text, F.lit(" ([A-Z])"), F.concat(F.lit(r"  \$segstart_"), key, F.lit(r"_free_a&b\$  $1")))
+    return table(s, d, "documents").select("doc_id", F.md5(extract.canonical_segments(F.concat(F.lit("$segstart_z$ "), text, F.lit(" $segend_z$"))).cast("binary")).alias("text_md5"))
 
 
 @query()
@@ -841,12 +924,43 @@ def page_extract(s, d):
     return extract.extract_pages(table(s, d, "pages"))
 
 
-@query()
+_ODD = r"[\x00-\x1f\x{7f}-\x{9f}\x{2028}\x{2029}\x{fffe}\x{ffff}=$]"
+
+
+def _tei(text):
+    """A text as TEI: ten lines a gathering, five a page; corrected forms, broken words, other markup, chained segments, headers in pairs, notes."""
+
+    def line(t, i):
+        t, no = F.regexp_replace(t, _ODD, " "), lambda k: (i + k).cast("string")
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            t = F.replace(t, F.lit(mark), F.lit(name))
+        by = lambda n, at, *parts: F.when(i % n == at, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
+        return F.concat(
+            by(10, 0, '<gb n="G', F.floor(i / 10).cast("string"), '"/>'),
+            by(5, 0, '<pb n="', F.floor(i / 5).cast("string"), 'r"/>'),
+            by(10, 0, '<l><fw type="header" xml:id="h', no(0), '" next="#h', no(5), '">left ', no(0), "</fw></l>"),
+            by(10, 5, '<l><fw type="header" xml:id="h', no(0), '" prev="#h', no(-5), '">right ', no(0), "</fw></l>"),
+            by(5, 0, "<l><choice><orig>old</orig><reg>", t, "</reg></choice></l>"),
+            by(5, 1, "<l>", t, '<pc type="syllabification">-</pc></l>'),
+            by(5, 2, "<l><hi>", t, "</hi><figure>none</figure></l>"),
+            by(5, 3, '<l><seg type="tr" subtype="free" corresp="#a #b" xml:id="s', no(0), '" next="#s', no(1), '">', t, "</seg></l>"),
+            by(5, 4, '<l><seg type="tr" xml:id="s', no(0), '" prev="#s', no(-1), '">', t, "</seg></l>"),
+            by(7, 3, "<note><quote><l>", no(0), "</l><l>cut</l></quote><quote>two</quote></note>"),
+        )
+
+    return F.concat(F.lit('<TEI><div n="1"><p n="2">'), F.array_join(F.transform(F.split(text, "\n"), line), ""), F.lit("</p></div></TEI>"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i - 1 AS i, (i - 1) // 5 AS q, regexp_replace(w[i], '{_ODD}', ' ', 'g') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents))),
+b AS (SELECT doc_id, i, q, CASE i % 5 WHEN 3 THEN '$segstart_s' || i || '_free_a&b$' || t WHEN 4 THEN t || '$segend_s' || (i - 1) || '$' ELSE t END AS t FROM l),
+c AS (SELECT doc_id, i, q, regexp_replace(regexp_replace(t, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS t, lead(i) OVER (PARTITION BY doc_id, q ORDER BY i) IS NULL AS final FROM b WHERE t <> '' OR i % 5 = 1),
+j AS (SELECT doc_id, q, string_agg(t || CASE WHEN i % 5 <> 1 THEN '#lb#' WHEN final THEN '=' ELSE '' END, '' ORDER BY i) AS t FROM c GROUP BY doc_id, q),
+a AS (SELECT doc_id, q, 'main' AS kind, 2 AS o, 0 AS i, t FROM j UNION ALL SELECT doc_id, q, 'meta', 0, i, 'left ' || (i - 5) || '#lb#right ' || i || '#lb#' FROM l WHERE i % 10 = 5 UNION ALL SELECT doc_id, q, 'meta', 1, i, i || '#lb#cut#lb#two#lb#' FROM l WHERE i % 7 = 3)
+SELECT CAST(doc_id AS VARCHAR) AS docid, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY q, o, i) - 1 AS INTEGER) AS row_idx, '1' AS bookpart, '2' AS paragraph, CAST(q + 1 AS INTEGER) AS page, q || 'r' AS fol, 'G' || (q // 2) || '1' || CASE WHEN q % 2 = 0 THEN 'r' ELSE 'v' END AS gathering, md5({_canonical_sql('t')}) AS text_md5 FROM a""")
 def tei_extract(s, d):
     """X1-X9 over documents wrapped as TEI."""
-    body = F.concat_ws("", F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit("<l>"), F.regexp_replace(t, "[<&>]", " "), F.lit("</l>"))))
-    xml = F.concat(F.lit('<TEI><div n="1"><p n="1"><gb n="A"/><pb n="1r"/>'), F.regexp_replace(body, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", " "), F.lit("</p></div></TEI>"))
-    return extract.extract_tei(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("docid"), xml.alias("xml")))
+    rows = extract.extract_tei(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("docid"), _tei(F.col("text")).alias("xml")))
+    return rows.select("docid", "kind", "row_idx", "bookpart", "paragraph", "page", "fol", "gathering", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def evaluate_runs(inputs: dict[str, DataFrame], gold: DataFrame, grid: list[tupl
 def _overlaps(gold: DataFrame, test: DataFrame) -> DataFrame:
     g = gold.select(F.col("match_id").cast("string").alias("g"), F.col("docid").cast("string").alias("docid"), F.col("start").alias("gs"), F.col("end").alias("ge"))
     t = test.select("run_no", F.col("match_id").alias("t"), "docid", F.col("start").alias("ts"), F.col("end").alias("te"))
-    return g.join(t, "docid").where("gs <= te and ts <= ge")
+    return matches.meeting(g, t)
 
 
 def _pairs(gold: DataFrame, test: DataFrame) -> DataFrame:
