@@ -48,6 +48,9 @@ def _series(s: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+#: White space of all scripts, for DuckDB.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # --- vocabulary (V1-V7)
 
 
@@ -134,7 +137,13 @@ def clean_full(s, d):
     return clean.clean_rows(table(s, d, "documents").select("doc_id", "text"), rules=rules)
 
 
-@query()
+_BARE = "regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '#|⸿', '#CSTART#', 'g'), '[.:!?]', '#SEND#', 'g'), '[)]', '#INEND#', 'g'), '(', ''), '#SEND#|#CSTART#|#INEND#|#lb#|=', ' ', 'g')"
+_WHITE = r"\t\n\x0b\f\r "
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_BARE}, '[^{_WHITE}]+|[{_WHITE}]+')) AS w, generate_subscripts(regexp_extract_all({_BARE}, '[^{_WHITE}]+|[{_WHITE}]+'), 1) AS i FROM documents),
+h AS (SELECT *, length(regexp_extract(w, '^(?s:.*)\$')) AS n FROM w), j AS (SELECT doc_id, string_agg(left(w, n) || replace(w[n + 1:], '-', ' '), '' ORDER BY i) AS t FROM h GROUP BY doc_id)
+SELECT doc_id, trim(replace(regexp_replace(coalesce(t, text), '[\x09-\x0d\x{{85}} \x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), '$ segend_', '$segend_'), ' ') AS text FROM documents LEFT JOIN j USING (doc_id)""")
 def clean_second(s, d):
     """C12."""
     return table(s, d, "documents").select("doc_id", clean.plain(clean.mark_boundaries(F.col("text"))).alias("text"))
@@ -742,8 +751,9 @@ def text_ids(s, d):
     return reports.source_target(reports.text_ids(rows, "name", "source", row="doc_id"), "en").select("textid", "side")
 
 
-@query()
+@query("""SELECT CAST(json_object('title', 'd', 'doc_id', 'd_' || doc_id, 'text', text) AS VARCHAR) AS value FROM documents UNION ALL SELECT CAST(json_object('id', 'd_' || doc_id, 'series', 'd', 'text', text) AS VARCHAR) FROM documents""")
 def tool_inputs(s, d):
+    """F2, F3, S12."""
     rows = table(s, d, "documents").select(F.concat(F.lit("d_"), F.col("doc_id")).alias("textid"), "text")
     return reports.seed_input(rows).union(reports.gram_input(rows))
 
@@ -897,9 +907,6 @@ def ocr_lines(s, d):
     return out.select("doc_id", "line_no", F.md5(F.col("value").cast("binary")).alias("value_md5"))
 
 
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
 def _canonical_sql(text: str) -> str:
     for pattern, put in extract.SEGMENT_FORMS:
         put = "$$" if put.startswith("\\") else put.replace("$", "\\")

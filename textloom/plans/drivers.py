@@ -189,6 +189,29 @@ def evaluate_runs(inputs: dict[str, DataFrame], gold: DataFrame, grid: list[tupl
 
     with ThreadPoolExecutor(at_once) as pool:
         took = list(pool.map(run, range(len(jobs))))
+    return _finished(gold, path, jobs, took)
+
+
+#: How the output of a detector that ran elsewhere is read, by detector.
+READERS = {"seed": tables.read_clusters, "gram": tables.read_passages, "window": tables.read_alignments}
+
+
+def read_runs(gold: DataFrame, outputs: list[tuple[str, str, str]], **options) -> Runs:
+    """Finished runs from the outputs (detector, input, path) of detectors that ran elsewhere, each in its own format.
+
+    score_runs gives their scores; options go to every reader that knows them.
+    """
+    spark = gold.sparkSession
+    path = fresh_path(spark, "outputs")
+    for no, (tool, _, output) in enumerate(outputs):
+        known = {k: v for k, v in options.items() if k in READERS[tool].__code__.co_varnames}
+        READERS[tool](spark, output, **known).withColumnRenamed("cluster", "match_id").write.parquet(f"{path}/run_no={no}")
+    return _finished(gold, path, [(tool, name, {}) for tool, name, _ in outputs], [0.0] * len(outputs))
+
+
+def _finished(gold: DataFrame, path: str, jobs: list[tuple[str, str, dict]], took: list[float]) -> Runs:
+    """Runs whose passages lie below path by run_no, with the counts of their matches and of the gold matches they found."""
+    spark = gold.sparkSession
     passages = spark.read.schema("match_id string, docid string, start long, end long, run_no int").parquet(path)
     info = spark.createDataFrame([(no, tool, name, {k: str(v) for k, v in params.items()}, took[no]) for no, (tool, name, params) in enumerate(jobs)], "run_no int, tool string, input string, config map<string,string>, time double")
     tests = passages.groupBy("run_no").agg(F.count_distinct("match_id").alias("testmatch_no"))

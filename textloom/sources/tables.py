@@ -144,16 +144,37 @@ def load_model(spark: SparkSession, path: str, *names: str) -> dict[str, DataFra
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """A map of clusters with hits, as passages (cluster, docid, start, end)."""
+    """Files with a map of clusters with hits, as passages (cluster, docid, start, end); info.json is none of them.
+
+    A cluster is known by its file and key: the files of a run may use the same keys.
+    """
     hits = T.StructType().add("hits", T.ArrayType(T.StructType().add("title", "string").add("doc_id", "string").add("original_indices", T.ArrayType(T.LongType()))))
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), hits)).alias("m"))
-    each = raw.select(F.explode("m").alias("cluster", "c")).select("cluster", F.explode("c.hits").alias("h"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").where("file <> 'info.json'")
+    each = raw.select("file", F.explode(F.from_json("value", T.MapType(T.StringType(), hits))).alias("key", "c")).select(F.concat_ws("/", "file", "key").alias("cluster"), F.explode("c.hits").alias("h"))
     return each.select("cluster", F.col("h.doc_id").alias("docid"), F.col("h.original_indices")[0].alias("start"), F.col("h.original_indices")[1].alias("end"))
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of source/target passages, as passages (cluster, docid, start, end)."""
-    rows = spark.read.schema("source_filename string, source_start_byte long, source_end_byte long, target_filename string, target_start_byte long, target_end_byte long").json(path)
-    rows = rows.withColumn("cluster", F.xxhash64(*rows.columns))
-    sides = [F.struct(F.col(f"{s}_filename").alias("docid"), F.col(f"{s}_start_byte").alias("start"), F.col(f"{s}_end_byte").alias("end")) for s in ("source", "target")]
-    return rows.select("cluster", F.explode(F.array(*sides)).alias("p")).select("cluster", "p.*")
+def read_passages(spark: SparkSession, path: str, grouped: bool = False) -> DataFrame:
+    """JSON lines of passages (cluster, id, begin, end), or a document of their clusters, as passages (cluster, docid, start, end)."""
+    if grouped:
+        rows = spark.read.schema("clusters array<struct<cid:string,matches:array<struct<id:string,begin:long,end:long>>>>").json(path, multiLine=True)
+        rows = rows.select(F.explode("clusters").alias("c")).select(F.col("c.cid").alias("cluster"), F.explode("c.matches").alias("m")).select("cluster", "m.*")
+    else:
+        rows = spark.read.schema("cluster string, id string, begin long, end long").json(path)
+    return rows.select("cluster", F.col("id").alias("docid"), F.col("begin").alias("start"), "end")
+
+
+def read_alignments(spark: SparkSession, path: str, by_passage: bool = False) -> DataFrame:
+    """JSON lines of source/target passages, as passages (cluster, docid, start, end).
+
+    A document goes by the name of its file without the ending of four characters.
+    by_passage: the end is the start and the length of the passage, not the end byte.
+    Equal lines are one cluster.
+    """
+    fields = ("filename string", "start_byte long", "end_byte long", "passage string")
+    rows = spark.read.schema(", ".join(f"{s}_{f}" for s in ("source", "target") for f in fields)).json(path)
+    rows = rows.withColumn("cluster", F.xxhash64(*rows.columns).cast("string"))
+    name = lambda c: F.expr(f"left(element_at(split({c}, '/'), -1), length(element_at(split({c}, '/'), -1)) - 4)")
+    end = lambda s: F.col(f"{s}_start_byte") + F.length(f"{s}_passage") if by_passage else F.col(f"{s}_end_byte")
+    sides = [F.struct(name(f"{s}_filename").alias("docid"), F.col(f"{s}_start_byte").alias("start"), end(s).alias("end")) for s in ("source", "target")]
+    return rows.dropDuplicates(["cluster"]).select("cluster", F.explode(F.array(*sides)).alias("p")).select("cluster", "p.*")
