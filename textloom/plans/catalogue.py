@@ -154,12 +154,13 @@ def clean_second(s, d):
 _BIGRAMS = "b AS MATERIALIZED (SELECT DISTINCT w[i] AS t1, w[i + 1] AS t2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)))"
 _NUM = "(regexp_matches({0}, '^[ijvxlcdm]+$') AND NOT regexp_matches({0}, '^v[ij]{{1,2}}ll?$') AND NOT regexp_matches({0}, '^[ij]{{1,2}}m'))"
 _N1, _N2 = _NUM.format("t1"), _NUM.format("t2")
-_DECIDE = f"""WITH {_FRQ}, {_BIGRAMS}, x AS (SELECT t1, t2, coalesce(j.globfreq, 0) AS fj, coalesce(a.globfreq, 0) AS fa, coalesce(c.globfreq, 0) AS fb FROM b
-LEFT JOIN f j ON j.word = t1 || t2 LEFT JOIN f a ON a.word = t1 LEFT JOIN f c ON c.word = t2)
-SELECT t1, t2, CASE WHEN fj = 0 AND fa = 0 AND fb = 0 THEN false WHEN fj > 0 AND fa = 0 AND fb = 0 THEN true WHEN fj = 0 AND fa > 0 AND fb > 0 THEN false
+_RULE = f"""CASE WHEN fj = 0 AND fa = 0 AND fb = 0 THEN false WHEN fj > 0 AND fa = 0 AND fb = 0 THEN true WHEN fj = 0 AND fa > 0 AND fb > 0 THEN false
 WHEN fj > 0 AND (fa > 0) <> (fb > 0) THEN NOT CASE WHEN fa > 0 THEN {_N1} ELSE {_N2} END
 WHEN fj = 0 AND (fa > 0) <> (fb > 0) THEN NOT ({_N1} OR {_N2}) AND length(CASE WHEN fa > 0 THEN t2 ELSE t1 END) < 3
-ELSE NOT ({_N1} OR {_N2}) AND (fj >= 2 OR fa = 1 OR fb = 1) END AS is_join FROM x"""
+ELSE NOT ({_N1} OR {_N2}) AND (fj >= 2 OR fa = 1 OR fb = 1) END"""
+_DECIDE = f"""WITH {_FRQ}, {_BIGRAMS}, x AS (SELECT t1, t2, coalesce(j.globfreq, 0) AS fj, coalesce(a.globfreq, 0) AS fa, coalesce(c.globfreq, 0) AS fb FROM b
+LEFT JOIN f j ON j.word = t1 || t2 LEFT JOIN f a ON a.word = t1 LEFT JOIN f c ON c.word = t2)
+SELECT t1, t2, {_RULE} AS is_join FROM x"""
 
 
 def _bigrams(s, d):
@@ -182,10 +183,21 @@ def line_end_join(s, d):
     return vocab.join_line_ends(rows, vocab.totals(_vocab(s, d)))
 
 
-@query()
+_GAP = r"[\x09-\x0d\x{85} \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+
+
+@query(f"""WITH {_FRQ}, r AS (SELECT doc_id AS corpus, k AS row_idx, substr(t, CAST(k * 200 + 1 AS BIGINT), 200) || '#lb#' AS text FROM (SELECT doc_id, lower(text) AS t, unnest(range(0, greatest(1, (length(text) + 199) // 200))) AS k FROM documents)),
+x AS (SELECT *, lead(text) OVER (PARTITION BY corpus ORDER BY row_idx) AS nxt, regexp_extract(text, '({_W}+){_GAP}#lb#$', 1) AS t1 FROM r), y AS (SELECT *, regexp_extract(coalesce(nxt, ''), '^{_GAP}({_W}+)', 1) AS t2 FROM x),
+z AS (SELECT y.*, coalesce(j.globfreq, 0) AS fj, coalesce(a.globfreq, 0) AS fa, greatest(coalesce(c.globfreq, 0) - 1, 0) AS fb FROM y LEFT JOIN f j ON j.word = t1 || t2 LEFT JOIN f a ON a.word = t1 LEFT JOIN f c ON c.word = t2),
+d AS (SELECT *, coalesce(t1 <> '' AND t2 <> '' AND NOT starts_with(nxt, '#') AND {_RULE}, false) AS takes FROM z),
+g AS (SELECT corpus, row_idx, CASE WHEN takes THEN regexp_replace(text, '{_W}*{_GAP}#lb#$', '') || t1 || t2 ELSE text END AS text, coalesce(lag(takes) OVER (PARTITION BY corpus ORDER BY row_idx), false) AS given FROM d)
+SELECT corpus, CAST(row_idx AS INTEGER) AS row_idx, CASE WHEN given THEN regexp_replace(text, '^{_GAP}{_W}+{_GAP}', '') ELSE text END AS text FROM g""")
 def page_break_join(s, d):
-    rows = table(s, d, "conversations").select(F.col("conv_id").alias("corpus"), F.lit("").alias("bookpart"), F.lit("").alias("paragraph"), F.col("turn").alias("row_idx"), F.concat(F.lower("text"), F.lit("#lb#")).alias("text"))
-    return vocab.join_page_breaks(rows, vocab.totals(_vocab(s, d)))
+    """Documents cut into pages of 200 characters, words and all."""
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / 200).cast("int")) - 1), lambda k: F.substr(F.lower("text"), k * 200 + 1, F.lit(200)))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("corpus"), F.lit("").alias("bookpart"), F.lit("").alias("paragraph"), F.posexplode(pages).alias("row_idx", "t"))
+    rows = rows.select("corpus", "bookpart", "paragraph", "row_idx", F.concat("t", F.lit("#lb#")).alias("text"))
+    return vocab.join_page_breaks(rows, vocab.totals(_vocab(s, d))).select("corpus", "row_idx", "text")
 
 
 # --- segmentation
