@@ -10,7 +10,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import clean, detect, matches, segment, vocab, wordgraph
@@ -220,15 +220,14 @@ def _finished(gold: DataFrame, path: str, jobs: list[tuple[str, str, dict]], too
     return Runs(written(runs, "runs"), passages, jobs)
 
 
-def _overlaps(gold: DataFrame, test: DataFrame) -> DataFrame:
-    g = gold.select(F.col("match_id").cast("string").alias("g"), F.col("docid").cast("string").alias("docid"), F.col("start").alias("gs"), F.col("end").alias("ge"))
-    t = test.select("run_no", F.col("match_id").alias("t"), "docid", F.col("start").alias("ts"), F.col("end").alias("te"))
-    return matches.meeting(g, t)
+def _named(gold: DataFrame) -> DataFrame:
+    """A gold set whose names are strings, as those of runs are."""
+    return gold.select(F.col("match_id").cast("string").alias("match_id"), F.col("docid").cast("string").alias("docid"), "start", "end")
 
 
 def _pairs(gold: DataFrame, test: DataFrame) -> DataFrame:
     """E6 by run: (run_no, g, t)."""
-    return _overlaps(gold, test).groupBy("run_no", "g", "t").agg(F.count_distinct("docid").alias("docs")).where("docs > 1").select("run_no", "g", "t")
+    return matches.identical(_named(gold), test, ("run_no",))
 
 
 def score_runs(gold: DataFrame, done: Runs) -> DataFrame:
@@ -237,30 +236,24 @@ def score_runs(gold: DataFrame, done: Runs) -> DataFrame:
     One plan for all runs. norm is 1 where the input's name begins with norm; lem
     is 1, 2 or 3 where it ends with lem, lem-ft or lem-ren; seg is what follows the slash.
     """
-    pairs = written(_pairs(gold, done.passages), "pairs")
-    o = written(_overlaps(gold, done.passages).join(pairs, ["run_no", "g", "t"]), "overlaps")
+    named = _named(gold)
+    pairs, of_gold, of_test = matches.found(named, done.passages, ("run_no",))
     sizes = gold.agg(F.count_distinct("match_id")).first()[0]
     m = pairs.groupBy("run_no").agg(F.count_distinct("g").alias("g"), F.count_distinct("t").alias("t"))
     out = done.runs.join(m, "run_no", "left").fillna(0, ["g", "t"])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = out.withColumn("r_m", ratio(F.col("g"), F.lit(sizes))).withColumn("p_m", ratio(F.col("t"), F.col("testmatch_no"))).drop("g", "t")
 
-    def covered(s: str, e: str) -> DataFrame:
-        """Characters of the passages of one side that the other covers, and all of them."""
-        part = o.select("run_no", "docid", F.col(s).alias("s"), F.col(e).alias("e"), F.greatest("gs", "ts").alias("lo"), F.least("ge", "te").alias("hi")).distinct()
-        w = Window.partitionBy("run_no", "docid", "s", "e").orderBy("lo", "hi")
-        upto = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        part = part.withColumn("add", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(upto + 1, F.col("lo"))) + 1))
-        part = part.groupBy("run_no", "docid", "s", "e").agg(F.sum("add").alias("add"))
-        return part.groupBy("run_no").agg((F.sum("add") / F.sum(F.col("e") - F.col("s") + 1)).alias("x"))
-
-    def clusters(side: DataFrame, key: str, s: str, e: str) -> DataFrame:
-        hit = o.select("run_no", "docid", s, e).distinct().groupBy("run_no").agg(F.count("*").alias("n"))
+    def characters(hit: DataFrame) -> DataFrame:
+        """Characters of the passages of one side that the other covers, over all of them."""
+        return matches.covered(hit, ("run_no",)).groupBy("run_no").agg((F.sum("covered") / F.sum(F.col("e") - F.col("s") + 1)).alias("x"))
+
+    def clusters(side: DataFrame, hit: DataFrame, key: str) -> DataFrame:
+        n = hit.select("run_no", "docid", "s", "e").distinct().groupBy("run_no").agg(F.count("*").alias("n"))
         every = pairs.select("run_no", F.col(key).alias("match_id")).distinct().join(side, [c for c in ("run_no", "match_id") if c in side.columns])
-        return hit.join(every.groupBy("run_no").agg(F.count("*").alias("k")), "run_no").select("run_no", (F.col("n") / F.col("k")).alias("x"))
+        return n.join(every.groupBy("run_no").agg(F.count("*").alias("k")), "run_no").select("run_no", (F.col("n") / F.col("k")).alias("x"))
 
-    named = gold.withColumn("match_id", F.col("match_id").cast("string"))
-    for name, df in (("r_ch", covered("gs", "ge")), ("p_ch", covered("ts", "te")), ("r_cl", clusters(named, "g", "gs", "ge")), ("p_cl", clusters(done.passages, "t", "ts", "te"))):
+    for name, df in (("r_ch", characters(of_gold)), ("p_ch", characters(of_test)), ("r_cl", clusters(named, of_gold, "g")), ("p_cl", clusters(done.passages, of_test, "t"))):
         out = out.join(df.withColumnRenamed("x", name), "run_no", "left").fillna(0.0, [name])
     for level in ("m", "ch", "cl"):
         r, p = F.col(f"r_{level}"), F.col(f"p_{level}")
