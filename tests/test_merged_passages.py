@@ -72,3 +72,19 @@ def test_rows_that_meet(spark):
     side = lambda n: spark.range(n).selectExpr("id % 3 as match_id", "cast(id % 2 as string) as docid", "id % 1000 as start", "id % 1000 + 40 as end")
     assert matches.common(side(3000), side(3000)).count() == matches.common(side(30000), side(30000)).count() <= 3 * 3 * 2 * 2
     assert matches.stretch_of(side(30)) == 64
+
+
+def test_segments_in_batches(spark):
+    """A segment goes on over batches of rows; no document is a group of its own in Python."""
+    texts = ["ab$segstart_1_free_2$cd", "ef", "", "g$segend_1$h$segstart_2_literal_1&3$", "i$segstart_3$j$segend_2$k", "l"]
+    rows = spark.createDataFrame([(d, k, t) for d in ("x", "y") for k, t in enumerate(texts)], "docid string, row_idx int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = matches.parse_segments(rows)
+        want = [("1", 2, 3, "cd"), ("1", 0, 1, "ef"), ("1", 0, 0, "g"), ("2", 0, 1, "ij"), ("3", 1, 2, "jk"), ("3", 0, 0, "l")]
+        assert sorted((r.docid, r.seg, r.start, r.end, r.text) for r in got.collect()) == sorted((d, *w) for d in "xy" for w in want)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        # x and y hold each segment: 1 and 2 mean each other (three passages and one, each named in every document), 2 means 3 (two)
+        assert matches.gold_matches(got).where("match_id = '3-2'").count() == 2 * 4 + 2 * 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
