@@ -64,9 +64,11 @@ def located_tokens(docs: DataFrame, min_length: int = 2, stem: bool = False, fol
     """
     pieces = F.regexp_extract_all("text", F.lit(f"[^{TOKEN[1:-1]}]*+{TOKEN}++"), F.lit(0))
     rows = docs.select("series", "docid", F.posexplode(pieces).alias("k", "piece")).withColumn("raw", F.regexp_extract("piece", f"{TOKEN}++$", 0))
+    # what is shuffled: the token once, and the two lengths
+    rows = rows.select("series", "docid", "k", F.lower("raw").alias("tok"), F.length("piece").alias("whole"), F.length("raw").alias("own"))
     w = Window.partitionBy("series", "docid").orderBy("k")
-    upto = F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.select("series", "docid", "k", F.lower("raw").alias("tok"), (upto - F.length("raw")).cast("int").alias("start"), (upto - 1).cast("int").alias("end"))
+    upto = F.sum("whole").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("series", "docid", "k", "tok", (upto - F.col("own")).cast("int").alias("start"), (upto - 1).cast("int").alias("end"))
     rows = rows.where(F.length("tok") >= min_length).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
     tok = F.col("tok")
     if stem:
