@@ -7,7 +7,10 @@ parameter of that method); seed_and_extend and window_alignment keep every gram.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from math import log
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.wordgraph import _checkpoint, connected
+from textloom.sources.tables import bound_batches, spread
 
 
 #: Characters cut at once: substrings are found by walking a text, so long ones are walked in pieces.
@@ -35,7 +39,10 @@ def char_grams(docs: DataFrame, n: int, floating: bool = True) -> DataFrame:
 
 
 def word_grams(docs: DataFrame, n: int, gap: int = 0, ordered: bool = True, min_length: int = 2) -> DataFrame:
-    """(series, docid, pos, gram): n of n + gap following tokens, the first always; sorted inside if unordered."""
+    """(series, docid, pos, gram): n of n + gap following tokens, the first always; sorted inside if unordered.
+
+    A gram may stand more than once at a position: gram_matches takes it once.
+    """
     from itertools import combinations
 
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= min_length)
@@ -48,7 +55,7 @@ def word_grams(docs: DataFrame, n: int, gap: int = 0, ordered: bool = True, min_
 
     out = rows.select("series", "docid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos")).where(F.col("pos") >= 0)
     out = out.select("series", "docid", "pos", F.explode(F.array_distinct(grams(F.col("pos")))).alias("g")).where(~F.exists("g", lambda x: x.isNull()))
-    return out.select("series", "docid", "pos", F.concat_ws(" ", F.col("g") if ordered else F.array_sort("g")).alias("gram")).distinct()
+    return out.select("series", "docid", "pos", F.concat_ws(" ", F.col("g") if ordered else F.array_sort("g")).alias("gram"))
 
 
 #: What a token is, in Java's dialect: a run of letters and digits.
@@ -86,7 +93,13 @@ def _let(value: Column, then) -> Column:
 def german_stem(word: Column) -> Column:
     """The published Snowball stemmer for German, as column functions."""
     vowel, none = "[aeiouyäöü]", F.lit(1 << 20)
-    tail = lambda x, regex: F.length(F.regexp_extract(x, f"(?:{regex})$", 0))
+
+    def tail(x: Column, regex: str) -> Column:
+        """The length of an ending; most words have none of its letters, which needs no regex."""
+        letters = re.sub(r"\(\?<[=!].*?\)|\(\?:|\)", "", regex).split("|")
+        there = reduce(or_, [x.endswith(e) for e in letters])
+        return F.when(there, F.length(F.regexp_extract(x, f"(?:{regex})$", 0))).otherwise(0)
+
     less = lambda x, n: F.substr(x, F.lit(1), F.length(x) - n)
     region = lambda x: F.length(F.regexp_extract(x, f"^.*?{vowel}[^aeiouyäöü]", 0))
 
@@ -118,7 +131,7 @@ def german_stem(word: Column) -> Column:
 
     w = F.replace(word, F.lit("ß"), F.lit("ss"))
     for c in "uy":  # between vowels they count as consonants
-        w = F.regexp_replace(w, f"(?<={vowel}){c}(?={vowel})", c.upper())
+        w = F.when(F.contains(w, F.lit(c)), F.regexp_replace(w, f"(?<={vowel}){c}(?={vowel})", c.upper())).otherwise(w)
     return F.translate(_let(w, lambda x: _let(region(x), lambda n1: _let(region(F.substr(x, n1 + 1)), lambda n2: steps(x, n1, n2)))), "äöüUY", "aouuy")
 
 
@@ -141,18 +154,82 @@ def located_grams(tokens: DataFrame, n: int, gap: int = 0, ordered: bool = True)
     return rows.select("series", "docid", "pos", "x.gram", "start", "x.end")
 
 
+def token_rows(docs: DataFrame, min_length: int = 2, stem: bool = False, fold_numbers: bool = False) -> DataFrame:
+    """(series, docid, t): the tokens of located_tokens as one array(tok, start, end) a row of docs, so that nothing is shuffled."""
+
+    @F.pandas_udf("array<int>")
+    def running(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: np.cumsum(x, dtype=np.int32))
+
+    bound_batches(docs.sparkSession)
+    pieces = F.regexp_extract_all("text", F.lit(f"[^{TOKEN[1:-1]}]*+{TOKEN}++"), F.lit(0))
+    rows = spread(docs.where("text is not null").select("series", "docid", "text")).select("series", "docid", pieces.alias("p"))
+    rows = rows.select("series", "docid", F.transform("p", lambda x: F.regexp_extract(x, f"{TOKEN}++$", 0)).alias("raw"), running(F.transform("p", F.length)).alias("upto"))
+    located = lambda x, i: F.struct(F.lower(x).alias("tok"), (F.get("upto", i) - F.length(x)).alias("start"), (F.get("upto", i) - 1).alias("end"))
+    t = F.filter(F.transform("raw", located), lambda x: F.length(x["tok"]) >= min_length)
+
+    def form(tok: Column) -> Column:
+        out = german_stem(tok) if stem else tok
+        return _let(out, lambda x: F.when(x.rlike(r"^\p{N}+$"), "0").otherwise(x)) if fold_numbers else out
+
+    return rows.select("series", "docid", F.transform(t, lambda x: F.struct(form(x["tok"]).alias("tok"), x["start"].alias("start"), x["end"].alias("end"))).alias("t"))
+
+
+def gram_rows(rows: DataFrame, n: int, gap: int = 0, ordered: bool = True) -> DataFrame:
+    """(series, docid, g): the grams of located_grams as one array(pos, gram, start, end) a row of token_rows."""
+    from itertools import combinations
+
+    picks = [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
+
+    def at(i: Column) -> Column:
+        words = lambda p: F.array(*[F.get("t", i + k)["tok"] for k in p])
+        one = lambda p: F.struct(F.array_join(words(p) if ordered else F.array_sort(words(p)), " ").alias("gram"), F.get("t", i + p[-1])["end"].alias("end"))
+        each = F.array(*[one(p) for p in picks])
+        put = lambda x: F.struct(i.alias("pos"), x["gram"].alias("gram"), F.get("t", i)["start"].alias("start"), x["end"].alias("end"))
+        if len(picks) == 1:
+            return F.transform(each, put)
+        each = F.array_sort(F.filter(each, lambda x: x["end"].isNotNull()))
+        return _let(each, lambda e: F.transform(F.filter(e, lambda x, k: (k == 0) | (F.get(e, k - 1)["gram"] != x["gram"])), put))
+
+    # a condition in a filter below would compute the tokens twice
+    return rows.select("series", "docid", F.when(F.size("t") >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - n), at))).alias("g"))
+
+
 def frequent_between(grams: DataFrame, low: int = 2, high: int = 100) -> DataFrame:
     """Grams whose number of documents lies in [low, high]."""
     df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df")).where(F.col("df").between(low, high)).select("gram")
     return grams.join(df, "gram")
 
 
-#: Most hashes of grams that are sent to every task to leave out the others.
-KNOWN = 500_000
+#: Most hashes of grams that are sent to every task to leave out the others, and characters of texts that may hold so few.
+KNOWN, SHORT = 500_000, 8_000_000
+
+
+def large_series(docs: DataFrame) -> str | None:
+    """The series with the most text, if all others together are short; None else."""
+    sizes = docs.groupBy("series").agg(F.sum(F.length("text")).alias("n"))
+    first, total = sizes.orderBy(F.desc("n"), "series").first(), sizes.agg(F.sum("n")).first()[0]
+    return first["series"] if first and total and total - first["n"] <= SHORT else None
 
 
-def between_series(grams: DataFrame) -> DataFrame:
-    """The grams that stand in more than one series: only hashes are shuffled, and the others go before any join."""
+def near_series(grams: DataFrame, kept: Column) -> DataFrame | None:
+    """The grams that equal one of those where `kept` is true, written; None if these are more than KNOWN.
+
+    Their hashes go to every task, so the others are left out where they are made and no gram is shuffled.
+    """
+    h = F.xxhash64("gram")
+    held = _checkpoint(grams.where(kept).select(h.alias("h")).distinct())
+    return _checkpoint(grams.withColumn("h", h).join(F.broadcast(held), "h", "left_semi").drop("h")) if held.count() <= KNOWN else None
+
+
+def between_series(grams: DataFrame, large: str | None = None) -> DataFrame:
+    """The grams that stand in more than one series: only hashes are shuffled, and the others go before any join.
+
+    Where a series is large, only grams of the other series are looked for in it (near_series).
+    """
+    if large is not None:
+        near = near_series(grams, F.col("series") != large)
+        grams = grams if near is None else near
     h = F.xxhash64("gram")
     held = grams.groupBy(h.alias("h")).agg(F.min("series").alias("lo"), F.max("series").alias("hi")).where("lo <> hi").select("h")
     held = _checkpoint(held)
@@ -160,18 +237,23 @@ def between_series(grams: DataFrame) -> DataFrame:
     return grams.withColumn("h", h).join(held, "h", "left_semi").drop("h")
 
 
-def gram_matches(grams: DataFrame, source: str | None = None) -> DataFrame:
+def gram_matches(grams: DataFrame, source: str | None = None, large: str | None = None) -> DataFrame:
     """(a, b, pa, pb, gram): equal grams of documents of different series, each pair once (or from source to the others).
 
     A gram meets the other series that hold it, never its own, so a frequent gram
-    makes as many rows as there are matches. Every gram counts. Grams with start
-    and end bring these as from_a, to_a, from_b, to_b.
+    makes as many rows as there are matches. Every gram counts, at each position
+    once. Grams with start and end bring these as from_a, to_a, from_b, to_b.
+    large: see between_series.
     """
-    shared = between_series(grams)
+    return _meetings(between_series(grams, large).distinct(), source)
+
+
+def _meetings(shared: DataFrame, source: str | None = None) -> DataFrame:
+    """gram_matches of grams that all stand in more than one series."""
     series = shared.groupBy("gram").agg(F.collect_set("series").alias("held"))
     own = shared if source is None else shared.where(F.col("series") == source)
     others = F.filter("held", (lambda x: x > F.col("series")) if source is None else (lambda x: x != F.col("series")))
-    located = "end" in grams.columns
+    located = "end" in shared.columns
     chars = lambda s: [F.col("start").alias(f"s{s}"), F.col("end").alias(f"e{s}")] if located else []
     a = own.join(series, "gram").select("gram", F.col("docid").alias("a"), F.col("pos").alias("pa"), *[c.alias(n) for c, n in zip(chars("a"), ("from_a", "to_a"))], F.explode(others).alias("held_by"))
     b = shared.select("gram", F.col("series").alias("held_by"), F.col("docid").alias("b"), F.col("pos").alias("pb"), *[c.alias(n) for c, n in zip(chars("b"), ("from_b", "to_b"))])
@@ -320,7 +402,9 @@ def align_regions(regions: DataFrame, docs: DataFrame, *, pcopy: float = 0.8, le
     """
     match, mismatch = log(pcopy * letters), log(letters * (letters - 1) / ((1 - pcopy) * letters)) / 2
     whole = [round(v * UNIT) for v in (match, mismatch, mismatch)]
-    rows = regions
+    rows = regions = _checkpoint(regions)
+    ids = regions.select(F.explode(F.array("a", "b")).alias("docid")).distinct()
+    docs = docs.join(F.broadcast(ids) if regions.count() <= KNOWN else ids, "docid", "left_semi")  # no other text is shuffled
     for s in "ab":
         text, lo = docs.select(F.col("docid").alias(s), F.col("text").alias("whole")), F.greatest(F.lit(0), F.col(f"start_{s}") - margin)
         rows = rows.join(text, s).withColumn(f"x{s}", F.substr("whole", lo + 1, F.col(f"end_{s}") - lo + margin)).drop("whole")
@@ -513,28 +597,42 @@ def gram_alignment(docs: DataFrame, *, n: int = 25, min_match: int = 5, max_df:
     """
     if all_pairs:
         docs = docs.withColumn("series", F.col("docid"))
-    m = gram_matches(frequent_between(char_grams(docs, n, floating), 2, max_df))
+    # a gram between series stands in two documents at least, so the order of the two filters is free
+    shared = between_series(char_grams(docs, n, floating), None if all_pairs else large_series(docs))
+    m = _checkpoint(_meetings(frequent_between(shared, 2, max_df)))
     m = m.join(candidate_pairs(m, min_match).select("a", "b"), ["a", "b"])
     aligned = align_regions(islands(m, gap, min_match).drop("hits"), docs, pcopy=pcopy, beam=beam, min_align=min_align)
     return cluster_passages(aligned if all_pairs else best_predecessors(_checkpoint(aligned), docs))
 
 
-def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, window: int = 30, in_docs: int = 4, in_window: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, stem: bool = True, fold_numbers: bool = True, distance: float = 0.5, duplicates: float = 100.0, banal_share: float = 0.9, common: float = 0.1) -> DataFrame:
+def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int = 0, window: int = 30, in_docs: int = 4, in_window: int = 4, max_gap: int = 15, minimum: int = 4, word_order: bool = True, stem: bool = True, fold_numbers: bool = True, distance: float = 0.5, duplicates: float = 100.0, banal_share: float = 0.9, common: float = 0.1, tell_banal: bool = True) -> DataFrame:
     """T5: (a, b, start_a, end_a, start_b, end_b, hits, banal), positions in code points, ends inclusive.
 
     Windows and gaps count tokens, which may be stems. Passages of a pair that lie
     closer on both sides than `distance` times the length of the one before are
     merged. Pairs that share more than `duplicates` per cent of the grams of the
     smaller document are copies and left out (none at 100). banal: banal_share of
-    the matched grams are among the `common` most frequent ones.
+    the matched grams are among the `common` most frequent ones; that needs the
+    frequency of every gram, so it is left out where tell_banal is false. A docid
+    stands in one row of docs.
     """
-    grams = _checkpoint(located_grams(located_tokens(docs, 2, stem, fold_numbers), ngram, gap, word_order))
-    df = grams.groupBy("gram").agg(F.count_distinct("docid").alias("df"))
-    edge = df.approxQuantile("df", [1 - common], 0.001)
-    m = gram_matches(grams, source).join(df, "gram")
+    tokens = token_rows(docs, 2, stem, fold_numbers)
+    tokens = _checkpoint(tokens) if tell_banal or duplicates < 100 else tokens
+    per_doc = gram_rows(tokens, ngram, gap, word_order)
+    # outer, since Spark filters by the size of what is exploded otherwise, and makes the grams twice
+    grams = per_doc.select("series", "docid", F.explode_outer("g").alias("g")).where("g is not null").select("series", "docid", "g.*")
+    large, near = large_series(docs), None
+    if large is not None:
+        near = near_series(grams, F.col("series") == source if source != large else F.col("series") != large)
+    shared = between_series(grams if near is None else near)
+    edge = _frequency(per_doc, 1 - common) if tell_banal else 0
+    m = _meetings(shared, source)
+    if tell_banal:  # a gram that is shared is there with all its documents
+        m = m.join(shared.groupBy("gram").agg(F.count_distinct("docid").alias("df")), "gram")
+    m = _checkpoint(m)
     pairs = candidate_pairs(m, in_docs)
     if duplicates < 100:
-        size = grams.groupBy("docid").agg(F.count_distinct("gram").alias("n"))
+        size = per_doc.select("docid", F.size(F.array_distinct(F.transform("g", lambda x: x["gram"]))).alias("n"))
         pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.col("shared") <= duplicates * F.least("na", "nb"))
     m = _checkpoint(m.join(pairs.select("a", "b"), ["a", "b"]))
     runs = islands(m, max_gap, minimum, window, in_window)
@@ -543,5 +641,20 @@ def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int =
     onward = F.col("start_b") >= F.lag("start_b").over(w)
     runs = runs.withColumn("new", F.when(F.coalesce(near("a") & near("b") & onward, F.lit(False)), 0).otherwise(1)).withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("a", "b", "g").agg(F.min("start_a").alias("start_a"), F.max("end_a").alias("end_a"), F.min("start_b").alias("start_b"), F.max("end_b").alias("end_b"), F.sum("hits").alias("hits"))
-    inside = runs.join(m, ["a", "b"]).where("from_a >= start_a and to_a <= end_a").groupBy("a", "b", "g").agg(F.avg((F.col("df") > (edge[0] if edge else 0)).cast("int")).alias("share"))
+    if not tell_banal:
+        return runs.drop("g")
+    inside = runs.join(m, ["a", "b"]).where("from_a >= start_a and to_a <= end_a").groupBy("a", "b", "g").agg(F.avg((F.col("df") > edge).cast("int")).alias("share"))
     return runs.join(inside, ["a", "b", "g"], "left").withColumn("banal", F.coalesce(F.col("share") >= banal_share, F.lit(False))).drop("g", "share")
+
+
+def _frequency(per_doc: DataFrame, share: float) -> int:
+    """The document frequency that `share` of all grams of gram_rows do not exceed; only a hash and a count of a gram are shuffled."""
+    hashes = F.array_distinct(F.transform("g", lambda x: F.xxhash64(x["gram"])))
+    each = per_doc.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    counts = each.groupBy("df").agg(F.count("*").alias("n")).orderBy("df").collect()  # one row a frequency
+    upto, total = 0, sum(r["n"] for r in counts)
+    for r in counts:
+        upto += r["n"]
+        if upto >= share * total:
+            return r["df"]
+    return 0

@@ -13,7 +13,8 @@ def ngrams(rows: DataFrame, n: int, keys: list[str], pattern: str = "[a-z]+", te
     """(keys, pos, gram): word n-grams within each row, no shuffle."""
     words = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.concat_ws(" ", F.slice("w", i + 1, n)))
-    return rows.select(*keys, words.alias("w")).where(F.size("w") >= n).select(*keys, F.posexplode(grams).alias("pos", "gram"))
+    # no filter by size: it would be pushed below the words and make them twice
+    return rows.select(*keys, words.alias("w")).select(*keys, F.posexplode(F.when(F.size("w") >= n, grams)).alias("pos", "gram"))
 
 
 def ngrams_across(rows: DataFrame, n: int = 5) -> DataFrame:

@@ -159,7 +159,7 @@ def detect_passages(tool: str, docs: DataFrame, source: str | None = None, **par
     if tool != "window":
         raise ValueError(f"unknown detector {tool}")
     first = source or docs.agg(F.min("series")).first()[0]
-    return detect.cluster_passages(detect.window_alignment(docs, first, **params).drop("hits", "banal"))
+    return detect.cluster_passages(detect.window_alignment(docs, first, **params, tell_banal=False).drop("hits"))
 
 
 @dataclass
