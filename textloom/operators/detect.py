@@ -31,7 +31,8 @@ def char_grams(docs: DataFrame, n: int, floating: bool = True) -> DataFrame:
     rows = docs.where(F.length("text") >= n).select("series", "docid", "text", F.explode(F.sequence(F.lit(0), F.length("text") - n, F.lit(PIECE))).alias("at"))
     before = F.when(at > 0, F.substr("text", at, F.lit(1))).otherwise(F.lit(" "))
     rows = rows.select("series", "docid", "at", F.concat(before, F.substr("text", at + 1, F.lit(PIECE + n - 1))).alias("k"))
-    gram = lambda p: F.struct((at + p - 1).alias("pos"), F.substr("k", p + 1, F.lit(n)).alias("gram"), F.substr("k", p, F.lit(1)).alias("before"))
+    start = [] if floating else [lambda p: F.substr("k", p, F.lit(1)).alias("before")]
+    gram = lambda p: F.struct((at + p - 1).alias("pos"), F.substr("k", p + 1, F.lit(n)).alias("gram"), *[f(p) for f in start])
     rows = rows.select("series", "docid", F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - n), gram)).alias("g"))
     if not floating:
         rows = rows.where(F.col("g.before").rlike(r"(?U)\W"))
