@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import bound_batches
+
 #: Inline markers of the data model.
 SENTENCE, CHAPTER, INSERT, INSERT_END, LINE = "#SEND#", "#CSTART#", "#INSTART#", "#INEND#", "#lb#"
 
@@ -88,6 +90,7 @@ def clean(text: Column, case_rules=(), rules=(), extra=(), lowercase: bool = Tru
 
 def clean_rows(rows: DataFrame, **how) -> DataFrame:
     """Every row cleaned, empty rows dropped; a corpus column stands for separate files."""
+    bound_batches(rows.sparkSession)
     return rows.withColumn("text", clean(F.col("text"), **how)).where(F.trim("text") != "")
 
 

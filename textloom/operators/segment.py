@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import bound_batches
+
 
 def ngrams(rows: DataFrame, n: int, keys: list[str], pattern: str = "[a-z]+", text: str = "text") -> DataFrame:
     """(keys, pos, gram): word n-grams within each row, no shuffle."""
@@ -63,7 +68,7 @@ def sentences(rows: DataFrame, min_words: int = 4, insertion: str = "join") -> D
 
     A piece of min_words words stands alone; of three joins the sentence before;
     of one or two joins it and goes on into the next. Unfinished tails go on
-    into the next row of the paragraph. One paragraph is folded in one group.
+    into the next row of the paragraph. One paragraph is folded in one task.
     """
     return _by_paragraph(rows, lambda lines: [(p.replace("#INPOINT#", "#SEND#"), at) for p, at in _folded(lines, min_words, insertion)])
 
@@ -88,21 +93,45 @@ def nested_sentences(rows: DataFrame, min_words: int = 4) -> DataFrame:
     return _by_paragraph(rows, nested)
 
 
-def _by_paragraph(rows: DataFrame, fold) -> DataFrame:
-    """Segments that fold makes of the (text, page) lines of each paragraph, numbered."""
-    schema = "corpus string, bookpart string, paragraph string, seg_idx int, page int, text string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        out, head = list(fold(list(zip(pdf["text"], pdf["page"])))), pdf.iloc[0]
-        place = (head["corpus"], head["bookpart"], head["paragraph"])
-        return pd.DataFrame([(*place, k, at, text) for k, (text, at) in enumerate(out)], columns=["corpus", "bookpart", "paragraph", "seg_idx", "page", "text"], dtype=object)
+#: Segments in a batch that leaves Python, and their characters.
+SEGMENTS, CHARS = 1000, 1 << 20
+_SEGMENT = pa.schema([("corpus", pa.string()), ("bookpart", pa.string()), ("paragraph", pa.string()), ("seg_idx", pa.int32()), ("page", pa.int32()), ("text", pa.string())])
 
-    return rows.groupBy("corpus", "bookpart", "paragraph").applyInPandas(run, schema)
 
+def _by_paragraph(rows: DataFrame, fold: Callable[[Iterable[tuple]], Iterable[tuple]]) -> DataFrame:
+    """Segments that fold makes of the (text, page) lines of each paragraph, numbered.
 
-def _folded(lines: list[tuple], min_words: int, insertion: str) -> list[list]:
-    """[sentence, page] of the lines of a paragraph."""
+    Rows are dealt out by paragraph and sorted, and a task walks them in batches, so
+    that neither many small paragraphs nor a long one are groups of their own in Python.
+    """
+    bound_batches(rows.sparkSession)
+    place = ["corpus", "bookpart", "paragraph"]
+    named = rows.select(*[F.col(c).cast("string").alias(c) for c in place], "row_idx", F.col("page").cast("int").alias("page"), "text")
+    dealt = named.repartition(*place).sortWithinPartitions(*place, "row_idx").drop("row_idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in (*place, "text", "page")]))
+        full = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SEGMENT)], schema=_SEGMENT)
+        out, chars = [], 0
+        for key, own in groupby(lines, key=itemgetter(0, 1, 2)):
+            for k, (text, at) in enumerate(fold((text, page) for *_, text, page in own)):
+                out.append((*key, k, at, text))
+                chars += len(text)
+                if len(out) == SEGMENTS or chars >= CHARS:
+                    yield full(out)
+                    out, chars = [], 0
+        if out:
+            yield full(out)
+
+    return dealt.mapInArrow(run, "corpus string, bookpart string, paragraph string, seg_idx int, page int, text string")
+
+
+#: Sentences that a fold holds back, since later lines may still change them; they change the last one, and take it back once.
+HELD = 4
+
+
+def _folded(lines: Iterable[tuple], min_words: int, insertion: str) -> Iterator[list]:
+    """[sentence, page] of the lines of a paragraph, as soon as no further line changes them."""
     out: list[list] = []
     pending, where = "", None
     bound = r"#SEND#|#CSTART#" + (r"|#INSTART#|#INEND#" if insertion == "sentbound" else "")
@@ -131,10 +160,12 @@ def _folded(lines: list[tuple], min_words: int, insertion: str) -> list[list]:
                 pending, where = piece, at
         if not text.rstrip().endswith("#SEND#") and not pending and out:
             pending, where = out.pop()
+        yield from out[:-HELD]
+        out = out[-HELD:]
     if pending:
         if len(pending.split()) < min_words and out:
             if not out[-1][0].endswith(pending):
                 out[-1][0] += " " + pending
         else:
             out.append([pending, where])
-    return out
+    yield from out
