@@ -176,6 +176,12 @@ def token_rows(docs: DataFrame, min_length: int = 2, stem: bool = False, fold_nu
     return rows.select("series", "docid", F.transform(t, lambda x: F.struct(form(x["tok"]).alias("tok"), x["start"].alias("start"), x["end"].alias("end"))).alias("t"))
 
 
+def tokenised(docs: DataFrame, stem: bool = True, fold_numbers: bool = True) -> DataFrame:
+    """(series, docid, chars, t): token_rows of docs, written, for several calls of window_alignment with this stem and fold_numbers."""
+    sized = docs.withColumn("docid", F.struct("docid", F.length("text").alias("chars")))
+    return _checkpoint(token_rows(sized, 2, stem, fold_numbers).select("series", "docid.docid", "docid.chars", "t"))
+
+
 def gram_rows(rows: DataFrame, n: int, gap: int = 0, ordered: bool = True) -> DataFrame:
     """(series, docid, g): the grams of located_grams as one array(pos, gram, start, end) a row of token_rows."""
     from itertools import combinations
@@ -208,7 +214,7 @@ KNOWN, SHORT = 500_000, 8_000_000
 
 def large_series(docs: DataFrame) -> str | None:
     """The series with the most text, if all others together are short; None else."""
-    sizes = docs.groupBy("series").agg(F.sum(F.length("text")).alias("n"))
+    sizes = docs.groupBy("series").agg(F.sum("chars" if "chars" in docs.columns else F.length("text")).alias("n"))
     first, total = sizes.orderBy(F.desc("n"), "series").first(), sizes.agg(F.sum("n")).first()[0]
     return first["series"] if first and total and total - first["n"] <= SHORT else None
 
@@ -615,10 +621,14 @@ def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int =
     smaller document are copies and left out (none at 100). banal: banal_share of
     the matched grams are among the `common` most frequent ones; that needs the
     frequency of every gram, so it is left out where tell_banal is false. A docid
-    stands in one row of docs.
+    stands in one row of docs. docs may come from tokenised, with the same stem and
+    fold_numbers: calls with other settings then read its tokens instead of making them.
     """
-    tokens = token_rows(docs, 2, stem, fold_numbers)
-    tokens = _checkpoint(tokens) if tell_banal or duplicates < 100 else tokens
+    if "t" in docs.columns:
+        tokens = docs.select("series", "docid", "t")
+    else:
+        tokens = token_rows(docs, 2, stem, fold_numbers)
+        tokens = _checkpoint(tokens) if tell_banal or duplicates < 100 else tokens
     per_doc = gram_rows(tokens, ngram, gap, word_order)
     # outer, since Spark filters by the size of what is exploded otherwise, and makes the grams twice
     grams = per_doc.select("series", "docid", F.explode_outer("g").alias("g")).where("g is not null").select("series", "docid", "g.*")
