@@ -8,14 +8,20 @@ parameter of that method); seed_and_extend and window_alignment keep every gram.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 from math import log
 from operator import or_
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators.wordgraph import _checkpoint, connected
 from textloom.sources.tables import bound_batches, spread
@@ -44,8 +50,6 @@ def word_grams(docs: DataFrame, n: int, gap: int = 0, ordered: bool = True, min_
 
     A gram may stand more than once at a position: gram_matches takes it once.
     """
-    from itertools import combinations
-
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= min_length)
     rows = docs.select("series", "docid", words.alias("w"))
     picks = [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
@@ -140,12 +144,10 @@ def located_grams(tokens: DataFrame, n: int, gap: int = 0, ordered: bool = True)
     """(series, docid, pos, gram, start, end) of located_tokens: n of n + gap following tokens, the first always; sorted inside if
     unordered. start and end are the code points from the first token to the last one taken; of equal grams at one
     position the shortest stands."""
-    from itertools import combinations
-
     w = Window.partitionBy("series", "docid").orderBy("pos")
     ahead = [F.struct(F.lead("tok", i).over(w).alias("tok"), F.lead("end", i).over(w).alias("end")) for i in range(n + gap)]
     rows = tokens.select("series", "docid", "pos", "start", F.array(*ahead).alias("t"))
-    picks = [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
+    picks = _picks(n, gap)
     words = lambda p: F.array(*[F.col("t")[i]["tok"] for i in p])
     each = F.array(*[F.struct(words(p).alias("g"), F.col("t")[p[-1]]["end"].alias("end")) for p in picks])
     each = F.filter(each, lambda x: x["end"].isNotNull())
@@ -155,25 +157,93 @@ def located_grams(tokens: DataFrame, n: int, gap: int = 0, ordered: bool = True)
     return rows.select("series", "docid", "pos", "x.gram", "start", "x.end")
 
 
+#: Words whose stems a task keeps, so that each is stemmed once.
+STEMS = 1 << 18
+_VOWEL = "[aeiouyäöü]"
+_BETWEEN = [(re.compile(f"(?<={_VOWEL}){c}(?={_VOWEL})"), c.upper()) for c in "uy"]
+_REGION = re.compile(f"^.*?{_VOWEL}[^aeiouyäöü]")
+_ENDINGS = {e: re.compile(f"(?:{e})\\Z") for e in ("em|ern|er", "e|en|es", "(?<=[bdfghklmnrt])s", "en|er|est", "(?<=...[bdfghklmnt])st", "end|ung", "(?<!e)ig", "ig|ik|isch", "(?<!e)(?:isch|ig|ik)", "lich|heit", "er|en", "keit", "lich|ig")}
+_PLAIN = str.maketrans("äöüUY", "aouuy")
+
+
+def stemmed(word: str) -> str:
+    """german_stem of one word, for the distinct words of a batch."""
+    tail = lambda x, e: len(m[0]) if (m := _ENDINGS[e].search(x)) else 0
+    drop = lambda x, e, start: x[:-n] if (n := tail(x, e)) and len(x) - n >= start else x
+    w = word.replace("ß", "ss")
+    for between, c in _BETWEEN:
+        w = between.sub(c, w)
+    first = _REGION.match(w)
+    second = first and _REGION.match(w[first.end() :])
+    p1, p2 = max(3, first.end()) if first else 1 << 20, first.end() + second.end() if second else 1 << 20
+    if tail(w, "em|ern|er"):
+        x = drop(w, "em|ern|er", p1)
+    elif tail(w, "e|en|es"):
+        x = drop(w, "e|en|es", p1)
+        x = x[:-1] if len(x) < len(w) and x.endswith("niss") else x
+    else:
+        x = drop(w, "(?<=[bdfghklmnrt])s", p1)
+    x = drop(x, "en|er|est", p1) if tail(x, "en|er|est") else drop(x, "(?<=...[bdfghklmnt])st", p1)
+    further = lambda e, more, start: drop(y, more, start) if len(y := drop(x, e, p2)) < len(x) else y
+    if tail(x, "end|ung"):
+        x = further("end|ung", "(?<!e)ig", p2)
+    elif tail(x, "ig|ik|isch"):
+        x = drop(x, "(?<!e)(?:isch|ig|ik)", p2)
+    elif tail(x, "lich|heit"):
+        x = further("lich|heit", "er|en", p1)
+    elif tail(x, "keit"):
+        x = further("keit", "lich|ig", p2)
+    return x.translate(_PLAIN)
+
+
+def _mapped(words: pa.Array, one, known: dict) -> pa.Array:
+    """one(word) of each word; every distinct word once, kept in known."""
+    coded = words.dictionary_encode()
+    if len(known) > STEMS:
+        known.clear()
+    forms = [known[w] if w in known else known.setdefault(w, one(w)) for w in coded.dictionary.to_pylist()]
+    return pa.array(forms, pa.string()).take(coded.indices)
+
+
 def token_rows(docs: DataFrame, min_length: int = 2, stem: bool = False, fold_numbers: bool = False) -> DataFrame:
-    """(series, docid, t): the tokens of located_tokens as one array(tok, start, end) a row of docs, so that nothing is shuffled."""
+    """(series, docid, t): the tokens of located_tokens as one array(tok, start, end) a row of docs, so that nothing is shuffled.
 
-    @F.pandas_udf("array<int>")
-    def running(sizes: pd.Series) -> pd.Series:
-        return sizes.map(lambda x: np.cumsum(x, dtype=np.int32))
+    Spark cuts the texts; offsets are running sums over a batch of rows, and a task
+    stems each distinct word once.
+    """
+
+    def form(word: str) -> str:
+        word = stemmed(word) if stem else word
+        return "0" if fold_numbers and all(category(c)[0] == "N" for c in word) else word
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            at = batch.column("tok").offsets.to_numpy().astype(np.int64)
+            tok, whole, own = (batch.column(c).flatten() for c in ("tok", "whole", "own"))
+            upto = np.cumsum(whole.to_numpy(), dtype=np.int64)
+            upto -= np.repeat(np.r_[0, upto][at[:-1] - at[0]], np.diff(at))
+            kept = pc.greater_equal(pc.utf8_length(tok), min_length)
+            tok = tok.filter(kept)
+            tok = _mapped(tok, form, known) if stem or fold_numbers else tok
+            kept = kept.to_numpy(zero_copy_only=False)
+            spans = [pa.array(x[kept].astype(np.int32)) for x in (upto - own.to_numpy(), upto - 1)]
+            sizes = np.r_[0, np.cumsum(kept)][at - at[0]].astype(np.int32)
+            t = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays([tok, *spans], ["tok", "start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column("series"), batch.column("docid"), t], ["series", "docid", "t"])
 
     bound_batches(docs.sparkSession)
-    pieces = F.regexp_extract_all("text", F.lit(f"[^{TOKEN[1:-1]}]*+{TOKEN}++"), F.lit(0))
-    rows = spread(docs.where("text is not null").select("series", "docid", "text")).select("series", "docid", pieces.alias("p"))
-    rows = rows.select("series", "docid", F.transform("p", lambda x: F.regexp_extract(x, f"{TOKEN}++$", 0)).alias("raw"), running(F.transform("p", F.length)).alias("upto"))
-    located = lambda x, i: F.struct(F.lower(x).alias("tok"), (F.get("upto", i) - F.length(x)).alias("start"), (F.get("upto", i) - 1).alias("end"))
-    t = F.filter(F.transform("raw", located), lambda x: F.length(x["tok"]) >= min_length)
+    rows = spread(docs.where("text is not null").select("series", "docid", "text"))
+    every = lambda regex: F.regexp_extract_all("text", F.lit(regex), F.lit(0))
+    rows = rows.select("series", "docid", every(f"[^{TOKEN[1:-1]}]*+{TOKEN}++").alias("p"), every(f"{TOKEN}++").alias("raw"))
+    rows = rows.select("series", "docid", F.transform("raw", F.lower).alias("tok"), F.transform("p", F.length).alias("whole"), F.transform("raw", F.length).alias("own"))
+    schema = T.StructType([docs.schema["series"], docs.schema["docid"], T.StructField("t", T.ArrayType(T.StructType().add("tok", "string").add("start", "integer").add("end", "integer")))])
+    return rows.mapInArrow(run, schema)
 
-    def form(tok: Column) -> Column:
-        out = german_stem(tok) if stem else tok
-        return _let(out, lambda x: F.when(x.rlike(r"^\p{N}+$"), "0").otherwise(x)) if fold_numbers else out
 
-    return rows.select("series", "docid", F.transform(t, lambda x: F.struct(form(x["tok"]).alias("tok"), x["start"].alias("start"), x["end"].alias("end"))).alias("t"))
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """(series, docid, pos, tok, start, end) of token_rows, a row a token."""
+    return rows.select("series", "docid", F.posexplode("t").alias("pos", "x")).select("series", "docid", "pos", "x.*")
 
 
 def tokenised(docs: DataFrame, stem: bool = True, fold_numbers: bool = True) -> DataFrame:
@@ -184,9 +254,7 @@ def tokenised(docs: DataFrame, stem: bool = True, fold_numbers: bool = True) ->
 
 def gram_rows(rows: DataFrame, n: int, gap: int = 0, ordered: bool = True) -> DataFrame:
     """(series, docid, g): the grams of located_grams as one array(pos, gram, start, end) a row of token_rows."""
-    from itertools import combinations
-
-    picks = [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
+    picks = _picks(n, gap)
 
     def at(i: Column) -> Column:
         words = lambda p: F.array(*[F.get("t", i + k)["tok"] for k in p])
@@ -215,8 +283,8 @@ KNOWN, SHORT = 500_000, 8_000_000
 def large_series(docs: DataFrame) -> str | None:
     """The series with the most text, if all others together are short; None else."""
     sizes = docs.groupBy("series").agg(F.sum("chars" if "chars" in docs.columns else F.length("text")).alias("n"))
-    first, total = sizes.orderBy(F.desc("n"), "series").first(), sizes.agg(F.sum("n")).first()[0]
-    return first["series"] if first and total and total - first["n"] <= SHORT else None
+    first, total = sizes.agg(F.min(F.struct((-F.col("n")).alias("n"), "series")), F.sum("n")).first()
+    return first["series"] if first and total and total + first["n"] <= SHORT else None
 
 
 def near_series(grams: DataFrame, kept: Column) -> DataFrame | None:
@@ -229,6 +297,61 @@ def near_series(grams: DataFrame, kept: Column) -> DataFrame | None:
     return _checkpoint(grams.withColumn("h", h).join(F.broadcast(held), "h", "left_semi").drop("h")) if held.count() <= KNOWN else None
 
 
+def _picks(n: int, gap: int) -> list[tuple[int, ...]]:
+    """The tokens of a gram, counted from its first one."""
+    return [(0, *c) for c in combinations(range(1, n + gap), n - 1)]
+
+
+def _gram_hashes(tok: pa.ListArray, n: int, gap: int, ordered: bool) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
+    """(pick, first token, hash) of the grams of a batch of token lists, for each choice of tokens; equal grams have equal hashes on all workers."""
+    at, coded = tok.offsets.to_numpy().astype(np.int64), tok.flatten().dictionary_encode()
+    if not len(coded):
+        return
+    h = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)[coded.indices.to_numpy()]
+    rest = np.repeat(at[1:] - at[0], np.diff(at)) - np.arange(len(h))
+    for pick in _picks(n, gap):
+        first = np.flatnonzero(rest > pick[-1])
+        x = h[first]
+        for k in pick[1:]:
+            x = x * np.uint64(0x9E3779B97F4A7C15 if ordered else 1) + h[first + k]
+        yield pick, first, x
+
+
+def near_grams(tokens: DataFrame, kept: Column, n: int, gap: int, ordered: bool) -> DataFrame | None:
+    """near_series of the grams of token_rows: grams are compared by hashes in arrays, and only those that are kept become strings."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h in _gram_hashes(batch.column(0), n, gap, ordered):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], ["h"])
+
+    held = _checkpoint(tokens.where(kept).select("t.tok").mapInArrow(hashed, "h long").distinct())
+    if held.count() > KNOWN:
+        return None
+    known = np.sort(np.array([r.h for r in held.collect()], np.int64).view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok, start, end = (batch.column(c) for c in ("tok", "start", "end"))
+            at, words, begun, ended = tok.offsets.to_numpy() - tok.offsets[0].as_py(), tok.flatten(), start.flatten().to_numpy(), end.flatten().to_numpy()
+            got: dict = {}  # of equal grams at one position the shortest stands
+            for pick, first, h in _gram_hashes(tok, n, gap, ordered):
+                i = first[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
+                for k, *w in zip(i.tolist(), *(words.take(pa.array(i + c)).to_pylist() for c in pick)):
+                    key = k, " ".join(w if ordered else sorted(w))
+                    got[key] = min(got.get(key, 1 << 40), int(ended[k + pick[-1]]))
+            if got:
+                i = np.array([k for k, _ in got])
+                row = np.searchsorted(at, i, "right") - 1
+                cols = [batch.column(c).take(pa.array(row)) for c in ("series", "docid")]
+                cols += [pa.array((i - at[row]).astype(np.int32)), pa.array([g for _, g in got], pa.string()), pa.array(begun[i].astype(np.int32)), pa.array(list(got.values()), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["series", "docid", "pos", "gram", "start", "end"])
+
+    schema = T.StructType([tokens.schema["series"], tokens.schema["docid"]]).add("pos", "integer").add("gram", "string").add("start", "integer").add("end", "integer")
+    found = tokens.select("series", "docid", "t.tok", "t.start", "t.end").mapInArrow(run, schema)
+    return _checkpoint(found if len(known) else found.where("false"))
+
+
 def between_series(grams: DataFrame, large: str | None = None) -> DataFrame:
     """The grams that stand in more than one series: only hashes are shuffled, and the others go before any join.
 
@@ -630,13 +753,14 @@ def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int =
         tokens = token_rows(docs, 2, stem, fold_numbers)
         tokens = _checkpoint(tokens) if tell_banal or duplicates < 100 else tokens
     per_doc = gram_rows(tokens, ngram, gap, word_order)
-    # outer, since Spark filters by the size of what is exploded otherwise, and makes the grams twice
-    grams = per_doc.select("series", "docid", F.explode_outer("g").alias("g")).where("g is not null").select("series", "docid", "g.*")
     large, near = large_series(docs), None
     if large is not None:
-        near = near_series(grams, F.col("series") == source if source != large else F.col("series") != large)
-    shared = between_series(grams if near is None else near)
-    edge = _frequency(per_doc, 1 - common) if tell_banal else 0
+        near = near_grams(tokens, F.col("series") == source if source != large else F.col("series") != large, ngram, gap, word_order)
+    if near is None:
+        # outer, since Spark filters by the size of what is exploded otherwise, and makes the grams twice
+        near = per_doc.select("series", "docid", F.explode_outer("g").alias("g")).where("g is not null").select("series", "docid", "g.*")
+    shared = between_series(near)
+    edge = _quantile(_frequencies(tokens, ngram, gap, word_order), 1 - common) if tell_banal else 0
     m = _meetings(shared, source)
     if tell_banal:  # a gram that is shared is there with all its documents
         m = m.join(shared.groupBy("gram").agg(F.count_distinct("docid").alias("df")), "gram")
@@ -658,11 +782,55 @@ def window_alignment(docs: DataFrame, source: str, *, ngram: int = 3, gap: int =
     return runs.join(inside, ["a", "b", "g"], "left").withColumn("banal", F.coalesce(F.col("share") >= banal_share, F.lit(False))).drop("g", "share")
 
 
+#: Hashes of grams that one task counts, and hashes that wait to be sent.
+COUNTED, WAITING = 1 << 22, 1 << 20
+
+
+def _frequencies(tokens: DataFrame, n: int, gap: int, ordered: bool) -> DataFrame:
+    """(df, n): how many grams of token_rows stand in df documents. Hashes travel in blocks, by range, and are counted in arrays."""
+    size = (tokens.agg(F.sum(F.size("t"))).first()[0] or 0) * len(_picks(n, gap))
+    blocks = 1 + size // COUNTED
+    bounds = np.array([(k << 64) // blocks for k in range(1, blocks)], np.uint64)
+
+    def sent(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(hashes))
+        parts = [(k, x.tobytes()) for k, x in enumerate(np.split(h, np.searchsorted(h, bounds))) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "h"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            tok, each = batch.column(0), list(_gram_hashes(batch.column(0), n, gap, ordered))
+            at = tok.offsets.to_numpy() - tok.offsets[0].as_py()
+            cuts = [np.searchsorted(first, at) for _, first, _ in each]
+            for row in range(len(at) - 1 if each else 0):
+                h = np.unique(np.concatenate([x[c[row] : c[row + 1]] for (_, _, x), c in zip(each, cuts)]))
+                held, waiting = [*held, h] if waiting else [h], waiting + len(h)
+                if waiting >= WAITING:
+                    yield sent(held)
+                    held, waiting = [], 0
+        if waiting:
+            yield sent(held)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        h = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("h").to_pylist()]))
+        df, k = np.unique(np.diff(np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])), return_counts=True)
+        return pa.table({"df": pa.array(df, pa.int64()), "n": pa.array(k, pa.int64())})
+
+    each = tokens.select("t.tok").mapInArrow(hashed, "block int, h binary").groupBy("block").applyInArrow(counted, "df long, n long")
+    return each.groupBy("df").agg(F.sum("n").alias("n"))
+
+
 def _frequency(per_doc: DataFrame, share: float) -> int:
     """The document frequency that `share` of all grams of gram_rows do not exceed; only a hash and a count of a gram are shuffled."""
     hashes = F.array_distinct(F.transform("g", lambda x: F.xxhash64(x["gram"])))
     each = per_doc.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    counts = each.groupBy("df").agg(F.count("*").alias("n")).orderBy("df").collect()  # one row a frequency
+    return _quantile(each.groupBy("df").agg(F.count("*").alias("n")), share)
+
+
+def _quantile(frequencies: DataFrame, share: float) -> int:
+    """The document frequency that `share` of all grams do not exceed."""
+    counts = frequencies.orderBy("df").collect()  # one row a frequency
     upto, total = 0, sum(r["n"] for r in counts)
     for r in counts:
         upto += r["n"]
