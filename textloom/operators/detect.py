@@ -158,40 +158,53 @@ def located_grams(tokens: DataFrame, n: int, gap: int = 0, ordered: bool = True)
 
 
 #: Words whose stems a task keeps, so that each is stemmed once.
-STEMS = 1 << 18
+STEMS = 1 << 19
 _VOWEL = "[aeiouyäöü]"
 _BETWEEN = [(re.compile(f"(?<={_VOWEL}){c}(?={_VOWEL})"), c.upper()) for c in "uy"]
 _REGION = re.compile(f"^.*?{_VOWEL}[^aeiouyäöü]")
-_ENDINGS = {e: re.compile(f"(?:{e})\\Z") for e in ("em|ern|er", "e|en|es", "(?<=[bdfghklmnrt])s", "en|er|est", "(?<=...[bdfghklmnt])st", "end|ung", "(?<!e)ig", "ig|ik|isch", "(?<!e)(?:isch|ig|ik)", "lich|heit", "er|en", "keit", "lich|ig")}
+#: (endings, letters of which one must stand before them, letters of which none may, how many letters more must stand before); no word has two endings of one entry.
+_ENDINGS = {
+    "em|ern|er": (("em", "ern", "er"), "", "", 0), "e|en|es": (("e", "en", "es"), "", "", 0), "s": (("s",), "bdfghklmnrt", "", 0), "en|er|est": (("en", "er", "est"), "", "", 0), "st": (("st",), "bdfghklmnt", "", 3),
+    "end|ung": (("end", "ung"), "", "", 0), "ig": (("ig",), "", "e", 0), "ig|ik|isch": (("ig", "ik", "isch"), "", "e", 0), "lich|heit": (("lich", "heit"), "", "", 0), "er|en": (("er", "en"), "", "", 0), "keit": (("keit",), "", "", 0), "lich|ig": (("lich", "ig"), "", "", 0),
+}
 _PLAIN = str.maketrans("äöüUY", "aouuy")
 
 
 def stemmed(word: str) -> str:
     """german_stem of one word, for the distinct words of a batch."""
-    tail = lambda x, e: len(m[0]) if (m := _ENDINGS[e].search(x)) else 0
-    drop = lambda x, e, start: x[:-n] if (n := tail(x, e)) and len(x) - n >= start else x
+
+    def drop(x: str, endings: str, start: int) -> str:
+        """x without an ending that lies after start."""
+        ends, after, never, more = _ENDINGS[endings]
+        if not x.endswith(ends):
+            return x
+        at = len(x) - next(len(e) for e in ends if x.endswith(e))
+        before = x[at - 1 : at]
+        return x[:at] if at >= start and (not after or before and before in after and at > more) and not (before and before in never) else x
+
     w = word.replace("ß", "ss")
-    for between, c in _BETWEEN:
-        w = between.sub(c, w)
+    if "u" in w or "y" in w:
+        for between, c in _BETWEEN:
+            w = between.sub(c, w)
     first = _REGION.match(w)
     second = first and _REGION.match(w[first.end() :])
     p1, p2 = max(3, first.end()) if first else 1 << 20, first.end() + second.end() if second else 1 << 20
-    if tail(w, "em|ern|er"):
+    if w.endswith(("em", "ern", "er")):
         x = drop(w, "em|ern|er", p1)
-    elif tail(w, "e|en|es"):
+    elif w.endswith(("e", "en", "es")):
         x = drop(w, "e|en|es", p1)
         x = x[:-1] if len(x) < len(w) and x.endswith("niss") else x
     else:
-        x = drop(w, "(?<=[bdfghklmnrt])s", p1)
-    x = drop(x, "en|er|est", p1) if tail(x, "en|er|est") else drop(x, "(?<=...[bdfghklmnt])st", p1)
+        x = drop(w, "s", p1)
+    x = drop(x, "en|er|est", p1) if x.endswith(("en", "er", "est")) else drop(x, "st", p1)
     further = lambda e, more, start: drop(y, more, start) if len(y := drop(x, e, p2)) < len(x) else y
-    if tail(x, "end|ung"):
-        x = further("end|ung", "(?<!e)ig", p2)
-    elif tail(x, "ig|ik|isch"):
-        x = drop(x, "(?<!e)(?:isch|ig|ik)", p2)
-    elif tail(x, "lich|heit"):
+    if x.endswith(("end", "ung")):
+        x = further("end|ung", "ig", p2)
+    elif x.endswith(("ig", "ik", "isch")):
+        x = drop(x, "ig|ik|isch", p2)
+    elif x.endswith(("lich", "heit")):
         x = further("lich|heit", "er|en", p1)
-    elif tail(x, "keit"):
+    elif x.endswith("keit"):
         x = further("keit", "lich|ig", p2)
     return x.translate(_PLAIN)
 
